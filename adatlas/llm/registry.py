@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name: module, function, name of its SQL or None
 _OPERATORS = {
+    "op3_ann": ("ann", "op3", None),
+    "op8_embedding_dedup": ("embedding_dedup", "op8", "OP8_SQL"),
     "op9_mixing": ("mixing", "op9", "OP9_SQL"),
 }
 
