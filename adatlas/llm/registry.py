@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 #: query name: module, function, name of its SQL or None
 _OPERATORS = {
     "op1_ngram_join": ("ngram_join", "op1", "OP1_SQL"),
+    "op2_toxicity": ("toxicity", "op2", None),
     "op3_ann": ("ann", "op3", None),
     "op4_packing": ("packing", "op4", None),
     "op5_html": ("html_extract", "op5", "OP5_SQL"),
+    "op7_quality": ("quality", "op7", None),
     "op8_embedding_dedup": ("embedding_dedup", "op8", "OP8_SQL"),
     "op10_secrets": ("secrets", "op10", None),
     "op9_mixing": ("mixing", "op9", "OP9_SQL"),
