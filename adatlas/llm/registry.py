@@ -14,6 +14,7 @@ _OPERATORS = {
     "op3_ann": ("ann", "op3", None),
     "op4_packing": ("packing", "op4", None),
     "op5_html": ("html_extract", "op5", "OP5_SQL"),
+    "op6_lm_scoring": ("language_model", "op6", None),
     "op7_quality": ("quality", "op7", None),
     "op8_embedding_dedup": ("embedding_dedup", "op8", "OP8_SQL"),
     "op10_secrets": ("secrets", "op10", None),
