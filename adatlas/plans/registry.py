@@ -1,15 +1,404 @@
-"""All queries over the given tables, by name, with their DuckDB equivalents."""
+"""All queries over the given tables, by name, with their DuckDB equivalents where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from adatlas.functions import text as X
+from adatlas.functions import urls as U
+from adatlas.operators import answers as A
+from adatlas.operators import detect as D
+from adatlas.operators import library as L
+from adatlas.operators import manifest as M
+from adatlas.operators import quality as Q
+from adatlas.operators import report as R
+from adatlas.operators import review as V
+from adatlas.plans import views as P
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.stored_advertisers(P.app(spark, sf_dir))
+
+
+def text_list(c: str) -> F.Column:
+    return F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+
+
+URL = r"(?i)\b((?:https?://)?(?:www\.)?[a-z0-9][a-z0-9\-]+\.(?:com|es|net|org|eu|cat|info|io)(?:\.[a-z]{2})?)\b"
+BLOCKED = " OR ".join(f"ends_with(root, '{d}')" for d in X.BLOCKED_DOMAINS)
+HINTS = " OR ".join(f"contains(lower(text), '{h}')" for h in X.AD_HINTS)
+
+
+def mentions_sql(pages: str) -> str:
+    return f"""
+u AS (SELECT issue_id, page_no, text, regexp_extract_all(text, '{URL}', 1) AS l FROM ({pages})),
+e AS (SELECT issue_id, page_no, text, unnest(l) AS url, generate_subscripts(l, 1) - 1 AS idx FROM u),
+m AS (SELECT *, split_part(replace(replace(replace(lower(url), 'www.', ''), 'https://', ''), 'http://', ''), '/', 1) AS root, ({HINTS}) AS ad, coalesce(regexp_extract(text, '(?i)\\b[a-z0-9._%+\\-]+@[a-z0-9.\\-]+\\.[a-z]{{2,}}\\b', 0), '') AS email, coalesce(regexp_extract(text, '(?:^|[^0-9])([6-9][0-9]{{8}})(?:[^0-9]|$)', 1), '') AS phone FROM e),
+k AS (SELECT *, lower(trim(replace(split_part(root, '.', 1), '-', ' '))) AS key, page_no * 1000 + idx AS ord FROM m WHERE NOT ({BLOCKED}))"""
+
+
+BRANDS_SQL = f"""
+WITH {mentions_sql(P.PAGES_SQL)}
+SELECT issue_id, key, arg_min(root, length(root) * 1000000000 + ord) AS website, array_to_string(list_sort(list_distinct(list(page_no))), ',') AS pages,
+  coalesce(arg_min(email, ord) FILTER (email <> ''), '') AS email, coalesce(arg_min(phone, ord) FILTER (phone <> ''), '') AS phone, CASE WHEN arg_max(ad, ord) THEN 0.65::DOUBLE ELSE 0.4::DOUBLE END AS confidence,
+  CASE WHEN arg_max(ad, ord) THEN '{D.AD_NOTE}' ELSE '{D.PLAIN_NOTE}' END AS notes
+FROM k GROUP BY issue_id, key"""
+
+
+@query("a1_heuristic_brands", BRANDS_SQL)
+def heuristic_brands(spark, sf_dir):
+    return D.brands(D.mentions(P.ad_pages(spark, sf_dir))).select("issue_id", "key", "website", text_list("pages"), "email", "phone", "confidence", "notes")
+
+
+@query("f2_document_mentions", f"WITH {mentions_sql('SELECT source AS issue_id, doc_id AS page_no, text FROM documents')} SELECT issue_id, page_no, idx AS match_idx, root, key, ad AS ad_like, email, phone FROM k")
+def document_mentions(spark, sf_dir):
+    pages = P.table(spark, sf_dir, "documents").select(F.col("source").alias("issue_id"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("page_no"), "text")
+    return D.mentions(pages).select("issue_id", "page_no", F.col("match_idx").cast("long").alias("match_idx"), "root", "key", "ad_like", "email", "phone")
+
+
+@query("j4_consolidated_brands")
+def consolidated_brands(spark, sf_dir):
+    return D.detected(P.ad_pages(spark, sf_dir)).select("issue_id", "key", "brand", text_list("pages"), "website", "email", "phone", "confidence", "notes")
+
+
+@query("f1_canonical_brands", f"SELECT DISTINCT brand, {P.canonical_sql('brand')} AS canonical, {P.norm_sql('brand')} AS norm FROM ({P.APP_SQL})")
+def canonical_brands(spark, sf_dir):
+    return P.app(spark, sf_dir).select("brand").distinct().select("brand", X.canonical_brand(F.col("brand")).alias("canonical"), X.compare_key(F.col("brand")).alias("norm"))
+
+
+@query("f7_sector_groups", f"SELECT DISTINCT sector, {P.sector_sql('sector')} AS sector_group FROM ({P.APP_SQL})")
+def sector_groups(spark, sf_dir):
+    return P.app(spark, sf_dir).select("sector").distinct().select("sector", X.sector_group(F.col("sector")).alias("sector_group"))
+
+
+@query("f18_percent_and_band", f"SELECT DISTINCT confidence, round_even(confidence * 100, 0)::INT || '%' AS pct, CASE WHEN confidence >= 0.75 THEN 'alta' WHEN confidence >= 0.5 THEN 'media' ELSE 'baja' END AS band FROM ({P.APP_SQL}) WHERE confidence >= 0.3")
+def percent_and_band(spark, sf_dir):
+    own = P.app(spark, sf_dir).where("confidence >= 0.3").select("confidence").distinct()
+    return own.select("confidence", X.percent(F.col("confidence")).alias("pct"), X.confidence_band(F.col("confidence")).alias("band"))
+
+
+@query("a3_share_of_voice", f"SELECT issue_id, coalesce(nullif(trim(sector_group), ''), 'Sin sector') AS sec, count(*) AS n FROM ({P.ADS_SQL}) GROUP BY ALL")
+def share_of_voice(spark, sf_dir):
+    return L.share_of_voice(stored(spark, sf_dir))
+
+
+@query("k6_stored_issues", f"SELECT issue_id, min(titulo) AS titulo, count(*)::INT AS n_anunciantes, CASE WHEN issue_id % 3 = 0 THEN NULL ELSE 12 END AS paginas, CASE WHEN issue_id % 2 = 0 THEN NULL ELSE 1.5::DOUBLE END AS coste_usd FROM ({P.APP_SQL}) GROUP BY issue_id")
+def stored_issues(spark, sf_dir):
+    ads = P.app(spark, sf_dir)
+    meta = ads.groupBy("issue_id").agg(F.min("titulo").alias("titulo")).withColumn("paginas", F.when(F.col("issue_id") % 3 == 0, "n/a").otherwise("12")).withColumn("coste_usd", F.when(F.col("issue_id") % 2 == 0, 0.0).otherwise(1.5))
+    return L.stored_issues(meta, ads)
+
+
+LAST_SQL = f"SELECT issue_id, canonical, max_by(brand, (brand, page_no, o1, o2, o3, o4, o5)) AS brand, max_by(confidence, (brand, page_no, o1, o2, o3, o4, o5)) AS confidence FROM ({P.ADS_SQL}) WHERE canonical <> '' GROUP BY ALL"
+
+
+@query("a14_last_per_brand", LAST_SQL)
+def last_per_brand(spark, sf_dir):
+    return L.latest(stored(spark, sf_dir), ["brand", *P.ORDER]).select("issue_id", "canonical", "brand", "confidence")
+
+
+PAIRS_SQL = f"SELECT * FROM (SELECT lag(issue_id) OVER (PARTITION BY titulo ORDER BY fecha, issue_id DESC) AS issue_a, issue_id AS issue_b FROM ({P.ISSUES_SQL})) WHERE issue_a IS NOT NULL"
+COMPARE_SQL = f"""
+WITH last AS ({LAST_SQL}), pairs AS ({PAIRS_SQL}),
+a AS (SELECT issue_a, issue_b, canonical, brand FROM pairs JOIN last ON issue_id = issue_a), b AS (SELECT issue_a, issue_b, canonical, brand FROM pairs JOIN last ON issue_id = issue_b),
+c AS (SELECT coalesce(a.issue_a, b.issue_a) AS issue_a, coalesce(a.issue_b, b.issue_b) AS issue_b, coalesce(a.canonical, b.canonical) AS canonical, CASE WHEN a.canonical IS NULL THEN 'nuevo' WHEN b.canonical IS NULL THEN 'perdido' ELSE 'recurrente' END AS status, coalesce(b.brand, a.brand) AS brand
+  FROM a FULL JOIN b ON a.issue_a = b.issue_a AND a.issue_b = b.issue_b AND a.canonical = b.canonical)"""
+
+
+@query("u1_compared_issues", COMPARE_SQL + " SELECT * FROM c")
+def compared_issues(spark, sf_dir):
+    ads = stored(spark, sf_dir)
+    return L.compared(L.consecutive(P.issues(ads)), L.latest(ads.select("issue_id", "canonical", "brand", *P.ORDER), ["brand", *P.ORDER]))
+
+
+@query("a10_fidelity", COMPARE_SQL + " SELECT issue_a, issue_b, count(*) FILTER (status = 'nuevo') AS nuevos, count(*) FILTER (status = 'perdido') AS perdidos, count(*) FILTER (status = 'recurrente') AS recurrentes, coalesce(count(*) FILTER (status = 'recurrente') / nullif(count(*) FILTER (status <> 'perdido'), 0), 0)::DOUBLE AS fidelidad FROM c GROUP BY ALL")
+def fidelity(spark, sf_dir):
+    return L.fidelity(compared_issues(spark, sf_dir))
+
+
+@query("j1_brand_history", f"SELECT a.issue_id, a.brand, a.page_no, a.canonical, i.titulo, i.fecha FROM ({P.ADS_SQL}) a JOIN ({P.ISSUES_SQL}) i ON a.issue_id = i.issue_id WHERE a.canonical = (SELECT {P.canonical_sql('max(brand)')} FROM ({P.APP_SQL}))")
+def brand_history(spark, sf_dir):
+    ads = stored(spark, sf_dir)
+    wanted = ads.agg(F.max("brand").alias("b")).select(X.canonical_brand(F.col("b")).alias("canonical"))
+    own = ads.select("issue_id", "brand", "page_no", "canonical").join(F.broadcast(wanted), "canonical", "left_semi")  # one row
+    return L.history(own, P.issues(ads).select("issue_id", "titulo", "fecha"))
+
+
+@query("w2_previous_issue", f"SELECT issue_id, n_anunciantes, prev, CASE WHEN prev IS NULL THEN '·' WHEN n_anunciantes > prev THEN '+' || (n_anunciantes - prev) WHEN n_anunciantes < prev THEN (n_anunciantes - prev)::VARCHAR ELSE '=' END AS delta FROM (SELECT *, lag(n_anunciantes) OVER (PARTITION BY titulo ORDER BY fecha, issue_id DESC) AS prev FROM ({P.ISSUES_SQL}))")
+def previous_issue(spark, sf_dir):
+    return L.with_previous(P.issues(stored(spark, sf_dir))).select("issue_id", "n_anunciantes", "prev", "delta")
+
+
+@query("k7_after_delete", f"SELECT issue_id, count(*) AS n FROM ({P.APP_SQL}) WHERE issue_id NOT IN (SELECT issue_id FROM ({P.ISSUES_SQL}) WHERE n_anunciantes < 50) GROUP BY ALL")
+def after_delete(spark, sf_dir):
+    ads = stored(spark, sf_dir)
+    return L.without_issues(ads, P.issues(ads).where("n_anunciantes < 50")).groupBy("issue_id").agg(F.count("*").alias("n"))
+
+
+@query("k8_migrated", f"SELECT issue_id, CASE WHEN o2 % 2 = 0 THEN 'old' ELSE sector_group END AS sector_group, count(*) AS n FROM ({P.ADS_SQL}) GROUP BY ALL")
+def migrated(spark, sf_dir):
+    old = F.when(F.col("o2") % 2 == 0, "old").when(F.col("o2") % 3 == 0, "")
+    return L.migrated(P.app(spark, sf_dir).withColumn("sector_group", old)).groupBy("issue_id", "sector_group").agg(F.count("*").alias("n"))
+
+
+MERGED_ORDER = "(page_no, o1, o2, o3, o4, o5)"
+FIRST = ", ".join(f"coalesce(min_by({c}, {MERGED_ORDER}) FILTER ({c} <> ''), '') AS {c}" for c in ("website", "email", "phone", "sector", "ad_size"))
+MERGED_SQL = f"SELECT issue_id, canonical AS key, min_by(brand, (length(brand), page_no, o1, o2, o3, o4, o5)) AS brand, list_sort(list_distinct(list(page_no))) AS pages, {FIRST}, max(confidence) AS confidence FROM ({P.ADS_SQL}) GROUP BY ALL"
+
+
+def merged_ads(spark, sf_dir):
+    own = P.app(spark, sf_dir).withColumns({"method": F.lit("ia"), "notes": F.lit("")})
+    return A.merged(own, P.ORDER)
+
+
+@query("a2_merged_brands", f"SELECT * REPLACE (array_to_string(pages, ',') AS pages) FROM ({MERGED_SQL})")
+def merged_brands(spark, sf_dir):
+    return merged_ads(spark, sf_dir).drop("method", "notes").withColumn("pages", text_list("pages"))
+
+
+def ranked_sql(name: str = "brand") -> str:
+    return f"SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY confidence DESC, {name}, key) AS adv_no FROM ({MERGED_SQL})"
+
+
+@query("w3_export_order", f"SELECT issue_id, key, brand, confidence, adv_no FROM ({ranked_sql()}) QUALIFY count(*) OVER (PARTITION BY issue_id, confidence, brand) = 1")
+def export_order(spark, sf_dir):
+    own = R.indexed(merged_ads(spark, sf_dir)).withColumn("twins", F.count("*").over(P_issue_brand()))
+    return own.where("twins = 1").select("issue_id", "key", "brand", "confidence", "adv_no")
+
+
+def P_issue_brand():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("issue_id", "confidence", "brand")
+
+
+def numbered_ads(spark, sf_dir):
+    return R.indexed(merged_ads(spark, sf_dir).withColumn("brand", F.concat_ws(" / ", "brand", "key")))
+
+
+NUMBERED_SQL = f"SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY confidence DESC, brand) AS adv_no FROM (SELECT * REPLACE (brand || ' / ' || key AS brand) FROM ({MERGED_SQL}))"
+
+
+@query("a4_sector_split", f"SELECT issue_id, sec, n, 100.0::DOUBLE * n / max(n) OVER (PARTITION BY issue_id) AS pct, row_number() OVER (PARTITION BY issue_id ORDER BY n DESC, seen) AS place FROM (SELECT issue_id, {P.sector_sql('sector')} AS sec, count(*) AS n, min(adv_no) AS seen FROM ({NUMBERED_SQL}) GROUP BY ALL)")
+def sector_split(spark, sf_dir):
+    return R.sector_split(numbered_ads(spark, sf_dir))
+
+
+@query("a6_key_figures", f"SELECT issue_id, count(*) AS total, count(*) FILTER (website <> '') AS with_web, count(*) FILTER (email <> '' OR phone <> '') AS with_contact FROM ({MERGED_SQL}) GROUP BY ALL")
+def key_figures(spark, sf_dir):
+    return R.key_figures(merged_ads(spark, sf_dir))
+
+
+@query("k4_summary_rows", f"SELECT issue_id, label, value FROM (UNPIVOT (SELECT issue_id, count(*) AS total, count(*) FILTER (website <> '') AS with_web, count(*) FILTER (email <> '' OR phone <> '') AS with_contact FROM ({MERGED_SQL}) GROUP BY ALL) ON total, with_web, with_contact INTO NAME label VALUE value)")
+def summary_rows(spark, sf_dir):
+    return R.summary_rows(merged_ads(spark, sf_dir))
+
+
+@query("k3_appearances", f"SELECT issue_id, 'job-' || issue_id || ':a' || CASE WHEN adv_no < 10000 THEN lpad(adv_no::VARCHAR, 4, '0') ELSE adv_no::VARCHAR END || ':p' || lpad(page::VARCHAR, 4, '0') AS appearance_id, brand, page, confidence, website, phone FROM (SELECT *, unnest(pages) AS page FROM ({NUMBERED_SQL}))")
+def appearances(spark, sf_dir):
+    ads = numbered_ads(spark, sf_dir).withColumn("review_reasons", F.array().cast("array<string>"))
+    meta = ads.select("issue_id").distinct().select("issue_id", F.concat(F.lit("job-"), F.col("issue_id").cast("string")).alias("job_id"), F.lit("").alias("export_id"), F.lit("completo").alias("estado"), F.lit("").alias("url"), F.lit("Revista").alias("titulo"))
+    return R.appearances(ads, meta).select("issue_id", "appearance_id", "brand", "page", "confidence", "website", "phone")
+
+
+FLAG_SQL = f"""
+WITH n AS (SELECT *, {P.norm_sql('brand')} AS norm FROM ({MERGED_SQL})), d AS (SELECT DISTINCT issue_id, norm FROM n),
+v AS (SELECT DISTINCT a.issue_id, a.norm FROM d a JOIN d b ON a.issue_id = b.issue_id AND a.norm <> b.norm AND b.norm <> '' AND (starts_with(a.norm, b.norm) OR starts_with(b.norm, a.norm)))
+SELECT n.issue_id, n.key, array_to_string(list_filter([CASE WHEN confidence < 0.70 THEN 'low_conf' END, CASE WHEN n.norm <> '' AND (contains('steel', n.norm) OR contains(n.norm, 'steel')) THEN 'magazine' END,
+  CASE WHEN length(regexp_replace(n.norm, '[^a-z0-9]', '', 'g')) < 3 THEN 'short' END, CASE WHEN regexp_matches(brand, '[^\\w\\s&''\\-.]') THEN 'weird' END, CASE WHEN v.norm IS NOT NULL THEN 'variant' END], lambda x: x IS NOT NULL), ',') AS reasons
+FROM n LEFT JOIN v ON n.issue_id = v.issue_id AND n.norm = v.norm"""
+
+
+@query("f23_review_reasons", FLAG_SQL)
+def review_reasons(spark, sf_dir):
+    return V.flagged(merged_ads(spark, sf_dir), title="Steel").select("issue_id", "key", F.array_join("review_reasons", ",").alias("reasons"))
+
+
+@query("p5_review_queue", f"SELECT issue_id, count(*) AS n FROM ({FLAG_SQL}) WHERE reasons <> '' OR issue_id % 3 = 0 GROUP BY ALL")
+def review_queue(spark, sf_dir):
+    ads = V.flagged(merged_ads(spark, sf_dir), title="Steel")
+    cover = ads.select("issue_id").distinct().withColumn("estado", F.when(F.col("issue_id") % 3 == 0, "parcial").otherwise("completo"))
+    return V.review_queue(ads, cover).groupBy("issue_id").agg(F.count("*").alias("n"))
+
+
+@query("p6_export_gate", f"SELECT issue_id, count(*) AS total, count(*) FILTER (reasons <> '') AS flagged, CASE WHEN count(*) FILTER (reasons <> '') = 0 AND issue_id % 3 <> 0 THEN 'auto' ELSE 'review' END AS gate FROM ({FLAG_SQL}) GROUP BY issue_id")
+def export_gate(spark, sf_dir):
+    ads = V.flagged(merged_ads(spark, sf_dir), title="Steel")
+    cover = ads.select("issue_id").distinct().withColumn("estado", F.when(F.col("issue_id") % 3 == 0, "parcial").otherwise("completo"))
+    return V.export_gate(ads, cover).select("issue_id", "total", "flagged", "gate")
+
+
+@query("f24_partial_marks", f"SELECT issue_id, key, CASE WHEN issue_id % 5 = 0 OR list_has_any(pages, [3, 7]) THEN 'partial_analysis' ELSE '' END AS reasons FROM ({MERGED_SQL})")
+def partial_marks(spark, sf_dir):
+    ads = merged_ads(spark, sf_dir).withColumn("review_reasons", F.array().cast("array<string>"))
+    some, none = F.array(F.lit(3), F.lit(7)), F.array().cast("array<int>")
+    cover = ads.select("issue_id").distinct().select("issue_id", none.alias("failed_pages"), some.alias("partial_pages"), (F.col("issue_id") % 5 == 0).alias("fallback"))
+    return V.with_partial(ads, cover).select("issue_id", "key", F.array_join("review_reasons", ",").alias("reasons"))
+
+
+@query("j5_decided", f"SELECT issue_id, adv_no AS adv_idx, CASE WHEN adv_no % 5 = 2 THEN 'New' ELSE brand END AS brand, CASE WHEN adv_no % 5 = 2 THEN 'x@y.es' ELSE email END AS email FROM ({NUMBERED_SQL}) WHERE adv_no % 5 <> 1")
+def decided(spark, sf_dir):
+    ads = numbered_ads(spark, sf_dir).withColumnRenamed("adv_no", "adv_idx")
+    none = F.lit(None).cast("string")
+    base = ads.where("adv_idx % 5 in (1, 2)").select("issue_id", "adv_idx", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"))
+    drop = (F.col("adv_idx") % 5 == 1) & (F.col("seq") == 1)
+    decisions = base.select("issue_id", "adv_idx", "seq", F.when(drop, "drop").otherwise("keep").alias("state"), F.when(F.col("seq") == 2, " New ").otherwise("Old").alias("brand"), F.when(F.col("seq") == 1, "x@y.es").alias("email"), *[none.alias(c) for c in ("sector", "website", "phone", "ad_size")])
+    return V.decided(ads, decisions).select("issue_id", "adv_idx", "brand", "email")
+
+
+@query("w1_spreads", f"SELECT issue_id, page_no, ((row_number() OVER (PARTITION BY issue_id ORDER BY page_no)) // 2)::INT AS spread_no FROM (SELECT DISTINCT issue_id, page_no FROM ({P.APP_SQL}))")
+def spreads(spark, sf_dir):
+    return A.spreads(P.app(spark, sf_dir).select("issue_id", "page_no", F.col("page_no").alias("pos")).distinct()).select("issue_id", "page_no", "spread_no")
+
+
+@query("a13_spread_context", f"WITH s AS (SELECT *, ((row_number() OVER (PARTITION BY issue_id ORDER BY page_no)) // 2)::INT AS spread_no FROM ({P.PAGES_SQL})) SELECT issue_id, spread_no, string_agg(page_no::VARCHAR, ',' ORDER BY page_no) AS page_nums, string_agg('--- Pagina ' || page_no || ' (texto):' || chr(10) || left(text, 1200), chr(10) || chr(10) ORDER BY page_no) AS context FROM s GROUP BY ALL")
+def spread_context(spark, sf_dir):
+    return A.spread_context(P.ad_pages(spark, sf_dir)).select("issue_id", "spread_no", text_list("page_nums"), "context")
+
+
+def responses(spark, sf_dir):
+    return spark.sql(P.ANSWER, app=P.app(spark, sf_dir)).withColumn("page_nums", F.array("page_no", F.col("page_no") + 1))
+
+
+@query("f13_validated_answers", f"""
+WITH r AS ({P.ANSWER.format(app=f'({P.APP_SQL})')}), i AS (SELECT issue_id, spread_no, page_no, json_extract(raw, '$.anuncios[0]') AS v FROM r),
+f AS (SELECT *, json_type(v, '$.marca') AS tb, json_type(v, '$.pagina') AS tp, json_type(v, '$.telefono') AS tt, json_type(v, '$.confianza') AS tc, trim(v ->> '$.marca') AS b, try_cast(v ->> '$.pagina' AS INT) AS p, try_cast(v ->> '$.confianza' AS DOUBLE) AS c FROM i),
+g AS (SELECT *, tb = 'VARCHAR' AND b <> '' AS ok_b, tp = 'NULL' OR p IN (page_no, page_no + 1) AS ok_p, tt IN ('VARCHAR', 'UBIGINT', 'NULL') AS ok_t, tc <> 'NULL' AND c BETWEEN 0 AND 1 AS ok_c FROM f)
+SELECT issue_id, spread_no, CASE WHEN ok_b THEN b END AS brand, CASE WHEN ok_p AND tp <> 'NULL' THEN p ELSE page_no END AS page, CASE WHEN ok_t THEN trim(v ->> '$.telefono') ELSE '' END AS phone, CASE WHEN ok_c THEN c ELSE 0 END AS confidence,
+  CASE WHEN NOT ok_b THEN 'marca invalida' WHEN NOT (ok_p AND ok_t AND ok_c) THEN 'campos corregidos' END AS reason, ok_b AS kept FROM g""")
+def validated_answers(spark, sf_dir):
+    return A.validated(A.parsed(responses(spark, sf_dir))).select("issue_id", "spread_no", "brand", F.col("page_no").alias("page"), "phone", "confidence", "reason", "kept")
+
+
+@query("a7_usage_cost", f"SELECT issue_id, sum(o1)::BIGINT AS input, sum(o3)::BIGINT AS output, round(sum(o1 * CASE WHEN o2 % 2 = 0 THEN 3.0 ELSE 2.0 END + o3 * CASE WHEN o2 % 2 = 0 THEN 15.0 ELSE 10.0 END) / 1e6, 6)::DOUBLE AS cost_usd, round(sum(CASE WHEN o2 % 3 <> 0 THEN o1 * CASE WHEN o2 % 2 = 0 THEN 3.0 ELSE 2.0 END + o3 * CASE WHEN o2 % 2 = 0 THEN 15.0 ELSE 10.0 END ELSE 0 END) / 1e6, 6)::DOUBLE AS new_usd FROM ({P.APP_SQL}) GROUP BY ALL")
+def usage_cost(spark, sf_dir):
+    own = P.app(spark, sf_dir).select("issue_id", F.when(F.col("o2") % 2 == 0, "previous").otherwise("unknown").alias("model"), F.col("o1").alias("input"), F.col("o3").alias("output"), F.lit(0).alias("cache_write"), F.lit(0).alias("cache_read"), (F.col("o2") % 3 == 0).alias("resumed"))
+    return A.usage_cost(own).select("issue_id", "input", "output", F.round("cost_usd", 6).alias("cost_usd"), F.round("new_usd", 6).alias("new_usd"))
+
+
+@query("j6_spreads_to_do", f"SELECT issue_id, count(DISTINCT spread_no) AS n FROM (SELECT issue_id, ((row_number() OVER (PARTITION BY issue_id ORDER BY page_no)) // 2)::INT AS spread_no FROM (SELECT DISTINCT issue_id, page_no FROM ({P.APP_SQL}))) WHERE spread_no % 4 IN (1, 3) GROUP BY issue_id")
+def spreads_to_do(spark, sf_dir):
+    pages = P.ad_pages(spark, sf_dir).withColumn("image_sha", F.lit("i"))
+    wanted = A.signature(pages, "m", "p", "s").cache()
+    kinds = wanted.withColumn("k", F.col("spread_no") % 4).where("k < 3")
+    kept = kinds.select("signature", F.when(F.col("k") == 0, 2).otherwise(1).alias("version"), (F.col("k") == 1).alias("partial"))
+    return A.resume(wanted, kept)[1].groupBy("issue_id").agg(F.count("*").alias("n"))
+
+
+COVER_SQL = f"""
+WITH p AS (SELECT issue_id, count(DISTINCT page_no)::INT AS total_pages, list_sort(list_distinct(list(page_no) FILTER (flag = 'R' AND o2 = 1))) AS bad, list_sort(list_distinct(list(page_no) FILTER (flag = 'A' AND o2 = 2))) AS part FROM ({P.APP_SQL}) GROUP BY issue_id)
+SELECT issue_id, total_pages, array_to_string(coalesce(bad, []), ',') AS failed_pages, array_to_string(coalesce(part, []), ',') AS partial_pages, greatest(0, total_pages - coalesce(len(bad), 0))::INT AS paginas_analizadas, CASE WHEN total_pages > 0 AND total_pages - coalesce(len(bad), 0) <= 0 THEN 'fallido' WHEN coalesce(len(bad), 0) + coalesce(len(part), 0) > 0 THEN 'parcial' ELSE 'completo' END AS estado FROM p"""
+
+
+@query("a8_coverage", COVER_SQL)
+def coverage(spark, sf_dir):
+    own = P.app(spark, sf_dir).groupBy("issue_id").agg(F.count_distinct("page_no").cast("int").alias("total_pages"), F.collect_set(F.when((F.col("flag") == "R") & (F.col("o2") == 1), F.col("page_no"))).alias("failed_pages"), F.collect_set(F.when((F.col("flag") == "A") & (F.col("o2") == 2), F.col("page_no"))).alias("partial_pages"))
+    own = own.withColumns({"mode": F.lit("ia"), "source_failed_pages": F.lit(None).cast("array<int>"), "invalid_items": F.lit(0), "fallback": F.lit(False)})
+    return Q.coverage(own).select("issue_id", "total_pages", text_list("failed_pages"), text_list("partial_pages"), F.col("paginas_analizadas").cast("int").alias("paginas_analizadas"), "estado")
+
+
+def source_tables(spark, sf_dir):
+    rows = P.app(spark, sf_dir)
+    sources = rows.select("issue_id").distinct().select("issue_id", F.when(F.col("issue_id") % 4 == 0, "pdf").otherwise("images").alias("kind"), F.lit(None).cast("string").alias("viewer"), F.when(F.col("issue_id") % 4 == 1, 50).alias("expected_pages"), F.lit(False).alias("local_pdf"))
+    pages = rows.where("flag <> 'R' and o2 < 4").select("issue_id", "page_no").distinct()
+    manifest = rows.where("o2 < 4").select("issue_id", F.col("page_no").alias("page_number"), F.when(F.col("flag") == "R", "failed").otherwise("ok").alias("status"))
+    return sources, pages, manifest
+
+
+@query("a9_checked_sources", f"""
+WITH a AS ({P.APP_SQL}), s AS (SELECT DISTINCT issue_id, CASE WHEN issue_id % 4 = 0 THEN 'pdf' ELSE 'images' END AS kind, CASE WHEN issue_id % 4 = 1 THEN 50 END AS declared FROM a),
+p AS (SELECT issue_id, list_sort(list_distinct(list(page_no))) AS have FROM a WHERE flag <> 'R' AND o2 < 4 GROUP BY issue_id),
+m AS (SELECT issue_id, coalesce(list_distinct(list(page_no) FILTER (flag <> 'R')), []) AS ok, coalesce(list_distinct(list(page_no) FILTER (flag = 'R')), []) AS bad, min(page_no) AS low, max(page_no) AS high FROM a WHERE o2 < 4 GROUP BY issue_id),
+e AS (SELECT s.issue_id, kind, declared, coalesce(have, []) AS have, len(coalesce(have, []))::INT AS n, list_sort(list_filter(coalesce(bad, []), lambda x: NOT list_contains(ok, x))) AS failed, CASE WHEN kind = 'pdf' THEN len(coalesce(have, [])) WHEN declared IS NOT NULL THEN declared WHEN low = 1 THEN high END::INT AS expected FROM s LEFT JOIN p ON s.issue_id = p.issue_id LEFT JOIN m ON s.issue_id = m.issue_id),
+f AS (SELECT *, list_filter(range(1, coalesce(expected, 0) + 1), lambda x: NOT list_contains(have, x)) AS missing FROM e)
+SELECT issue_id, expected AS expected_pages, n AS obtained_pages, array_to_string(missing, ',') AS missing_pages, array_to_string(failed, ',') AS failed_pages, kind = 'pdf' OR declared IS NOT NULL AS completeness_known, CASE WHEN n = 0 OR len(missing) > 0 OR len(failed) > 0 THEN 'incompleta' ELSE 'lista' END AS status,
+  array_to_string(list_filter([CASE WHEN n = 0 THEN 'No se obtuvo ninguna pagina procesable.' END, CASE WHEN len(missing) > 0 THEN 'Faltan ' || len(missing) || ' pagina(s): ' || array_to_string(missing[1:20], ', ') || CASE WHEN len(missing) > 20 THEN '...' ELSE '' END END, CASE WHEN len(failed) > 0 THEN 'Fallaron ' || len(failed) || ' descarga(s) de pagina.' END], lambda x: x IS NOT NULL), '|') AS reasons FROM f""")
+def checked_sources(spark, sf_dir):
+    own = Q.checked_source(*source_tables(spark, sf_dir))
+    return own.select("issue_id", "expected_pages", "obtained_pages", text_list("missing_pages"), F.array_join(F.array_sort("failed_pages").cast("array<string>"), ",").alias("failed_pages"), "completeness_known", "status", F.array_join("blocking_reasons", "|").alias("reasons"))
+
+
+@query("p8_reusable_sources", f"WITH a AS ({P.APP_SQL}) SELECT issue_id, issue_id % 4 = 0 OR (count(*) FILTER (flag = 'R' AND o2 < 4) = 0 AND (issue_id % 4 <> 1 OR count(DISTINCT page_no) FILTER (flag <> 'R' AND o2 < 4) >= 50)) AS reusable FROM a GROUP BY issue_id")
+def reusable_sources(spark, sf_dir):
+    sources, _, manifest = source_tables(spark, sf_dir)
+    return Q.reusable(sources.withColumn("n_paths", F.lit(1)), manifest).select("issue_id", "reusable")
+
+
+@query("a11_duplicate_pages", f"SELECT issue_id, page_no, count(*) AS n FROM ({P.APP_SQL}) WHERE o2 = 1 GROUP BY ALL HAVING count(*) > 1")
+def duplicate_pages(spark, sf_dir):
+    return Q.duplicate_numbers(P.app(spark, sf_dir).where("o2 = 1").select("issue_id", "page_no"))
+
+
+NUMBER_SQL = r"coalesce(try_cast(nullif(nullif(regexp_extract(url, '[?&]page=(\d+)', 1), ''), '0') AS INT), try_cast(nullif(regexp_extract(url, '[?&]p=(\d+)(?:&|#|$)', 1), '') AS INT), try_cast(nullif(list_last(regexp_extract_all(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''), '(?i)(?:page|pagina|slide|p)[_\-/]*(\d+)', 1)), '') AS INT), try_cast(nullif(list_last(regexp_extract_all(list_last(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''), '/')), '(\d+)', 1)), '') AS INT))"
+
+
+@query("f11_page_numbers", f"SELECT page_id, {NUMBER_SQL} AS page_number, regexp_replace(url, '[?#].*$', '') AS source_url FROM pages")
+def page_numbers(spark, sf_dir):
+    return P.table(spark, sf_dir, "pages").select("page_id", U.page_number(F.col("url")).alias("page_number"), U.safe_source(F.col("url")).alias("source_url"))
+
+
+@query("l7_image_order", f"SELECT page_id, page_id % 7 AS issue_id, row_number() OVER (PARTITION BY page_id % 7 ORDER BY n IS NULL, coalesce(n, 0), lower(url), page_id) AS image_rank FROM (SELECT *, {NUMBER_SQL} AS n FROM (SELECT page_id, url || '#' || page_id AS url FROM pages))")
+def image_order(spark, sf_dir):
+    own = P.table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 7).alias("issue_id"), F.concat_ws("#", "url", "page_id").alias("url"))
+    return M.image_order(own).select("page_id", "issue_id", "image_rank")
+
+
+@query("w4_manifest", f"""
+WITH i AS (SELECT issue_id, o1 % 60 + 1 AS n, md5((o1 % 60 + 1)::VARCHAR || (o3 % 3)::VARCHAR) AS h, row_number() OVER (PARTITION BY issue_id ORDER BY o1 % 60 + 1, o1, o2, o3, o4, o5) AS idx, o3 % 10 = 0 AS bad FROM ({P.APP_SQL})),
+f AS (SELECT *, CASE WHEN bad THEN NULL ELSE row_number() OVER (PARTITION BY issue_id, h, bad ORDER BY idx) END AS c FROM i),
+w AS (SELECT issue_id, idx, n, h, row_number() OVER (PARTITION BY issue_id ORDER BY idx) AS rn FROM f WHERE c = 1), g AS (SELECT issue_id, idx, h, rn + max(n - rn) OVER (PARTITION BY issue_id ORDER BY idx) AS page_number FROM w)
+SELECT f.issue_id, f.idx::INT AS idx, coalesce(g.page_number, f.n)::INT AS page_number, CASE WHEN bad THEN 'failed' WHEN c > 1 THEN 'duplicate' ELSE 'ok' END AS status, CASE WHEN c > 1 THEN o.page_number END::INT AS duplicate_of
+FROM f LEFT JOIN g ON f.issue_id = g.issue_id AND f.idx = g.idx LEFT JOIN g o ON f.issue_id = o.issue_id AND f.h = o.h""")
+def manifest(spark, sf_dir):
+    from pyspark.sql import Window
+
+    n = F.col("o1") % 60 + 1
+    idx = F.row_number().over(Window.partitionBy("issue_id").orderBy(n, "o1", "o2", "o3", "o4", "o5"))
+    own = P.app(spark, sf_dir).select("issue_id", idx.alias("idx"), F.concat(F.lit("http://a.example/page-"), n.cast("string"), F.lit(".jpg?token=x")).alias("url"), F.when(F.col("o3") % 10 != 0, F.md5(F.concat(n.cast("string"), (F.col("o3") % 3).cast("string")).cast("binary"))).alias("sha256"), F.lit(1).cast("long").alias("bytes"))
+    return M.numbered(own).select("issue_id", "idx", "page_number", "status", "duplicate_of")
+
+
+@query("s5_pdf_links", "SELECT page_id AS id, 'http://h.example/files/n' || page_id || '.pdf?x=1&y=2' AS pdf_url FROM pages WHERE page_id % 3 = 0")
+def pdf_links(spark, sf_dir):
+    link = F.concat(F.lit("<a href='/aviso.pdf'>x</a><a href=\"/files/n"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, ".pdf?x=1&amp;y=2").otherwise(".html"), F.lit("\">"))
+    return M.pdf_links(P.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("http://h.example/x").alias("url"), F.concat("html", link).alias("html")))
+
+
+@query("s6_viewers", "SELECT page_id AS id, CASE WHEN page_id % 4 = 0 THEN url ELSE 'https://e.issuu.com/embed/' || page_id END AS viewer_url, CASE WHEN page_id % 4 = 0 THEN '3D FlipBook' ELSE 'Issuu' END AS viewer FROM pages WHERE page_id % 4 < 2")
+def viewers(spark, sf_dir):
+    mark = F.when(F.col("page_id") % 4 == 0, "<div class='fb3d-x'>").when(F.col("page_id") % 4 == 1, F.concat(F.lit('<iframe src="https://e.issuu.com/embed/'), F.col("page_id").cast("string"), F.lit('">'))).otherwise("<p>")
+    return M.viewers(P.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.concat("html", mark).alias("html")))
+
+
+@query("f10_job_ids", "SELECT page_id, left(sha256('url:' || lower(regexp_extract(url, '^[a-z]+://[^/?#]*', 0)) || substr(regexp_replace(url, '#.*$', ''), length(regexp_extract(url, '^[a-z]+://[^/?#]*', 0)) + 1)), 24) AS job_id FROM pages")
+def job_ids(spark, sf_dir):
+    return P.table(spark, sf_dir, "pages").select("page_id", U.job_id(F.col("url")).alias("job_id"))
+
+
+@query("p4_confident", f"SELECT issue_id, count(*) AS n FROM ({P.APP_SQL}) WHERE confidence >= 0.7 GROUP BY ALL")
+def confident(spark, sf_dir):
+    return P.app(spark, sf_dir).where("confidence >= 0.7").groupBy("issue_id").agg(F.count("*").alias("n"))
