@@ -1,8 +1,8 @@
 """LM scoring: a causal self-attention model on subword ids, trained in numpy.
 
 A text is its subword ids between two ends. The probability of the next id is that of its class, given by masked
-attention over the last 16 to 32 ids, times that of the id within its class and after the class before it, which comes
-from counts over all training documents. Documents are scored as streams cut into windows of 32 ids that overlap by
+attention over the last 16 to 32 ids, times that of the id within its class and after the id before it (rarer ones by
+class), which comes from counts over all training documents. Documents are scored as streams cut into windows of 32 ids that overlap by
 16: each id is scored once, all windows of a stream at once.
 
 The attention weights and the classes are fitted on a bounded, hash-picked sample of SAMPLE training documents; the
@@ -27,6 +27,8 @@ from adatlas.llm.subwords import WordIds
 #: Ids of the tokenizer and the end; classes, of which SINGLE are one id each; embeddings; sizes; ids of half a window.
 IDS, END = 49_409, 49_408
 CLASSES, SINGLE, OWN, DIM, WIDE, HALF = 64, 40, 4096, 16, 32, 16
+#: Kinds of the id before, within counts: the commonest ids, then the classes of all others.
+BEFORE = 512
 #: Documents of the sample, ids of a document there, ids of a training step, passes.
 SAMPLE, PART, STEP, PASSES = 3000, 512, 8192, 4
 #: Words whose counts are broadcast, at most; counts kept in a task before they are sent on.
@@ -46,12 +48,14 @@ class Attention:
         self.slot[order[: OWN - 1]] = np.arange(min(len(order), OWN - 1))
         self.group = np.full(IDS, CLASSES - 1, np.int32)
         self.group[order[:SINGLE]] = np.arange(min(len(order), SINGLE))
-        rest = order[SINGLE:]
+        rest = order[SINGLE : OWN - 1]
         if len(rest):
             self.group[rest] = SINGLE + self._clusters(rest, order, counts, pairs, rng)
+        self.kind = BEFORE - CLASSES + self.group
+        self.kind[order[: BEFORE - CLASSES]] = np.arange(min(len(order), BEFORE - CLASSES))
         normal = lambda *s: (rng.normal(size=s) / np.sqrt(s[0])).astype(np.float32)
         self.p = {"e": (0.3 * rng.normal(size=(OWN, DIM))).astype(np.float32), "q": normal(DIM, DIM), "k": normal(DIM, DIM), "v": normal(DIM, DIM), "x": normal(DIM, WIDE), "o": normal(DIM, WIDE), "b": np.zeros(WIDE, np.float32), "c": normal(WIDE, CLASSES), "d": np.zeros(CLASSES, np.float32), "r": np.zeros(2 * HALF, np.float32)}
-        self.within = np.zeros((CLASSES, IDS), np.float32)
+        self.within = np.zeros((BEFORE, OWN), np.float32)
 
     @staticmethod
     def _clusters(rest: np.ndarray, order: np.ndarray, counts: np.ndarray, pairs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -142,12 +146,15 @@ class Attention:
         return self
 
     def learn_counts(self, counts: np.ndarray) -> None:
-        """counts: CLASSES (of the id before) by IDS, over all training documents."""
-        member = np.bincount(self.group, minlength=CLASSES)
-        single = counts.sum(0) + 0.1
-        share = single / (np.bincount(self.group, counts.sum(0), CLASSES) + 0.1 * member)[self.group]
-        of_class = np.stack([np.bincount(self.group, row, CLASSES) for row in counts])[:, self.group]
-        self.within = np.log10((counts + SMOOTH * share) / (of_class + SMOOTH)).astype(np.float32)
+        """counts: BEFORE (kind of the id before) by OWN (place of the id), over all training documents. Ids that share the last place share its probability."""
+        ids = np.bincount(self.slot, minlength=OWN)
+        group = np.full(OWN, CLASSES - 1)
+        group[self.slot] = self.group
+        single = counts.sum(0) + 0.1 * (ids > 0)
+        share = single / np.bincount(group, single, CLASSES)[group]
+        of_class = np.stack([np.bincount(group, row, CLASSES) for row in counts])[:, group]
+        p = (counts + SMOOTH * share) / (of_class + SMOOTH) / np.maximum(ids, 1)
+        self.within = np.log10(np.maximum(p, 1e-30)).astype(np.float32)
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each text given as ids without ends."""
@@ -166,7 +173,7 @@ class Attention:
             total = np.log(np.exp(logits - top[:, None]).sum(1)) + top
             nxt = ids[at + 1 : hi + 1]
             own = logits[np.arange(len(nxt)), self.group[nxt]]
-            out[at + 1 : hi + 1] = (own - total) / np.log(10) + self.within[self.group[ids[at:hi]], nxt]
+            out[at + 1 : hi + 1] = (own - total) / np.log(10) + self.within[self.kind[ids[at:hi]], self.slot[nxt]]
         first = np.cumsum(size) - size
         out[first] = 0  # the opening end is given
         return np.add.reduceat(out, first)
@@ -244,8 +251,8 @@ def score(docs: DataFrame, path: str | None = None, text: str = "text", key: str
     shared = spark.sparkContext.broadcast(model)  # a fixed number of weights
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, tally, pairs = WordIds(path), Tally(), np.zeros(CLASSES * IDS, np.int64)
-        group = shared.value.group
+        words, tally, pairs = WordIds(path), Tally(), np.zeros(BEFORE * OWN, np.int64)
+        kind, slot = shared.value.kind.astype(np.int64), shared.value.slot
         names = ["key", "id", "held_out", "n_tokens", "ids", "kind", "n"]
 
         def counted(keys: np.ndarray, counts: np.ndarray, kind: int) -> pa.RecordBatch:
@@ -262,10 +269,13 @@ def score(docs: DataFrame, path: str | None = None, text: str = "text", key: str
                 if more := tally.add(distinct, np.bincount(back[np.repeat(train, np.diff(first))], minlength=len(distinct))):
                     yield counted(*more, 1)
                 raw, codes = data.tobytes(), ids.astype("<u2").tobytes()
-                for k in np.flatnonzero(train).tolist():
-                    own = np.concatenate((ids[at[k] : at[k + 1]], [END]))
-                    before = np.concatenate(([END], own[:-1]))
-                    np.add.at(pairs, group[before].astype(np.int64) * IDS + own, 1)
+                if len(ids) or len(train):
+                    stream = np.full(len(ids) + 2 * len(train), END, np.int64)  # each text between two ends
+                    owner = np.repeat(np.arange(len(train)), np.diff(at) + 2)
+                    place = np.arange(len(ids)) + 2 * np.repeat(np.arange(len(train)), np.diff(at)) + 1
+                    stream[place] = ids
+                    use = (owner[1:] == owner[:-1]) & train[owner[1:]]
+                    pairs += np.bincount(kind[stream[:-1][use]] * OWN + slot[stream[1:][use]], minlength=len(pairs))
                 keys = [row_key(n, raw[a:b]) for n, a, b in zip(ids_in[rows], offsets.tolist(), offsets[1:].tolist())]
                 m = len(keys)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("id").slice(rows.start, m), batch.column("held_out").slice(rows.start, m), pa.array(np.diff(first) + 1), pa.array([codes[2 * a : 2 * b] for a, b in zip(at.tolist(), at[1:].tolist())], pa.binary()), pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64())], names)
@@ -276,10 +286,10 @@ def score(docs: DataFrame, path: str | None = None, text: str = "text", key: str
     done = stash(source.mapInArrow(read, "key long, id long, held_out boolean, n_tokens long, ids binary, kind int, n long"), "read")
     texts = done.where("kind = 0").select("key", "id", "held_out", "n_tokens", "ids")
     counts = stash(done.where("kind = 1").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("c")), "words")
-    pairs = done.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most CLASSES * IDS rows
-    table = np.zeros(CLASSES * IDS)
+    pairs = done.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most BEFORE * OWN rows
+    table = np.zeros(BEFORE * OWN)
     table[np.asarray(pairs.column("key"))] = np.asarray(pairs.column("n"))
-    model.learn_counts(table.reshape(CLASSES, IDS))
+    model.learn_counts(table.reshape(BEFORE, OWN))
     final = spark.sparkContext.broadcast(model)
 
     ends = texts.where("not held_out").count()
