@@ -8,6 +8,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Viewers by the domain that their host contains, in order.
 VIEWERS = [("issuu.com", "Issuu"), ("calameo.com", "Calameo"), ("calameo.es", "Calameo"), ("flippingbook.com", "FlippingBook"), ("fliphtml5.com", "FlipHTML5"), ("joomag.com", "Joomag"), ("publuu.com", "Publuu"), ("anyflip.com", "AnyFlip"), ("ourdigitalmag.com", "OurDigitalMag")]
@@ -64,7 +65,7 @@ def is_pdf(content: Column, content_type: Column, url: Column) -> Column:
     return F.coalesce(head, F.lit(False)) | F.coalesce(F.lower(content_type).contains("application/pdf"), F.lit(False)) | F.coalesce(F.lower(url_path(url)).endswith(".pdf"), F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolved(link: pd.Series, base: pd.Series) -> pd.Series:
     """Links with character references decoded and resolved against their page; no built-in does either."""
     return pd.Series([None if a is None else urljoin(b or "", entities.unescape(a)) for a, b in zip(link, base)])
