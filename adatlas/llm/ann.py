@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from adatlas.llm.common import stash
 from adatlas.llm.vectors import checked, matrix
 
-#: Rows on which the trees are fitted, at most.
+#: Rows on which the trees are fitted, at most (about: they are picked by hash).
 SAMPLE = 20_000
 TREES, LEAF, REACH, LEAST = 8, 32, 0.65, 5000
 #: Rows of an index block, and queries of a query block.
@@ -107,8 +107,9 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, key: st
     dim, n = int(dims[0]["dim"]), int(dims[0]["count"])
     valid = valid.where(F.col("dim") == dim)
     asked = valid.where("id % 20 = 0") if queries is None else checked(queries, key, vector).where((F.col("dim") == dim) & F.col("v").isNotNull()).select("id", "dim", "v")
-    picked = valid.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
-    base, rng = matrix(picked.column(0), dim), np.random.default_rng(seed)
+    share = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * sample / n)
+    picked = (valid.where(share) if n > sample else valid).select("id", "v").toArrow()  # about `sample` rows
+    base, rng = matrix(picked.sort_by("id").column("v"), dim), np.random.default_rng(seed)
     forest = [Tree(base, leaf, rng) for _ in range(trees)]
     first = np.concatenate(([0], np.cumsum([t.leaves for t in forest]))).tolist()
     shared = spark.sparkContext.broadcast(forest)  # at most trees * 2 * sample / leaf planes

@@ -29,8 +29,8 @@ IDS, END = 49_409, 49_408
 CLASSES, SINGLE, OWN, DIM, WIDE, HALF = 64, 40, 4096, 16, 32, 16
 #: Kinds of the id before, within counts: the commonest ids, then the classes of all others.
 BEFORE = 512
-#: Documents of the sample, ids of a document there, ids of a training step, passes.
-SAMPLE, PART, STEP, PASSES = 3000, 512, 8192, 4
+#: Documents of the sample, ids of a document there, ids of a training step, passes and steps at least.
+SAMPLE, PART, STEP, PASSES, STEPS = 3000, 512, 8192, 4, 200
 #: Words whose counts are broadcast, at most; counts kept in a task before they are sent on.
 COMMON, HELD = 200_000, 2_000_000
 SMOOTH = 20.0
@@ -55,6 +55,7 @@ class Attention:
         self.kind[order[: BEFORE - CLASSES]] = np.arange(min(len(order), BEFORE - CLASSES))
         normal = lambda *s: (rng.normal(size=s) / np.sqrt(s[0])).astype(np.float32)
         self.p = {"e": (0.3 * rng.normal(size=(OWN, DIM))).astype(np.float32), "q": normal(DIM, DIM), "k": normal(DIM, DIM), "v": normal(DIM, DIM), "x": normal(DIM, WIDE), "o": normal(DIM, WIDE), "b": np.zeros(WIDE, np.float32), "c": normal(WIDE, CLASSES), "d": np.zeros(CLASSES, np.float32), "r": np.zeros(2 * HALF, np.float32)}
+        self.p["d"][np.bincount(self.group, minlength=CLASSES) == 0] = -1e4  # classes without an id get no share
         self.within = np.zeros((BEFORE, OWN), np.float32)
 
     @staticmethod
@@ -126,7 +127,8 @@ class Attention:
         """Adam on the cross-entropy of the next id's class, over a stream."""
         moment = {c: (np.zeros_like(w), np.zeros_like(w)) for c, w in self.p.items()}
         steps, t = range(0, len(ids) - 1 - HALF, STEP), 0
-        for _ in range(PASSES):
+        passes = max(PASSES, -(-STEPS // max(1, len(steps))))
+        for _ in range(passes):
             for at in steps:
                 m = min(STEP, len(ids) - 1 - at) // HALF * HALF
                 own, nxt = docs[at : at + m], docs[at + 1 : at + m + 1]
@@ -137,7 +139,7 @@ class Attention:
                 g[np.arange(m), self.group[ids[at + 1 : at + m + 1]]] -= 1
                 g *= (use / max(1, use.sum())).astype(np.float32)[:, None]
                 t += 1
-                now = rate * min(1.0, 2.0 * (1 - t / (len(steps) * PASSES + 1)))
+                now = rate * min(1.0, 2.0 * (1 - t / (len(steps) * passes + 1)))
                 for c, d in self.backward(g.astype(np.float32), kept).items():
                     a, b = moment[c]
                     a += 0.1 * (d - a)
@@ -157,26 +159,25 @@ class Attention:
         self.within = np.log10(np.maximum(p, 1e-30)).astype(np.float32)
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each text given as ids without ends."""
-        ids = np.concatenate([np.concatenate(([END], t, [END])) for t in texts]).astype(np.int64)
+        """log10 probability of each text given as ids without ends. Every text begins a half window, so that its score doesn't depend on its neighbours."""
         size = np.array([len(t) + 2 for t in texts])
-        docs = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+        room = -(-size // HALF) * HALF
+        first = np.cumsum(room) - room
+        ids, docs = np.full(int(room.sum()), END, np.int64), np.full(int(room.sum()), -2, np.int32)
+        place = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        docs[place] = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+        ids[np.delete(place, np.concatenate((np.cumsum(size) - size, np.cumsum(size) - 1)))] = np.concatenate(texts) if len(texts) else []
         out = np.zeros(len(ids))
-        for at in range(0, len(ids) - 1, 1 << 15):  # a whole context stands before each part
-            lo = max(0, at - HALF)
-            hi = min(len(ids) - 1, at + (1 << 15))
-            pad = -(hi - lo) % HALF
-            some = np.concatenate((ids[lo:hi], np.zeros(pad, np.int64)))
-            logits, _ = self.forward(some, np.concatenate((docs[lo:hi], np.full(pad, -2, np.int32))))
-            logits = logits[at - lo : hi - lo]
-            top = logits.max(1)
+        for at in range(0, len(ids), 1 << 15):  # half a window before each part is its context
+            lo, hi = max(0, at - HALF), min(len(ids), at + (1 << 15))
+            logits = self.forward(ids[lo:hi], docs[lo:hi])[0][at - lo :]
+            own = np.flatnonzero(docs[at : min(hi, len(ids) - 1)] == docs[at + 1 : hi + 1])
+            own = own[docs[at + own] >= 0]
+            logits, nxt = logits[own], ids[at + own + 1]
+            top = logits.max(1) if len(own) else np.zeros(0)
             total = np.log(np.exp(logits - top[:, None]).sum(1)) + top
-            nxt = ids[at + 1 : hi + 1]
-            own = logits[np.arange(len(nxt)), self.group[nxt]]
-            out[at + 1 : hi + 1] = (own - total) / np.log(10) + self.within[self.kind[ids[at:hi]], self.slot[nxt]]
-        first = np.cumsum(size) - size
-        out[first] = 0  # the opening end is given
-        return np.add.reduceat(out, first)
+            out[at + own] = (logits[np.arange(len(own)), self.group[nxt]] - total) / np.log(10) + self.within[self.kind[ids[at + own]], self.slot[nxt]]
+        return np.add.reduceat(out, first) if len(texts) else np.zeros(0)
 
 
 def row_key(name: int | None, text: bytes) -> int:
