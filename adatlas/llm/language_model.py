@@ -26,7 +26,7 @@ from adatlas.llm.subwords import WordIds
 
 #: Ids of the tokenizer and the end; classes, of which SINGLE are one id each; embeddings; sizes; ids of half a window.
 IDS, END = 49_409, 49_408
-CLASSES, SINGLE, OWN, DIM, WIDE, HALF = 64, 40, 4096, 16, 32, 16
+CLASSES, SINGLE, OWN, DIM, WIDE, HALF = 32, 16, 4096, 16, 32, 16
 #: Kinds of the id before, within counts: the commonest ids, then the classes of all others.
 BEFORE = 512
 #: Documents of the sample, ids of a document there, ids of a training step, passes and steps at least.
@@ -80,25 +80,23 @@ class Attention:
                     centre[g] = np.average(x[at == g], axis=0, weights=counts[rest[at == g]])
         return at
 
-    def forward(self, ids: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, dict]:
-        """Class logits after each id of a stream; its length is a multiple of HALF. docs: the number of each id's document."""
+    def forward(self, ids: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, dict]:
+        """Class logits after each id of a stream (see `streamed`). fresh: whether each half window begins a text."""
         p, n = self.p, len(ids) // HALF
         slot = self.slot[ids]
         x = p["e"][slot]
         q, k, v = ((x @ p[c]).reshape(n, HALF, DIM) for c in "qkv")
         twice = lambda a: np.concatenate((np.concatenate((np.zeros_like(a[:1]), a[:-1])), a), 1)
         kk, vv = twice(k), twice(v)
-        d = docs.reshape(n, HALF)
-        before = np.concatenate((np.full((1, HALF), -1, d.dtype), d[:-1]))
         far = np.arange(HALF)[:, None] + HALF - np.arange(2 * HALF)[None, :]  # how far back each key stands
-        s = np.matmul(q, kk.transpose(0, 2, 1)) * np.float32(DIM**-0.5) + np.where(far >= 0, p["r"][np.clip(far, 0, 2 * HALF - 1)], np.float32(-1e9))
-        s[np.concatenate((before, d), 1)[:, None, :] != d[:, :, None]] = -1e9
-        s -= s.max(2, keepdims=True)
-        a = np.exp(s, out=s)
-        a /= a.sum(2, keepdims=True)
-        o = np.matmul(a, vv).reshape(-1, DIM)
+        s = np.matmul(q * p["q"].dtype.type(DIM**-0.5), kk.transpose(0, 2, 1))
+        s += np.where(far >= 0, p["r"][np.clip(far, 0, 2 * HALF - 1)], p["r"].dtype.type(-1e9))
+        s[fresh, :, :HALF] = -1e9  # what stands before belongs to another text
+        a = np.exp(np.minimum(s, 60, out=s), out=s)
+        total = a.sum(2, keepdims=True)
+        o = (np.matmul(a, vv) / total).reshape(-1, DIM)
         h = np.maximum(x @ p["x"] + o @ p["o"] + p["b"], 0)
-        return h @ p["c"] + p["d"], {"slot": slot, "x": x, "q": q, "kk": kk, "vv": vv, "a": a, "o": o, "h": h, "far": far}
+        return h @ p["c"] + p["d"], {"slot": slot, "x": x, "q": q, "kk": kk, "vv": vv, "a": a, "total": total, "o": o, "h": h, "far": far}
 
     def backward(self, grad: np.ndarray, f: dict) -> dict[str, np.ndarray]:
         """Gradients of all weights for the gradient of the logits."""
@@ -106,10 +104,11 @@ class Attention:
         dh = (grad @ p["c"].T) * (f["h"] > 0)
         do = (dh @ p["o"].T).reshape(n, HALF, DIM)
         da = np.matmul(do, f["vv"].transpose(0, 2, 1))
-        ds = f["a"] * (da - (da * f["a"]).sum(2, keepdims=True))
-        scale = np.float32(DIM**-0.5)
+        a = f["a"] / f["total"]
+        ds = a * (da - (da * a).sum(2, keepdims=True))
+        scale = p["q"].dtype.type(DIM**-0.5)
         dq = (np.matmul(ds, f["kk"]) * scale).reshape(-1, DIM)
-        dkk, dvv = np.matmul(ds.transpose(0, 2, 1), f["q"]) * scale, np.matmul(f["a"].transpose(0, 2, 1), do)
+        dkk, dvv = np.matmul(ds.transpose(0, 2, 1), f["q"]) * scale, np.matmul(a.transpose(0, 2, 1), do)
 
         def once(t: np.ndarray) -> np.ndarray:
             out = t[:, HALF:].copy()
@@ -123,20 +122,24 @@ class Attention:
         r = np.bincount(np.clip(f["far"], 0, 2 * HALF - 1).ravel(), (ds.sum(0) * (f["far"] >= 0)).ravel(), 2 * HALF)
         return {"e": e, "q": x.T @ dq, "k": x.T @ dk, "v": x.T @ dv, "x": x.T @ dh, "o": f["o"].T @ dh, "b": dh.sum(0), "c": f["h"].T @ grad, "d": grad.sum(0), "r": r.astype(np.float32)}
 
-    def fit(self, ids: np.ndarray, docs: np.ndarray, rate: float = 0.01) -> Attention:
-        """Adam on the cross-entropy of the next id's class, over a stream."""
+    def fit(self, texts: list[np.ndarray], rate: float = 0.01) -> Attention:
+        """Adam on the cross-entropy of the next id's class."""
+        ids, docs, _ = streamed(texts)
+        fresh = begins(docs)
         moment = {c: (np.zeros_like(w), np.zeros_like(w)) for c, w in self.p.items()}
-        steps, t = range(0, len(ids) - 1 - HALF, STEP), 0
+        steps, t = range(0, len(ids), STEP), 0
         passes = max(PASSES, -(-STEPS // max(1, len(steps))))
         for _ in range(passes):
             for at in steps:
-                m = min(STEP, len(ids) - 1 - at) // HALF * HALF
-                own, nxt = docs[at : at + m], docs[at + 1 : at + m + 1]
-                logits, kept = self.forward(ids[at : at + m], own)
-                use = own == nxt
+                to = min(at + STEP, len(ids))
+                start = fresh[at // HALF : to // HALF].copy()
+                start[:1] = True
+                logits, kept = self.forward(ids[at:to], start)
+                nxt = np.append(ids, END)[at + 1 : to + 1]
+                use = (docs[at:to] == np.append(docs, -1)[at + 1 : to + 1]) & (docs[at:to] >= 0)
                 g = np.exp(logits - logits.max(1, keepdims=True))
                 g /= g.sum(1, keepdims=True)
-                g[np.arange(m), self.group[ids[at + 1 : at + m + 1]]] -= 1
+                g[np.arange(to - at), self.group[nxt]] -= 1
                 g *= (use / max(1, use.sum())).astype(np.float32)[:, None]
                 t += 1
                 now = rate * min(1.0, 2.0 * (1 - t / (len(steps) * passes + 1)))
@@ -160,24 +163,40 @@ class Attention:
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each text given as ids without ends. Every text begins a half window, so that its score doesn't depend on its neighbours."""
-        size = np.array([len(t) + 2 for t in texts])
-        room = -(-size // HALF) * HALF
-        first = np.cumsum(room) - room
-        ids, docs = np.full(int(room.sum()), END, np.int64), np.full(int(room.sum()), -2, np.int32)
-        place = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        docs[place] = np.repeat(np.arange(len(texts), dtype=np.int32), size)
-        ids[np.delete(place, np.concatenate((np.cumsum(size) - size, np.cumsum(size) - 1)))] = np.concatenate(texts) if len(texts) else []
-        out = np.zeros(len(ids))
-        for at in range(0, len(ids), 1 << 15):  # half a window before each part is its context
-            lo, hi = max(0, at - HALF), min(len(ids), at + (1 << 15))
-            logits = self.forward(ids[lo:hi], docs[lo:hi])[0][at - lo :]
-            own = np.flatnonzero(docs[at : min(hi, len(ids) - 1)] == docs[at + 1 : hi + 1])
-            own = own[docs[at + own] >= 0]
-            logits, nxt = logits[own], ids[at + own + 1]
-            top = logits.max(1) if len(own) else np.zeros(0)
-            total = np.log(np.exp(logits - top[:, None]).sum(1)) + top
-            out[at + own] = (logits[np.arange(len(own)), self.group[nxt]] - total) / np.log(10) + self.within[self.kind[ids[at + own]], self.slot[nxt]]
-        return np.add.reduceat(out, first) if len(texts) else np.zeros(0)
+        if not texts:
+            return np.zeros(0)
+        ids, docs, first = streamed(texts)
+        fresh, out = begins(docs), np.zeros(len(ids))
+        for at in range(0, len(ids), 1 << 11):  # half a window before each part is its context
+            lo, hi = max(0, at - HALF), min(len(ids), at + (1 << 11))
+            start = fresh[lo // HALF : hi // HALF].copy()
+            start[:1] = True
+            logits = self.forward(ids[lo:hi], start)[0][at - lo :]
+            nxt = ids[np.minimum(np.arange(at + 1, hi + 1), len(ids) - 1)]
+            own = logits[np.arange(len(nxt)), self.group[nxt]]
+            total = np.log(np.exp(np.minimum(logits, 60, out=logits), out=logits).sum(1))
+            out[at:hi] = (own - total) / np.log(10) + self.within[self.kind[ids[at:hi]], self.slot[nxt]]
+        out[docs != np.append(docs[1:], -1)] = 0  # nothing follows the last end
+        out[docs < 0] = 0
+        return np.add.reduceat(out, first)
+
+
+def streamed(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts between two ends, each beginning a half window: ids, the text of each id (-1 for filling), where texts begin."""
+    size = np.array([len(t) + 2 for t in texts], np.int64)
+    room = -(-size // HALF) * HALF
+    first = np.cumsum(room) - room
+    ids, docs = np.full(int(room.sum()), END, np.int32), np.full(int(room.sum()), -1, np.int32)
+    for k, (t, a) in enumerate(zip(texts, first.tolist())):
+        ids[a + 1 : a + 1 + len(t)] = t
+        docs[a : a + len(t) + 2] = k
+    return ids, docs, first
+
+
+def begins(docs: np.ndarray) -> np.ndarray:
+    """Whether each half window of a stream begins a text."""
+    d = docs[::HALF]
+    return np.concatenate(([True], d[1:] != d[:-1])) if len(d) else np.zeros(0, bool)
 
 
 def row_key(name: int | None, text: bytes) -> int:
@@ -232,10 +251,8 @@ def sampled(source: DataFrame, path: str) -> list[np.ndarray]:
 
 def trained(texts: list[np.ndarray]) -> Attention:
     stream = np.concatenate([np.concatenate(([END], t, [END])) for t in texts] or [np.array([END, END])])
-    docs = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts]) if texts else np.zeros(2, np.int64)
     pairs = np.stack((stream[:-1], stream[1:]), 1)
-    model = Attention(np.bincount(stream, minlength=IDS), pairs)
-    return model.fit(stream, docs)
+    return Attention(np.bincount(stream, minlength=IDS), pairs).fit(texts)
 
 
 def score(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", fold: int = 7, held: int = 2) -> DataFrame:
@@ -253,7 +270,7 @@ def score(docs: DataFrame, path: str | None = None, text: str = "text", key: str
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, tally, pairs = WordIds(path), Tally(), np.zeros(BEFORE * OWN, np.int64)
-        kind, slot = shared.value.kind.astype(np.int64), shared.value.slot
+        kind, slot = shared.value.kind.astype(np.int32), shared.value.slot
         names = ["key", "id", "held_out", "n_tokens", "ids", "kind", "n"]
 
         def counted(keys: np.ndarray, counts: np.ndarray, kind: int) -> pa.RecordBatch:
@@ -270,13 +287,17 @@ def score(docs: DataFrame, path: str | None = None, text: str = "text", key: str
                 if more := tally.add(distinct, np.bincount(back[np.repeat(train, np.diff(first))], minlength=len(distinct))):
                     yield counted(*more, 1)
                 raw, codes = data.tobytes(), ids.astype("<u2").tobytes()
-                if len(ids) or len(train):
-                    stream = np.full(len(ids) + 2 * len(train), END, np.int64)  # each text between two ends
-                    owner = np.repeat(np.arange(len(train)), np.diff(at) + 2)
-                    place = np.arange(len(ids)) + 2 * np.repeat(np.arange(len(train)), np.diff(at)) + 1
-                    stream[place] = ids
-                    use = (owner[1:] == owner[:-1]) & train[owner[1:]]
-                    pairs += np.bincount(kind[stream[:-1][use]] * OWN + slot[stream[1:][use]], minlength=len(pairs))
+                size = np.diff(at)
+                if len(size):
+                    stream = np.full(len(ids) + 2 * len(size), END, np.int32)  # each text between two ends
+                    last = np.cumsum(size + 2) - 1
+                    inner = np.ones(len(stream), bool)
+                    inner[last] = inner[last - size - 1] = False
+                    stream[inner] = ids
+                    use = np.repeat(train, size + 2)
+                    use[last] = False
+                    use = np.flatnonzero(use)
+                    pairs += np.bincount(kind[stream[use]] * OWN + slot[stream[use + 1]], minlength=len(pairs))
                 keys = [row_key(n, raw[a:b]) for n, a, b in zip(ids_in[rows], offsets.tolist(), offsets[1:].tolist())]
                 m = len(keys)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("id").slice(rows.start, m), batch.column("held_out").slice(rows.start, m), pa.array(np.diff(first) + 1), pa.array([codes[2 * a : 2 * b] for a, b in zip(at.tolist(), at[1:].tolist())], pa.binary()), pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64())], names)
@@ -331,13 +352,13 @@ def score(docs: DataFrame, path: str | None = None, text: str = "text", key: str
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((keys, keys[owner]))), pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(h[rare].view(np.int64))]), pa.array(np.concatenate((found[first[1:]] - found[first[:-1]] + (ends > 0), np.zeros(len(rare), np.int64)))), pa.array(np.concatenate((total[first[1:]] - total[first[:-1]] + end, np.zeros(len(rare)))))], ["key", "word", "n_known", "logs"])
 
     parts = source.select("id", "text").mapInArrow(base, "key long, word long, n_known long, logs double")
-    whole = parts.where("word is null").select("key", "n_known", "logs", F.lit(0).cast("long").alias("copies"))
-    rare = parts.where("word is not null").groupBy("key", "word").agg(F.count("*").alias("tf")).join(counts, "word", "left")
-    rare = rare.select("key", F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("n_known"), (F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(size))).alias("logs"))
     copies = texts.groupBy("key").agg(F.count("*").alias("copies"))  # a repeated row sends its words as often
-    whole = whole.groupBy("key").agg(F.first("n_known").alias("n_known"), F.first("logs").alias("logs"))
-    rare = rare.groupBy("key").agg(F.sum("n_known").alias("rare_known"), F.sum("logs").alias("rare_logs"))
-    bases = whole.join(rare, "key", "left").join(copies, "key").select("key", (F.col("n_known") + F.coalesce(F.col("rare_known"), F.lit(0)) / F.col("copies")).cast("long").alias("n_known"), (F.col("logs") + F.coalesce(F.col("rare_logs"), F.lit(0.0)) / F.col("copies")).alias("base_score"))
+    joined = parts.join(counts, "word", "left")  # the row of a whole text has no word
+    rare = F.col("word").isNotNull()
+    known_of = F.when(rare, (F.col("c") > 0).cast("long")).otherwise(F.col("n_known"))
+    logs_of = F.when(rare, F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(size))).otherwise(F.col("logs"))
+    sums = joined.groupBy("key").agg(F.sum(F.coalesce(known_of, F.lit(0))).alias("n_known"), F.sum(logs_of).alias("logs"))
+    bases = sums.join(copies, "key").select("key", (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"), (F.col("logs") / F.col("copies")).alias("base_score"))
 
     def attend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
