@@ -143,12 +143,14 @@ def merged(ads: DataFrame, order: list[str], page: str = "page_no") -> DataFrame
     return ads.withColumn("key", key).groupBy("issue_id", "key").agg(F.min_by("brand", F.struct(F.length("brand"), o)).alias("brand"), F.array_sort(F.collect_set(page)).alias("pages"), *map(first, FIELDS.values()), F.max("confidence").alias("confidence"), F.min_by("method", o).alias("method"), F.min_by("notes", o).alias("notes"))
 
 
-def usage_cost(responses: DataFrame) -> DataFrame:
-    """Tokens and USD of each issue: all, resumed, and new. responses: issue_id, model, the four counters, resumed."""
-    spark = responses.sparkSession
-    rates = spark.createDataFrame([(m, *map(float, r)) for m, r in RATES.items()], ["model", *[f"rate_{c}" for c in USAGE]])
-    default = RATES["default"]
-    own = responses.join(F.broadcast(rates), "model", "left")  # a rate table of two rows
+def usage_cost(responses: DataFrame, rates: dict[str, tuple[float, ...]] = RATES) -> DataFrame:
+    """Tokens and USD of each issue: all, resumed, and new. responses: issue_id, model, the four counters, resumed.
+
+    rates: by model, in the order of USAGE; models that it lacks have the rates of its first entry.
+    """
+    spark, default = responses.sparkSession, next(iter(rates.values()))
+    table = spark.createDataFrame([(m, *map(float, r)) for m, r in rates.items()], ["model", *[f"rate_{c}" for c in USAGE]])
+    own = responses.join(F.broadcast(table), "model", "left")  # a few rows
     cost = sum((F.coalesce(F.col(c), F.lit(0)) / 1e6 * F.coalesce(f"rate_{c}", F.lit(d)) for c, d in zip(USAGE, default)), F.lit(0.0))
     total, again = F.sum(cost), F.sum(F.when(F.coalesce("resumed", F.lit(False)), cost).otherwise(0.0))
     return own.groupBy("issue_id").agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in USAGE], total.alias("cost_usd"), again.alias("resumed_usd"), F.greatest(F.lit(0.0), total - again).alias("new_usd"))

@@ -402,3 +402,50 @@ def job_ids(spark, sf_dir):
 @query("p4_confident", f"SELECT issue_id, count(*) AS n FROM ({P.APP_SQL}) WHERE confidence >= 0.7 GROUP BY ALL")
 def confident(spark, sf_dir):
     return P.app(spark, sf_dir).where("confidence >= 0.7").groupBy("issue_id").agg(F.count("*").alias("n"))
+
+
+@query("p1_best_text", "SELECT doc_id, CASE WHEN length(trim(left(text, 40))) > 30 THEN left(text, 40) WHEN doc_id % 2 = 0 THEN 'read' ELSE left(text, 40) END AS text FROM documents WHERE regexp_matches(left(text, 40), '^[A-Za-z .,]*$')")
+def best_text(spark, sf_dir):
+    own = P.table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(40)).alias("embedded")).where(F.col("embedded").rlike("^[A-Za-z .,]*$"))
+    return own.select("doc_id", X.best_text(F.col("embedded"), F.when(F.col("doc_id") % 2 == 0, "read").otherwise("")).alias("text"))
+
+
+@query("a15_review_counts", f"SELECT issue_id, count(*) FILTER (adv_no % 5 = 2) AS kept, count(*) FILTER (adv_no % 5 = 1) AS dropped, count(*) FILTER (adv_no % 5 NOT IN (1, 2)) AS pending FROM ({NUMBERED_SQL}) GROUP BY ALL")
+def review_counts(spark, sf_dir):
+    ads = numbered_ads(spark, sf_dir).withColumnRenamed("adv_no", "adv_idx")
+    base = ads.where("adv_idx % 5 in (1, 2)").select("issue_id", "adv_idx", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"))
+    return V.review_counts(ads, base.withColumn("state", F.when((F.col("seq") == 2) & (F.col("adv_idx") % 5 == 1), "drop").otherwise("keep")))
+
+
+@query("k1_csv_rows", f"SELECT issue_id, brand, array_to_string(pages, ', ') AS pages, round_even(confidence * 100, 0)::INT || '%' AS confidence, phone FROM ({NUMBERED_SQL}) WHERE confidence >= 0.3")
+def csv_rows(spark, sf_dir):
+    from adatlas.sources import sinks
+
+    ads = numbered_ads(spark, sf_dir).where("confidence >= 0.3").withColumn("review_reasons", F.array().cast("array<string>"))
+    return sinks.csv_rows(ads).select("issue_id", "brand", "pages", "confidence", "phone")
+
+
+@query("k2_json_objects", f"SELECT issue_id, string_agg(brand, '|' ORDER BY adv_no) AS brands FROM ({NUMBERED_SQL}) GROUP BY ALL")
+def json_objects(spark, sf_dir):
+    from adatlas.sources import sinks
+
+    ads = numbered_ads(spark, sf_dir)
+    meta = ads.select("issue_id").distinct().withColumn("titulo", F.lit("Revista"))
+    return sinks.json_objects(ads, meta).select("issue_id", F.array_join(F.transform("anunciantes", lambda a: a.brand), "|").alias("brands"))
+
+
+@query("f25_issue_labels", f"SELECT issue_id, '#' || CASE WHEN issue_id % 2 = 0 THEN numero ELSE issue_id::VARCHAR END AS n, titulo AS name, n_anunciantes || ' págs · ia' AS sub, strftime(fecha, '%Y-%m-%d %H:%M') AS date FROM ({P.ISSUES_SQL}) WHERE contains(lower(titulo || '#'), 'rev 1')")
+def issue_labels(spark, sf_dir):
+    own = P.issues(stored(spark, sf_dir))
+    own = own.withColumns({"numero": F.when(F.col("issue_id") % 2 == 0, F.col("numero")).otherwise(" "), "paginas": F.col("n_anunciantes"), "modo": F.lit(" ia"), "fecha_analisis": F.col("fecha")})
+    return R.searched(R.issue_labels(own), "REV 1")
+
+
+@query("a12_partial_pages", f"""
+WITH r AS ({P.ANSWER.format(app=f'({P.APP_SQL})')}), i AS (SELECT issue_id, page_no, json_extract(raw, '$.anuncios[0]') AS v FROM r),
+f AS (SELECT *, json_type(v, '$.marca') AS tb, json_type(v, '$.pagina') AS tp, json_type(v, '$.telefono') AS tt, json_type(v, '$.confianza') AS tc, trim(v ->> '$.marca') AS b, try_cast(v ->> '$.pagina' AS INT) AS p, try_cast(v ->> '$.confianza' AS DOUBLE) AS c FROM i),
+g AS (SELECT issue_id, unnest([page_no, page_no + 1]) AS page FROM f WHERE NOT (tb = 'VARCHAR' AND b <> '' AND (tp = 'NULL' OR p IN (page_no, page_no + 1)) AND tt IN ('VARCHAR', 'UBIGINT', 'NULL') AND coalesce(tc <> 'NULL' AND c BETWEEN 0 AND 1, FALSE)))
+SELECT issue_id, array_to_string(list_sort(list_distinct(list(page))), ',') AS partial_pages FROM g GROUP BY issue_id""")
+def partial_pages(spark, sf_dir):
+    answers = A.parsed(responses(spark, sf_dir))
+    return A.partial_pages(A.validated(answers), answers).select("issue_id", text_list("partial_pages"))
