@@ -32,7 +32,7 @@ BEFORE = 512
 #: Documents of the sample, ids of a document there, ids of a training step, passes and steps at least.
 SAMPLE, PART, STEP, PASSES, STEPS = 3000, 512, 8192, 4, 200
 #: Words whose counts are broadcast, at most; counts kept in a task before they are sent on.
-COMMON, HELD = 200_000, 2_000_000
+COMMON, HELD = 200_000, 1_000_000
 SMOOTH = 20.0
 
 
