@@ -1,6 +1,10 @@
+import os
+
 import pytest
 from pyspark.sql import SparkSession
 
+os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.environ.get("PYTHONPATH", "")])
+
 
 @pytest.fixture(scope="session")
 def spark():
