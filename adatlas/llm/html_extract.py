@@ -351,11 +351,12 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 
 #: The given pages hold their text in one article of headings and paragraphs, so that SQL can state what is expected of them.
+#: A reference cut short before its semicolon (&amp) is decoded as well, as HTML has it.
 OP5_SQL = r"""
 WITH a AS (
   SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS a FROM pages
 ), c AS (
-  SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(a, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM a
+  SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(a, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&#39;', ''''), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS t FROM a
 )
 SELECT page_id, url, t AS text, length(t)::BIGINT AS n_chars FROM c
 """
