@@ -2,16 +2,18 @@
 
 A text is its subword ids between two ends. The probability of the next id is that of its class, given by masked
 attention over the last 16 to 32 ids, times that of the id within its class and after the id before it (rarer ones by
-class), which comes from counts over all training documents. Documents are scored as streams cut into windows of 32 ids that overlap by
+class, then by its own count), which comes from counts over all training documents. Documents are scored as streams cut into windows of 32 ids that overlap by
 16: each id is scored once, all windows of a stream at once.
 
-The attention weights and the classes are fitted on a bounded, hash-picked sample of SAMPLE training documents; the
-counts behind ids, words, the base score and its N and V cover every training document. Counts of the commonest words
+The attention weights begin with a hash-picked sample of SAMPLE training documents; then tasks take steps over the whole
+texts of a SHARE of all training documents, and the mean of their weights is kept. The counts behind ids, classes,
+words, the base score and its N and V cover every training document. Counts of the commonest words
 (at most COMMON) are broadcast, those of all others are joined by the word.
 """
 
 from __future__ import annotations
 
+import copy
 import hashlib
 from collections.abc import Iterator
 
@@ -31,6 +33,8 @@ CLASSES, SINGLE, OWN, DIM, WIDE, HALF = 32, 16, 4096, 16, 32, 16
 BEFORE = 512
 #: Documents of the sample, ids of a document there, ids of a training step, passes and steps at least.
 SAMPLE, PART, STEP, PASSES, STEPS = 3000, 512, 8192, 4, 200
+#: Share of the training documents whose whole texts train the attention (SAMPLE of them at least), its rate there, ids handled at once.
+SHARE, RATE, MOST = 1 / 8, 0.002, 1 << 18
 #: Words whose counts are broadcast, at most; counts kept in a task before they are sent on.
 COMMON, HELD = 200_000, 1_000_000
 SMOOTH = 20.0
@@ -39,37 +43,28 @@ SMOOTH = 20.0
 class Attention:
     """The model: weights, classes of ids and, once counted, the ids' log10 probabilities within classes."""
 
-    def __init__(self, counts: np.ndarray, pairs: np.ndarray, seed: int = 5):
-        """counts: of each id in the sample; pairs: rows of (id, next id) in the sample."""
+    def __init__(self, counts: np.ndarray, pairs: np.ndarray | None, seed: int = 5, around: np.ndarray | None = None):
+        """counts: of each id; pairs: rows of (id, next id), or their counts by place as `contexts` has them in around."""
         rng = np.random.default_rng(seed)
-        order = np.argsort(-counts, kind="stable")
-        order = order[counts[order] > 0]
-        self.slot = np.full(IDS, OWN - 1, np.int32)
-        self.slot[order[: OWN - 1]] = np.arange(min(len(order), OWN - 1))
+        order, self.slot = ranked(counts)
+        if around is None:
+            around = np.bincount(contexts(pairs[:, 0], pairs[:, 1], order, self.slot), minlength=OWN * AROUND).reshape(OWN, AROUND)
         self.group = np.full(IDS, CLASSES - 1, np.int32)
         self.group[order[:SINGLE]] = np.arange(min(len(order), SINGLE))
         rest = order[SINGLE : OWN - 1]
         if len(rest):
-            self.group[rest] = SINGLE + self._clusters(rest, order, counts, pairs, rng)
+            self.group[rest] = SINGLE + self._clusters(rest, counts, around[self.slot[rest]], rng)
         self.kind = BEFORE - CLASSES + self.group
         self.kind[order[: BEFORE - CLASSES]] = np.arange(min(len(order), BEFORE - CLASSES))
         normal = lambda *s: (rng.normal(size=s) / np.sqrt(s[0])).astype(np.float32)
         self.p = {"e": (0.3 * rng.normal(size=(OWN, DIM))).astype(np.float32), "q": normal(DIM, DIM), "k": normal(DIM, DIM), "v": normal(DIM, DIM), "x": normal(DIM, WIDE), "o": normal(DIM, WIDE), "b": np.zeros(WIDE, np.float32), "c": normal(WIDE, CLASSES), "d": np.zeros(CLASSES, np.float32), "r": np.zeros(2 * HALF, np.float32)}
         self.p["d"][np.bincount(self.group, minlength=CLASSES) == 0] = -1e4  # classes without an id get no share
         self.within = np.zeros((BEFORE, OWN), np.float32)
+        self.own = np.zeros(IDS, np.float32)
 
     @staticmethod
-    def _clusters(rest: np.ndarray, order: np.ndarray, counts: np.ndarray, pairs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    def _clusters(rest: np.ndarray, counts: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """Groups the rarer ids by which common ids stand before and after them (k-means on square roots of shares)."""
-        to = np.full(IDS, -1)
-        to[rest] = np.arange(len(rest))
-        wide = min(SINGLE, len(order))
-        common = np.full(IDS, wide)
-        common[order[:wide]] = np.arange(wide)
-        x = np.zeros((len(rest), 2 * wide + 2))
-        for own, other, shift in ((pairs[:, 1], pairs[:, 0], 0), (pairs[:, 0], pairs[:, 1], wide + 1)):
-            use = to[own] >= 0
-            np.add.at(x, (to[own[use]], shift + common[other[use]]), 1)
         x = np.sqrt(x / np.maximum(x.sum(1, keepdims=True), 1))
         k = min(CLASSES - SINGLE - 1, len(rest))
         centre = x[rng.choice(min(len(rest), 4 * k), k, False)]
@@ -122,13 +117,13 @@ class Attention:
         r = np.bincount(np.clip(f["far"], 0, 2 * HALF - 1).ravel(), (ds.sum(0) * (f["far"] >= 0)).ravel(), 2 * HALF)
         return {"e": e, "q": x.T @ dq, "k": x.T @ dk, "v": x.T @ dv, "x": x.T @ dh, "o": f["o"].T @ dh, "b": dh.sum(0), "c": f["h"].T @ grad, "d": grad.sum(0), "r": r.astype(np.float32)}
 
-    def fit(self, texts: list[np.ndarray], rate: float = 0.01) -> Attention:
-        """Adam on the cross-entropy of the next id's class."""
+    def fit(self, texts: list[np.ndarray], rate: float = 0.01, passes: int | None = None) -> Attention:
+        """Adam on the cross-entropy of the next id's class. passes: over the texts, else PASSES or as many as STEPS takes."""
         ids, docs, _ = streamed(texts)
         fresh = begins(docs)
         moment = {c: (np.zeros_like(w), np.zeros_like(w)) for c, w in self.p.items()}
         steps, t = range(0, len(ids), STEP), 0
-        passes = max(PASSES, -(-STEPS // max(1, len(steps))))
+        passes = passes or max(PASSES, -(-STEPS // max(1, len(steps))))
         for _ in range(passes):
             for at in steps:
                 to = min(at + STEP, len(ids))
@@ -150,8 +145,8 @@ class Attention:
                     self.p[c] -= (now * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
         return self
 
-    def learn_counts(self, counts: np.ndarray) -> None:
-        """counts: BEFORE (kind of the id before) by OWN (place of the id), over all training documents. Ids that share the last place share its probability."""
+    def learn_counts(self, counts: np.ndarray, each: np.ndarray | None = None) -> None:
+        """counts: BEFORE (kind of the id before) by OWN (place of the id), over all training documents; each: of every id, by which ids of the last place part its probability."""
         ids = np.bincount(self.slot, minlength=OWN)
         group = np.full(OWN, CLASSES - 1)
         group[self.slot] = self.group
@@ -160,6 +155,9 @@ class Attention:
         of_class = np.stack([np.bincount(group, row, CLASSES) for row in counts])[:, group]
         p = (counts + SMOOTH * share) / (of_class + SMOOTH) / np.maximum(ids, 1)
         self.within = np.log10(np.maximum(p, 1e-30)).astype(np.float32)
+        if each is not None:
+            each = each + 0.1
+            self.own = np.log10(each / np.bincount(self.slot, each, OWN)[self.slot] * ids[self.slot]).astype(np.float32)  # against an equal part
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each text given as ids without ends. Every text begins a half window, so that its score doesn't depend on its neighbours."""
@@ -175,12 +173,32 @@ class Attention:
             nxt = ids[np.minimum(np.arange(at + 1, hi + 1), len(ids) - 1)]
             own = logits[np.arange(len(nxt)), self.group[nxt]]
             total = np.log(np.exp(np.minimum(logits, 60, out=logits), out=logits).sum(1))
-            out[at:hi] = (own - total) / np.log(10) + self.within[self.kind[ids[at:hi]], self.slot[nxt]]
+            out[at:hi] = (own - total) / np.log(10) + self.within[self.kind[ids[at:hi]], self.slot[nxt]] + self.own[nxt]
         out[docs != np.append(docs[1:], -1)] = 0  # nothing follows the last end
         out[docs < 0] = 0
         return np.add.reduceat(out, first)
 
 
+#: Columns of an id's contexts: common ids and all others, before it and after it.
+AROUND = 2 * SINGLE + 2
+
+
+def ranked(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids that occur, commonest first, and the place of each id, the last place being for all rarer ones."""
+    order = np.argsort(-counts, kind="stable")
+    order = order[counts[order] > 0]
+    slot = np.full(IDS, OWN - 1, np.int32)
+    slot[order[: OWN - 1]] = np.arange(min(len(order), OWN - 1))
+    return order, slot
+
+
+def contexts(ids: np.ndarray, after: np.ndarray, order: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Cells of a table of OWN by AROUND that pairs of an id and the next one count in."""
+    common = np.full(IDS, SINGLE)
+    common[order[:SINGLE]] = np.arange(min(len(order), SINGLE))
+    return np.concatenate((slot[after] * AROUND + common[ids], slot[ids] * AROUND + SINGLE + 1 + common[after]))
+
+
 def streamed(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts between two ends, each beginning a half window: ids, the text of each id (-1 for filling), where texts begin."""
     size = np.array([len(t) + 2 for t in texts], np.int64)
@@ -230,29 +248,85 @@ class Tally:
         return keys, counts
 
 
-def sampled(source: DataFrame, path: str) -> list[np.ndarray]:
+def parts(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+    """Texts of a batch as ids, about MOST ids at a time."""
+    held, size = [], 0
+    for x in batch.column("ids"):
+        held.append(np.frombuffer(x.as_buffer(), "<u2"))
+        size += len(held[-1])
+        if size > MOST:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def picked(texts: DataFrame, share: float) -> DataFrame:
+    return texts.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1_000_000)) < max(1, int(1_000_000 * share))) if share < 1 else texts
+
+
+def sampled(texts: DataFrame, n: int) -> list[np.ndarray]:
     """Ids of the sample's documents (of longer ones, some part)."""
-    n = source.count()
-    picked = source.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, SAMPLE / max(1, n))))) if n > SAMPLE else source
+    begin = F.expr(f"cast(2 * pmod(key, greatest(1, length(ids) div 2 - {PART})) as int) + 1")
+    own = picked(texts, SAMPLE / max(1, n)).select(F.substring("ids", begin, F.lit(2 * PART)).alias("ids"))
+    return [np.frombuffer(x, "<u2").astype(np.int64) for x in own.toArrow().column(0).to_pylist()]
 
-    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
-        for batch in batches:
-            for rows, data, offsets in chunks(batch):
-                ids, at = words.encode(data, offsets)
-                out = []
-                for k, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())):
-                    a += (rows.start + k) * 97 % max(1, b - a - PART)
-                    out.append(ids[a : min(b, a + PART)].astype("<u2").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
-    return [np.frombuffer(x, "<u2").astype(np.int64) for x in picked.select("text").mapInArrow(ids_of, "ids binary").toArrow().column(0).to_pylist()]
+def counted_pairs(texts: DataFrame, cell, size: int) -> np.ndarray:
+    """How often each of `size` cells is given by cell(ids, next ids) over all texts between two ends; summed in tasks first."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for own in parts(batch):
+                last = np.cumsum([len(x) + 2 for x in own]) - 1
+                stream = np.full(last[-1] + 1, END, np.int32)  # each text between two ends
+                inner = np.ones(len(stream), bool)
+                inner[last] = inner[np.concatenate(([0], last[:-1] + 1))] = False
+                stream[inner] = np.concatenate(own)
+                use = np.ones(len(stream), bool)
+                use[last] = False
+                use = np.flatnonzero(use)
+                total += np.bincount(cell(stream[use], stream[use + 1]), minlength=size)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["key", "n"])
+
+    got = texts.select("ids").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most `size` rows
+    table = np.zeros(size)
+    table[np.asarray(got.column("key"))] = np.asarray(got.column("n"))
+    return table
+
+
+def taught(model: Attention, texts: DataFrame, n: int) -> Attention:
+    """Trains on the whole texts of a share of the n documents: each task steps from the same weights, then the mean by ids is taken."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    names, schema = ["n", "weights"], "n long, weights binary"
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total = copy.copy(shared.value), 0
+        own.p = {c: w.copy() for c, w in own.p.items()}
+        for batch in batches:
+            for some in parts(batch):
+                own.fit(some, RATE, 1)
+                total += sum(map(len, some)) + len(some)
+        flat = np.concatenate([w.ravel() for w in own.p.values()]).astype(np.float64) * total
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, flat = 0, 0.0
+        for batch in batches:
+            for m, x in zip(batch.column("n").to_pylist(), batch.column("weights")):
+                total, flat = total + m, flat + np.frombuffer(x.as_buffer())
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names)
 
-def trained(texts: list[np.ndarray]) -> Attention:
-    stream = np.concatenate([np.concatenate(([END], t, [END])) for t in texts] or [np.array([END, END])])
-    pairs = np.stack((stream[:-1], stream[1:]), 1)
-    return Attention(np.bincount(stream, minlength=IDS), pairs).fit(texts)
+    sums = picked(texts, max(SHARE, SAMPLE / max(1, n))).select("ids").mapInArrow(steps, schema).where("n > 0").repartition(16).mapInArrow(added, schema).toArrow()  # at most 16 rows
+    total = sum(sums.column("n").to_pylist())
+    if total:
+        flat, at = sum(np.frombuffer(x) for x in sums.column("weights").to_pylist()) / total, 0
+        for c, w in model.p.items():
+            model.p[c], at = flat[at : at + w.size].reshape(w.shape).astype(np.float32), at + w.size
+    return model
 
 
 def score(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", fold: int = 7, held: int = 2) -> DataFrame:
@@ -265,12 +339,9 @@ def score(docs: DataFrame, path: str | None = None, text: str = "text", key: str
     spark, path = docs.sparkSession, path or vocabulary()
     out_of = F.coalesce(crc_mod(key, fold) == held, F.lit(False))
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), out_of.alias("held_out"))
-    model = trained(sampled(source.where("not held_out"), path))
-    shared = spark.sparkContext.broadcast(model)  # a fixed number of weights
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, tally, pairs = WordIds(path), Tally(), np.zeros(BEFORE * OWN, np.int64)
-        kind, slot = shared.value.kind.astype(np.int32), shared.value.slot
+        words, tally, each = WordIds(path), Tally(), np.zeros(IDS, np.int64)
         names = ["key", "id", "held_out", "n_tokens", "ids", "kind", "n"]
 
         def counted(keys: np.ndarray, counts: np.ndarray, kind: int) -> pa.RecordBatch:
@@ -287,34 +358,30 @@ def score(docs: DataFrame, path: str | None = None, text: str = "text", key: str
                 if more := tally.add(distinct, np.bincount(back[np.repeat(train, np.diff(first))], minlength=len(distinct))):
                     yield counted(*more, 1)
                 raw, codes = data.tobytes(), ids.astype("<u2").tobytes()
-                size = np.diff(at)
-                if len(size):
-                    stream = np.full(len(ids) + 2 * len(size), END, np.int32)  # each text between two ends
-                    last = np.cumsum(size + 2) - 1
-                    inner = np.ones(len(stream), bool)
-                    inner[last] = inner[last - size - 1] = False
-                    stream[inner] = ids
-                    use = np.repeat(train, size + 2)
-                    use[last] = False
-                    use = np.flatnonzero(use)
-                    pairs += np.bincount(kind[stream[use]] * OWN + slot[stream[use + 1]], minlength=len(pairs))
+                each += np.bincount(ids[np.repeat(train, np.diff(at))], minlength=IDS)
+                each[END] += 2 * train.sum()
                 keys = [row_key(n, raw[a:b]) for n, a, b in zip(ids_in[rows], offsets.tolist(), offsets[1:].tolist())]
                 m = len(keys)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("id").slice(rows.start, m), batch.column("held_out").slice(rows.start, m), pa.array(np.diff(first) + 1), pa.array([codes[2 * a : 2 * b] for a, b in zip(at.tolist(), at[1:].tolist())], pa.binary()), pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64())], names)
         yield counted(*tally.drain(), 1)
-        some = np.flatnonzero(pairs)
-        yield counted(some, pairs[some], 2)
+        some = np.flatnonzero(each)
+        yield counted(some, each[some], 2)
 
     done = stash(source.mapInArrow(read, "key long, id long, held_out boolean, n_tokens long, ids binary, kind int, n long"), "read")
     texts = done.where("kind = 0").select("key", "id", "held_out", "n_tokens", "ids")
     counts = stash(done.where("kind = 1").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("c")), "words")
-    pairs = done.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most BEFORE * OWN rows
-    table = np.zeros(BEFORE * OWN)
-    table[np.asarray(pairs.column("key"))] = np.asarray(pairs.column("n"))
-    model.learn_counts(table.reshape(BEFORE, OWN))
+    found = done.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most IDS rows
+    each = np.zeros(IDS)
+    each[np.asarray(found.column("key"))] = np.asarray(found.column("n"))
+    train = texts.where("not held_out")
+    ends = train.count()
+    order, slot = ranked(each)
+    around = counted_pairs(train, lambda a, b: contexts(a, b, order, slot), OWN * AROUND)
+    model = taught(Attention(each, None, around=around.reshape(OWN, AROUND)).fit(sampled(train, ends)), train, ends)
+    kind = model.kind.astype(np.int32)
+    model.learn_counts(counted_pairs(train, lambda a, b: kind[a] * OWN + slot[b], BEFORE * OWN).reshape(BEFORE, OWN), each)
     final = spark.sparkContext.broadcast(model)
 
-    ends = texts.where("not held_out").count()
     totals = counts.agg(F.sum("c"), F.count("*")).first()
     n_train, distinct = int(totals[0] or 0) + ends, int(totals[1]) + (ends > 0)
     size = float(n_train + distinct + 1)

@@ -85,3 +85,45 @@ def test_gradients_against_differences():
         down = loss()[0]
         w[at] += 1e-5
         assert abs((up - down) / 2e-5 - grads[name][at]) < 1e-3 * max(1, abs(grads[name][at])), name
+
+
+def test_every_id_has_its_own_count():
+    r = np.random.default_rng(3)
+    counts = np.concatenate((r.permutation(np.arange(1, 6001)), np.zeros(M.IDS - 6000, np.int64)))
+    pairs = np.stack((np.arange(5999), np.arange(1, 6000)), 1)
+    model = M.Attention(counts, pairs)
+    last = np.flatnonzero(model.slot == M.OWN - 1)
+    assert (counts[last] > 0).sum() == 6000 - M.OWN + 1
+    model.learn_counts(r.integers(0, 3, (M.BEFORE, M.OWN)), counts)
+    often, once, never = (int(last[np.argmax(counts[last] == c)]) for c in (1500, 1, 0))
+    got = model.score([np.array([k]) for k in (often, once, never)]) - model.score([np.array([never])])
+    assert np.allclose(model.own[[often, once]] - model.own[never], np.log10([15001, 11]), atol=1e-4) and got[0] - got[1] == pytest.approx(np.log10(1500.1 / 1.1), abs=1e-3)
+    p = np.bincount(model.group, 10.0 ** (model.within[model.kind[M.END], model.slot] + model.own), M.CLASSES)
+    assert np.allclose(p[np.bincount(model.group, minlength=M.CLASSES) > 0], 1, atol=1e-3)
+
+
+def test_training_takes_whole_texts_of_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(M, "SAMPLE", 1)
+    monkeypatch.setattr(M, "SHARE", 1.0)
+    a, b = np.tile([1, 2], 2000), np.tile([3, 4], 2000)
+    texts = spark.createDataFrame([(k, (np.concatenate((a, b)) if k else a).astype("<u2").tobytes()) for k in range(8)], "key long, ids binary").repartition(4)
+    counts, pairs = np.bincount(a, minlength=M.IDS) + np.bincount(b, minlength=M.IDS), np.stack((a[:-1], a[1:]), 1)
+    start = M.Attention(counts, pairs).fit([a])
+    before = start.score([b])[0]
+    after = M.taught(start, texts, 8)
+    assert after.score([b])[0] > before + 100  # b stands beyond the first 512 ids of texts only
+    cells = M.counted_pairs(texts, lambda x, y: (x == 3) * (y == 4) + 2 * ((x == M.END) & (y == 1)), 4)
+    assert cells[1] == 7 * 2000 and cells[2] == 8
+
+
+def test_places_come_from_all_training_documents(spark, monkeypatch):
+    seen = []
+    kept = M.Attention.learn_counts
+    monkeypatch.setattr(M.Attention, "learn_counts", lambda self, counts, each=None: (seen.append((counts, each)), kept(self, counts, each)))
+    monkeypatch.setattr(M, "SAMPLE", 3)
+    monkeypatch.setattr(M, "STEPS", 5)
+    rows = [(k, "alpha beta gamma" if k % 50 else "omega zebra " * 9) for k in range(300)]
+    M.score(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    (counts, each), train = seen[0], [t for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2]
+    assert each[M.END] == 2 * len(train) and each.sum() == counts.sum() + len(train)
+    assert sorted(each[each > 0])[:2] == [9 * sum("omega" in t for t in train)] * 2
