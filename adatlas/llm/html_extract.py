@@ -2,20 +2,21 @@
 text stays constant over the host's pages become template, varying slots become content.
 
 1. Each page is parsed into a small tree of labels with a hash of each node's own text; copies within a host count once.
-2. Every tree of a host is aligned with the host's reference tree (its first page by hash, of usual size if it has one),
+2. Every tree of a host is aligned with the host's reference tree (one of its pages whose size is nearest to the middle one),
    and for each reference node the pages with each text are counted, in each task before they are shuffled.
 3. A node with the same text on nearly all of at least LEAST pages is template.
 4. Each page is aligned again and its text is written out block by block, without template nodes and without what tags,
    classes and roles mark as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments.
 
-Templates of the HEAD hosts with most pages are joined by broadcast (their number and the size of a reference are
-bounded), those of all other hosts by a shuffle of just their pages.
+Templates of the HEAD hosts with most pages, among those with references of at most NODES nodes, are joined by broadcast
+(which bounds it), those of all other hosts by a shuffle of just their pages.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from adatlas.llm.common import stash
 
-#: Hosts whose templates are broadcast; nodes of a reference tree at most; pages before a node can be template; part of them that agree.
+#: Hosts whose templates are broadcast; nodes of a reference tree there at most; pages before a node can be template; part of them that agree.
 HEAD, NODES, LEAST, AGREE = 5000, 400, 5, 0.9
 TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -186,6 +187,7 @@ def matched(a: Tree, b: Tree) -> dict[int, int]:
     loses a match; what lies between is matched by dynamic programming.
     """
     known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), min(len(a.labels), len(b.labels)) + 2000))  # a call for each level
 
     def same(x: int, y: int, out: list[tuple[int, int]]) -> None:
         todo = [(x, y)]
@@ -298,8 +300,10 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
 
     trees = source.where("host <> ''").select("host", "html").mapInArrow(shapes, "host string, tree string, hashes array<long>, mark long")
     trees = stash(trees.groupBy("host", "mark").agg(F.first("tree").alias("tree"), F.first("hashes").alias("hashes")), "trees")
-    order = F.struct((F.size("hashes") > NODES).alias("large"), F.xxhash64("mark").alias("h"), "mark")
-    references = stash(trees.groupBy("host").agg(F.min_by(F.struct("tree", "hashes"), order).alias("best"), F.count("*").alias("n")).where(f"n >= {LEAST} and size(best.hashes) <= {NODES}").select("host", "n", F.col("best.tree").alias("reference")), "references")
+    usual = trees.groupBy("host").agg(F.percentile_approx(F.size("hashes"), 0.5).alias("usual"), F.count("*").alias("n")).where(f"n >= {LEAST}")
+    order = F.struct(F.abs(F.size("hashes") - F.col("usual")).alias("off"), F.xxhash64("mark").alias("h"), "mark")
+    best = trees.join(usual, "host").groupBy("host", "n").agg(F.min_by(F.struct("tree", F.size("hashes").alias("nodes")), order).alias("best"))
+    references = stash(best.select("host", "n", F.col("best.nodes").alias("nodes"), F.col("best.tree").alias("reference")), "references")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligned = Aligner()
@@ -315,7 +319,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
     texts = seen.groupBy("host", "node", "hash").agg(F.sum("n").alias("n"))
     nodes = texts.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.max_by("hash", "n").alias("hash"), F.max("n").alias("most"))
     constant = nodes.where(f"pages >= {LEAST} and most >= {AGREE} * pages and hash <> 0").groupBy("host").agg(F.collect_list(F.struct("node", "hash")).alias("constant"))  # at most a node each of a reference
-    templates = stash(references.join(constant, "host").select("host", "n", "reference", "constant"), "templates")
+    templates = stash(references.join(constant, "host").select("host", "n", "nodes", "reference", "constant"), "templates")
 
     schema = source.select("row").schema.add("text", "string").add("n_chars", "long")
 
@@ -336,9 +340,9 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
                 out.append(page.text(frozenset(template)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], ["row", "text", "n_chars"])
 
-    head = templates.orderBy(F.desc("n"), "host").limit(HEAD).select("host", "reference", "constant", F.lit(True).alias("is_head"))
+    head = templates.where(f"nodes <= {NODES}").orderBy(F.desc("n"), "host").limit(HEAD).select("host", "reference", "constant", F.lit(True).alias("is_head"))
     near = source.join(F.broadcast(head), "host", "left")
-    if templates.count() > HEAD:
+    if templates.count() > head.count():
         rest = templates.join(F.broadcast(head.select("host")), "host", "left_anti")
         far = near.where("is_head is null").drop("reference", "constant", "is_head").join(rest.select("host", "reference", "constant"), "host", "left")
         near = near.where("is_head").drop("is_head").unionByName(far.select("host", "row", "html", "reference", "constant"))

@@ -69,3 +69,14 @@ def test_article_text_without_what_surrounds_it(spark):
 def test_copies_do_not_make_an_article_template(spark):
     rows = [(k, "http://c.example/a", "<body><article><h1>Same</h1><p>Text of all</p></article>") for k in range(30)]
     assert {r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"Same Text of all"}
+
+
+def test_templates_of_large_and_of_deep_pages(spark):
+    body = lambda k: "".join(f"<div><i>Part {i}</i><u>{k} {i}</u></div>" for i in range(250))
+    rows = [(k, "http://large.example/", f"<body><div>Daily facts</div>{body(k)}</body>") for k in range(8)]
+    rows.append((8, "http://large.example/none", "<body><em>No page</em></body>"))
+    rows += [(20 + k, "http://deep.example/", "<div>" * 1500 + f"<i>Deep facts</i><u>page {k}</u>") for k in range(6)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(8):
+        assert got[k] == " ".join(f"{k} {i}" for i in range(250))
+    assert got[8] == "No page" and all(got[20 + k] == f"page {k}" for k in range(6))
