@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from adatlas.llm.common import chunks, crc_mod, stash, word_hashes, word_spans
 from adatlas.llm.packing import vocabulary
-from adatlas.llm.subwords import WordIds
+from adatlas.llm.subwords import word_ids
 
 #: Ids of the tokenizer and the end; classes, of which SINGLE are one id each; embeddings; sizes; ids of half a window.
 IDS, END = 49_409, 49_408
@@ -341,7 +341,7 @@ def score(docs: DataFrame, path: str | None = None, text: str = "text", key: str
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), out_of.alias("held_out"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, tally, each = WordIds(path), Tally(), np.zeros(IDS, np.int64)
+        words, tally, each = word_ids(path), Tally(), np.zeros(IDS, np.int64)
         names = ["key", "id", "held_out", "n_tokens", "ids", "kind", "n"]
 
         def counted(keys: np.ndarray, counts: np.ndarray, kind: int) -> pa.RecordBatch:
