@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adatlas.llm.common import chunks, crc_mod, mix, stash, word_hashes, word_spans
+from adatlas.llm.common import chunks, crc_mod, mapped, mix, stash, word_hashes, word_spans
 from adatlas.llm.labelled import ROWS, held_out, training_labels
 
 #: Fourier features, width of the kernel in standard deviations, ridge weight, tasks that sum the equations.
@@ -92,7 +92,7 @@ def measured(docs: DataFrame, text: str, key: str) -> DataFrame:
             x = np.concatenate(parts) if parts else np.zeros((0, STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), STATISTICS).cast(pa.list_(pa.float64()))], ["id", "x"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(measure, "id long, x array<double>")
+    return mapped(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), measure, "id long, x array<double>")
 
 
 class Model:
