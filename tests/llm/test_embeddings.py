@@ -26,9 +26,10 @@ def usable(v):
     return v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v)
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_near_duplicates_against_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,square", [(4096, 1024), (16, 7)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, block, square):
     monkeypatch.setattr(E, "BLOCK", block)
+    monkeypatch.setattr(E, "SQUARE", square)
     rows = vectors()
     frame = spark.createDataFrame([*rows, rows[3]], SCHEMA).repartition(3)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near(frame).collect()}
@@ -48,6 +49,12 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, block):
     assert E.near(frame.limit(0)).count() == 0
 
 
+def test_one_id_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1, 0, 0), (1, [0.0, 1.0], 1, 0, 0), (2, [1.0, 0.01], 1, 0, 0), (1, [1.0, 0.0], 2, 0, 0), (3, [0.0, 2.0], 1, 0, 0), (3, [0.0, 2.0], 1, 0, 0)]
+    got = sorted(map(tuple, E.near(spark.createDataFrame(rows, SCHEMA)).collect()))
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
 def test_quantisation_bound_is_rigorous():
     r = np.random.default_rng(1)
     for dim in (1, 3, 64):
@@ -85,6 +92,36 @@ def test_search_finds_the_nearest(spark, monkeypatch, block):
     assert [tuple(r) for r in ann.search(few).orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, 0.5)]
 
 
+def test_each_length_is_searched_apart_and_other_columns_are_ignored(spark):
+    rows = [(0, [1.0, 0.0], "a", 1.0), (1, [2.0, 0.0], "b", 2.0), (20, [1.0, 1.0, 1.0], "c", 3.0), (21, [1.0, 0.0, 0.0], "d", 4.0), (40, [5.0], "e", 5.0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string, score double")
+    assert sorted(map(tuple, ann.search(frame).collect())) == [(0, 1, 1, 2.0), (20, 1, 21, 1.0)]
+
+
+def test_share_of_reranked_rows_falls_and_recall_holds():
+    r = np.random.default_rng(5)
+    shares = []
+    for n in (500, 8000):
+        x = r.normal(size=(n, 32)) * r.choice([0.5, 1.0, 2.0], n)[:, None]
+        top = float(np.linalg.norm(x, axis=1).max())
+        level = ann.levelled(x, top)
+        trees = [ann.Tree(level, ann.LEAF, r) for _ in range(ann.TREES)]
+        first = np.concatenate(([0], np.cumsum([t.leaves for t in trees])))
+        at = np.stack([t.leaf_of(level) for t in trees]) + first[:-1, None]
+        counts = np.bincount(at.ravel(), minlength=first[-1])
+        sizes = [counts[a:b].tolist() for a, b in zip(first, first[1:])]
+        hits = rows = 0
+        for i in range(0, n, n // 25):
+            got = ann.candidates(ann.weights(*ann.opened(trees, sizes, np.append(x[i], 0), ann.OPEN * ann.TREES * n), first[-1]), at, ann.REACH * n ** (-1 / 3))
+            s = x @ x[i]
+            s[i] = -np.inf
+            hits += len(set(got.tolist()) & set(np.argsort(-s)[:20].tolist()))
+            rows += len(got) / n
+        assert hits / (20 * len(range(0, n, n // 25))) >= 0.9
+        shares.append(rows / len(range(0, n, n // 25)))
+    assert shares[1] < 0.3 < shares[0]
+
+
 def test_copies_do_not_stop_a_tree():
     x = np.repeat(np.array([[1.0, 2.0], [3.0, 4.0]]), [500, 3], axis=0)
     tree = ann.Tree(x, 8, np.random.default_rng(0))
