@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from adatlas.llm.common import UnionFind, components, stash
 from adatlas.llm.vectors import checked, matrix
 
-#: Vectors of a block; a tile holds two blocks and one block's square of products.
-BLOCK = 1024
+#: Vectors of a block, of which a task holds two; vectors of a square of products within it.
+BLOCK, SQUARE = 4096, 1024
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,45 +45,59 @@ def close_pairs(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray,
     return i[keep], j[keep]
 
 
+def tile_links(x: np.ndarray, one: np.ndarray, two: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile, each once, as rows of x: found square by square."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    same = one is two
+    for s in range(0, len(one), SQUARE):
+        for t in range(s if same else 0, len(two), SQUARE):
+            a, b = close_pairs(x[one[s : s + SQUARE]], x[two[t : t + SQUARE]], least)
+            a, b = one[a + s], two[b + t]
+            out.append((a[a < b], b[a < b]) if same and s == t else (a, b))
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
 def near(df: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """One row for each vector: key, n_links, component_id, kept.
 
     Compared are vectors of equal, non-null label and equal length. Vectors that take no part (see `checked`) and those
     without a label have no links and are their own component. Rows that repeat an id, label and vector are one vector;
-    if an id comes with several vectors, each has its row. Copies link with each other. Empty in, empty out.
+    if an id comes with several vectors, each has its row and its own links. Copies link with each other. Empty in,
+    empty out.
     """
-    rows = stash(checked(df, key, vector, label).distinct(), "vectors")
-    part = rows.where("v is not null and label is not null")
-    classes = stash(part.groupBy("label", "dim", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
+    same = F.when(F.col("v").isNotNull() & F.col("label").isNotNull(), F.xxhash64("label", "dim", "v"))
+    rows = stash(checked(df, key, vector, label).distinct().withColumn("cls", same), "vectors")
+    part = rows.where("cls is not null")
+    classes = stash(part.groupBy("cls", "label", "dim", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
     blocks = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = classes.join(blocks, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = classes.join(blocks, ["label", "dim"]).withColumn("block", F.pmod("cls", F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select("label", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "v")
+    dealt = dealt.withColumn("other", other).select("label", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "n", "v")
 
     def tile(table: pa.Table) -> pa.Table:
         i, j, dim = table.column("i")[0].as_py(), table.column("j")[0].as_py(), table.column("dim")[0].as_py()
-        order = np.argsort(np.asarray(table.column("rep")), kind="stable")
+        order = np.argsort(np.asarray(table.column("cls")), kind="stable")
         table = table.take(pa.array(order))
-        rep, n, block = (np.asarray(table.column(k)) for k in ("rep", "n", "block"))
+        cls, n, block = (np.asarray(table.column(k)) for k in ("cls", "n", "block"))
         x = matrix(table.column("v"), dim)
-        one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = close_pairs(x[one], x[two], least)
-        a, b = one[a], two[b]
-        if i == j:
-            a, b = a[a < b], b[a < b]
-        links = np.bincount(a, n[b], len(rep)) + np.bincount(b, n[a], len(rep))
-        sets = UnionFind(len(rep))
+        one = np.flatnonzero(block == i)
+        a, b = tile_links(x, one, one if i == j else np.flatnonzero(block == j), least)
+        links = np.bincount(a, n[b], len(cls)) + np.bincount(b, n[a], len(cls))
+        sets = UnionFind(len(cls))
         forest = [(s, t) for s, t in zip(a.tolist(), b.tolist()) if sets.union(s, t)]
         s, t = np.array(forest, np.int64).reshape(-1, 2).T
         some = np.flatnonzero(links)
-        return pa.table({"a": pa.array(np.concatenate((rep[some], rep[s]))), "b": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(rep[t])]), "links": pa.array(np.concatenate((links[some].astype(np.int64), np.zeros(len(s), np.int64))))})
+        return pa.table({"a": pa.array(np.concatenate((cls[some], cls[s]))), "b": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(cls[t])]), "links": pa.array(np.concatenate((links[some].astype(np.int64), np.zeros(len(s), np.int64))))})
 
     found = stash(dealt.groupBy("label", "dim", "i", "j").applyInArrow(tile, "a long, b long, links long"), "tiles")
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     comps = components(found.where("b is not null").select("a", "b"))
-    of = classes.join(links, classes.rep == links.a, "left").join(comps, classes.rep == comps.node, "left").select("label", "dim", "v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.join(of, ["label", "dim", "v"], "left")
-    component = F.coalesce("component", "id")
+    own = classes.select("cls", "rep", "n").join(links, F.col("cls") == F.col("a"), "left").join(comps, F.col("cls") == F.col("node"), "left")
+    own = stash(own.select("cls", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component")), "groups")
+    first = own.groupBy("component").agg(F.min("rep").alias("first"))
+    of = own.join(first, "component").select("cls", "n_links", "first")
+    out = rows.join(of, "cls", "left")
+    component = F.coalesce("first", "id")
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
 
 
