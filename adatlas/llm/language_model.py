@@ -14,7 +14,6 @@ words, the base score and its N and V cover every training document. Counts of t
 from __future__ import annotations
 
 import copy
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adatlas.llm.common import chunks, crc_mod, stash, word_hashes, word_spans
+from adatlas.llm.common import chunks, crc_mod, mapped, stash, word_hashes, word_spans
 from adatlas.llm.packing import vocabulary
 from adatlas.llm.subwords import word_ids
 
@@ -217,11 +216,6 @@ def begins(docs: np.ndarray) -> np.ndarray:
     return np.concatenate(([True], d[1:] != d[:-1])) if len(d) else np.zeros(0, bool)
 
 
-def row_key(name: int | None, text: bytes) -> int:
-    """One number for a row's id and text."""
-    return int.from_bytes(hashlib.blake2b(repr(name).encode() + b":" + text, digest_size=8).digest(), "little", signed=True)
-
-
 class Tally:
     """Counts of hashes, kept sorted and sent on when they become many."""
 
@@ -338,7 +332,8 @@ def score(docs: DataFrame, path: str | None = None, text: str = "text", key: str
     """
     spark, path = docs.sparkSession, path or vocabulary()
     out_of = F.coalesce(crc_mod(key, fold) == held, F.lit(False))
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), out_of.alias("held_out"))
+    own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), out_of.alias("held_out"))
+    source = own.withColumn("key", F.xxhash64("id", "text"))  # one number for a row's id and text
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, tally, each = word_ids(path), Tally(), np.zeros(IDS, np.int64)
@@ -349,7 +344,7 @@ def score(docs: DataFrame, path: str | None = None, text: str = "text", key: str
             return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.uint64).view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(np.full(m, kind, np.int32)), pa.array(counts.astype(np.int64))], names)
 
         for batch in batches:
-            ids_in, held_in = batch.column("id").to_pylist(), np.asarray(batch.column("held_out"))
+            held_in = np.asarray(batch.column("held_out"))
             for rows, data, offsets in chunks(batch):
                 seen = {}
                 ids, at = words.encode(data, offsets, lambda *x: seen.update(x=x))
@@ -357,17 +352,16 @@ def score(docs: DataFrame, path: str | None = None, text: str = "text", key: str
                 train = ~held_in[rows]
                 if more := tally.add(distinct, np.bincount(back[np.repeat(train, np.diff(first))], minlength=len(distinct))):
                     yield counted(*more, 1)
-                raw, codes = data.tobytes(), ids.astype("<u2").tobytes()
+                codes = ids.astype("<u2").tobytes()
                 each += np.bincount(ids[np.repeat(train, np.diff(at))], minlength=IDS)
                 each[END] += 2 * train.sum()
-                keys = [row_key(n, raw[a:b]) for n, a, b in zip(ids_in[rows], offsets.tolist(), offsets[1:].tolist())]
-                m = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("id").slice(rows.start, m), batch.column("held_out").slice(rows.start, m), pa.array(np.diff(first) + 1), pa.array([codes[2 * a : 2 * b] for a, b in zip(at.tolist(), at[1:].tolist())], pa.binary()), pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64())], names)
+                m = rows.stop - rows.start
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(rows.start, m), batch.column("id").slice(rows.start, m), batch.column("held_out").slice(rows.start, m), pa.array(np.diff(first) + 1), pa.array([codes[2 * a : 2 * b] for a, b in zip(at.tolist(), at[1:].tolist())], pa.binary()), pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64())], names)
         yield counted(*tally.drain(), 1)
         some = np.flatnonzero(each)
         yield counted(some, each[some], 2)
 
-    done = stash(source.mapInArrow(read, "key long, id long, held_out boolean, n_tokens long, ids binary, kind int, n long"), "read")
+    done = stash(mapped(source, read, "key long, id long, held_out boolean, n_tokens long, ids binary, kind int, n long"), "read")
     texts = done.where("kind = 0").select("key", "id", "held_out", "n_tokens", "ids")
     counts = stash(done.where("kind = 1").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("c")), "words")
     found = done.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most IDS rows
@@ -403,7 +397,7 @@ def score(docs: DataFrame, path: str | None = None, text: str = "text", key: str
         logs = np.log10((c + 1) / size)
         end = float(np.log10((ends + 1) / size))
         for batch in batches:
-            ids_in = batch.column("id").to_pylist()
+            every = np.asarray(batch.column("key"))
             for rows, data, offsets in chunks(batch):
                 begins, stops, first = word_spans(data, offsets)
                 h = word_hashes(data, begins, stops)
@@ -411,14 +405,13 @@ def score(docs: DataFrame, path: str | None = None, text: str = "text", key: str
                 hit = words[at] == h if len(words) else np.zeros(len(h), bool)
                 total = np.concatenate(([0], np.cumsum(np.where(hit, logs[at], 0) if len(words) else np.zeros(len(h)))))
                 found = np.concatenate(([0], np.cumsum(hit)))
-                raw = data.tobytes()
-                keys = np.array([row_key(n, raw[a:b]) for n, a, b in zip(ids_in[rows], offsets.tolist(), offsets[1:].tolist())], np.int64)
+                keys = every[rows]
                 rare = np.flatnonzero(~hit)
                 owner = np.searchsorted(first, rare, "right") - 1
                 m = len(keys)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((keys, keys[owner]))), pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(h[rare].view(np.int64))]), pa.array(np.concatenate((found[first[1:]] - found[first[:-1]] + (ends > 0), np.zeros(len(rare), np.int64)))), pa.array(np.concatenate((total[first[1:]] - total[first[:-1]] + end, np.zeros(len(rare)))))], ["key", "word", "n_known", "logs"])
 
-    parts = source.select("id", "text").mapInArrow(base, "key long, word long, n_known long, logs double")
+    parts = mapped(source.select("key", "text"), base, "key long, word long, n_known long, logs double")
     copies = texts.groupBy("key").agg(F.count("*").alias("copies"))  # a repeated row sends its words as often
     joined = parts.join(counts, "word", "left")  # the row of a whole text has no word
     rare = F.col("word").isNotNull()
@@ -440,7 +433,7 @@ def score(docs: DataFrame, path: str | None = None, text: str = "text", key: str
                 at = to
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "held_out", "n_tokens")), pa.array(scores)], ["key", "id", "held_out", "n_tokens", "score"])
 
-    scored = texts.mapInArrow(attend, "key long, id long, held_out boolean, n_tokens long, score double")
+    scored = mapped(texts, attend, "key long, id long, held_out boolean, n_tokens long, score double")
     return scored.join(bases, "key").select(F.col("id").alias(key), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
