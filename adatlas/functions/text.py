@@ -64,11 +64,18 @@ def compare_key(c: Column) -> Column:
 
 def sector_group(c: Column) -> Column:
     """The broad sector of a free text; the first group with a word in it."""
-    padded = F.concat(F.lit(" "), strip(F.translate(F.lower(text(c)), "áéíóúüñ", "aeiouun")), F.lit(" "))
-    out = F.when(strip(text(c)) == "", NO_SECTOR)
-    for group, words in SECTORS:  # words of letters and spaces only
-        out = out.when(padded.rlike("|".join(words)), group)
-    return out.otherwise(OTHER_SECTOR)
+
+    def group_of(padded: Column) -> Column:
+        out = F.when(padded == "  ", NO_SECTOR)
+        for group, words in SECTORS:
+            found = F.lit(False)
+            for word in words:
+                found = found | F.contains(padded, F.lit(word))
+            out = out.when(found, group)
+        return out.otherwise(OTHER_SECTOR)
+
+    plain = F.concat(F.lit(" "), strip(F.translate(F.lower(text(c)), "áéíóúüñ", "aeiouun")), F.lit(" "))
+    return F.get(F.transform(F.array(plain), group_of), F.lit(0))  # the text is made plain once
 
 
 def domain_root(url: Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +15,7 @@ from pyspark.sql import Window as W
 
 from adatlas.functions import text as X
 
-# Rates in USD per million tokens (the first entry is the default), sizes of the answer contract, notes.
-RATES = {"default": (2.00, 10.00, 2.50, 0.20), "previous": (3.00, 15.00, 3.75, 0.30)}
+# The counters of an answer, notes, sizes of the answer contract.
 USAGE = ["input", "output", "cache_write", "cache_read"]
 GOOD_NOTE, FIXED_NOTE = "Detectado por analisis visual con IA.", "Detectado por IA; revisar campos incompletos."
 CONTEXT_CHARS = 1200
@@ -27,107 +29,114 @@ def spreads(pages: DataFrame) -> DataFrame:
     return pages.withColumn("spread_no", F.floor(rn / 2).cast("int"))
 
 
+# What is asked for a spread of two pages, and of one.
+ASK_TWO = "Analiza este pliego de la revista. La primera imagen es la pagina %d (izquierda) y la segunda la pagina %d (derecha). Enumera TODOS los anuncios presentes en ambas paginas, indicando para cada uno en que pagina aparece."
+ASK_ONE = "Analiza la pagina %d de la revista y enumera TODOS los anuncios presentes (puede haber varios, de cualquier tamano)."
+
+
 def spread_context(pages: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each spread: its page numbers and the text given along, at most 1200 characters of each page."""
+    """One row for each spread: its page numbers, what is asked, and the text given along, at most 1200 characters of each page."""
     line = F.concat(F.lit("--- Pagina "), F.col("page_no").cast("string"), F.lit(" (texto):\n"), F.left(F.coalesce(F.col(text), F.lit("")), F.lit(CONTEXT_CHARS)))
     both = spreads(pages).groupBy("issue_id", "spread_no").agg(F.array_sort(F.collect_list(F.struct("pos", "page_no", line.alias("line")))).alias("p"))  # two pages at most
-    return both.select("issue_id", "spread_no", F.transform("p", lambda x: x.page_no).alias("page_nums"), F.array_join(F.transform("p", lambda x: x.line), "\n\n").alias("context"))
+    number = lambda k: F.get("p", F.lit(k)).page_no.cast("int")
+    ask = F.when(F.size("p") == 2, F.format_string(ASK_TWO, number(0), number(1))).otherwise(F.format_string(ASK_ONE, number(0)))
+    return both.select("issue_id", "spread_no", F.transform("p", lambda x: x.page_no).alias("page_nums"), ask.alias("instruction"), F.array_join(F.transform("p", lambda x: x.line), "\n\n").alias("context"))
+
+
+#: Strings, the last of which may lack its end, and braces that open an object outside of them.
+MARKS = re.compile(r'"(?:\\.|[^"\\])*(?:"|\\?\Z)|\{', re.S)
 
 
-def salvage(raw: str | None) -> list[str]:
-    """The complete objects with a `marca` in a broken answer, inner ones first, as JSON texts.
+def salvage(raw: str) -> list[str]:
+    """The complete objects with a `marca` in a broken answer, in order of their ends, as JSON texts.
 
-    One scan with a stack of open braces; quotes toggle strings everywhere, escapes count only within them.
+    Wherever an object may begin, the decoder is asked for a whole one.
     """
-    found: list[str] = []
-    begun: list[int] = []
-    quoted = skip = False
-    for i, c in enumerate(raw or ""):
-        if skip:
-            skip = False
-        elif quoted and c == "\\":
-            skip = True
-        elif c == '"':
-            quoted = not quoted
-        elif not quoted and c == "{":
-            begun.append(i)
-        elif not quoted and c == "}" and begun:
-            part = raw[begun.pop() : i + 1]
-            try:
-                item = json.loads(part)
-            except ValueError:
-                continue
-            if isinstance(item, dict) and item.get("marca"):
-                found.append(json.dumps(item, ensure_ascii=False))
-    return found
+    found = []
+    for mark in MARKS.finditer(raw):
+        if mark[0] == "{":
+            with contextlib.suppress(ValueError):
+                item, end = DECODER.raw_decode(raw, mark.start())
+                if item.get("marca"):
+                    found.append((end, json.dumps(item, ensure_ascii=False)))
+    return [item for _, item in sorted(found, key=lambda f: f[0])]
+
+
+DECODER = json.JSONDecoder()
 
 
 @F.pandas_udf(T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("items", T.ArrayType(T.StringType()))]))
 def repaired(raw: pd.Series) -> pd.DataFrame:
-    """Answers that the built-in parser rejects: parsed leniently, or what can be salvaged."""
-    valid, items = [], []
-    for text in raw:
+    """Answers that the built-in parser rejects: parsed leniently, or what can be salvaged. Null, an answer that needs none, stays null."""
+    valid, items = [None] * len(raw), [None] * len(raw)
+    for k in np.flatnonzero(raw.notna()):
+        text = raw.iloc[k]
         try:
-            payload = json.loads(text or "")
+            payload = json.loads(text)
             good = isinstance(payload, dict) and isinstance(payload.get("anuncios"), list)
-            valid.append(good)
-            items.append([json.dumps(i, ensure_ascii=False) for i in payload["anuncios"]] if good else [])
+            valid[k], items[k] = good, [json.dumps(i, ensure_ascii=False) for i in payload["anuncios"]] if good else []
         except ValueError:
-            valid.append(False)
-            items.append(salvage(text))
-    return pd.DataFrame({"valid": valid, "items": items})
+            valid[k], items[k] = False, salvage(text)
+    return pd.DataFrame({"valid": pd.array(valid, "boolean"), "items": items})
 
 
 def parsed(responses: DataFrame) -> DataFrame:
-    """Adds `valid` and `items`, the answer's entries as variants. Only answers that aren't strict JSON go through Python."""
-    bare = responses.withColumn("body", X.strip(F.regexp_replace(F.coalesce("raw", F.lit("")), r"(?m)^```(?:json)?|```$", "")))
-    strict = bare.withColumn("v", F.try_parse_json("body"))
-    ads = F.try_variant_get("v", "$.anuncios", "array<variant>")
-    good = strict.where("v is not null").withColumn("valid", ads.isNotNull()).withColumn("items", F.coalesce(ads, F.array().cast("array<variant>")))
-    bad = strict.where("v is null").withColumn("r", repaired("body")).withColumn("valid", F.col("r.valid")).withColumn("items", F.transform("r.items", lambda x: F.try_parse_json(x)))
-    return good.drop("v", "body").unionByName(bad.drop("v", "body", "r"))
+    """Adds `valid` and `items`, the answer's entries as variants. Answers are read once; the text of those that aren't strict JSON, and of no other, goes to Python."""
+    body = X.strip(F.regexp_replace(F.coalesce("raw", F.lit("")), r"(?m)^```(?:json)?|```$", ""))
+    own = responses.withColumn("__body", body).withColumn("__v", F.try_parse_json("__body"))
+    own = own.withColumn("__r", repaired(F.when(F.col("__v").isNull(), F.col("__body"))))
+    ads = F.when(F.col("__v").isNotNull(), F.try_variant_get("__v", "$.anuncios", "array<variant>")).otherwise(F.transform("__r.items", lambda x: F.try_parse_json(x)))
+    own = own.withColumn("items", ads).withColumn("valid", F.coalesce("__r.valid", F.col("items").isNotNull()))
+    return own.withColumn("items", F.coalesce("items", F.array().cast("array<variant>"))).select(*responses.columns, "valid", "items")
+
+
+NUMBER = "^(BIGINT|DOUBLE|DECIMAL.*)$"
 
 
 def kind(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
-def clean_text(v: Column) -> tuple[Column, Column]:
-    """Text of an optional field, and whether it is valid: null is empty, text is stripped, a number is written out."""
-    k, s = kind(v), F.try_variant_get(v, "$", "string")
-    number = k.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$")
-    return F.when(k == "STRING", X.strip(s)).when(number, s).otherwise(""), (k == "VOID") | (k == "STRING") | number
+def clean_text(k: Column, s: Column) -> tuple[Column, Column]:
+    """Text of an optional field by its kind and its text, and whether it is valid: null is empty, text is stripped, a number is written out."""
+    return F.when(k == "STRING", X.strip(s)).when(k.rlike(NUMBER), s).otherwise(""), (k == "VOID") | (k == "STRING") | k.rlike(NUMBER)
 
 
-def clean_confidence(v: Column) -> tuple[Column, Column]:
-    k = kind(v)
-    n = F.when(k.rlike("^(BIGINT|DOUBLE|DECIMAL.*|STRING)$"), F.try_variant_get(v, "$", "double"))
-    good = n.isNotNull() & ~F.isnan(n) & n.between(0.0, 1.0)
-    return F.when(good, n).otherwise(0.0), F.coalesce(good, F.lit(False))
+def clean_confidence(k: Column, n: Column) -> tuple[Column, Column]:
+    """A number or a text of one, from 0 to 1."""
+    good = F.coalesce(((k == "STRING") | k.rlike(NUMBER)) & ~F.isnan(n) & n.between(0.0, 1.0), F.lit(False))
+    return F.when(good, n).otherwise(0.0), good
 
 
 def validated(answers: DataFrame) -> DataFrame:
     """One row for each entry of parsed answers: verdict ok, fixed or rejected with its reason, and the cleaned fields."""
     own = answers.select("issue_id", "spread_no", "page_nums", F.posexplode("items").alias("item_idx", "v"))
-    is_object = kind(F.col("v")).startswith("OBJECT")
-    get = lambda name: F.try_variant_get("v", f"$.{name}", "variant")
-    own = own.withColumn("is_object", is_object).withColumns({f"_{c}": F.when(is_object, get(c)) for c in ("marca", "pagina", "confianza", *FIELDS)})
-    brand = F.when(kind(F.col("_marca")) == "STRING", F.nullif(X.strip(F.try_variant_get("_marca", "$", "string")), F.lit("")))
-    first = F.get("page_nums", F.lit(0))
-    no_page = kind(F.col("_pagina")) == "VOID"
-    page = F.try_variant_get("_pagina", "$", "int")
+    own = own.withColumn("o", F.when(kind(F.col("v")).startswith("OBJECT"), F.col("v")))  # null where the entry is no object
+    fields = ("marca", "pagina", "confianza", *FIELDS)
+    # each field is taken out, its kind told and its text written once
+    own = own.withColumns({f"_{c}": F.try_variant_get("o", f"$.{c}", "variant") for c in fields})
+    own = own.withColumns({f"_{c}": F.struct(kind(F.col(f"_{c}")).alias("k"), F.try_variant_get(f"_{c}", "$", "string").alias("s")) for c in fields})
+    of = lambda c: (F.col(f"_{c}.k"), F.col(f"_{c}.s"))
+    k, s = of("marca")
+    brand = F.when(k == "STRING", F.nullif(X.strip(s), F.lit("")))
+    k, s = of("pagina")
+    no_page, first = k == "VOID", F.get("page_nums", F.lit(0))
+    # a whole number as text, any number cut to its whole part, true as 1
+    page = F.when(k == "STRING", F.when(s.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(s).try_cast("int"))).when(k.rlike(NUMBER), s.try_cast("double").try_cast("int")).when(k == "BOOLEAN", (s == "true").cast("int"))
     good_page = no_page | F.coalesce(F.array_contains("page_nums", page), F.lit(False))
-    texts = {c: clean_text(F.col(f"_{c}")) for c in FIELDS}
-    confidence, good = clean_confidence(F.col("_confianza"))
+    texts = {c: clean_text(*of(c)) for c in FIELDS}
+    k, s = of("confianza")
+    confidence, good = clean_confidence(k, s.try_cast("double"))
     for _, ok in texts.values():
         good = good & ok
     fixed = ~(good & good_page)
-    reason = F.when(~F.col("is_object"), "registro no es objeto").when(brand.isNull(), "marca invalida").when(fixed, "campos corregidos")
+    is_object = F.col("o").isNotNull()
+    reason = F.when(~is_object, "registro no es objeto").when(brand.isNull(), "marca invalida").when(fixed, "campos corregidos")
     return own.select(
         "issue_id", "spread_no", "item_idx", "page_nums", brand.alias("brand"), F.when(no_page | ~good_page, first).otherwise(page).alias("page_no"),
         *[texts[c][0].alias(name) for c, name in FIELDS.items()], confidence.alias("confidence"), F.lit("ia").alias("method"),
-        F.when(fixed, FIXED_NOTE).otherwise(GOOD_NOTE).alias("notes"), reason.alias("reason"), F.col("is_object") & brand.isNotNull(),
-    ).toDF("issue_id", "spread_no", "item_idx", "page_nums", "brand", "page_no", *FIELDS.values(), "confidence", "method", "notes", "reason", "kept")
+        F.when(fixed, FIXED_NOTE).otherwise(GOOD_NOTE).alias("notes"), reason.alias("reason"), (is_object & brand.isNotNull()).alias("kept"),
+    )
 
 
 def rejects(rows: DataFrame) -> DataFrame:
@@ -143,15 +152,16 @@ def merged(ads: DataFrame, order: list[str], page: str = "page_no") -> DataFrame
     return ads.withColumn("key", key).groupBy("issue_id", "key").agg(F.min_by("brand", F.struct(F.length("brand"), o)).alias("brand"), F.array_sort(F.collect_set(page)).alias("pages"), *map(first, FIELDS.values()), F.max("confidence").alias("confidence"), F.min_by("method", o).alias("method"), F.min_by("notes", o).alias("notes"))
 
 
-def usage_cost(responses: DataFrame, rates: dict[str, tuple[float, ...]] = RATES) -> DataFrame:
+def usage_cost(responses: DataFrame, rates: DataFrame, default: str) -> DataFrame:
     """Tokens and USD of each issue: all, resumed, and new. responses: issue_id, model, the four counters, resumed.
 
-    rates: by model, in the order of USAGE; models that it lacks have the rates of its first entry.
+    rates: USD per million tokens, a row for each model id: model and a column for each of USAGE. Models that it lacks
+    have the rates of the model `default`.
     """
-    spark, default = responses.sparkSession, next(iter(rates.values()))
-    table = spark.createDataFrame([(m, *map(float, r)) for m, r in rates.items()], ["model", *[f"rate_{c}" for c in USAGE]])
-    own = responses.join(F.broadcast(table), "model", "left")  # a few rows
-    cost = sum((F.coalesce(F.col(c), F.lit(0)) / 1e6 * F.coalesce(f"rate_{c}", F.lit(d)) for c, d in zip(USAGE, default)), F.lit(0.0))
+    table = rates.groupBy("model").agg(*[F.max(F.col(c).cast("double")).alias(f"rate_{c}") for c in USAGE])
+    usual = table.where(F.col("model") == default).select(*[F.col(f"rate_{c}").alias(f"usual_{c}") for c in USAGE]).limit(1)
+    own = responses.join(table, "model", "left").join(F.broadcast(usual), how="left")  # one row
+    cost = sum((F.coalesce(F.col(c), F.lit(0)) / 1e6 * F.coalesce(f"rate_{c}", f"usual_{c}") for c in USAGE), F.lit(0.0))
     total, again = F.sum(cost), F.sum(F.when(F.coalesce("resumed", F.lit(False)), cost).otherwise(0.0))
     return own.groupBy("issue_id").agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in USAGE], total.alias("cost_usd"), again.alias("resumed_usd"), F.greatest(F.lit(0.0), total - again).alias("new_usd"))
 

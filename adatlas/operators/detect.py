@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adatlas.functions import text as X
 
+# The notes of brands found in text.
 AD_NOTE, PLAIN_NOTE, MERGED_NOTE = "Pagina con aspecto de anuncio.", "Marca mencionada; revisar si es anuncio.", " (marca consolidada automaticamente)"
 
 
@@ -39,45 +42,61 @@ def brands(found: DataFrame) -> DataFrame:
     )
 
 
-def prefixes(c) -> F.Column:
-    """All prefixes of a text, the text included."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda n: F.left(c, n))
+FILLED = ("website", "email", "phone", "sector", "ad_size")
+
+
+def absorbed(kept: dict, row: dict) -> None:
+    """Merges a brand into one that stays: the shorter name, all pages, what was empty, the higher confidence."""
+    if len(row["brand"]) < len(kept["brand"]):
+        kept["brand"], kept["website"] = row["brand"], row["website"] or kept["website"]
+    kept["pages"] = sorted({*kept["pages"], *row["pages"]})
+    kept |= {c: kept[c] or row[c] for c in FILLED}
+    kept["confidence"] = max(kept["confidence"], row["confidence"])
+    kept["notes"] += MERGED_NOTE
+
+
+def fold(rows: list[dict]) -> list[dict]:
+    """The brands of one root, strongest first: each goes to the first kept one of its pages where one name begins with the other."""
+    kept: list[dict] = []
+    for row in sorted(rows, key=lambda r: (-r["confidence"], r["brand"])):
+        name, on = row["brand"].lower(), set(row["pages"])
+        near = (k for k in kept if not on.isdisjoint(k["pages"]) and (name.startswith(k["brand"].lower()) or k["brand"].lower().startswith(name)))
+        if into := next(near, None):
+            absorbed(into, row)
+        else:
+            kept.append(row)
+    return kept
 
 
 def consolidated(found: DataFrame) -> DataFrame:
     """Merges brands of an issue that share a page where one name begins with the other.
 
-    Each brand goes to the shortest brand of its issue that begins it, found by an equi-join on prefixes; only groups
-    with more than one brand are folded in Python, in the order (-confidence, brand).
+    Brands of an issue stand in order of name, so that all that begin with the same shortest brand, their root, are
+    neighbours; only groups of several are folded, one such group at a time being held. One shuffle, by issue.
     """
-    own = found.withColumn("low", F.lower("brand"))
-    heads = own.select(F.col("issue_id").alias("at"), F.col("low").alias("head")).distinct()
-    begun = own.select("issue_id", "low").distinct().withColumn("head", F.explode(prefixes(F.col("low"))))
-    roots = begun.join(heads, (F.col("issue_id") == F.col("at")) & (begun["head"] == heads["head"])).groupBy("issue_id", "low").agg(F.min_by(begun["head"], F.length(begun["head"])).alias("root"))
-    own = own.join(roots, ["issue_id", "low"])
-    many = own.groupBy("issue_id", "root").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    alone = own.join(many, ["issue_id", "root"], "left_anti").select(*found.columns)
-    grouped = own.join(many, ["issue_id", "root"], "left_semi").select(*found.columns, "root")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for row in rows.sort_values(["confidence", "brand"], ascending=[False, True], kind="stable").drop(columns="root").to_dict("records"):
-            row["pages"] = [int(p) for p in row["pages"]]
-            name = row["brand"].lower()
-            into = next((k for k in kept if set(k["pages"]) & set(row["pages"]) and (name.startswith(k["brand"].lower()) or k["brand"].lower().startswith(name))), None)
-            if into is None:
-                kept.append(row)
-                continue
-            if len(row["brand"]) < len(into["brand"]):
-                into["brand"], into["website"] = row["brand"], row["website"] or into["website"]
-            into["pages"] = sorted({*into["pages"], *row["pages"]})
-            for c in ("website", "email", "phone", "sector", "ad_size"):
-                into[c] = into[c] or row[c]
-            into["confidence"] = max(into["confidence"], row["confidence"])
-            into["notes"] += MERGED_NOTE
-        return pd.DataFrame(kept, columns=list(rows.columns.drop("root")))
-
-    return alone.unionByName(grouped.groupBy("issue_id", "root").applyInPandas(fold, alone.schema))
+    columns = found.columns
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, root, group = None, None, []
+
+        def closed() -> list[dict]:
+            return fold(group) if len(group) > 1 else group
+
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                low = row.pop("low")
+                if row["issue_id"] != at or root is None or not low.startswith(root):
+                    done += closed()
+                    at, root, group = row["issue_id"], low, []
+                group.append(row)
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=pa.schema([batch.schema.field(c) for c in columns]))
+        if group:
+            yield pa.RecordBatch.from_pylist(closed(), schema=pa.schema([batch.schema.field(c) for c in columns]))
+
+    own = found.withColumn("low", F.lower("brand")).repartition("issue_id").sortWithinPartitions("issue_id", "low")
+    return own.mapInArrow(merge, found.schema)
 
 
 def detected(pages: DataFrame, text: str = "text") -> DataFrame:

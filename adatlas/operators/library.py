@@ -22,6 +22,33 @@ def stored_issues(meta: DataFrame, ads: DataFrame) -> DataFrame:
     return out.join(counts, "issue_id", "left").withColumn("n_anunciantes", F.coalesce("n_anunciantes", F.lit(0)).cast("int"))
 
 
+def save(meta: DataFrame, ads: DataFrame, root: str) -> None:
+    """Appends issues and their advertisers to the library's two tables, partitioned by issue."""
+    stored_advertisers(ads).write.partitionBy("issue_id").mode("append").parquet(f"{root}/advertisers")
+    stored_issues(meta, ads).write.mode("append").parquet(f"{root}/issues")
+
+
+def listed_issues(issues: DataFrame) -> DataFrame:
+    """All issues, the last analysed first."""
+    return issues.orderBy(F.desc("fecha"), F.desc("issue_id"))
+
+
+def issue(issues: DataFrame, issue_id) -> DataFrame:
+    """The issue of an id: one row or none."""
+    return issues.where(F.col("issue_id") == F.lit(issue_id))
+
+
+def listed_advertisers(ads: DataFrame, issue_id=None) -> DataFrame:
+    """Advertisers of an issue, or of every issue, by brand; place counts them from 1. Equal brands stand in no set order."""
+    own = ads if issue_id is None else ads.where(F.col("issue_id") == F.lit(issue_id))
+    return own.withColumn("place", F.row_number().over(W.partitionBy("issue_id").orderBy("brand")))
+
+
+def library_view(ads: DataFrame) -> DataFrame:
+    """What the library shows of an issue's advertisers."""
+    return listed_advertisers(ads).select("issue_id", "place", F.coalesce("brand", F.lit("")).alias("brand"), F.coalesce("sector", F.lit("")).alias("sector"))
+
+
 def migrated(ads: DataFrame) -> DataFrame:
     """Fills a missing or empty sector_group from the sector."""
     old = F.col("sector_group") if "sector_group" in ads.columns else F.lit(None).cast("string")
@@ -66,12 +93,22 @@ def history(ads: DataFrame, issues: DataFrame, brand: Column | None = None) -> D
     return own.join(issues, "issue_id")
 
 
+def ordered_history(appearances: DataFrame) -> DataFrame:
+    """A history by date, earliest first, of each canonical brand."""
+    return appearances.withColumn("place", F.rank().over(W.partitionBy("canonical").orderBy("fecha")))
+
+
 def share_of_voice(ads: DataFrame) -> DataFrame:
     """Advertisers of each issue and sector group."""
     group = F.coalesce(F.nullif(F.trim("sector_group"), F.lit("")), F.lit(X.NO_SECTOR))
     return ads.groupBy("issue_id", group.alias("sec")).agg(F.count("*").alias("n"))
 
 
+def ordered_share(share: DataFrame) -> DataFrame:
+    """Sector groups of an issue, the largest first, equal ones by name; place counts them from 1."""
+    return share.withColumn("place", F.row_number().over(W.partitionBy("issue_id").orderBy(F.desc("n"), "sec")))
+
+
 def with_previous(issues: DataFrame) -> DataFrame:
     """Adds the count of the issue before of the same title and the change as shown."""
     w = W.partitionBy(F.coalesce(F.nullif("titulo", F.lit("")), F.lit("Revista"))).orderBy(F.asc("fecha"), F.desc("issue_id"))

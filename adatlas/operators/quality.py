@@ -49,6 +49,7 @@ def checked_source(sources: DataFrame, pages: DataFrame, manifest: DataFrame) ->
     own = own.withColumn("completeness_known", (F.col("kind") == "pdf") | declared.isNotNull())
     own = own.withColumn("expected_pages", F.when(F.col("kind") == "pdf", F.col("obtained_pages")).otherwise(F.coalesce(declared, inferred)))
     own = own.withColumn("missing_pages", missing(F.col("expected_pages"), F.col("have"))).withColumn("failed_pages", F.array_except("bad", "ok"))
+    # The messages below
     n = lambda c: F.size(c).cast("string")
     some = lambda c: F.size(c) > 0
     blocking = F.array_compact(
@@ -66,6 +67,11 @@ def checked_source(sources: DataFrame, pages: DataFrame, manifest: DataFrame) ->
     return own.withColumn("status", F.when(some("blocking_reasons"), "incompleta").otherwise("lista")).drop("have", "ok", "bad", "listed", "local_pdf")
 
 
+def ready(rows: DataFrame, checked: DataFrame) -> DataFrame:
+    """Rows (pages or spreads) of issues whose source is ready: only these go to a model. Text mode takes the others too."""
+    return rows.join(checked.where("status = 'lista'").select("issue_id"), "issue_id", "left_semi")
+
+
 def reusable(sources: DataFrame, manifest: DataFrame) -> DataFrame:
     """Whether a stored source may be used again: PDFs always; images without failures, with enough pages and any path."""
     m = manifest.groupBy("issue_id").agg(F.count_if(F.col("status") == "failed").alias("bad"), F.count_distinct(F.when(F.col("status") == "ok", F.col("page_number").try_cast("int"))).alias("good"))

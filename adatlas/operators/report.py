@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -35,9 +35,60 @@ def key_figures(ads: DataFrame) -> DataFrame:
     return ads.groupBy("issue_id").agg(F.count("*").alias("total"), F.count_if(filled("website")).alias("with_web"), F.count_if(filled("email") | filled("phone")).alias("with_contact"))
 
 
-def summary_rows(ads: DataFrame) -> DataFrame:
-    """Key figures as label and value rows."""
-    return key_figures(ads).unpivot(["issue_id"], ["total", "with_web", "with_contact"], "label", "value")
+def coverage_state(state: str = "estado", older: str = "estado_analisis") -> Column:
+    return F.coalesce(F.nullif(F.col(state), F.lit("")), F.nullif(F.col(older), F.lit("")), F.lit("completo"))
+
+
+def coverage_text(missing: str = "paginas_no_analizadas", partial: str = "paginas_parciales") -> Column:
+    """Pages that were not, or only partly, analysed, in words."""
+    listed = lambda c, words: F.when(F.size(c) > 0, F.concat(F.lit(words), F.array_join(F.col(c).cast("array<string>"), ", ")))
+    return F.concat_ws("; ", listed(missing, "no analizadas: "), listed(partial, "respuesta parcial: "))
+
+
+def spread_list(c: str) -> Column:
+    """Spreads as text: pages joined by plus signs, spreads by commas; null for none."""
+    return F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda s: F.array_join(s.cast("array<string>"), "+")), ", "))
+
+
+def source_summary() -> Column:
+    """One line on a checked source: kind and viewer, pages, status."""
+    viewer = F.when(F.coalesce("viewer", F.lit("")) != "", F.concat(F.lit(" ("), "viewer", F.lit(")"))).otherwise("")
+    obtained, expected = F.col("obtained_pages").cast("string"), F.col("expected_pages").cast("string")
+    pages = F.when(expected.isNull(), F.concat(obtained, F.lit(" paginas; total no publicado"))).otherwise(F.concat(obtained, F.lit("/"), expected, F.lit(" paginas")))
+    return F.concat(F.col("source_type"), viewer, F.lit(" · "), pages, F.lit(" · "), F.col("status"))
+
+
+# The labels of the summary, in order.
+SUMMARY = ["Revista", "Fuente", "Modo de deteccion", "Fecha del analisis", "Paginas de la revista", "Estado del analisis", "", "Anunciantes detectados", "Con sitio web", "Con datos de contacto", "Paginas NO analizadas (revisar)", "Paginas con respuesta parcial (revisar)"]
+
+
+def summary_rows(ads: DataFrame, meta: DataFrame) -> DataFrame:
+    """The summary of each issue as rows: place, label, value; the last two labels only where there are such spreads.
+
+    meta: issue_id, titulo, url, modo, fecha, paginas, estado, estado_analisis, pliegos_fallidos, pliegos_parciales.
+    """
+    own = meta.join(key_figures(ads), "issue_id", "left")
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("—"))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    values = [shown("titulo"), shown("url"), shown("modo"), F.date_format("fecha", "dd/MM/yyyy HH:mm"), shown("paginas"), F.upper(coverage_state()), F.lit(""), count("total"), count("with_web"), count("with_contact"), spread_list("pliegos_fallidos"), spread_list("pliegos_parciales")]
+    rows = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(label).alias("label"), value.alias("value")) for k, (label, value) in enumerate(zip(SUMMARY, values), 1)])
+    return own.select("issue_id", F.inline(rows)).where("value is not null")
+
+
+def run_metadata(runs: DataFrame) -> DataFrame:
+    """What is kept of a run; optional columns are null unless they say something.
+
+    runs: issue_id, modo (ia or heuristica), cost_usd, new_usd, resumed_usd, model, resumed_spreads, failed_spreads,
+    partial_spreads, n_invalid, fallback_reason, estado.
+    """
+    paid = F.col("cost_usd").isNotNull()
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    return runs.select(
+        "issue_id", F.when(F.col("modo") == "ia", "IA (analisis visual)").otherwise("Heuristica (modo gratis)").alias("modo"),
+        F.col("cost_usd").alias("coste_usd"), F.when(paid, F.coalesce("new_usd", "cost_usd")).alias("coste_nuevo_usd"), F.when(paid, F.coalesce("resumed_usd", F.lit(0.0))).alias("coste_reanudado_usd"),
+        F.nullif("model", F.lit("")).alias("modelo_ia"), F.nullif("resumed_spreads", F.lit(0)).alias("pliegos_reanudados"), some("failed_spreads").alias("pliegos_fallidos"), some("partial_spreads").alias("pliegos_parciales"),
+        F.nullif("n_invalid", F.lit(0)).alias("registros_ia_corregidos"), F.when(F.coalesce("fallback_reason", F.lit("")) != "", True).alias("fallback_heuristica"), F.nullif("fallback_reason", F.lit("")).alias("aviso_fallback"), F.col("estado").alias("estado_analisis"),
+    )
 
 
 def sector_split(ads: DataFrame) -> DataFrame:

@@ -4,32 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from adatlas.functions import text as X
-from adatlas.operators.detect import prefixes
 
 FIELDS = ["brand", "sector", "website", "email", "phone", "ad_size"]
 
 
-def variants(ads: DataFrame) -> DataFrame:
-    """(issue_id, norm) of brands of which another brand of the issue is a proper beginning, or that begin another one.
+def with_variants(ads: DataFrame) -> DataFrame:
+    """Adds norm, the form in which brands are compared, and is_variant: whether another brand of the issue is a proper beginning of it, or it of another one.
 
-    An equi-join on (issue, prefix) instead of comparing all pairs of an issue. An empty name begins every other.
+    With the names of an issue in order, a name begins others if it begins the next one; and it begins with an earlier
+    one if it stands before that one's last possible continuation, of which only the greatest so far is kept. An empty
+    name begins every other, but makes no variant of it. One shuffle, by issue.
     """
-    norms = ads.select("issue_id", X.compare_key(F.col("brand")).alias("norm")).distinct()
-    longer = norms.where("norm <> ''").withColumn("head", F.explode(prefixes(F.col("norm")))).where("head <> norm")
-    met = longer.join(norms.select("issue_id", F.col("norm").alias("head")), ["issue_id", "head"])
-    both = met.select("issue_id", F.explode(F.array("norm", "head")).alias("norm"))
-    named = norms.where("norm <> ''").select("issue_id").distinct()
-    empty = norms.where("norm = ''").join(named, "issue_id", "left_semi")
-    return both.unionByName(empty.select("issue_id", "norm")).distinct()
-
-
-def flagged(ads: DataFrame, title: str = "Revista") -> DataFrame:
-    """Adds review_reasons, in the fixed order low_conf, magazine, short, weird, variant."""
-    found = variants(ads).withColumn("is_variant", F.lit(True))
-    norm, magazine = F.col("norm"), X.compare_key(F.lit(title))
-    own = ads.withColumn("norm", X.compare_key(F.col("brand"))).join(found, ["issue_id", "norm"], "left")
+    own = ads.withColumn("norm", X.compare_key(F.col("brand")))
+    order, same = W.partitionBy("issue_id").orderBy("norm"), W.partitionBy("issue_id", "norm")
+    after = F.lead("norm").over(order)
+    reach = F.max(F.when(F.col("norm") != "", F.concat("norm", F.lit("\U0010ffff")))).over(order.rowsBetween(W.unboundedPreceding, -1))
+    own = own.withColumns({"__begins": F.coalesce(after.startswith(F.col("norm")) & (after != F.col("norm")), F.lit(False)), "__reach": reach})
+    # rows of one name stand together: the first of them tells what comes before, the last what comes after
+    begun = F.coalesce(F.min("__reach").over(same) > F.col("norm"), F.lit(False))
+    before = F.when(F.count_if(F.col("__reach").isNull()).over(same) > 0, False).otherwise(begun)
+    return own.withColumn("is_variant", F.bool_or("__begins").over(same) | before).drop("__begins", "__reach")
+
+
+def flagged(ads: DataFrame, issues: DataFrame) -> DataFrame:
+    """Adds review_reasons, in the fixed order low_conf, magazine, short, weird, variant. issues: issue_id and titulo, the publication's name; an issue without one is not compared with it."""
+    titles = issues.groupBy("issue_id").agg(X.compare_key(F.min("titulo")).alias("magazine"))
+    own = with_variants(ads).join(titles, "issue_id", "left")
+    norm, magazine = F.col("norm"), F.coalesce("magazine", F.lit(""))
     reasons = F.array(
         F.when(F.col("confidence") < 0.70, F.lit("low_conf")),
         F.when((magazine != "") & (norm != "") & (F.contains(magazine, norm) | F.contains(norm, magazine)), F.lit("magazine")),
@@ -37,7 +41,7 @@ def flagged(ads: DataFrame, title: str = "Revista") -> DataFrame:
         F.when(F.coalesce(F.col("brand"), F.lit("")).rlike(r"(?U)[^\p{L}\p{N}_\s&'\-.]"), F.lit("weird")),
         F.when(F.col("is_variant"), F.lit("variant")),
     )
-    return own.withColumn("review_reasons", F.array_compact(reasons)).drop("norm", "is_variant")
+    return own.withColumn("review_reasons", F.array_compact(reasons)).drop("norm", "is_variant", "magazine")
 
 
 def with_partial(ads: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -48,6 +52,27 @@ def with_partial(ads: DataFrame, coverage: DataFrame) -> DataFrame:
     return own.withColumn("review_reasons", F.when(hit, F.array_union("review_reasons", F.array(F.lit("partial_analysis")))).otherwise(F.col("review_reasons"))).drop("__failed", "__partial", "__fallback")
 
 
+def confident(ads: DataFrame, least: float = 0.0) -> DataFrame:
+    """Advertisers of at least some confidence; by default all."""
+    return ads.where(F.coalesce("confidence", F.lit(0.0)) >= least) if least > 0 else ads
+
+
+def review_items(ads: DataFrame) -> DataFrame:
+    """What a reviewer is shown of each advertiser: empty texts for nulls, the reasons and their labels."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    reasons = F.coalesce("review_reasons", F.array().cast("array<string>"))
+    return ads.select(
+        "issue_id", "adv_idx", *map(blank, FIELDS), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), blank("method"), F.coalesce("pages", F.array().cast("array<int>")).alias("pages"),
+        F.array_join(reasons, ",").alias("review_flag"), X.review_label(reasons).alias("review_label"),
+    )
+
+
+def first_page(ads: DataFrame, pages: DataFrame) -> DataFrame:
+    """Each advertiser with the image of its first page, null where there is none. pages: issue_id, page_no, image_path."""
+    own = ads.withColumn("page_no", F.get("pages", F.lit(0)))
+    return own.join(pages.select("issue_id", "page_no", F.nullif("image_path", F.lit("")).alias("image_path")), ["issue_id", "page_no"], "left")
+
+
 def decided(ads: DataFrame, decisions: DataFrame) -> DataFrame:
     """Applies decisions by (issue_id, adv_idx): the last given value of each field, any drop; indexes that aren't there vanish."""
     last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"__{c}") for c in FIELDS]

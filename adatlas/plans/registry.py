@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from adatlas.operators import quality as Q
 from adatlas.operators import report as R
 from adatlas.operators import review as V
 from adatlas.plans import views as P
+from adatlas.sources import sinks as K
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -80,7 +82,20 @@ def document_mentions(spark, sf_dir):
     return D.mentions(pages).select("issue_id", "page_no", F.col("match_idx").cast("long").alias("match_idx"), "root", "key", "ad_like", "email", "phone")
 
 
-@query("j4_consolidated_brands")
+NEAR = "list_has_any(k.pages, x[1].pages) AND (starts_with(lower(k.brand), lower(x[1].brand)) OR starts_with(lower(x[1].brand), lower(k.brand)))"
+JOINED = f"""struct_pack(key := k.key, brand := CASE WHEN length(x[1].brand) < length(k.brand) THEN x[1].brand ELSE k.brand END, pages := list_sort(list_distinct(list_concat(k.pages, x[1].pages))),
+  website := CASE WHEN length(x[1].brand) < length(k.brand) THEN coalesce(nullif(x[1].website, ''), k.website) ELSE coalesce(nullif(k.website, ''), x[1].website) END, email := coalesce(nullif(k.email, ''), x[1].email), phone := coalesce(nullif(k.phone, ''), x[1].phone),
+  confidence := greatest(k.confidence, x[1].confidence), notes := k.notes || '{D.MERGED_NOTE}')"""
+#: The fold over all brands of an issue, as it is stated: no roots, no neighbours.
+CONSOLIDATED_SQL = f"""
+WITH b AS (SELECT issue_id, key, array_to_string(list_transform(string_split(key, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS brand, list_transform(string_split(pages, ','), lambda p: p::INT) AS pages, website, email, phone, confidence, notes FROM ({BRANDS_SQL})),
+g AS (SELECT issue_id, list([struct_pack(key := key, brand := brand, pages := pages, website := website, email := email, phone := phone, confidence := confidence, notes := notes)] ORDER BY confidence DESC, brand) AS l FROM b GROUP BY issue_id),
+f AS (SELECT issue_id, list_reduce(l, lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: {NEAR})) = 0 THEN list_concat(kept, x)
+  ELSE list_transform(kept, lambda k, i: CASE WHEN i = list_position(list_transform(kept, lambda k: {NEAR}), true) THEN {JOINED} ELSE k END) END) AS kept FROM g)
+SELECT issue_id, k.key AS key, k.brand AS brand, array_to_string(k.pages, ',') AS pages, k.website AS website, k.email AS email, k.phone AS phone, k.confidence AS confidence, k.notes AS notes FROM (SELECT issue_id, unnest(kept) AS k FROM f)"""
+
+
+@query("j4_consolidated_brands", CONSOLIDATED_SQL)
 def consolidated_brands(spark, sf_dir):
     return D.detected(P.ad_pages(spark, sf_dir)).select("issue_id", "key", "brand", text_list("pages"), "website", "email", "phone", "confidence", "notes")
 
@@ -95,9 +110,9 @@ def sector_groups(spark, sf_dir):
     return P.app(spark, sf_dir).select("sector").distinct().select("sector", X.sector_group(F.col("sector")).alias("sector_group"))
 
 
-@query("f18_percent_and_band", f"SELECT DISTINCT confidence, round_even(confidence * 100, 0)::INT || '%' AS pct, CASE WHEN confidence >= 0.75 THEN 'alta' WHEN confidence >= 0.5 THEN 'media' ELSE 'baja' END AS band FROM ({P.APP_SQL}) WHERE confidence >= 0.3")
+@query("f18_percent_and_band", f"SELECT DISTINCT confidence, round_even(confidence * 100, 0)::INT || '%' AS pct, CASE WHEN confidence >= 0.75 THEN 'alta' WHEN confidence >= 0.5 THEN 'media' ELSE 'baja' END AS band FROM ({P.APP_SQL})")
 def percent_and_band(spark, sf_dir):
-    own = P.app(spark, sf_dir).where("confidence >= 0.3").select("confidence").distinct()
+    own = P.app(spark, sf_dir).select("confidence").distinct()
     return own.select("confidence", X.percent(F.col("confidence")).alias("pct"), X.confidence_band(F.col("confidence")).alias("band"))
 
 
@@ -181,19 +196,17 @@ def merged_brands(spark, sf_dir):
 
 
 def ranked_sql(name: str = "brand") -> str:
-    return f"SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY confidence DESC, {name}, key) AS adv_no FROM ({MERGED_SQL})"
+    return f"SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY confidence DESC, {name}) AS adv_no FROM ({MERGED_SQL})"
 
 
-@query("w3_export_order", f"SELECT issue_id, key, brand, confidence, adv_no FROM ({ranked_sql()}) QUALIFY count(*) OVER (PARTITION BY issue_id, confidence, brand) = 1")
+@query("w3_export_order", f"SELECT issue_id, key, brand, confidence, adv_no FROM ({ranked_sql()})")
 def export_order(spark, sf_dir):
-    own = R.indexed(merged_ads(spark, sf_dir)).withColumn("twins", F.count("*").over(P_issue_brand()))
-    return own.where("twins = 1").select("issue_id", "key", "brand", "confidence", "adv_no")
+    return R.indexed(merged_ads(spark, sf_dir)).select("issue_id", "key", "brand", "confidence", "adv_no")
 
 
-def P_issue_brand():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("issue_id", "confidence", "brand")
+@query("l2_reviewed_order", f"SELECT issue_id, key, adv_no FROM ({ranked_sql('lower(brand)')})")
+def reviewed_order(spark, sf_dir):
+    return R.indexed(merged_ads(spark, sf_dir), reviewed=True).select("issue_id", "key", "adv_no")
 
 
 def numbered_ads(spark, sf_dir):
@@ -213,9 +226,31 @@ def key_figures(spark, sf_dir):
     return R.key_figures(merged_ads(spark, sf_dir))
 
 
-@query("k4_summary_rows", f"SELECT issue_id, label, value FROM (UNPIVOT (SELECT issue_id, count(*) AS total, count(*) FILTER (website <> '') AS with_web, count(*) FILTER (email <> '' OR phone <> '') AS with_contact FROM ({MERGED_SQL}) GROUP BY ALL) ON total, with_web, with_contact INTO NAME label VALUE value)")
+#: What is known of each issue's analysis: some pages are missing, some partly analysed.
+META_SQL = f"""SELECT *, CASE WHEN len(paginas_no_analizadas) > 0 THEN list_transform(paginas_no_analizadas, lambda p: [p, p + 1]) END AS pliegos_fallidos, list_transform(paginas_parciales, lambda p: [p]) AS pliegos_parciales FROM (
+  SELECT issue_id, min(titulo) AS titulo, min(numero) AS numero, CASE WHEN issue_id % 5 > 0 THEN 'http://r.example/' || issue_id END AS url, CASE WHEN issue_id % 2 = 0 THEN 'ia' END AS modo, min(shipped) AS fecha, count(DISTINCT page_no) AS paginas,
+    CASE issue_id % 3 WHEN 0 THEN 'parcial' WHEN 1 THEN '' END AS estado, CASE WHEN issue_id % 4 = 0 THEN 'fallido' END AS estado_analisis,
+    list_sort(list_distinct(coalesce(list(page_no) FILTER (flag = 'R' AND o2 = 6), []))) AS paginas_no_analizadas, list_sort(list_distinct(coalesce(list(page_no) FILTER (flag = 'A' AND o2 = 7), []))) AS paginas_parciales FROM ({P.APP_SQL}) GROUP BY issue_id)"""
+STATE_SQL = "coalesce(nullif(estado, ''), nullif(estado_analisis, ''), 'completo')"
+
+
+def issue_meta(spark, sf_dir):
+    own, i = P.app(spark, sf_dir), F.col("issue_id")
+    pages = lambda flag, line: F.array_sort(F.collect_set(F.when((F.col("flag") == flag) & (F.col("o2") == line), F.col("page_no"))))
+    own = own.groupBy("issue_id").agg(F.min("titulo").alias("titulo"), F.min("numero").alias("numero"), F.min("shipped").alias("fecha"), F.count_distinct("page_no").alias("paginas"), pages("R", 6).alias("paginas_no_analizadas"), pages("A", 7).alias("paginas_parciales"))
+    own = own.withColumns({"url": F.when(i % 5 > 0, F.concat(F.lit("http://r.example/"), i.cast("string"))), "modo": F.when(i % 2 == 0, "ia"), "estado": F.when(i % 3 == 0, "parcial").when(i % 3 == 1, ""), "estado_analisis": F.when(i % 4 == 0, "fallido")})
+    return own.withColumns({"pliegos_fallidos": F.when(F.size("paginas_no_analizadas") > 0, F.transform("paginas_no_analizadas", lambda p: F.array(p, p + 1))), "pliegos_parciales": F.transform("paginas_parciales", lambda p: F.array(p))})
+
+
+SPREADS_SQL = "CASE WHEN len({0}) > 0 THEN array_to_string(list_transform({0}, lambda s: array_to_string(s, '+')), ', ') END"
+SUMMARY_SQL = ", ".join(f"{{'place': {k}, 'label': '{label}', 'value': {value}}}" for k, (label, value) in enumerate(zip(R.SUMMARY, [
+    "coalesce(titulo, '—')", "coalesce(url, '—')", "coalesce(modo, '—')", "strftime(fecha, '%d/%m/%Y %H:%M')", "paginas::VARCHAR", f"upper({STATE_SQL})", "''", "coalesce(total, 0)::VARCHAR", "coalesce(with_web, 0)::VARCHAR", "coalesce(with_contact, 0)::VARCHAR",
+    SPREADS_SQL.format("pliegos_fallidos"), SPREADS_SQL.format("pliegos_parciales")]), 1))
+
+
+@query("k4_summary_rows", f"WITH m AS ({META_SQL}), k AS (SELECT issue_id, count(*) AS total, count(*) FILTER (website <> '') AS with_web, count(*) FILTER (email <> '' OR phone <> '') AS with_contact FROM ({MERGED_SQL}) GROUP BY ALL), r AS (SELECT m.issue_id, unnest([{SUMMARY_SQL}]) AS r FROM m LEFT JOIN k ON m.issue_id = k.issue_id) SELECT issue_id, r.place AS place, r.label AS label, r.value AS value FROM r WHERE r.value IS NOT NULL")
 def summary_rows(spark, sf_dir):
-    return R.summary_rows(merged_ads(spark, sf_dir))
+    return R.summary_rows(merged_ads(spark, sf_dir), issue_meta(spark, sf_dir))
 
 
 @query("k3_appearances", f"SELECT issue_id, 'job-' || issue_id || ':a' || CASE WHEN adv_no < 10000 THEN lpad(adv_no::VARCHAR, 4, '0') ELSE adv_no::VARCHAR END || ':p' || lpad(page::VARCHAR, 4, '0') AS appearance_id, brand, page, confidence, website, phone FROM (SELECT *, unnest(pages) AS page FROM ({NUMBERED_SQL}))")
@@ -225,31 +260,56 @@ def appearances(spark, sf_dir):
     return R.appearances(ads, meta).select("issue_id", "appearance_id", "brand", "page", "confidence", "website", "phone")
 
 
+#: Each issue's publication; some are called like a brand in it, some have no name.
+TITLES_SQL = f"SELECT issue_id, CASE issue_id % 3 WHEN 0 THEN min(brand) || ' Magazine' WHEN 1 THEN max(brand) END AS titulo FROM ({MERGED_SQL}) GROUP BY issue_id"
 FLAG_SQL = f"""
-WITH n AS (SELECT *, {P.norm_sql('brand')} AS norm FROM ({MERGED_SQL})), d AS (SELECT DISTINCT issue_id, norm FROM n),
+WITH n AS (SELECT *, {P.norm_sql('brand')} AS norm FROM ({MERGED_SQL})), d AS (SELECT DISTINCT issue_id, norm FROM n), t AS (SELECT issue_id, {P.norm_sql("coalesce(titulo, '')")} AS mag FROM ({TITLES_SQL})),
 v AS (SELECT DISTINCT a.issue_id, a.norm FROM d a JOIN d b ON a.issue_id = b.issue_id AND a.norm <> b.norm AND b.norm <> '' AND (starts_with(a.norm, b.norm) OR starts_with(b.norm, a.norm)))
-SELECT n.issue_id, n.key, array_to_string(list_filter([CASE WHEN confidence < 0.70 THEN 'low_conf' END, CASE WHEN n.norm <> '' AND (contains('steel', n.norm) OR contains(n.norm, 'steel')) THEN 'magazine' END,
+SELECT n.issue_id, n.key, array_to_string(list_filter([CASE WHEN confidence < 0.70 THEN 'low_conf' END, CASE WHEN mag <> '' AND n.norm <> '' AND (contains(mag, n.norm) OR contains(n.norm, mag)) THEN 'magazine' END,
   CASE WHEN length(regexp_replace(n.norm, '[^a-z0-9]', '', 'g')) < 3 THEN 'short' END, CASE WHEN regexp_matches(brand, '[^\\w\\s&''\\-.]') THEN 'weird' END, CASE WHEN v.norm IS NOT NULL THEN 'variant' END], lambda x: x IS NOT NULL), ',') AS reasons
-FROM n LEFT JOIN v ON n.issue_id = v.issue_id AND n.norm = v.norm"""
+FROM n JOIN t ON n.issue_id = t.issue_id LEFT JOIN v ON n.issue_id = v.issue_id AND n.norm = v.norm"""
+
+
+def flagged_ads(spark, sf_dir):
+    ads, i = merged_ads(spark, sf_dir), F.col("issue_id")
+    return V.flagged(ads, ads.groupBy("issue_id").agg(F.when(i % 3 == 0, F.concat(F.min("brand"), F.lit(" Magazine"))).when(i % 3 == 1, F.max("brand")).alias("titulo")))
 
 
 @query("f23_review_reasons", FLAG_SQL)
 def review_reasons(spark, sf_dir):
-    return V.flagged(merged_ads(spark, sf_dir), title="Steel").select("issue_id", "key", F.array_join("review_reasons", ",").alias("reasons"))
+    return flagged_ads(spark, sf_dir).select("issue_id", "key", F.array_join("review_reasons", ",").alias("reasons"))
+
+
+#: The state of each issue's analysis, as its source tells it: partial where a page failed.
+STATES_SQL = f"SELECT issue_id, CASE WHEN count(*) FILTER (flag = 'R' AND o2 = 7) > 0 THEN 'parcial' ELSE 'completo' END AS estado FROM ({P.APP_SQL}) GROUP BY issue_id"
+
 
+def states(spark, sf_dir):
+    own = P.app(spark, sf_dir).groupBy("issue_id").agg(F.count_if((F.col("flag") == "R") & (F.col("o2") == 7)).alias("bad"))
+    return own.select("issue_id", F.when(F.col("bad") > 0, "parcial").otherwise("completo").alias("estado"))
 
-@query("p5_review_queue", f"SELECT issue_id, count(*) AS n FROM ({FLAG_SQL}) WHERE reasons <> '' OR issue_id % 3 = 0 GROUP BY ALL")
+
+@query("p5_review_queue", f"SELECT issue_id, count(*) AS n FROM ({FLAG_SQL}) JOIN ({STATES_SQL}) USING (issue_id) WHERE reasons <> '' OR estado = 'parcial' GROUP BY ALL")
 def review_queue(spark, sf_dir):
-    ads = V.flagged(merged_ads(spark, sf_dir), title="Steel")
-    cover = ads.select("issue_id").distinct().withColumn("estado", F.when(F.col("issue_id") % 3 == 0, "parcial").otherwise("completo"))
-    return V.review_queue(ads, cover).groupBy("issue_id").agg(F.count("*").alias("n"))
+    return V.review_queue(flagged_ads(spark, sf_dir), states(spark, sf_dir)).groupBy("issue_id").agg(F.count("*").alias("n"))
 
 
-@query("p6_export_gate", f"SELECT issue_id, count(*) AS total, count(*) FILTER (reasons <> '') AS flagged, CASE WHEN count(*) FILTER (reasons <> '') = 0 AND issue_id % 3 <> 0 THEN 'auto' ELSE 'review' END AS gate FROM ({FLAG_SQL}) GROUP BY issue_id")
+@query("p6_export_gate", f"SELECT issue_id, count(*) AS total, count(*) FILTER (reasons <> '') AS flagged, CASE WHEN count(*) FILTER (reasons <> '') = 0 AND estado = 'completo' THEN 'auto' ELSE 'review' END AS gate FROM ({FLAG_SQL}) JOIN ({STATES_SQL}) USING (issue_id) GROUP BY issue_id, estado")
 def export_gate(spark, sf_dir):
-    ads = V.flagged(merged_ads(spark, sf_dir), title="Steel")
-    cover = ads.select("issue_id").distinct().withColumn("estado", F.when(F.col("issue_id") % 3 == 0, "parcial").otherwise("completo"))
-    return V.export_gate(ads, cover).select("issue_id", "total", "flagged", "gate")
+    return V.export_gate(flagged_ads(spark, sf_dir), states(spark, sf_dir)).select("issue_id", "total", "flagged", "gate")
+
+
+@query("p13_review_items", f"SELECT issue_id, adv_no AS adv_idx, brand, website, confidence, array_to_string(pages, ',') AS pages, CASE WHEN confidence < 0.7 THEN 'low_conf' ELSE '' END AS review_flag, CASE WHEN confidence < 0.7 THEN 'Confianza baja' ELSE '' END AS review_label FROM ({NUMBERED_SQL})")
+def review_items(spark, sf_dir):
+    ads = numbered_ads(spark, sf_dir).withColumnRenamed("adv_no", "adv_idx").withColumn("review_reasons", F.when(F.col("confidence") < 0.7, F.array(F.lit("low_conf"))))
+    return V.review_items(ads).select("issue_id", "adv_idx", "brand", "website", "confidence", text_list("pages"), "review_flag", "review_label")
+
+
+@query("j8_first_pages", f"SELECT issue_id, key, pages[1] AS page_no, CASE WHEN pages[1] % 6 > 0 AND pages[1] IN (SELECT page_no FROM ({P.PAGES_SQL}) q WHERE q.issue_id = m.issue_id) THEN 'img/' || issue_id || '/' || pages[1] || '.jpg' END AS image_path FROM ({MERGED_SQL}) m")
+def first_pages(spark, sf_dir):
+    path = F.when(F.col("page_no") % 6 > 0, F.concat(F.lit("img/"), F.col("issue_id").cast("string"), F.lit("/"), F.col("page_no").cast("string"), F.lit(".jpg"))).otherwise("")
+    pages = P.app(spark, sf_dir).select("issue_id", "page_no").distinct().withColumn("image_path", path)
+    return V.first_page(merged_ads(spark, sf_dir), pages).select("issue_id", "key", "page_no", "image_path")
 
 
 @query("f24_partial_marks", f"SELECT issue_id, key, CASE WHEN issue_id % 5 = 0 OR list_has_any(pages, [3, 7]) THEN 'partial_analysis' ELSE '' END AS reasons FROM ({MERGED_SQL})")
@@ -296,14 +356,15 @@ def validated_answers(spark, sf_dir):
 
 @query("a7_usage_cost", f"SELECT issue_id, sum(o1)::BIGINT AS input, sum(o3)::BIGINT AS output, round(sum(o1 * CASE WHEN o2 % 2 = 0 THEN 3.0 ELSE 2.0 END + o3 * CASE WHEN o2 % 2 = 0 THEN 15.0 ELSE 10.0 END) / 1e6, 6)::DOUBLE AS cost_usd, round(sum(CASE WHEN o2 % 3 <> 0 THEN o1 * CASE WHEN o2 % 2 = 0 THEN 3.0 ELSE 2.0 END + o3 * CASE WHEN o2 % 2 = 0 THEN 15.0 ELSE 10.0 END ELSE 0 END) / 1e6, 6)::DOUBLE AS new_usd FROM ({P.APP_SQL}) GROUP BY ALL")
 def usage_cost(spark, sf_dir):
-    own = P.app(spark, sf_dir).select("issue_id", F.when(F.col("o2") % 2 == 0, "previous").otherwise("unknown").alias("model"), F.col("o1").alias("input"), F.col("o3").alias("output"), F.lit(0).alias("cache_write"), F.lit(0).alias("cache_read"), (F.col("o2") % 3 == 0).alias("resumed"))
-    return A.usage_cost(own).select("issue_id", "input", "output", F.round("cost_usd", 6).alias("cost_usd"), F.round("new_usd", 6).alias("new_usd"))
+    own = P.app(spark, sf_dir).select("issue_id", F.when(F.col("o2") % 2 == 0, "model-b").when(F.col("o2") % 3 == 0, "model-a").otherwise("unknown").alias("model"), F.col("o1").alias("input"), F.col("o3").alias("output"), F.lit(0).alias("cache_write"), F.lit(0).alias("cache_read"), (F.col("o2") % 3 == 0).alias("resumed"))
+    rates = spark.createDataFrame([("model-a", 2.0, 10.0, 2.5, 0.2), ("model-b", 3.0, 15.0, 3.75, 0.3)], ["model", *A.USAGE])
+    return A.usage_cost(own, rates, "model-a").select("issue_id", "input", "output", F.round("cost_usd", 6).alias("cost_usd"), F.round("new_usd", 6).alias("new_usd"))
 
 
 @query("j6_spreads_to_do", f"SELECT issue_id, count(DISTINCT spread_no) AS n FROM (SELECT issue_id, ((row_number() OVER (PARTITION BY issue_id ORDER BY page_no)) // 2)::INT AS spread_no FROM (SELECT DISTINCT issue_id, page_no FROM ({P.APP_SQL}))) WHERE spread_no % 4 IN (1, 3) GROUP BY issue_id")
 def spreads_to_do(spark, sf_dir):
     pages = P.ad_pages(spark, sf_dir).withColumn("image_sha", F.lit("i"))
-    wanted = A.signature(pages, "m", "p", "s").cache()
+    wanted = A.signature(pages, "m", "p", "s")
     kinds = wanted.withColumn("k", F.col("spread_no") % 4).where("k < 3")
     kept = kinds.select("signature", F.when(F.col("k") == 0, 2).otherwise(1).alias("version"), (F.col("k") == 1).alias("partial"))
     return A.resume(wanted, kept)[1].groupBy("issue_id").agg(F.count("*").alias("n"))
@@ -324,15 +385,15 @@ def coverage(spark, sf_dir):
 def source_tables(spark, sf_dir):
     rows = P.app(spark, sf_dir)
     sources = rows.select("issue_id").distinct().select("issue_id", F.when(F.col("issue_id") % 4 == 0, "pdf").otherwise("images").alias("kind"), F.lit(None).cast("string").alias("viewer"), F.when(F.col("issue_id") % 4 == 1, 50).alias("expected_pages"), F.lit(False).alias("local_pdf"))
-    pages = rows.where("flag <> 'R' and o2 < 4").select("issue_id", "page_no").distinct()
-    manifest = rows.where("o2 < 4").select("issue_id", F.col("page_no").alias("page_number"), F.when(F.col("flag") == "R", "failed").otherwise("ok").alias("status"))
+    pages = rows.where("flag <> 'R'").select("issue_id", "page_no").distinct()
+    manifest = rows.select("issue_id", F.col("page_no").alias("page_number"), F.when(F.col("flag") == "R", "failed").otherwise("ok").alias("status"))
     return sources, pages, manifest
 
 
 @query("a9_checked_sources", f"""
 WITH a AS ({P.APP_SQL}), s AS (SELECT DISTINCT issue_id, CASE WHEN issue_id % 4 = 0 THEN 'pdf' ELSE 'images' END AS kind, CASE WHEN issue_id % 4 = 1 THEN 50 END AS declared FROM a),
-p AS (SELECT issue_id, list_sort(list_distinct(list(page_no))) AS have FROM a WHERE flag <> 'R' AND o2 < 4 GROUP BY issue_id),
-m AS (SELECT issue_id, coalesce(list_distinct(list(page_no) FILTER (flag <> 'R')), []) AS ok, coalesce(list_distinct(list(page_no) FILTER (flag = 'R')), []) AS bad, min(page_no) AS low, max(page_no) AS high FROM a WHERE o2 < 4 GROUP BY issue_id),
+p AS (SELECT issue_id, list_sort(list_distinct(list(page_no))) AS have FROM a WHERE flag <> 'R' GROUP BY issue_id),
+m AS (SELECT issue_id, coalesce(list_distinct(list(page_no) FILTER (flag <> 'R')), []) AS ok, coalesce(list_distinct(list(page_no) FILTER (flag = 'R')), []) AS bad, min(page_no) AS low, max(page_no) AS high FROM a GROUP BY issue_id),
 e AS (SELECT s.issue_id, kind, declared, coalesce(have, []) AS have, len(coalesce(have, []))::INT AS n, list_sort(list_filter(coalesce(bad, []), lambda x: NOT list_contains(ok, x))) AS failed, CASE WHEN kind = 'pdf' THEN len(coalesce(have, [])) WHEN declared IS NOT NULL THEN declared WHEN low = 1 THEN high END::INT AS expected FROM s LEFT JOIN p ON s.issue_id = p.issue_id LEFT JOIN m ON s.issue_id = m.issue_id),
 f AS (SELECT *, list_filter(range(1, coalesce(expected, 0) + 1), lambda x: NOT list_contains(have, x)) AS missing FROM e)
 SELECT issue_id, expected AS expected_pages, n AS obtained_pages, array_to_string(missing, ',') AS missing_pages, array_to_string(failed, ',') AS failed_pages, kind = 'pdf' OR declared IS NOT NULL AS completeness_known, CASE WHEN n = 0 OR len(missing) > 0 OR len(failed) > 0 THEN 'incompleta' ELSE 'lista' END AS status,
@@ -342,15 +403,15 @@ def checked_sources(spark, sf_dir):
     return own.select("issue_id", "expected_pages", "obtained_pages", text_list("missing_pages"), F.array_join(F.array_sort("failed_pages").cast("array<string>"), ",").alias("failed_pages"), "completeness_known", "status", F.array_join("blocking_reasons", "|").alias("reasons"))
 
 
-@query("p8_reusable_sources", f"WITH a AS ({P.APP_SQL}) SELECT issue_id, issue_id % 4 = 0 OR (count(*) FILTER (flag = 'R' AND o2 < 4) = 0 AND (issue_id % 4 <> 1 OR count(DISTINCT page_no) FILTER (flag <> 'R' AND o2 < 4) >= 50)) AS reusable FROM a GROUP BY issue_id")
+@query("p8_reusable_sources", f"WITH a AS ({P.APP_SQL}) SELECT issue_id, issue_id % 4 = 0 OR (count(*) FILTER (flag = 'R') = 0 AND (issue_id % 4 <> 1 OR count(DISTINCT page_no) FILTER (flag <> 'R') >= 50)) AS reusable FROM a GROUP BY issue_id")
 def reusable_sources(spark, sf_dir):
     sources, _, manifest = source_tables(spark, sf_dir)
     return Q.reusable(sources.withColumn("n_paths", F.lit(1)), manifest).select("issue_id", "reusable")
 
 
-@query("a11_duplicate_pages", f"SELECT issue_id, page_no, count(*) AS n FROM ({P.APP_SQL}) WHERE o2 = 1 GROUP BY ALL HAVING count(*) > 1")
+@query("a11_duplicate_pages", f"SELECT issue_id, page_no, count(*) AS n FROM ({P.APP_SQL}) GROUP BY ALL HAVING count(*) > 1")
 def duplicate_pages(spark, sf_dir):
-    return Q.duplicate_numbers(P.app(spark, sf_dir).where("o2 = 1").select("issue_id", "page_no"))
+    return Q.duplicate_numbers(P.app(spark, sf_dir).select("issue_id", "page_no"))
 
 
 NUMBER_SQL = r"coalesce(try_cast(nullif(nullif(regexp_extract(url, '[?&]page=(\d+)', 1), ''), '0') AS INT), try_cast(nullif(regexp_extract(url, '[?&]p=(\d+)(?:&|#|$)', 1), '') AS INT), try_cast(nullif(list_last(regexp_extract_all(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''), '(?i)(?:page|pagina|slide|p)[_\-/]*(\d+)', 1)), '') AS INT), try_cast(nullif(list_last(regexp_extract_all(list_last(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''), '/')), '(\d+)', 1)), '') AS INT))"
@@ -361,9 +422,9 @@ def page_numbers(spark, sf_dir):
     return P.table(spark, sf_dir, "pages").select("page_id", U.page_number(F.col("url")).alias("page_number"), U.safe_source(F.col("url")).alias("source_url"))
 
 
-@query("l7_image_order", f"SELECT page_id, page_id % 7 AS issue_id, row_number() OVER (PARTITION BY page_id % 7 ORDER BY n IS NULL, coalesce(n, 0), lower(url), page_id) AS image_rank FROM (SELECT *, {NUMBER_SQL} AS n FROM (SELECT page_id, url || '#' || page_id AS url FROM pages))")
+@query("l7_image_order", f"SELECT page_id, page_id // 48 AS issue_id, row_number() OVER (PARTITION BY page_id // 48 ORDER BY n IS NULL, coalesce(n, 0), lower(url), page_id) AS image_rank FROM (SELECT *, {NUMBER_SQL} AS n FROM (SELECT page_id, url || '#' || page_id AS url FROM pages))")
 def image_order(spark, sf_dir):
-    own = P.table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 7).alias("issue_id"), F.concat_ws("#", "url", "page_id").alias("url"))
+    own = P.table(spark, sf_dir, "pages").select("page_id", F.expr("page_id div 48").alias("issue_id"), F.concat_ws("#", "url", "page_id").alias("url"))
     return M.image_order(own).select("page_id", "issue_id", "image_rank")
 
 
@@ -401,13 +462,16 @@ def job_ids(spark, sf_dir):
 
 @query("p4_confident", f"SELECT issue_id, count(*) AS n FROM ({P.APP_SQL}) WHERE confidence >= 0.7 GROUP BY ALL")
 def confident(spark, sf_dir):
-    return P.app(spark, sf_dir).where("confidence >= 0.7").groupBy("issue_id").agg(F.count("*").alias("n"))
+    return V.confident(P.app(spark, sf_dir), 0.7).groupBy("issue_id").agg(F.count("*").alias("n"))
+
+
+WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
-@query("p1_best_text", "SELECT doc_id, CASE WHEN length(trim(left(text, 40))) > 30 THEN left(text, 40) WHEN doc_id % 2 = 0 THEN 'read' ELSE left(text, 40) END AS text FROM documents WHERE regexp_matches(left(text, 40), '^[A-Za-z .,]*$')")
+@query("p1_best_text", f"SELECT doc_id, CASE WHEN length(regexp_replace(coalesce(text, ''), '^{WHITE}|{WHITE}$', '', 'g')) > 30 THEN text WHEN doc_id % 2 = 0 THEN 'read' ELSE coalesce(text, '') END AS text FROM documents")
 def best_text(spark, sf_dir):
-    own = P.table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(40)).alias("embedded")).where(F.col("embedded").rlike("^[A-Za-z .,]*$"))
-    return own.select("doc_id", X.best_text(F.col("embedded"), F.when(F.col("doc_id") % 2 == 0, "read").otherwise("")).alias("text"))
+    own = P.table(spark, sf_dir, "documents")
+    return own.select("doc_id", X.best_text(F.col("text"), F.when(F.col("doc_id") % 2 == 0, "read").otherwise("")).alias("text"))
 
 
 @query("a15_review_counts", f"SELECT issue_id, count(*) FILTER (adv_no % 5 = 2) AS kept, count(*) FILTER (adv_no % 5 = 1) AS dropped, count(*) FILTER (adv_no % 5 NOT IN (1, 2)) AS pending FROM ({NUMBERED_SQL}) GROUP BY ALL")
@@ -417,21 +481,44 @@ def review_counts(spark, sf_dir):
     return V.review_counts(ads, base.withColumn("state", F.when((F.col("seq") == 2) & (F.col("adv_idx") % 5 == 1), "drop").otherwise("keep")))
 
 
-@query("k1_csv_rows", f"SELECT issue_id, brand, array_to_string(pages, ', ') AS pages, round_even(confidence * 100, 0)::INT || '%' AS confidence, phone FROM ({NUMBERED_SQL}) WHERE confidence >= 0.3")
+CSV_SQL = f"""SELECT a.issue_id, brand AS Marca, sector AS Sector, array_to_string(pages, ', ') AS Paginas, website AS Web, email AS Email, phone AS Telefono, ad_size AS "Tamano anuncio", round_even(confidence * 100, 0)::INT || '%' AS Confianza, 'ia' AS Metodo, '' AS Notas, {STATE_SQL} AS "Estado analisis",
+  array_to_string(list_filter([CASE WHEN len(paginas_no_analizadas) > 0 THEN 'no analizadas: ' || array_to_string(paginas_no_analizadas, ', ') END, CASE WHEN len(paginas_parciales) > 0 THEN 'respuesta parcial: ' || array_to_string(paginas_parciales, ', ') END], lambda x: x IS NOT NULL), '; ') AS Cobertura
+  FROM ({NUMBERED_SQL}) a JOIN ({META_SQL}) m ON a.issue_id = m.issue_id"""
+
+
+@query("k1_csv_rows", CSV_SQL)
 def csv_rows(spark, sf_dir):
-    from adatlas.sources import sinks
+    return K.csv_rows(numbered_ads(spark, sf_dir), issue_meta(spark, sf_dir))
+
+
+def shared_folder(spark) -> str:
+    """A new folder for what a query writes and reads again: beside the checkpoints, else in the warehouse."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/written-{uuid.uuid4().hex}"
+
+
+@query("k11_exported", f"SELECT issue_id, count(*) AS n, count(DISTINCT Marca) AS brands, max(Cobertura) AS coverage FROM ({CSV_SQL}) WHERE replace(Confianza, '%', '')::INT >= 40 GROUP BY issue_id")
+def exported(spark, sf_dir):
+    root, meta = shared_folder(spark), issue_meta(spark, sf_dir).withColumns({"job_id": F.lit("job"), "coste_usd": F.lit(None).cast("double")})
+    K.export_results(numbered_ads(spark, sf_dir).withColumn("review_reasons", F.array().cast("array<string>")), meta, root, "e1", min_confidence=0.4)
+    return spark.read.parquet(f"{root}/e1/csv").groupBy("issue_id").agg(F.count("*").alias("n"), F.count_distinct("Marca").alias("brands"), F.max("Cobertura").alias("coverage"))
 
-    ads = numbered_ads(spark, sf_dir).where("confidence >= 0.3").withColumn("review_reasons", F.array().cast("array<string>"))
-    return sinks.csv_rows(ads).select("issue_id", "brand", "pages", "confidence", "phone")
+
+@query("k6_saved_library", f"SELECT issue_id, canonical, sector_group, count(*) AS n FROM ({P.ADS_SQL}) GROUP BY ALL")
+def saved_library(spark, sf_dir):
+    root, ads = shared_folder(spark), P.app(spark, sf_dir)
+    meta = ads.groupBy("issue_id").agg(F.min("titulo").alias("titulo"), F.lit("12").alias("paginas"), F.lit(0.0).alias("coste_usd"))
+    for rest in (0, 1):  # two runs, each appending its issues
+        L.save(meta.where(F.col("issue_id") % 2 == rest).repartition(4), ads.where(F.col("issue_id") % 2 == rest).repartition(4, "issue_id"), root)
+    back = spark.read.parquet(f"{root}/advertisers")
+    return back.withColumn("issue_id", F.col("issue_id").cast("long")).groupBy("issue_id", "canonical", "sector_group").agg(F.count("*").alias("n"))
 
 
 @query("k2_json_objects", f"SELECT issue_id, string_agg(brand, '|' ORDER BY adv_no) AS brands FROM ({NUMBERED_SQL}) GROUP BY ALL")
 def json_objects(spark, sf_dir):
-    from adatlas.sources import sinks
-
     ads = numbered_ads(spark, sf_dir)
     meta = ads.select("issue_id").distinct().withColumn("titulo", F.lit("Revista"))
-    return sinks.json_objects(ads, meta).select("issue_id", F.array_join(F.transform("anunciantes", lambda a: a.brand), "|").alias("brands"))
+    return K.json_objects(ads, meta).select("issue_id", F.array_join(F.transform("anunciantes", lambda a: a.brand), "|").alias("brands"))
 
 
 @query("f25_issue_labels", f"SELECT issue_id, '#' || CASE WHEN issue_id % 2 = 0 THEN numero ELSE issue_id::VARCHAR END AS n, titulo AS name, n_anunciantes || ' págs · ia' AS sub, strftime(fecha, '%Y-%m-%d %H:%M') AS date FROM ({P.ISSUES_SQL}) WHERE contains(lower(titulo || '#'), 'rev 1')")
@@ -449,3 +536,131 @@ SELECT issue_id, array_to_string(list_sort(list_distinct(list(page))), ',') AS p
 def partial_pages(spark, sf_dir):
     answers = A.parsed(responses(spark, sf_dir))
     return A.partial_pages(A.validated(answers), answers).select("issue_id", text_list("partial_pages"))
+
+
+@query("s9_listed_issues", f"SELECT issue_id, titulo, n_anunciantes FROM ({P.ISSUES_SQL})")
+def listed_issues(spark, sf_dir):
+    return L.listed_issues(P.issues(stored(spark, sf_dir))).select("issue_id", "titulo", "n_anunciantes")
+
+
+@query("l4_listed_advertisers", f"SELECT issue_id, brand, row_number() OVER (PARTITION BY issue_id ORDER BY brand) AS place FROM ({P.ADS_SQL})")
+def listed_advertisers(spark, sf_dir):
+    return L.listed_advertisers(stored(spark, sf_dir)).select("issue_id", "brand", "place")
+
+
+@query("p12_library_view", f"SELECT issue_id, brand, coalesce(sector, '') AS sector, count(*) AS n FROM ({P.APP_SQL}) GROUP BY ALL")
+def library_view(spark, sf_dir):
+    return L.library_view(P.app(spark, sf_dir)).groupBy("issue_id", "brand", "sector").agg(F.count("*").alias("n"))
+
+
+@query("l5_ordered_share", f"SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY n DESC, sec) AS place FROM (SELECT issue_id, coalesce(nullif(trim(sector_group), ''), 'Sin sector') AS sec, count(*) AS n FROM ({P.ADS_SQL}) GROUP BY ALL)")
+def ordered_share(spark, sf_dir):
+    return L.ordered_share(L.share_of_voice(stored(spark, sf_dir)))
+
+
+@query("l6_ordered_history", f"SELECT canonical, a.issue_id, brand, rank() OVER (PARTITION BY canonical ORDER BY fecha) AS place FROM (SELECT issue_id, canonical, brand FROM ({LAST_SQL})) a JOIN ({P.ISSUES_SQL}) i ON a.issue_id = i.issue_id")
+def ordered_history(spark, sf_dir):
+    ads = stored(spark, sf_dir)
+    last = L.latest(ads.select("issue_id", "canonical", "brand", *P.ORDER), ["brand", *P.ORDER]).select("issue_id", "canonical", "brand")
+    return L.ordered_history(L.history(last, P.issues(ads).select("issue_id", "fecha"))).select("canonical", "issue_id", "brand", "place")
+
+
+@query("p7_ready_spreads", f"WITH s AS (SELECT *, ((row_number() OVER (PARTITION BY issue_id ORDER BY page_no)) // 2)::INT AS spread_no FROM (SELECT DISTINCT issue_id, page_no FROM ({P.APP_SQL}))), f AS (SELECT issue_id FROM ({P.APP_SQL}) GROUP BY issue_id HAVING count(*) FILTER (flag = 'R' AND o2 = 7) = 0) SELECT issue_id, count(DISTINCT spread_no) AS n FROM s WHERE issue_id IN (FROM f) GROUP BY issue_id")
+def ready_spreads(spark, sf_dir):
+    pages = P.app(spark, sf_dir).select("issue_id", "page_no", F.col("page_no").alias("pos")).distinct()
+    checked = states(spark, sf_dir).select("issue_id", F.when(F.col("estado") == "completo", "lista").otherwise("incompleta").alias("status"))
+    return Q.ready(A.spreads(pages), checked).groupBy("issue_id").agg(F.count_distinct("spread_no").alias("n"))
+
+
+@query("p16_run_metadata", f"SELECT issue_id, CASE WHEN modo = 'ia' THEN 'IA (analisis visual)' ELSE 'Heuristica (modo gratis)' END AS modo, len(pliegos_fallidos)::INT AS failed, CASE WHEN len(pliegos_parciales) > 0 THEN len(pliegos_parciales)::INT END AS partial, CASE WHEN modo = 'ia' THEN paginas * 0.5::DOUBLE END AS coste_usd, CASE WHEN modo = 'ia' THEN 0.0::DOUBLE END AS coste_reanudado_usd, CASE WHEN estado = '' THEN 'sin clave' END AS aviso_fallback, CASE WHEN estado = '' THEN true END AS fallback_heuristica, {STATE_SQL} AS estado_analisis FROM ({META_SQL})")
+def run_metadata(spark, sf_dir):
+    own, ia = issue_meta(spark, sf_dir), F.col("modo") == "ia"
+    runs = own.select("issue_id", "modo", F.when(ia, F.col("paginas") * 0.5).alias("cost_usd"), F.lit(None).cast("double").alias("new_usd"), F.lit(None).cast("double").alias("resumed_usd"), F.lit("").alias("model"), F.lit(0).alias("resumed_spreads"), F.col("pliegos_fallidos").alias("failed_spreads"), F.col("pliegos_parciales").alias("partial_spreads"), F.lit(0).alias("n_invalid"), F.when(F.col("estado") == "", "sin clave").alias("fallback_reason"), R.coverage_state().alias("estado"))
+    count = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
+    return R.run_metadata(runs).select("issue_id", "modo", count("pliegos_fallidos").alias("failed"), count("pliegos_parciales").alias("partial"), "coste_usd", "coste_reanudado_usd", "aviso_fallback", "fallback_heuristica", "estado_analisis")
+
+
+@query("f25_source_summaries", f"WITH s AS (SELECT issue_id, count(*) AS n, max(page_no) AS high FROM (SELECT DISTINCT issue_id, page_no FROM ({P.APP_SQL}) WHERE flag <> 'R') GROUP BY issue_id) SELECT issue_id, CASE WHEN issue_id % 4 = 0 THEN 'PDF' ELSE 'Lector por imagenes (Issuu)' END || ' · ' || CASE issue_id % 4 WHEN 0 THEN n || '/' || n || CASE WHEN high = n THEN ' paginas · lista' ELSE ' paginas · incompleta' END WHEN 1 THEN n || '/50 paginas · incompleta' ELSE n || ' paginas; total no publicado · lista' END AS summary FROM s")
+def source_summaries(spark, sf_dir):
+    sources, pages, _ = source_tables(spark, sf_dir)
+    none = spark.createDataFrame([], "issue_id long, page_number int, status string")
+    checked = Q.checked_source(sources.withColumn("viewer", F.when(F.col("kind") == "images", "Issuu")).join(pages.select("issue_id").distinct(), "issue_id", "left_semi"), pages, none)
+    return checked.select("issue_id", R.source_summary().alias("summary"))
+
+
+@query("s7_declared_totals", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 2 + page_id % 900 WHEN page_id % 3 = 1 THEN 1 + page_id % 900 + 5 END::INT AS total FROM pages")
+def declared_totals(spark, sf_dir):
+    n = F.col("page_id") % 900
+    said = F.when(F.col("page_id") % 3 == 0, (n + 2).cast("string")).when(F.col("page_id") % 3 == 1, F.concat((n + 1).cast("string"), F.lit(" / "), (n + 6).cast("string"))).otherwise("1")
+    return P.table(spark, sf_dir, "pages").select("page_id", U.declared_total(said).cast("int").alias("total"))
+
+
+@query("s11_captured", "SELECT page_id % 100 AS issue_id, page_id, CASE WHEN page_id % 3 = 0 THEN 'pdf' ELSE 'image' END AS resource FROM pages WHERE page_id % 3 < 2")
+def captured(spark, sf_dir):
+    own = P.table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 100).alias("issue_id"), F.concat(F.lit("http://h.example/page-"), F.col("page_id").cast("string")).alias("url"), F.when(F.col("page_id") % 3 == 0, "application/pdf").when(F.col("page_id") % 3 == 1, "image/png").otherwise("text/html").alias("content_type"))
+    return M.captured(own.unionByName(own)).select("issue_id", "page_id", "resource")
+
+
+@query("k10_new_exports", "SELECT DISTINCT source AS export_id FROM documents WHERE source IS NOT NULL AND doc_id % 7 <> 0 AND source NOT IN (SELECT source FROM documents WHERE doc_id % 97 = 0 AND source IS NOT NULL)")
+def new_exports(spark, sf_dir):
+    own = P.table(spark, sf_dir, "documents").where("source is not null").withColumnRenamed("source", "export_id")
+    return K.new_exports(own.where("doc_id % 7 <> 0").select("export_id"), own.where("doc_id % 97 = 0"))
+
+
+@query("k12_new_work", f"SELECT issue_id, count(DISTINCT o1 * 10 + o2) AS n FROM ({P.APP_SQL}) WHERE o3 % 4 > 0 AND concat_ws(':', issue_id, o1 * 10 + o2) NOT IN (SELECT concat_ws(':', issue_id, o1 * 10 + o2) FROM ({P.APP_SQL}) WHERE o3 % 4 = 0) GROUP BY issue_id")
+def new_work(spark, sf_dir):
+    own = P.app(spark, sf_dir).withColumn("signature", F.concat_ws(":", "issue_id", F.col("o1") * 10 + F.col("o2")))
+    return K.new_work(own.where("o3 % 4 > 0"), own.where("o3 % 4 = 0")).groupBy("issue_id").agg(F.count("*").alias("n"))
+
+
+@query("p15_with_fallback", f"SELECT issue_id, brand, issue_id % 2 = 1 AS fallback FROM (SELECT DISTINCT issue_id, brand FROM ({P.APP_SQL}) WHERE (issue_id % 2 = 0) = (flag = 'A'))")
+def with_fallback(spark, sf_dir):
+    own = P.app(spark, sf_dir).select("issue_id", "brand", "flag").distinct()
+    part = lambda flag: own.where(F.col("flag") == flag if flag == "A" else F.col("flag") != "A").select("issue_id", "brand").distinct()
+    return A.with_fallback(part("A").where("issue_id % 2 = 0"), part("other"), own.where("issue_id % 2 = 0"))
+
+
+@query("f17_review_labels", f"SELECT issue_id, adv_no, CASE adv_no % 3 WHEN 0 THEN 'Confianza baja · Posible variante de otra marca' WHEN 1 THEN 'otra' ELSE '' END AS label FROM ({NUMBERED_SQL})")
+def review_labels(spark, sf_dir):
+    n = F.col("adv_no") % 3
+    reasons = F.when(n == 0, F.array(F.lit("low_conf"), F.lit("variant"))).when(n == 1, F.array(F.lit("otra"))).otherwise(F.array().cast("array<string>"))
+    return numbered_ads(spark, sf_dir).select("issue_id", "adv_no", X.review_label(reasons).alias("label"))
+
+
+@query("f26_web_links", f"SELECT issue_id, key, CASE WHEN website = '' THEN '' ELSE 'https://' || website END AS link, left(regexp_replace(brand, '[^A-Za-z0-9_-]', '', 'g'), 32) AS name FROM ({MERGED_SQL})")
+def web_links(spark, sf_dir):
+    return merged_ads(spark, sf_dir).select("issue_id", "key", X.web_link(F.col("website")).alias("link"), X.export_name(F.col("brand")).alias("name"))
+
+
+@query("f29_contract_breaks", f"SELECT issue_id, o1, o2, o3 % 7 = 0 AS bad_page, ad_size NOT IN ('', 'cuarto') AS bad_size FROM ({P.APP_SQL})")
+def contract_breaks(spark, sf_dir):
+    own = P.app(spark, sf_dir).select("issue_id", F.col("o1").alias("spread_no"), F.col("o2").alias("item_idx"), "ad_size", F.when(F.col("o3") % 7 == 0, 99).otherwise(F.col("page_no")).alias("page_no"), F.array("page_no").alias("page_nums"))
+    return A.contract_breaks(own, ["cuarto"]).select("issue_id", F.col("spread_no").alias("o1"), F.col("item_idx").alias("o2"), "bad_page", "bad_size")
+
+
+#: Answers that are cut off, fenced or no JSON at all, of every order line.
+BROKEN_SQL = f"""SELECT issue_id, o1, o2, CASE WHEN o3 % 3 = 2 THEN 0 ELSE 1 + (o3 % 3)::INT END AS n, CASE o3 % 3 WHEN 0 THEN brand WHEN 1 THEN brand || '|Simon' ELSE '' END AS brands, o3 % 3 = 1 AS valid FROM ({P.APP_SQL})"""
+
+
+@query("x1_salvaged_answers", BROKEN_SQL)
+def salvaged_answers(spark, sf_dir):
+    kind, brand = F.col("o3") % 3, F.col("brand")
+    cut = F.concat(F.lit('{"anuncios":[{"marca":"'), brand, F.lit('","nota":"con } llave"},{"marca":"Simon","web":"sim'))
+    fenced = F.concat(F.lit('```json\n{"anuncios":[{"marca":"'), brand, F.lit('"},{"marca":"Simon"}]}\n```'))
+    own = P.app(spark, sf_dir).select("issue_id", "o1", "o2", F.when(kind == 0, cut).when(kind == 1, fenced).otherwise("no soy json {").alias("raw"))
+    got = A.parsed(own)
+    names = F.transform("items", lambda v: F.try_variant_get(v, "$.marca", "string"))
+    return got.select("issue_id", "o1", "o2", F.size("items").alias("n"), F.array_join(names, "|").alias("brands"), "valid")
+
+
+@query("x3_falling_numbers", f"""
+WITH i AS (SELECT issue_id, 61 - (o1 % 60 + 1) AS n, row_number() OVER (PARTITION BY issue_id ORDER BY o1 % 60 + 1, o1, o2, o3, o4, o5) AS idx FROM ({P.APP_SQL})), u AS (SELECT issue_id, n, idx, row_number() OVER (PARTITION BY issue_id, n ORDER BY idx) AS c FROM i)
+SELECT issue_id, count(*) AS n, count(*) FILTER (c = 1) AS own FROM u GROUP BY issue_id""")
+def falling_numbers(spark, sf_dir):
+    from pyspark.sql import Window
+
+    n = F.col("o1") % 60 + 1
+    idx = F.row_number().over(Window.partitionBy("issue_id").orderBy(n, "o1", "o2", "o3", "o4", "o5"))
+    own = P.app(spark, sf_dir).select("issue_id", idx.alias("idx"), (61 - n).alias("n"), F.concat(F.lit("http://a.example/page-"), (61 - n).cast("string"), F.lit(".jpg")).alias("url"), F.md5(F.concat_ws(":", "o1", "o2", "o3", "o4", "o5").cast("binary")).alias("sha256"), F.lit(1).cast("long").alias("bytes"))
+    got = M.numbered(own).groupBy("issue_id").agg(F.count_distinct("page_number").alias("n"))
+    return got.join(own.groupBy("issue_id").agg(F.count_distinct("n").alias("own")), "issue_id")

@@ -6,20 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adatlas.functions import text as X
+from adatlas.operators import library as L
+from adatlas.operators import report as R
+from adatlas.operators import review as V
 
-CSV_COLUMNS = ["brand", "pages", "sector", "ad_size", "website", "email", "phone", "confidence", "method", "notes", "review_flag"]
+# The columns of the CSV export and their headers, in order.
+CSV_COLUMNS = {
+    "brand": "Marca", "sector": "Sector", "pages": "Paginas", "website": "Web", "email": "Email", "phone": "Telefono", "ad_size": "Tamano anuncio",
+    "confidence": "Confianza", "method": "Metodo", "notes": "Notas", "state": "Estado analisis", "coverage": "Cobertura",
+}
 
 
-def csv_rows(ads: DataFrame) -> DataFrame:
-    """Advertisers as text columns: pages joined, confidence in percent."""
-    flag = F.array_join(F.coalesce("review_reasons", F.array().cast("array<string>")), ",")
-    out = ads.withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ", ")).withColumn("confidence", X.percent(F.col("confidence"))).withColumn("review_flag", flag)
-    return out.select("issue_id", *CSV_COLUMNS)
+def csv_rows(ads: DataFrame, meta: DataFrame) -> DataFrame:
+    """Advertisers as text columns under the export's headers: pages joined, confidence in percent, the issue's state and coverage.
 
+    meta: issue_id, estado, estado_analisis, paginas_no_analizadas, paginas_parciales.
+    """
+    of = meta.select("issue_id", R.coverage_state().alias("state"), R.coverage_text().alias("coverage"))
+    own = ads.join(of, "issue_id", "left").withColumn("state", F.coalesce("state", F.lit("completo")))
+    own = own.withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ", ")).withColumn("confidence", X.percent(F.col("confidence")))
+    return own.select("issue_id", *[F.coalesce(c, F.lit("")).alias(name) for c, name in CSV_COLUMNS.items()])
 
-def write_csv(ads: DataFrame, path: str) -> None:
+
+def write_csv(ads: DataFrame, meta: DataFrame, path: str) -> None:
     """Semicolons and a header line, a folder for each issue. Spark writes no byte order mark."""
-    csv_rows(ads).write.partitionBy("issue_id").option("sep", ";").option("header", True).csv(path)
+    csv_rows(ads, meta).write.partitionBy("issue_id").option("sep", ";").option("header", True).csv(path)
 
 
 def json_objects(ads: DataFrame, meta: DataFrame) -> DataFrame:
@@ -50,6 +61,23 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, export
         raise
 
 
+def export_results(ads: DataFrame, meta: DataFrame, root: str, export_id: str, min_confidence: float = 0.0, library: str | None = None) -> bool:
+    """All deliverables of reviewed issues, of advertisers of at least some confidence: CSV rows, objects, appearances and summary; then, if a folder is given, the library.
+
+    ads: adv_no and the fields of an advertiser; meta: what the writers ask for, and job_id. False, with nothing
+    written, if the export is there already.
+    """
+    spark, own = ads.sparkSession, V.confident(ads, min_confidence)
+    told = meta.select("issue_id", "job_id", F.lit(export_id).alias("export_id"), R.coverage_state().alias("estado"), "url", "titulo")
+    tables = {"csv": csv_rows(own, meta), "json": json_objects(own, meta), "appearances": R.appearances(own, told), "summary": R.summary_rows(own, meta)}
+    tables["csv"] = tables["csv"].withColumnsRenamed({c: c.replace(" ", "_") for c in CSV_COLUMNS.values()})  # a table's columns have no spaces
+    if not publish(spark, tables, root, export_id):
+        return False
+    if library:
+        L.save(meta.select("issue_id", "titulo", "numero", "url", F.col("fecha").alias("fecha_analisis"), "paginas", "modo", "coste_usd"), own, library)
+    return True
+
+
 def new_exports(exports: DataFrame, done: DataFrame) -> DataFrame:
     """Exports whose id has not been stored yet, each once."""
     return exports.dropDuplicates(["export_id"]).join(done.select("export_id"), "export_id", "left_anti")

@@ -28,8 +28,8 @@ def responses(spark: SparkSession, path: str) -> DataFrame:
 
 def stored(spark: SparkSession, path: str, schema: str, version: int = 1) -> DataFrame:
     """Stored work as JSON lines: broken lines and other versions are left out."""
-    own = spark.read.schema(f"{schema}, version INT, _corrupt_record STRING").json(path, mode="PERMISSIVE").cache()
-    return own.where(f"_corrupt_record is null and version = {version}").drop("_corrupt_record")
+    row = F.from_json("value", f"{schema}, version INT, _corrupt_record STRING", {"mode": "PERMISSIVE"})
+    return spark.read.text(path).select(row.alias("r")).select("r.*").where(f"_corrupt_record is null and version = {version}").drop("_corrupt_record")
 
 
 def replay(spark: SparkSession, path: str) -> DataFrame:

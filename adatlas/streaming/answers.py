@@ -3,18 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from adatlas.operators import answers as A
+from adatlas.sources.sinks import new_work
 from adatlas.sources.tables import RESPONSES
 
 
+def signed(responses: DataFrame) -> DataFrame:
+    """Answers without a signature are told by their issue and spread."""
+    return responses.withColumn("signature", F.coalesce("signature", F.concat_ws(":", "issue_id", F.col("spread_no").cast("string"))))
+
+
 def follow(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Reads what has come since the last run and ends. A batch replaces its own folder, so that a repeated batch adds nothing."""
+    """Reads what has come since the last run and ends: answers/ has each signature once, whatever is sent again; entries/ their entries.
+
+    A batch replaces its own folders, so that a repeated batch adds nothing.
+    """
 
     def store(batch: DataFrame, number: int) -> None:
-        rows = A.validated(A.parsed(batch.dropDuplicates(["issue_id", "spread_no"])))
-        rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/answers")
+        own = signed(batch)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            known = spark.read.schema("signature STRING, batch BIGINT").parquet(f"{target}/answers").where(F.col("batch") != number)
+            own = new_work(own, known)
+        own = own.dropDuplicates(["signature"])
+        own.write.mode("overwrite").parquet(f"{target}/answers/batch={number}")
+        kept = spark.read.schema(own.schema).parquet(f"{target}/answers/batch={number}")
+        A.validated(A.parsed(kept)).write.mode("overwrite").parquet(f"{target}/entries/batch={number}")
 
-    stream = spark.readStream.schema(RESPONSES).json(source)
+    stream = spark.readStream.schema(f"{RESPONSES}, signature STRING").json(source)
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -82,11 +82,37 @@ def test_library(spark):
 
 def test_review(spark):
     rows = [("i", "***", 0.9), ("i", "Roca", 0.9), ("i", "Vista", 0.5), ("i", "Roca Bath", 0.8), ("i", "Solo", 0.9), ("i", "-.-", 0.9), ("j", "---", 0.9)]
-    got = {(r.issue_id, r.brand): r.review_reasons for r in V.flagged(spark.createDataFrame(rows, "issue_id string, brand string, confidence double")).collect()}
+    issues = spark.createDataFrame([("i", "Revista"), ("j", None)], "issue_id string, titulo string")
+    got = {(r.issue_id, r.brand): r.review_reasons for r in V.flagged(spark.createDataFrame(rows, "issue_id string, brand string, confidence double"), issues).collect()}
     # a name of hyphens and dots alone is empty once compared, and so begins every other name of its issue
     assert got == {("i", "***"): ["short", "weird"], ("i", "Roca"): ["variant"], ("i", "Vista"): ["low_conf", "magazine"], ("i", "Roca Bath"): ["variant"], ("i", "Solo"): [], ("i", "-.-"): ["short", "variant"], ("j", "---"): ["short"]}
 
 
+def test_titles_are_those_of_the_issue(spark):
+    ads = spark.createDataFrame([(i, "Steel", 0.9) for i in "abc"], "issue_id string, brand string, confidence double")
+    issues = spark.createDataFrame([("a", "Steel Magazine"), ("b", "Copper"), ("d", "Steel")], "issue_id string, titulo string")
+    assert {r.issue_id: r.review_reasons for r in V.flagged(ads, issues).collect()} == {"a": ["magazine"], "b": [], "c": []}
+
+
+def test_variants_against_all_pairs(spark):
+    r = random.Random(8)
+    rows = [(f"i{r.randint(0, 3)}", "".join(r.choice("ab-") for _ in range(r.randint(0, 5)))) for _ in range(120)]
+    norm = lambda s: s.replace("-", "")
+    got = sorted((x.issue_id, x.brand, x.is_variant) for x in V.with_variants(spark.createDataFrame(rows, "issue_id string, brand string")).collect())
+    apart = lambda a, b: norm(a) != norm(b) and norm(b) and (norm(a).startswith(norm(b)) or norm(b).startswith(norm(a)))
+    assert got == sorted((i, b, any(j == i and bool(apart(b, c)) for j, c in rows)) for i, b in rows)
+
+
+def test_review_items_first_pages_and_confidence(spark):
+    ads = spark.createDataFrame([("i", 1, "A", None, None, [4, 2], ["low_conf"]), ("i", 2, "B", "s", 0.5, None, None)], "issue_id string, adv_idx int, brand string, sector string, confidence double, pages array<int>, review_reasons array<string>")
+    ads = ads.withColumns({c: F.lit(None).cast("string") for c in ("website", "email", "phone", "ad_size", "method")})
+    rows = V.review_items(ads).orderBy("adv_idx").collect()
+    assert [(x.sector, x.confidence, x.pages, x.review_flag, x.review_label) for x in rows] == [("", 0.0, [4, 2], "low_conf", "Confianza baja"), ("s", 0.5, [], "", "")]
+    pages = spark.createDataFrame([("i", 4, "a.jpg"), ("i", 2, "")], "issue_id string, page_no int, image_path string")
+    assert {x.adv_idx: x.image_path for x in V.first_page(ads, pages).collect()} == {1: "a.jpg", 2: None}
+    assert V.confident(ads, 0.4).count() == 1 and V.confident(ads).count() == 2
+
+
 def test_decisions(spark):
     ads = spark.createDataFrame([("i", k, f"b{k}", "", "", "", "", "") for k in (0, 1)], "issue_id string, adv_idx int, brand string, sector string, website string, email string, phone string, ad_size string")
     d = spark.createDataFrame([("i", 0, 1, "drop", None), ("i", 1, 1, "keep", " A "), ("i", 1, 2, "keep", None), ("i", 9, 1, "drop", None)], "issue_id string, adv_idx int, seq int, state string, brand string")
@@ -109,6 +135,9 @@ RESPONSE = "issue_id string, spread_no int, page_nums array<int>, raw string"
         ('{"anuncios":[{"marca":"A {raro}","nota":"texto con } llave"}]}', ["A {raro}"], True),
         ('{ "anuncios" : [ ] }', [], True),
         ('[1]', [], False),
+        ('{"anuncios":[{"marca":"A","x":{"marca":"B"}},{"marca":"C\\"}"},{"marca":"D', ["B", "A", 'C"}'], False),
+        ('texto "{" {"marca":"A"} } {"marca":""} {"nada":1}', ["A"], False),
+        (None, [], False),
     ],
 )
 def test_parsing(spark, raw, brands, valid):
@@ -130,8 +159,9 @@ def test_validation(spark):
 
 
 def test_cost_and_resume(spark):
-    use = spark.createDataFrame([("a", "default", 1_000_000, 1_000_000, 1_000_000, 1_000_000, False), ("b", "previous", 1_000_000, 1_000_000, 1_000_000, 1_000_000, True)], "issue_id string, model string, input long, output long, cache_write long, cache_read long, resumed boolean")
-    assert {r.issue_id: (round(r.cost_usd, 6), round(r.new_usd, 6)) for r in A.usage_cost(use).collect()} == {"a": (14.7, 14.7), "b": (22.05, 0.0)}
+    rates = spark.createDataFrame([("new", 2.0, 10.0, 2.5, 0.2), ("old", 3.0, 15.0, 3.75, 0.3)], ["model", *A.USAGE])
+    use = spark.createDataFrame([("a", "unheard of", 1_000_000, 1_000_000, 1_000_000, 1_000_000, False), ("b", "old", 1_000_000, 1_000_000, 1_000_000, 1_000_000, True)], "issue_id string, model string, input long, output long, cache_write long, cache_read long, resumed boolean")
+    assert {r.issue_id: (round(r.cost_usd, 6), round(r.new_usd, 6)) for r in A.usage_cost(use, rates, "new").collect()} == {"a": (14.7, 14.7), "b": (22.05, 0.0)}
     stored = spark.createDataFrame([("x", 2, True), ("y", 1, True), ("z", 1, False)], "signature string, version int, partial boolean")
     again, todo = A.resume(spark.createDataFrame([("x",), ("y",), ("z",), ("w",)], ["signature"]), stored)
     assert {r.signature for r in again.collect()} == {"x", "z"} and {r.signature for r in todo.collect()} == {"y", "w"}
@@ -150,6 +180,30 @@ def test_sources(spark):
     assert (got["g"].status, got["g"].expected_pages, got["g"].missing_pages) == ("incompleta", 3, [2])
 
 
+def test_summary_metadata_and_coverage_texts(spark):
+    ads = spark.createDataFrame([("i", "w", "", "1")], "issue_id string, website string, email string, phone string")
+    meta = spark.sql("SELECT 'i' AS issue_id, 'T' AS titulo, CAST(NULL AS STRING) AS url, 'm' AS modo, timestamp'2026-01-02 03:04:00' AS fecha, 8 AS paginas, '' AS estado, 'parcial' AS estado_analisis, array(array(1, 2), array(4)) AS pliegos_fallidos, CAST(NULL AS array<array<int>>) AS pliegos_parciales, array(3, 4) AS paginas_no_analizadas, array(7) AS paginas_parciales")
+    rows = R.summary_rows(ads, meta).orderBy("place").collect()
+    assert [x.value for x in rows] == ["T", "—", "m", "02/01/2026 03:04", "8", "PARCIAL", "", "1", "1", "1", "1+2, 4"]
+    assert meta.select(R.coverage_text()).first()[0] == "no analizadas: 3, 4; respuesta parcial: 7"
+    sources = spark.createDataFrame([("PDF", "", 2, 2, "lista"), ("Lector", "Issuu", 3, None, "incompleta")], "source_type string, viewer string, obtained_pages int, expected_pages int, status string")
+    assert [x[0] for x in sources.select(R.source_summary()).collect()] == ["PDF · 2/2 paginas · lista", "Lector (Issuu) · 3 paginas; total no publicado · incompleta"]
+    runs = spark.createDataFrame([("a", "ia", 1.0, None, None, "m", 2, [[1]], [], 0, None, "parcial"), ("b", None, None, 1.0, 1.0, "", 0, None, None, 3, "x", "completo")], "issue_id string, modo string, cost_usd double, new_usd double, resumed_usd double, model string, resumed_spreads int, failed_spreads array<array<int>>, partial_spreads array<array<int>>, n_invalid int, fallback_reason string, estado string")
+    got = {x.issue_id: x for x in R.run_metadata(runs).collect()}
+    assert tuple(got["a"])[1:] == ("IA (analisis visual)", 1.0, 1.0, 0.0, "m", 2, [[1]], None, None, None, None, "parcial")
+    assert tuple(got["b"])[1:] == ("Heuristica (modo gratis)", None, None, None, None, None, None, None, 3, True, "x", "completo")
+
+
+def test_library_scans(spark):
+    issues = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02"), (3, "2024-01-02")], "issue_id long, fecha string")
+    assert [x.issue_id for x in L.listed_issues(issues).collect()] == [3, 2, 1] and L.issue(issues, 2).count() == 1
+    ads = spark.createDataFrame([(1, "b", None), (1, "a", "s"), (2, "c", "")], "issue_id long, brand string, sector string")
+    assert [x.brand for x in L.listed_advertisers(ads, 1).orderBy("place").collect()] == ["a", "b"]
+    assert [tuple(x) for x in L.library_view(ads).orderBy("issue_id", "place").collect()] == [(1, 1, "a", "s"), (1, 2, "b", ""), (2, 1, "c", "")]
+    share = spark.createDataFrame([(1, "x", 2), (1, "a", 2), (1, "z", 5)], "issue_id long, sec string, n long")
+    assert [x.sec for x in L.ordered_share(share).orderBy("place").collect()] == ["z", "a", "x"]
+
+
 def test_coverage(spark):
     rows = [("a", "heuristica", 3, None, [2], None, 0, False), ("b", "ia", 2, [1, 2], None, None, 0, False), ("c", "ia", 2, None, None, None, 0, False)]
     got = {r.issue_id: (r.estado, r.paginas_analizadas, r.failed_pages) for r in Q.coverage(spark.createDataFrame(rows, "issue_id string, mode string, total_pages int, failed_pages array<int>, source_failed_pages array<int>, partial_pages array<int>, invalid_items int, fallback boolean")).collect()}

@@ -33,14 +33,20 @@ def test_files(spark, tmp_path):
 
 
 def test_exports(spark, tmp_path):
-    ads = spark.createDataFrame([("i", 1, "Roca", [3, 8], "", "", "", "", "", 0.125, "ia", "n", ["short"])], "issue_id string, adv_no int, brand string, pages array<int>, sector string, ad_size string, website string, email string, phone string, confidence double, method string, notes string, review_reasons array<string>")
-    K.write_csv(ads, str(tmp_path / "csv"))
-    row = spark.read.option("sep", ";").option("header", True).csv(str(tmp_path / "csv")).first()
-    assert (row.pages, row.confidence, row.review_flag, row.issue_id) == ("3, 8", "12%", "short", "i")
-    meta = spark.createDataFrame([("i", "T"), ("j", "U")], ["issue_id", "titulo"])
+    ads = spark.createDataFrame([("i", 1, "Roca", [3, 8], "", "", "", "", "", 0.125, "ia", "n", ["short"]), ("j", 1, "Simon", None, "", "", "", "", None, 0.5, "ia", "n", None)], "issue_id string, adv_no int, brand string, pages array<int>, sector string, ad_size string, website string, email string, phone string, confidence double, method string, notes string, review_reasons array<string>")
+    whole = spark.sql("SELECT 'i' AS issue_id, 'T' AS titulo, '1' AS numero, 'u' AS url, 'ia' AS modo, timestamp'2026-01-02 03:04:00' AS fecha, 8 AS paginas, 'parcial' AS estado, '' AS estado_analisis, array(array(1)) AS pliegos_fallidos, array(array(2)) AS pliegos_parciales, array(1) AS paginas_no_analizadas, CAST(array() AS array<int>) AS paginas_parciales, 'job' AS job_id, 1.5D AS coste_usd")
+    K.write_csv(ads, whole, str(tmp_path / "csv"))
+    row = spark.read.option("sep", ";").option("header", True).csv(str(tmp_path / "csv")).where("issue_id = 'i'").first()
+    assert list(row.asDict()) == [*K.CSV_COLUMNS.values(), "issue_id"] and len(K.CSV_COLUMNS) == 12
+    assert (row.Marca, row.Paginas, row.Confianza, row["Estado analisis"], row.Cobertura) == ("Roca", "3, 8", "12%", "parcial", "no analizadas: 1")
+    out, lib = str(tmp_path / "all"), str(tmp_path / "lib")
+    assert K.export_results(ads, whole, out, "e1", 0.3, lib) and not K.export_results(ads, whole, out, "e1", 0.3, lib)
+    assert [r.Marca for r in spark.read.parquet(f"{out}/e1/csv").collect()] == ["Simon"] and spark.read.parquet(f"{out}/e1/summary").count() == 12
+    assert spark.read.parquet(f"{lib}/issues").first().coste_usd == 1.5 and [r.brand for r in spark.read.parquet(f"{lib}/advertisers").collect()] == ["Simon"]
+    meta = spark.createDataFrame([("i", "T"), ("k", "U")], ["issue_id", "titulo"])
     K.write_json(ads, meta, str(tmp_path / "json"))
     back = {r.issue_id: [a.brand for a in r.anunciantes] for r in spark.read.json(str(tmp_path / "json")).collect()}
-    assert back == {"i": ["Roca"], "j": []}
+    assert back == {"i": ["Roca"], "k": []}
 
 
 def test_publication_is_whole_or_nothing_and_once(spark, tmp_path):
@@ -69,5 +75,7 @@ def test_answers_as_a_stream(spark, tmp_path):
     for _ in range(2):
         follow(spark, str(source), target, str(tmp_path / "ck")).awaitTermination()
     send("b.json", 1, "Simon")
+    send("c.json", 0, "Roca again")  # a spread that came before
     follow(spark, str(source), target, str(tmp_path / "ck")).awaitTermination()
-    assert sorted(r.brand for r in spark.read.parquet(target).collect()) == ["Roca", "Simon"]
+    assert sorted(r.brand for r in spark.read.parquet(f"{target}/entries").collect()) == ["Roca", "Simon"]
+    assert spark.read.parquet(f"{target}/answers").count() == 2
