@@ -4,9 +4,12 @@ text stays constant over the host's pages become template, varying slots become
 1. Each page is parsed into a small tree of labels with a hash of each node's own text; copies within a host count once.
 2. Every tree of a host is aligned with the host's reference tree (one of its pages whose size is nearest to the middle one),
    and for each reference node the pages with each text are counted, in each task before they are shuffled.
-3. A node with the same text on nearly all of at least LEAST pages is template.
-4. Each page is aligned again and its text is written out block by block, without template nodes and without what tags,
-   classes and roles mark as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments.
+3. A node with the same text on nearly all of at least LEAST pages is template; all others with text are varying slots.
+   The host's content is the deepest element that holds most of the text of varying slots, links apart.
+4. Each page is aligned again and the text in its content element is written out block by block, without template nodes.
+   What tags, classes and roles mark as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
+   comments is left out too. An article element decides where the content element holds more than it, and on pages that
+   have no wrapper.
 
 Templates of the HEAD hosts with most pages, among those with references of at most NODES nodes, are joined by broadcast
 (which bounds it), those of all other hosts by a shuffle of just their pages.
@@ -24,11 +27,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from adatlas.llm.common import stash
+from adatlas.llm.common import mapped, stash
 
 #: Hosts whose templates are broadcast; nodes of a reference tree there at most; pages before a node can be template; part of them that agree.
 HEAD, NODES, LEAST, AGREE = 5000, 400, 5, 0.9
+#: Part of the varying text that an element must hold for the content to be within it; parts into which the pages of a host are dealt.
+MOSTLY, SALTS = 0.7, 16
 TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: Fixed values of HTML: elements without content, with raw content, inside a line of text, and what a start tag closes.
@@ -37,6 +43,8 @@ RAW = frozenset("script style noscript template textarea iframe title xmp noembe
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var img wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
+#: Elements that hold text rather than other blocks: the content is never sought inside of one.
+TEXTUAL = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote address figcaption caption #root".split())
 SCOPE = frozenset("ul ol dl table select article section div nav aside footer header main body html form".split())
 #: Elements, roles and class or id words that mark what isn't the article.
 ASIDE_TAGS = frozenset("nav aside footer form head button select menu dialog object canvas audio video map input".split()) | RAW
@@ -54,7 +62,7 @@ class Page:
 
     def __init__(self, source: str):
         self.labels, self.children = ["#root"], [[]]
-        self.apart, self.within = [False], [False]
+        self.apart, self.within, self.linked = [False], [False], [False]
         self.runs: list[tuple[int, int, str]] = []  # node, block, raw text
         self.tags = ["#root"]
         stack, block, at = [0], 0, 0
@@ -137,25 +145,37 @@ class Page:
         self.children[parent].append(node)
         self.apart.append(apart)
         self.within.append(within)
+        self.linked.append(self.linked[parent] or name == "a")
         return node
 
-    def text_hashes(self) -> list[int]:
-        """A hash of each node's own text, 0 where it has none."""
+    def own_texts(self) -> tuple[list[int], list[int]]:
+        """A hash of each node's own text, 0 where it has none; and its characters, but for links and what is set aside."""
         own: dict[int, list[str]] = {}
         for node, _, text in self.runs:
             own.setdefault(node, []).append(text)
-        out = [0] * len(self.labels)
+        hashes, sizes = [0] * len(self.labels), [0] * len(self.labels)
         for node, parts in own.items():
             if text := " ".join("".join(parts).split()):
-                out[node] = zlib.crc32(text.encode()) | 1
+                hashes[node] = zlib.crc32(text.encode()) | 1
+                sizes[node] = 0 if self.apart[node] or self.linked[node] else len(text)
+        return hashes, sizes
+
+    def inside(self, root: int) -> list[bool]:
+        """Whether each node is root or below it."""
+        out = [k == root for k in range(len(self.labels))]
+        for k, below in enumerate(self.children):  # nodes come before their children
+            if out[k]:
+                for c in below:
+                    out[c] = True
         return out
 
-    def text(self, template: frozenset[int]) -> str:
-        """The kept blocks joined by one space: those in article or main elements where some of these has text, else all others that stay."""
-        article = any(self.within[n] and not self.apart[n] and not t.isspace() for n, _, t in self.runs)
+    def text(self, template: frozenset[int], root: int = 0) -> str:
+        """The kept blocks in the content element joined by one space: those in article or main elements where some of these has text, else all others that stay."""
+        held = self.inside(root) if root else [True] * len(self.labels)
+        article = any(held[n] and self.within[n] and not self.apart[n] and not t.isspace() for n, _, t in self.runs)
         blocks, last = [], -1
         for node, block, text in self.runs:
-            if self.apart[node] or node in template or article and not self.within[node]:
+            if self.apart[node] or node in template or not held[node] or article and not self.within[node]:
                 continue
             if block != last:
                 blocks.append([])
@@ -204,7 +224,7 @@ def matched(a: Tree, b: Tree) -> dict[int, int]:
         out: list[tuple[int, int]] = [(x, y)]
         p, q = a.children[x], b.children[y]
         i = 0
-        while i < min(len(p), len(q)) and a.shape[p[i]] == b.shape[q[i]]:
+        while i < (min(len(p), len(q)) + 1) // 2 and a.shape[p[i]] == b.shape[q[i]]:  # the rest from the end, as lists differ in their middle
             same(p[i], q[i], out)
             i += 1
         tail = 0
@@ -258,11 +278,35 @@ def unpacked(text: str) -> Tree:
     return Tree(labels, children)
 
 
+class Wrapper:
+    """A host's reference tree, the texts of its template nodes, and its content element (0: the whole page)."""
+
+    def __init__(self, reference: str, slots: list[dict]):
+        self.tree = unpacked(reference)
+        self.fixed = {s["node"]: s["hash"] for s in slots if s["constant"]}
+        self.root = content_root(self.tree, {s["node"]: s["mass"] for s in slots if not s["constant"]})
+
+
+def content_root(tree: Tree, mass: dict[int, float]) -> int:
+    """The deepest element that holds MOSTLY of the varying text of the one around it, all the way down."""
+    total = [mass.get(k, 0.0) for k in range(len(tree.labels))]
+    for k in range(len(total) - 1, -1, -1):
+        total[k] += sum(total[c] for c in tree.children[k])
+    at = 0
+    while below := [c for c in tree.children[at] if tree.labels[c].partition(".")[0] not in TEXTUAL]:
+        best = max(below, key=total.__getitem__)
+        if total[best] < MOSTLY * total[at] or not total[at]:
+            break
+        at = best
+    return at
+
+
 class Aligner:
-    """Alignments with reference trees, kept by the two trees' shapes."""
+    """Alignments with reference trees, kept by the two trees' shapes; and wrappers, kept by their reference."""
 
     def __init__(self, most: int = 20_000):
         self.trees: dict[str, Tree] = {}
+        self.wrappers: dict[str, Wrapper] = {}
         self.known: dict[tuple[int, str], dict[int, int]] = {}
         self.most = most
 
@@ -277,6 +321,13 @@ class Aligner:
             self.known[key] = matched(self.trees[reference], tree)
         return self.known[key]
 
+    def wrapper(self, host: str, reference: str, slots: list[dict]) -> Wrapper:
+        if host not in self.wrappers:
+            if len(self.wrappers) > self.most:
+                self.wrappers.clear()
+            self.wrappers[host] = Wrapper(reference, slots)
+        return self.wrappers[host]
+
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Adds `text`, the main text of each page, and `n_chars`, its code points; other columns are kept, these two replaced.
@@ -290,63 +341,75 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trees, hashes, marks = [], [], []
+            trees, hashes, sizes, marks = [], [], [], []
             for text in batch.column("html").to_pylist():
                 page = Page(text)
                 trees.append(packed_tree(page))
-                hashes.append(page.text_hashes())
-                marks.append(zlib.crc32(repr(hashes[-1]).encode()))
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(trees, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(marks, pa.int64())], ["host", "tree", "hashes", "mark"])
-
-    trees = source.where("host <> ''").select("host", "html").mapInArrow(shapes, "host string, tree string, hashes array<long>, mark long")
-    trees = stash(trees.groupBy("host", "mark").agg(F.first("tree").alias("tree"), F.first("hashes").alias("hashes")), "trees")
+                own, long = page.own_texts()
+                hashes.append(own)
+                sizes.append(long)
+                marks.append(zlib.crc32(repr(own).encode()))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(trees, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(marks, pa.int64())], ["host", "tree", "hashes", "sizes", "mark"])
+
+    trees = mapped(source.where("host <> ''").select("host", "html"), shapes, "host string, tree string, hashes array<long>, sizes array<int>, mark long")
+    trees = stash(trees.groupBy("host", "mark").agg(*[F.first(c).alias(c) for c in ("tree", "hashes", "sizes")]), "trees")
     usual = trees.groupBy("host").agg(F.percentile_approx(F.size("hashes"), 0.5).alias("usual"), F.count("*").alias("n")).where(f"n >= {LEAST}")
+    # salted, as a host may have many of all pages
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    trees = trees.withColumn("salt", F.pmod("mark", F.lit(SALTS)).cast("int"))
     order = F.struct(F.abs(F.size("hashes") - F.col("usual")).alias("off"), F.xxhash64("mark").alias("h"), "mark")
-    best = trees.join(usual, "host").groupBy("host", "n").agg(F.min_by(F.struct("tree", F.size("hashes").alias("nodes")), order).alias("best"))
+    sized = trees.select("host", "salt", "tree", "hashes", "mark").join(usual.withColumn("salt", salts), ["host", "salt"])
+    best = sized.groupBy("host", "n").agg(F.min_by(F.struct("tree", F.size("hashes").alias("nodes")), order).alias("best"))
     references = stash(best.select("host", "n", F.col("best.nodes").alias("nodes"), F.col("best.tree").alias("reference")), "references")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligned = Aligner()
         for batch in batches:
             counts: Counter = Counter()
-            for at, reference, tree, hashes in zip(*(batch.column(c).to_pylist() for c in ("host", "reference", "tree", "hashes"))):
+            mass: Counter = Counter()
+            for at, reference, tree, hashes, sizes in zip(*(batch.column(c).to_pylist() for c in ("host", "reference", "tree", "hashes", "sizes"))):
                 for mine, theirs in aligned(reference, unpacked(tree), tree).items():
-                    counts[at, theirs, hashes[mine]] += 1
+                    counts[key := (at, theirs, hashes[mine])] += 1
+                    mass[key] += sizes[mine]
             if counts:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((*k, v) for k, v in counts.items())), (pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["host", "node", "hash", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((*k, v, mass[k]) for k, v in counts.items())), (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["host", "node", "hash", "n", "mass"])
 
-    seen = trees.select("host", "tree", "hashes").join(references.select("host", "reference"), "host").mapInArrow(align, "host string, node int, hash long, n long")
-    texts = seen.groupBy("host", "node", "hash").agg(F.sum("n").alias("n"))
-    nodes = texts.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.max_by("hash", "n").alias("hash"), F.max("n").alias("most"))
-    constant = nodes.where(f"pages >= {LEAST} and most >= {AGREE} * pages and hash <> 0").groupBy("host").agg(F.collect_list(F.struct("node", "hash")).alias("constant"))  # at most a node each of a reference
-    templates = stash(references.join(constant, "host").select("host", "n", "nodes", "reference", "constant"), "templates")
+    paired = trees.join(references.select("host", "reference").withColumn("salt", salts), ["host", "salt"])
+    seen = mapped(paired.select("host", "reference", "tree", "hashes", "sizes"), align, "host string, node int, hash long, n long, mass long")
+    texts = seen.groupBy("host", "node", "hash").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"))
+    nodes = texts.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.max_by("hash", "n").alias("hash"), F.max("n").alias("most"), F.sum("mass").cast("double").alias("mass"))
+    nodes = nodes.withColumn("constant", F.expr(f"pages >= {LEAST} and most >= {AGREE} * pages and hash <> 0")).where("constant or mass > 0")
+    slots = nodes.groupBy("host").agg(F.collect_list(F.struct("node", "hash", "constant", "mass")).alias("slots"))  # at most a node each of a reference
+    templates = stash(references.join(slots, "host").select("host", "n", "nodes", "reference", "slots"), "templates")
 
-    schema = source.select("row").schema.add("text", "string").add("n_chars", "long")
+    schema = T.StructType([*source.select("row").schema, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligned = Aligner()
         for batch in batches:
             out = []
-            for text, reference, constant in zip(batch.column("html").to_pylist(), batch.column("reference").to_pylist(), batch.column("constant").to_pylist()):
+            for at, text, reference, slots in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference", "slots"))):
                 page = Page(text)
-                template: set[int] = set()
+                template, root = set(), 0
                 if reference is not None:
-                    fixed = {c["node"]: c["hash"] for c in constant}
-                    hashes = page.text_hashes()
+                    wrapper = aligned.wrapper(at, reference, slots)
+                    hashes, _ = page.own_texts()
                     for mine, theirs in aligned(reference, Tree(page.labels, page.children), packed_tree(page)).items():
-                        # headings and paragraphs of an article stay, though copies of an article may repeat them
-                        if hashes[mine] and fixed.get(theirs) == hashes[mine] and not (page.within[mine] and page.tags[mine] in ("h1", "h2", "h3", "p", "b")):
+                        if theirs == wrapper.root:
+                            root = mine
+                        if hashes[mine] and wrapper.fixed.get(theirs) == hashes[mine]:
                             template.add(mine)
-                out.append(page.text(frozenset(template)))
+                out.append(page.text(frozenset(template), root))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], ["row", "text", "n_chars"])
 
-    head = templates.where(f"nodes <= {NODES}").orderBy(F.desc("n"), "host").limit(HEAD).select("host", "reference", "constant", F.lit(True).alias("is_head"))
+    head = templates.where(f"nodes <= {NODES}").orderBy(F.desc("n"), "host").limit(HEAD).select("host", "reference", "slots", F.lit(True).alias("is_head"))
     near = source.join(F.broadcast(head), "host", "left")
     if templates.count() > head.count():
-        rest = templates.join(F.broadcast(head.select("host")), "host", "left_anti")
-        far = near.where("is_head is null").drop("reference", "constant", "is_head").join(rest.select("host", "reference", "constant"), "host", "left")
-        near = near.where("is_head").drop("is_head").unionByName(far.select("host", "row", "html", "reference", "constant"))
-    done = near.select("row", "html", "reference", "constant").mapInArrow(write, schema)
+        rest = templates.join(F.broadcast(head.select("host")), "host", "left_anti").select("host", "reference", "slots").withColumn("salt", salts)
+        far = near.where("is_head is null").drop("reference", "slots", "is_head").withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
+        far = far.join(rest, ["host", "salt"], "left")
+        near = near.where("is_head").drop("is_head").unionByName(far.select("host", "row", "html", "reference", "slots"))
+    done = mapped(near.select("host", "row", "html", "reference", "slots"), write, schema)
     return done.select("row.*", "text", "n_chars")
 
 

@@ -80,3 +80,32 @@ def test_templates_of_large_and_of_deep_pages(spark):
     for k in range(8):
         assert got[k] == " ".join(f"{k} {i}" for i in range(250))
     assert got[8] == "No page" and all(got[20 + k] == f"page {k}" for k in range(6))
+
+
+def test_the_wrapper_decides_where_nothing_tells_by_name(spark, monkeypatch):
+    def plain(k, parts):
+        story = "".join(f"<div>Part {i} of story {k} goes on for a while and tells of many things</div>" for i in range(parts))
+        return f"<body><div><div>Facts of the day</div><div>Town {k % 3}</div></div><div><div><h2>Story {k}</h2>{story}<div>Read with care</div></div><div><u>Teaser {k}</u> <u>Teaser {k + 1}</u></div></div><div>Made by us</div></body>"
+
+    rows = [(k, "http://bare.example/", plain(k, 2 + k % 4)) for k in range(20)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(frame).collect()}
+    for k in range(20):
+        assert got[k] == f"Story {k} " + " ".join(f"Part {i} of story {k} goes on for a while and tells of many things" for i in range(2 + k % 4))
+    without = H.Page(rows[0][2]).text(frozenset())
+    assert without != got[0] and "Facts of the day" in without and "Teaser" in without and "Made by us" in without
+
+
+def test_content_is_the_deepest_element_with_most_of_the_varying_text():
+    page = H.Page("<body><div class=x><section><p>a</p><p>b</p></section><div>c</div></div><div>d</div></body>")
+    tree = H.unpacked(H.packed_tree(page))
+    div = tree.labels.index("div")
+    p = [k for k, label in enumerate(tree.labels) if label == "p"]
+    assert content_label(tree, {p[0]: 40.0, p[1]: 40.0, div: 5.0}) == "section"
+    assert content_label(tree, {p[0]: 90.0}) == "section"  # never within a paragraph
+    assert content_label(tree, {p[0]: 40.0, div: 40.0}) == "div.x"
+    assert content_label(tree, {}) == "#root"
+
+
+def content_label(tree, mass):
+    return tree.labels[H.content_root(tree, mass)]
