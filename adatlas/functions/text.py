@@ -45,9 +45,13 @@ def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+#: White space in the sense of Unicode, and the four separators below 0x20.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at the ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def canonical_brand(c: Column) -> Column:

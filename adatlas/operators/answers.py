@@ -90,39 +90,39 @@ def parsed(responses: DataFrame) -> DataFrame:
     return own.withColumn("items", F.coalesce("items", F.array().cast("array<variant>"))).select(*responses.columns, "valid", "items")
 
 
-NUMBER = "^(BIGINT|DOUBLE|DECIMAL.*)$"
+def kind(v: Column) -> Column:
+    """What a variant holds, by the first sign of its JSON: a name of KINDS; null and nothing are `null`."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for sign in KINDS for x in (sign, KINDS[sign])]), F.left(F.to_json(v), F.lit(1))), F.lit("null"))
 
 
-def kind(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+KINDS = {**dict.fromkeys("-0123456789", "number"), '"': "text", "{": "object", "[": "array", "t": "bool", "f": "bool", "n": "null"}
 
 
 def clean_text(k: Column, s: Column) -> tuple[Column, Column]:
     """Text of an optional field by its kind and its text, and whether it is valid: null is empty, text is stripped, a number is written out."""
-    return F.when(k == "STRING", X.strip(s)).when(k.rlike(NUMBER), s).otherwise(""), (k == "VOID") | (k == "STRING") | k.rlike(NUMBER)
+    return F.when(k == "text", X.strip(s)).when(k == "number", s).otherwise(""), k.isin("null", "text", "number")
 
 
 def clean_confidence(k: Column, n: Column) -> tuple[Column, Column]:
     """A number or a text of one, from 0 to 1."""
-    good = F.coalesce(((k == "STRING") | k.rlike(NUMBER)) & ~F.isnan(n) & n.between(0.0, 1.0), F.lit(False))
+    good = F.coalesce(k.isin("text", "number") & ~F.isnan(n) & n.between(0.0, 1.0), F.lit(False))
     return F.when(good, n).otherwise(0.0), good
 
 
 def validated(answers: DataFrame) -> DataFrame:
     """One row for each entry of parsed answers: verdict ok, fixed or rejected with its reason, and the cleaned fields."""
     own = answers.select("issue_id", "spread_no", "page_nums", F.posexplode("items").alias("item_idx", "v"))
-    own = own.withColumn("o", F.when(kind(F.col("v")).startswith("OBJECT"), F.col("v")))  # null where the entry is no object
     fields = ("marca", "pagina", "confianza", *FIELDS)
-    # each field is taken out, its kind told and its text written once
-    own = own.withColumns({f"_{c}": F.try_variant_get("o", f"$.{c}", "variant") for c in fields})
-    own = own.withColumns({f"_{c}": F.struct(kind(F.col(f"_{c}")).alias("k"), F.try_variant_get(f"_{c}", "$", "string").alias("s")) for c in fields})
-    of = lambda c: (F.col(f"_{c}.k"), F.col(f"_{c}.s"))
+    own = own.withColumn("o", F.try_variant_get("v", "$", f"struct<{', '.join(f'{c}: variant' for c in fields)}>"))  # null where the entry is no object
+    # the kind of each field is told and its text written once
+    own = own.withColumns({f"_{c}_{x}": e for c in fields for x, e in (("k", kind(F.col(f"o.{c}"))), ("s", F.try_variant_get(f"o.{c}", "$", "string")))})
+    of = lambda c: (F.col(f"_{c}_k"), F.col(f"_{c}_s"))
     k, s = of("marca")
-    brand = F.when(k == "STRING", F.nullif(X.strip(s), F.lit("")))
+    brand = F.when(k == "text", F.nullif(X.strip(s), F.lit("")))
     k, s = of("pagina")
-    no_page, first = k == "VOID", F.get("page_nums", F.lit(0))
+    no_page, first = k == "null", F.get("page_nums", F.lit(0))
     # a whole number as text, any number cut to its whole part, true as 1
-    page = F.when(k == "STRING", F.when(s.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(s).try_cast("int"))).when(k.rlike(NUMBER), s.try_cast("double").try_cast("int")).when(k == "BOOLEAN", (s == "true").cast("int"))
+    page = F.when(k == "text", F.when(s.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(s).try_cast("int"))).when(k == "number", s.try_cast("double").try_cast("int")).when(k == "bool", (s == "true").cast("int"))
     good_page = no_page | F.coalesce(F.array_contains("page_nums", page), F.lit(False))
     texts = {c: clean_text(*of(c)) for c in FIELDS}
     k, s = of("confianza")

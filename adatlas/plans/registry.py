@@ -465,7 +465,7 @@ def confident(spark, sf_dir):
     return V.confident(P.app(spark, sf_dir), 0.7).groupBy("issue_id").agg(F.count("*").alias("n"))
 
 
-WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+WHITE = r"[\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
 @query("p1_best_text", f"SELECT doc_id, CASE WHEN length(regexp_replace(coalesce(text, ''), '^{WHITE}|{WHITE}$', '', 'g')) > 30 THEN text WHEN doc_id % 2 = 0 THEN 'read' ELSE coalesce(text, '') END AS text FROM documents")
