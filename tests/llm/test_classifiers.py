@@ -83,3 +83,55 @@ def test_statistics_do_not_depend_on_neighbours():
     together = Q.statistics(*text_bytes(pa.array(texts)))
     for k, t in enumerate(texts):
         assert np.allclose(Q.statistics(*text_bytes(pa.array([t])))[0], together[k])
+
+
+def test_ridge_equals_direct_least_squares(spark):
+    docs, labels = corpus(junk, 300)
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, score double").repartition(4)
+    rows = Q.measured(frame, "text", "doc_id")
+    model = Q.fit(rows, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    crc = lambda i: zlib.crc32(str(i).encode()) % 3
+    own = {r.id: np.array(r.x) for r in rows.collect()}
+    every = np.stack(list(own.values()))
+    assert np.allclose(model.mean, every.mean(0)) and np.allclose(model.spread[every.std(0) > 1e-9], every.std(0)[every.std(0) > 1e-9])
+    fits = [(own[i], q) for i, q, _ in labels if crc(i) == 0]
+    z, y = model.features(np.stack([x for x, _ in fits])), np.array([q for _, q in fits], float)
+    # the ridge as least squares over extra rows
+    a = np.concatenate((z / np.sqrt(len(z)), np.sqrt(Q.RIDGE) * np.eye(z.shape[1])))
+    direct = np.linalg.lstsq(a, np.concatenate((y / np.sqrt(len(z)), np.zeros(z.shape[1]))), rcond=None)[0]
+    assert np.abs(z @ (model.beta - direct)).max() < 1e-6
+
+
+def test_statistics_against_plain_counting():
+    import pyarrow as pa
+
+    for text in ("One two. TWO!\nOne", "é ñ #x | y @a/b 12", "w w w w\nw w\n", "a", "!!! ??"):
+        raw, words = text.encode(), text.encode().split()
+        got = Q.statistics(*text_bytes(pa.array([text])))[0]
+        low = [w.lower() for w in words]
+        share = lambda some: sum(some) / len(raw)
+        of = lambda some: sum(some) / len(words)
+        lines = raw.split(b"\n")[: -1 if raw.endswith(b"\n") else None]
+        pairs = len(set(zip(low, low[1:]))) / max(len(words) - 1, 1)
+        wanted = {
+            0: np.log1p(len(raw)), 1: np.log1p(len(words)), 2: of(map(len, words)), 3: np.std([len(w) for w in words]), 4: share(65 <= b <= 90 for b in raw), 5: share(48 <= b <= 57 for b in raw),
+            6: share(b in Q.SIGNS for b in raw), 7: share(b in b".,;:" for b in raw), 8: share(b == 10 for b in raw), 9: share(b >= 128 for b in raw), 11: of(any(b in Q.SIGNS for b in w) for w in words),
+            12: of(w.endswith(b".") for w in words), 13: of(w.endswith(b",") for w in words), 14: of(w.endswith(b"!") for w in words), 15: of(w == b"|" for w in words), 16: of(len(w) > 14 for w in words), 17: of(len(w) < 3 for w in words),
+            18: len(set(low)) / len(words), 19: max(map(low.count, low)) / len(words), 20: pairs, 21: np.log1p(len(lines)), 24: share(b in b"@/" for b in raw), 25: np.log1p(len(set(low))),
+        }
+        for k, v in wanted.items():
+            assert abs(got[k] - v) < 1e-6, (text, k)
+
+
+def test_votes_against_plain_counting():
+    import pyarrow as pa
+
+    mined = T.hashed(["zzgrut", "zzfrol"])
+    voters, texts = T.Voters(mined), ["You IDIOT!!!!!!!!!!!! zzgrut", "(((((((((((moron))))))))))) idiot plain", "", "zzfrol. worthless zzgrut your trash", "kill"]
+    counts, words = voters.counts(*text_bytes(pa.array(texts)))
+    names = [*T.LEXICONS, "zzgrut", "zzfrol"]
+    for text, got, n in zip(texts, counts, words):
+        cores = [w.strip("\"'`()[]{}<>,.;:!?*#$%&|-_").lower() for w in text.split()]
+        assert n == len(cores)
+        for k, name in enumerate(names):
+            assert got[k] == sum(c in T.LEXICONS[name].split() if name in T.LEXICONS else c == name for c in cores), (text, name)
