@@ -19,6 +19,7 @@ _OPERATORS = {
     "op8_embedding_dedup": ("embedding_dedup", "op8", "OP8_SQL"),
     "op10_secrets": ("secrets", "op10", None),
     "op9_mixing": ("mixing", "op9", "OP9_SQL"),
+    "op11_prefix_trie": ("prefix_trie", "op11", "OP11_SQL"),
 }
 
 
