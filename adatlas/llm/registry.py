@@ -20,6 +20,7 @@ _OPERATORS = {
     "op10_secrets": ("secrets", "op10", None),
     "op9_mixing": ("mixing", "op9", "OP9_SQL"),
     "op11_prefix_trie": ("prefix_trie", "op11", "OP11_SQL"),
+    "op12_quality_rules": ("decision_rules", "op12", None),
     "op13_hard_negatives": ("hard_negatives", "op13", "OP13_SQL"),
 }
 
