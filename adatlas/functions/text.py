@@ -66,6 +66,11 @@ def compare_key(c: Column) -> Column:
     return F.translate(F.regexp_replace(strip(F.lower(text(c))), r"(?U)[\s\-_.]+", ""), "áéíóúüñ", "aeiouun")
 
 
+def sector_text(c: Column) -> Column:
+    """The form of a sector in which words of rules are looked for: lower case, few accents off, a space at each end."""
+    return F.concat(F.lit(" "), strip(F.translate(F.lower(text(c)), "áéíóúüñ", "aeiouun")), F.lit(" "))
+
+
 def sector_group(c: Column) -> Column:
     """The broad sector of a free text; the first group with a word in it."""
 
@@ -78,8 +83,7 @@ def sector_group(c: Column) -> Column:
             out = out.when(found, group)
         return out.otherwise(OTHER_SECTOR)
 
-    plain = F.concat(F.lit(" "), strip(F.translate(F.lower(text(c)), "áéíóúüñ", "aeiouun")), F.lit(" "))
-    return F.get(F.transform(F.array(plain), group_of), F.lit(0))  # the text is made plain once
+    return F.get(F.transform(F.array(sector_text(c)), group_of), F.lit(0))  # the text is made plain once
 
 
 def domain_root(url: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 # Viewers by the domain that their host contains, in order.
 VIEWERS = [("issuu.com", "Issuu"), ("calameo.com", "Calameo"), ("calameo.es", "Calameo"), ("flippingbook.com", "FlippingBook"), ("fliphtml5.com", "FlipHTML5"), ("joomag.com", "Joomag"), ("publuu.com", "Publuu"), ("anyflip.com", "AnyFlip"), ("ourdigitalmag.com", "OurDigitalMag")]
+# Names of a page number in an address, and words in addresses of legal texts.
 PAGE_KEYS = ["page", "p", "pagina", "slide"]
 LEGAL_WORDS = ["politica", "aviso", "privacid", "cookie"]
 

@@ -8,19 +8,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adatlas.functions import rules as RT
 from adatlas.functions import text as X
 
 # The notes of brands found in text.
 AD_NOTE, PLAIN_NOTE, MERGED_NOTE = "Pagina con aspecto de anuncio.", "Marca mencionada; revisar si es anuncio.", " (marca consolidada automaticamente)"
 
 
-def mentions(pages: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each unblocked web address on a page. pages: issue_id, pos, page_no and the text."""
+def mentions(pages: DataFrame, text: str = "text", blocked: DataFrame | None = None) -> DataFrame:
+    """One row for each unblocked web address on a page. pages: issue_id, pos, page_no and the text.
+
+    blocked: a rule table (priority, pattern, value) of domains that an address may not end with, in place of those in code.
+    """
     own = pages.select("issue_id", "pos", "page_no", F.coalesce(F.col(text), F.lit("")).alias("t"))
     # the cheap address test comes first, so that other rules run only on pages with one
     own = own.withColumn("urls", F.regexp_extract_all("t", F.lit(X.URL_PATTERN), 1)).where(F.size("urls") > 0)
     own = own.select("issue_id", "pos", "page_no", X.is_ad_like(F.col("t")).alias("ad_like"), X.first_email(F.col("t")).alias("email"), X.first_phone(F.col("t")).alias("phone"), F.posexplode("urls").alias("match_idx", "url"))
-    own = own.withColumn("root", X.domain_root(F.col("url"))).where(~X.is_blocked(F.col("root")))
+    own = own.withColumn("root", X.domain_root(F.col("url")))
+    if blocked is None:
+        own = own.where(~X.is_blocked(F.col("root")))
+    else:
+        own = RT.first_rule(own, F.col("root"), blocked, into="__rule", ends=True).where("__rule is null").drop("__rule")
     return own.withColumn("key", X.brand_key(F.col("root"))).drop("url")
 
 
@@ -99,6 +107,6 @@ def consolidated(found: DataFrame) -> DataFrame:
     return own.mapInArrow(merge, found.schema)
 
 
-def detected(pages: DataFrame, text: str = "text") -> DataFrame:
+def detected(pages: DataFrame, text: str = "text", blocked: DataFrame | None = None) -> DataFrame:
     """Free mode from pages to merged brands."""
-    return consolidated(brands(mentions(pages, text)))
+    return consolidated(brands(mentions(pages, text, blocked)))

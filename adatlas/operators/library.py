@@ -6,12 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from adatlas.functions import rules as RT
 from adatlas.functions import text as X
 
 
-def stored_advertisers(ads: DataFrame) -> DataFrame:
-    """Adds canonical and sector_group; a null confidence is 0."""
-    return ads.withColumn("canonical", X.canonical_brand(F.col("brand"))).withColumn("sector_group", X.sector_group(F.col("sector"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+def with_sector_group(ads: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Adds sector_group: by the rules in code, or by a table (priority, pattern, value) of which the first rule that the sector contains gives the group."""
+    if rules is None:
+        return ads.withColumn("sector_group", X.sector_group(F.col("sector")))
+    own = RT.first_rule(ads, X.sector_text(F.col("sector")), rules, into="__rule")
+    blank = X.strip(X.text(F.col("sector"))) == ""
+    return own.withColumn("sector_group", F.when(blank, X.NO_SECTOR).otherwise(F.coalesce("__rule.value", F.lit(X.OTHER_SECTOR)))).drop("__rule")
+
+
+def sector_rules(spark) -> DataFrame:
+    """The rules in code as a table."""
+    return RT.table(spark, [(word, group) for group, words in X.SECTORS for word in words])
+
+
+def stored_advertisers(ads: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Adds canonical and sector_group (see with_sector_group); a null confidence is 0."""
+    own = ads.withColumn("canonical", X.canonical_brand(F.col("brand"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    return with_sector_group(own, rules)
 
 
 def stored_issues(meta: DataFrame, ads: DataFrame) -> DataFrame:

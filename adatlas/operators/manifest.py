@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from adatlas.functions import rules as RT
 from adatlas.functions import urls as U
 
 
@@ -71,14 +72,24 @@ def pdf_links(html_pages: DataFrame) -> DataFrame:
     return full.where(F.lower(U.url_path(F.col("link"))).endswith(".pdf") & ~bad).groupBy("id").agg(F.min_by("link", "pos").alias("pdf_url"))
 
 
-def viewers(html_pages: DataFrame) -> DataFrame:
-    """The embedded viewer of a page: 3D FlipBook by its marks, else the first address on a known host."""
+#: What marks a page of the viewer 3D FlipBook.
+FLIPBOOK = "(?i)_3d-flip-book|fb3d|3dflipbook"
+
+
+def viewer_rules(spark) -> DataFrame:
+    """The known viewers as a rule table: a domain that the host contains, and the viewer's name."""
+    return RT.table(spark, U.VIEWERS)
+
+
+def viewers(html_pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """The embedded viewer of a page: 3D FlipBook by its marks, else the first address whose host a rule knows. rules: (priority, pattern, value), by default the known viewers."""
+    rules = viewer_rules(html_pages.sparkSession) if rules is None else rules
     own = html_pages.select("id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    flip = own.where(F.col("html").rlike("(?i)_3d-flip-book|fb3d|3dflipbook")).select("id", F.col("url").alias("viewer_url"), F.lit("3D FlipBook").alias("viewer"))
-    links = own.join(flip.select("id"), "id", "left_anti").select("id", "url", F.posexplode(F.regexp_extract_all("html", F.lit("(?i)(?:src|href)=[\"']([^\"']+)[\"']"), 1)).alias("pos", "link"))
-    hit = F.array_compact(F.array(*[F.when(F.lower("link").contains(domain), F.struct(F.lit(k).alias("k"), F.lit(domain).alias("domain"), F.lit(name).alias("name"))) for k, (domain, name) in enumerate(U.VIEWERS)]))
-    likely = links.withColumn("hits", hit).where(F.size("hits") > 0).withColumn("full", U.resolved("link", "url"))
+    flip = own.where(F.col("html").rlike(FLIPBOOK)).select("id", F.col("url").alias("viewer_url"), F.lit("3D FlipBook").alias("viewer"))
+    links = own.where(~F.col("html").rlike(FLIPBOOK)).select("id", "url", F.posexplode(F.regexp_extract_all("html", F.lit("(?i)(?:src|href)=[\"']([^\"']+)[\"']"), 1)).alias("pos", "link"))
+    # an address without a known domain anywhere needs no decoding
+    likely = RT.first_rule(links, F.lower("link"), rules, into="__any").where("__any is not null").drop("__any").withColumn("full", U.resolved("link", "url"))
     host = F.lower(F.regexp_extract("full", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
-    found = likely.withColumn("hit", F.get(F.filter("hits", lambda h: F.contains(host, h.domain)), F.lit(0))).where("hit is not null")
-    first = found.groupBy("id").agg(F.min_by(F.struct(F.col("full").alias("viewer_url"), F.col("hit.name").alias("viewer")), "pos").alias("v"))
+    found = RT.first_rule(likely, host, rules).where("rule is not null")
+    first = found.groupBy("id").agg(F.min_by(F.struct(F.col("full").alias("viewer_url"), F.col("rule.value").alias("viewer")), "pos").alias("v"))
     return flip.unionByName(first.select("id", "v.viewer_url", "v.viewer"))

@@ -17,6 +17,7 @@ from adatlas.operators import manifest as M
 from adatlas.operators import quality as Q
 from adatlas.operators import report as R
 from adatlas.operators import review as V
+from adatlas.functions import rules as RT
 from adatlas.plans import views as P
 from adatlas.sources import sinks as K
 
@@ -50,7 +51,7 @@ def text_list(c: str) -> F.Column:
     return F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
 
 
-URL = r"(?i)\b((?:https?://)?(?:www\.)?[a-z0-9][a-z0-9\-]+\.(?:com|es|net|org|eu|cat|info|io)(?:\.[a-z]{2})?)\b"
+URL = X.URL_PATTERN.replace("(?iU)", "(?i)")
 BLOCKED = " OR ".join(f"ends_with(root, '{d}')" for d in X.BLOCKED_DOMAINS)
 HINTS = " OR ".join(f"contains(lower(text), '{h}')" for h in X.AD_HINTS)
 
@@ -110,6 +111,59 @@ def sector_groups(spark, sf_dir):
     return P.app(spark, sf_dir).select("sector").distinct().select("sector", X.sector_group(F.col("sector")).alias("sector_group"))
 
 
+#: Sector rules by the thousand, made from parts and suppliers: each part has four, each supplier twenty.
+RULES = """
+SELECT CAST(p_size * 100000 + p_partkey AS BIGINT) AS priority, concat('ref ', CAST(p_partkey AS STRING), '-') AS pattern, p_type AS value FROM {part}
+UNION ALL SELECT CAST(900000 + p_partkey AS BIGINT), concat(p_name, ' electric'), p_brand FROM {part}
+UNION ALL SELECT CAST(10 + p_partkey AS BIGINT), concat(CAST(p_partkey AS STRING), '-', CAST(p_partkey % 100 AS STRING), '.'), 'own' FROM {part}
+UNION ALL SELECT CAST(500000 + p_partkey AS BIGINT), concat(split_part(p_name, ' ', 2), ' ref ', CAST(p_partkey AS STRING)), 'named' FROM {part}
+UNION ALL SELECT CAST(700000 + s_suppkey AS BIGINT), concat('-', CAST(s_suppkey AS STRING), '.', CAST(k AS STRING)), s_name FROM {supplier} CROSS JOIN {twenty}
+UNION ALL SELECT CAST(NULL AS BIGINT), 'ref', 'never' UNION ALL SELECT CAST(1 AS BIGINT), '', 'never'
+"""
+RULED = "SELECT DISTINCT concat(lower(brand), ' ref ', CAST(o3 AS STRING), '-', CAST(supplier AS STRING), '.', CAST(o1 % 40 AS STRING)) AS text FROM {app}"
+RULED_SQL = f"""
+WITH r AS ({RULES.format(part='part', supplier='supplier', twenty='(SELECT unnest(range(20)) AS k)')}), t AS ({RULED.format(app=f'({P.APP_SQL})')}),
+u AS (SELECT min(priority) AS priority, pattern, min_by(value, priority) AS value FROM r WHERE priority IS NOT NULL AND pattern <> '' GROUP BY pattern),
+m AS (SELECT text, min(struct_pack(a := priority, b := pattern, c := value)) AS r FROM t JOIN u ON contains(text, pattern) GROUP BY text)
+SELECT t.text, r.a AS priority, r.b AS pattern, r.c AS value FROM t LEFT JOIN m ON t.text = m.text"""
+
+
+def rule_table(spark, sf_dir):
+    return spark.sql(RULES, part=P.table(spark, sf_dir, "part"), supplier=P.table(spark, sf_dir, "supplier"), twenty=spark.range(20).withColumnRenamed("id", "k"))
+
+
+def ruled_texts(spark, sf_dir, **bound):
+    texts = spark.sql(RULED, app=P.app(spark, sf_dir))
+    return RT.first_rule(texts, F.col("text"), rule_table(spark, sf_dir), **bound).select("text", "rule.priority", "rule.pattern", "rule.value")
+
+
+@query("j9_rule_table", RULED_SQL)
+def rules_by_automaton(spark, sf_dir):
+    return ruled_texts(spark, sf_dir)
+
+
+@query("j9_rule_table_joined", RULED_SQL)
+def rules_by_join(spark, sf_dir):
+    return ruled_texts(spark, sf_dir, most_bytes=0)
+
+
+@query("j9_sector_rules", f"SELECT issue_id, {P.sector_sql('sector')} AS sector_group, count(*) AS n FROM ({P.APP_SQL}) GROUP BY ALL")
+def sectors_by_table(spark, sf_dir):
+    return L.with_sector_group(P.app(spark, sf_dir).select("issue_id", "sector"), L.sector_rules(spark)).groupBy("issue_id", "sector_group").agg(F.count("*").alias("n"))
+
+
+#: Blocked domains made from parts: whole ones, ends without a dot before them, and many that no page has.
+DOMAINS = "SELECT CAST(p_partkey AS BIGINT) AS priority, CASE p_partkey % 40 WHEN 0 THEN concat(replace(p_name, ' ', '-'), '.com') WHEN 1 THEN concat(right(p_name, 3), '.es') ELSE concat('part-', CAST(p_partkey AS STRING), '.net') END AS pattern, 'blocked' AS value FROM {part}"
+
+DOMAINS_SQL = DOMAINS.format(part="part")
+
+
+@query("j9_blocked_domains", f"WITH {mentions_sql(P.PAGES_SQL).replace(f'NOT ({BLOCKED})', f'NOT EXISTS (SELECT 1 FROM ({DOMAINS_SQL}) WHERE ends_with(root, pattern))')} SELECT issue_id, key, count(*) AS n FROM k GROUP BY ALL")
+def blocked_by_table(spark, sf_dir):
+    rules = spark.sql(DOMAINS, part=P.table(spark, sf_dir, "part"))
+    return D.mentions(P.ad_pages(spark, sf_dir), blocked=rules).groupBy("issue_id", "key").agg(F.count("*").alias("n"))
+
+
 @query("f18_percent_and_band", f"SELECT DISTINCT confidence, round_even(confidence * 100, 0)::INT || '%' AS pct, CASE WHEN confidence >= 0.75 THEN 'alta' WHEN confidence >= 0.5 THEN 'media' ELSE 'baja' END AS band FROM ({P.APP_SQL})")
 def percent_and_band(spark, sf_dir):
     own = P.app(spark, sf_dir).select("confidence").distinct()
