@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 #: Bytes of patterns and values, and number of rules, up to which a table is broadcast.
 MOST_BYTES, MOST_RULES = 16 << 20, 500_000
-#: Signs of a pattern's head, by which texts find rules in a join.
-HEAD = 4
+#: Signs of the piece of a pattern by which texts find it in a join.
+PIECE = 4
 
 RULE = T.StructType([T.StructField("priority", T.LongType()), T.StructField("pattern", T.StringType()), T.StructField("value", T.StringType())])
 
@@ -74,17 +74,28 @@ def by_automaton(df: DataFrame, text: Column, rules: list[tuple[int, str, str]],
     return out.withColumn(into, F.when(F.col("__r.priority").isNotNull(), F.col("__r"))).drop("__r")
 
 
+def pieces(text: str) -> Column:
+    """All pieces of a text of up to PIECE signs, each once."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(at, lambda k: F.transform(F.sequence(F.lit(1), F.lit(PIECE)), lambda n: F.substring(text, k, n)))))
+
+
+def by_rarest(rules: DataFrame) -> DataFrame:
+    """Adds __piece: of a pattern's pieces of PIECE signs the one that the fewest patterns hold; a shorter pattern is its own."""
+    size = F.least(F.length("pattern"), F.lit(PIECE))
+    own = rules.select("*", F.explode(F.filter(pieces("pattern"), lambda p: F.length(p) == size)).alias("__piece"))
+    holders = own.groupBy("__piece").agg(F.count("*").alias("__n"))
+    return own.join(holders, "__piece").groupBy("priority", "pattern", "value").agg(F.min(F.struct("__n", "__piece")).alias("m")).select("priority", "pattern", "value", "m.__piece")
+
+
 def by_join(df: DataFrame, text: Column, rules: DataFrame, into: str, ends: bool) -> DataFrame:
-    """Distinct texts are taken apart: into all their ends, or all pieces of up to HEAD signs, of which one is a rule's head."""
+    """Distinct texts are taken apart: into all their ends, or all their pieces, of which a rule asks for the rarest of its own."""
     own = df.withColumn("__text", text)
     texts = own.select("__text").where("__text is not null").distinct()
-    at = F.sequence(F.lit(1), F.greatest(F.length("__text"), F.lit(1)))
     if ends:
-        pieces = F.transform(at, lambda k: F.substring("__text", k, F.length("__text")))
-        met = texts.select("__text", F.explode(F.array_distinct(pieces)).alias("__head")).join(rules, F.col("__head") == F.col("pattern"))
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.length("__text"), F.lit(1))), lambda k: F.substring("__text", k, F.length("__text")))
+        met = texts.select("__text", F.explode(every).alias("__end")).join(rules, F.col("__end") == F.col("pattern"))
     else:
-        heads = F.transform(at, lambda k: F.transform(F.sequence(F.lit(1), F.lit(HEAD)), lambda n: F.substring("__text", k, n)))
-        pieces = texts.select("__text", F.explode(F.array_distinct(F.flatten(heads))).alias("__head"))
-        met = pieces.join(rules.withColumn("__first", F.left("pattern", F.lit(HEAD))), F.col("__head") == F.col("__first")).where(F.contains("__text", "pattern"))
+        met = texts.select("__text", F.explode(pieces("__text")).alias("__piece")).join(by_rarest(rules), "__piece").where(F.contains("__text", "pattern"))
     found = met.groupBy("__text").agg(F.min(F.struct("priority", "pattern", "value")).alias(into))
     return own.join(found, "__text", "left").drop("__text")
