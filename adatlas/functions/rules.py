@@ -74,16 +74,20 @@ def by_automaton(df: DataFrame, text: Column, rules: list[tuple[int, str, str]],
     return out.withColumn(into, F.when(F.col("__r.priority").isNotNull(), F.col("__r"))).drop("__r")
 
 
-def pieces(text: str) -> Column:
-    """All pieces of a text of up to PIECE signs, each once."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    return F.array_distinct(F.flatten(F.transform(at, lambda k: F.transform(F.sequence(F.lit(1), F.lit(PIECE)), lambda n: F.substring(text, k, n)))))
+def pieces(text: str, sizes: list[int]) -> Column:
+    """All pieces of a text of some sizes, each once."""
+
+    def of(n: int) -> Column:
+        at = F.sequence(F.lit(1), F.length(text) - (n - 1))
+        return F.when(F.length(text) >= n, F.transform(at, lambda k: F.substring(text, k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*map(of, sizes)))
 
 
 def by_rarest(rules: DataFrame) -> DataFrame:
     """Adds __piece: of a pattern's pieces of PIECE signs the one that the fewest patterns hold; a shorter pattern is its own."""
     size = F.least(F.length("pattern"), F.lit(PIECE))
-    own = rules.select("*", F.explode(F.filter(pieces("pattern"), lambda p: F.length(p) == size)).alias("__piece"))
+    own = rules.select("*", F.explode(F.filter(pieces("pattern", list(range(1, PIECE + 1))), lambda p: F.length(p) == size)).alias("__piece"))
     holders = own.groupBy("__piece").agg(F.count("*").alias("__n"))
     return own.join(holders, "__piece").groupBy("priority", "pattern", "value").agg(F.min(F.struct("__n", "__piece")).alias("m")).select("priority", "pattern", "value", "m.__piece")
 
@@ -96,6 +100,7 @@ def by_join(df: DataFrame, text: Column, rules: DataFrame, into: str, ends: bool
         every = F.transform(F.sequence(F.lit(1), F.greatest(F.length("__text"), F.lit(1))), lambda k: F.substring("__text", k, F.length("__text")))
         met = texts.select("__text", F.explode(every).alias("__end")).join(rules, F.col("__end") == F.col("pattern"))
     else:
-        met = texts.select("__text", F.explode(pieces("__text")).alias("__piece")).join(by_rarest(rules), "__piece").where(F.contains("__text", "pattern"))
+        sizes = sorted(r[0] for r in rules.select(F.least(F.length("pattern"), F.lit(PIECE))).distinct().collect())  # PIECE at most
+        met = texts.select("__text", F.explode(pieces("__text", sizes or [1])).alias("__piece")).join(by_rarest(rules), "__piece").where(F.contains("__text", "pattern"))
     found = met.groupBy("__text").agg(F.min(F.struct("priority", "pattern", "value")).alias(into))
     return own.join(found, "__text", "left").drop("__text")
