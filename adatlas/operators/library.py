@@ -38,12 +38,6 @@ def stored_issues(meta: DataFrame, ads: DataFrame) -> DataFrame:
     return out.join(counts, "issue_id", "left").withColumn("n_anunciantes", F.coalesce("n_anunciantes", F.lit(0)).cast("int"))
 
 
-def save(meta: DataFrame, ads: DataFrame, root: str) -> None:
-    """Appends issues and their advertisers to the library's two tables, partitioned by issue."""
-    stored_advertisers(ads).write.partitionBy("issue_id").mode("append").parquet(f"{root}/advertisers")
-    stored_issues(meta, ads).write.mode("append").parquet(f"{root}/issues")
-
-
 def listed_issues(issues: DataFrame) -> DataFrame:
     """All issues, the last analysed first."""
     return issues.orderBy(F.desc("fecha"), F.desc("issue_id"))
@@ -65,10 +59,11 @@ def library_view(ads: DataFrame) -> DataFrame:
     return listed_advertisers(ads).select("issue_id", "place", F.coalesce("brand", F.lit("")).alias("brand"), F.coalesce("sector", F.lit("")).alias("sector"))
 
 
-def migrated(ads: DataFrame) -> DataFrame:
+def migrated(ads: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Fills a missing or empty sector_group from the sector."""
     old = F.col("sector_group") if "sector_group" in ads.columns else F.lit(None).cast("string")
-    return ads.withColumn("sector_group", F.coalesce(F.nullif(old, F.lit("")), X.sector_group(F.col("sector"))))
+    own = with_sector_group(ads.withColumn("__old", old), rules)
+    return own.withColumn("sector_group", F.coalesce(F.nullif("__old", F.lit("")), "sector_group")).drop("__old")
 
 
 def without_issues(table: DataFrame, issues: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,8 @@ from adatlas.operators import review as V
 from adatlas.functions import rules as RT
 from adatlas.plans import views as P
 from adatlas.sources import sinks as K
+from adatlas.sources.shared import new_folder, removed, written
+from adatlas.sources.stored_library import Library
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -545,27 +546,77 @@ def csv_rows(spark, sf_dir):
     return K.csv_rows(numbered_ads(spark, sf_dir), issue_meta(spark, sf_dir))
 
 
-def shared_folder(spark) -> str:
-    """A new folder for what a query writes and reads again: beside the checkpoints, else in the warehouse."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/written-{uuid.uuid4().hex}"
+def kept_result(result: DataFrame, *folders: str) -> DataFrame:
+    """A query's result, written, so that the folders from which it was read can go."""
+    out = written(result, "result")
+    for folder in folders:
+        removed(result.sparkSession, folder)
+    return out
 
 
 @query("k11_exported", f"SELECT issue_id, count(*) AS n, count(DISTINCT Marca) AS brands, max(Cobertura) AS coverage FROM ({CSV_SQL}) WHERE replace(Confianza, '%', '')::INT >= 40 GROUP BY issue_id")
 def exported(spark, sf_dir):
-    root, meta = shared_folder(spark), issue_meta(spark, sf_dir).withColumns({"job_id": F.lit("job"), "coste_usd": F.lit(None).cast("double")})
-    K.export_results(numbered_ads(spark, sf_dir).withColumn("review_reasons", F.array().cast("array<string>")), meta, root, "e1", min_confidence=0.4)
-    return spark.read.parquet(f"{root}/e1/csv").groupBy("issue_id").agg(F.count("*").alias("n"), F.count_distinct("Marca").alias("brands"), F.max("Cobertura").alias("coverage"))
+    root, meta = new_folder(spark, "exports"), issue_meta(spark, sf_dir).withColumns({"job_id": F.lit("job"), "coste_usd": F.lit(None).cast("double")})
+    ads = numbered_ads(spark, sf_dir).withColumn("review_reasons", F.array().cast("array<string>"))
+    K.export_results(ads, meta, root, "e1", min_confidence=0.4)
+    return kept_result(spark.read.parquet(f"{root}/e1/csv").groupBy("issue_id").agg(F.count("*").alias("n"), F.count_distinct("Marca").alias("brands"), F.max("Cobertura").alias("coverage")), root)
+
+
+@query("k11_exported_once", f"SELECT issue_id, count(*) AS n, count(*)::INT AS stored FROM ({CSV_SQL}) WHERE replace(Confianza, '%', '')::INT >= 40 GROUP BY issue_id")
+def exported_once(spark, sf_dir):
+    """The library's save fails at first, after the export was published; the call is repeated, and once more."""
+    root, meta = new_folder(spark, "exports"), issue_meta(spark, sf_dir).withColumns({"job_id": F.lit("job"), "coste_usd": F.lit(None).cast("double")})
+    ads = numbered_ads(spark, sf_dir).withColumn("review_reasons", F.array().cast("array<string>"))
+    spark.range(1).write.parquet(f"{root}/lib/log/0000000001.json")  # a folder where a list of folders should be
+    try:
+        K.export_results(ads, meta, root, "e1", min_confidence=0.4, library=f"{root}/lib")
+    except Exception:  # noqa: BLE001
+        removed(spark, f"{root}/lib/log")
+    done = [K.export_results(ads, meta, root, "e1", min_confidence=0.4, library=f"{root}/lib") for _ in range(2)]
+    assert done == [True, False]
+    lib = Library(spark, f"{root}/lib")
+    stored = lib.read("advertisers").groupBy("issue_id").agg(F.count("*").alias("n"))
+    return kept_result(stored.join(lib.read("issues").select("issue_id", F.col("n_anunciantes").alias("stored")), "issue_id"), root)
+
+
+def library_meta(ads):
+    return ads.groupBy("issue_id").agg(F.min("titulo").alias("titulo"), F.lit("12").alias("paginas"), F.lit(0.0).alias("coste_usd"))
 
 
 @query("k6_saved_library", f"SELECT issue_id, canonical, sector_group, count(*) AS n FROM ({P.ADS_SQL}) GROUP BY ALL")
 def saved_library(spark, sf_dir):
-    root, ads = shared_folder(spark), P.app(spark, sf_dir)
-    meta = ads.groupBy("issue_id").agg(F.min("titulo").alias("titulo"), F.lit("12").alias("paginas"), F.lit(0.0).alias("coste_usd"))
-    for rest in (0, 1):  # two runs, each appending its issues
-        L.save(meta.where(F.col("issue_id") % 2 == rest).repartition(4), ads.where(F.col("issue_id") % 2 == rest).repartition(4, "issue_id"), root)
-    back = spark.read.parquet(f"{root}/advertisers")
-    return back.withColumn("issue_id", F.col("issue_id").cast("long")).groupBy("issue_id", "canonical", "sector_group").agg(F.count("*").alias("n"))
+    """Two saves, one of them asked for twice, and one that broke off before its commit."""
+    lib, ads = Library(spark, new_folder(spark, "library")), P.app(spark, sf_dir)
+    part = lambda rest: ads.where(F.pmod("issue_id", F.lit(2)) == rest)
+    assert [lib.save(library_meta(part(k)), part(k), save_id=f"run-{k}") for k in (0, 0, 1)] == [True, False, True]
+    lib._write("advertisers", L.stored_advertisers(part(0)))
+    result = lib.read("advertisers").groupBy("issue_id", "canonical", "sector_group").agg(F.count("*").alias("n"))
+    return kept_result(result.join(lib.read("issues").select("issue_id"), "issue_id", "left_semi"), lib.root)
+
+
+@query("k7_deleted_issues", f"SELECT issue_id, count(*) AS n, count(*)::INT AS stored FROM ({P.APP_SQL}) GROUP BY issue_id HAVING count(*) >= 60")
+def deleted_issues(spark, sf_dir):
+    """Issues of few advertisers go from both stored tables in one step."""
+    lib, ads = Library(spark, new_folder(spark, "library")), P.app(spark, sf_dir)
+    lib.save(library_meta(ads), ads)
+    lib.delete(lib.read("issues").where("n_anunciantes < 60"))
+    counts = lib.read("advertisers").groupBy("issue_id").agg(F.count("*").alias("n"))
+    return kept_result(counts.join(lib.read("issues").select("issue_id", F.col("n_anunciantes").alias("stored")), "issue_id", "full"), lib.root)
+
+
+@query("k8_migrated_library", f"SELECT issue_id, CASE WHEN o2 % 3 = 0 THEN 'old' ELSE sector_group END AS sector_group, count(*) AS n FROM ({P.ADS_SQL}) GROUP BY ALL")
+def migrated_library(spark, sf_dir):
+    """Files from before sector groups, and files in which some are missing, beside a save of now."""
+    lib, ads = Library(spark, new_folder(spark, "library")), stored(spark, sf_dir)
+    kind = F.col("o2") % 3
+    lib.save(library_meta(ads.where(kind == 0)), ads.where(kind == 0))
+    ads.where(kind == 1).drop("sector_group").write.parquet(f"{lib.root}/before")
+    ads.where(kind == 2).withColumn("sector_group", F.when(F.col("o1") % 2 == 0, "")).write.parquet(f"{lib.root}/gaps")
+    lib.adopt("advertisers", f"{lib.root}/before")
+    lib.adopt("advertisers", f"{lib.root}/gaps")
+    assert lib.migrate() and not lib.migrate()
+    group = F.when(F.col("o2") % 3 == 0, "old").otherwise(F.col("sector_group"))
+    return kept_result(lib.read("advertisers").groupBy("issue_id", group.alias("sector_group")).agg(F.count("*").alias("n")), lib.root)
 
 
 @query("k2_json_objects", f"SELECT issue_id, string_agg(brand, '|' ORDER BY adv_no) AS brands FROM ({NUMBERED_SQL}) GROUP BY ALL")

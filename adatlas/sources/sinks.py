@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adatlas.functions import text as X
-from adatlas.operators import library as L
 from adatlas.operators import report as R
 from adatlas.operators import review as V
+from adatlas.sources.stored_library import Library
 
 # The columns of the CSV export and their headers, in order.
 CSV_COLUMNS = {
@@ -64,18 +64,19 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, export
 def export_results(ads: DataFrame, meta: DataFrame, root: str, export_id: str, min_confidence: float = 0.0, library: str | None = None) -> bool:
     """All deliverables of reviewed issues, of advertisers of at least some confidence: CSV rows, objects, appearances and summary; then, if a folder is given, the library.
 
-    ads: adv_no and the fields of an advertiser; meta: what the writers ask for, and job_id. False, with nothing
-    written, if the export is there already.
+    ads: adv_no and the fields of an advertiser; meta: what the writers ask for, and job_id. The library's save bears the
+    export's id, so that a call which broke off is simply repeated: what is there stays, what lacks is done, nothing twice.
+    False if all was there already.
     """
     spark, own = ads.sparkSession, V.confident(ads, min_confidence)
     told = meta.select("issue_id", "job_id", F.lit(export_id).alias("export_id"), R.coverage_state().alias("estado"), "url", "titulo")
     tables = {"csv": csv_rows(own, meta), "json": json_objects(own, meta), "appearances": R.appearances(own, told), "summary": R.summary_rows(own, meta)}
     tables["csv"] = tables["csv"].withColumnsRenamed({c: c.replace(" ", "_") for c in CSV_COLUMNS.values()})  # a table's columns have no spaces
-    if not publish(spark, tables, root, export_id):
-        return False
+    done = publish(spark, tables, root, export_id)
     if library:
-        L.save(meta.select("issue_id", "titulo", "numero", "url", F.col("fecha").alias("fecha_analisis"), "paginas", "modo", "coste_usd"), own, library)
-    return True
+        issues = meta.select("issue_id", "titulo", "numero", "url", F.col("fecha").alias("fecha_analisis"), "paginas", "modo", "coste_usd")
+        done = Library(spark, library).save(issues, own, save_id=export_id) or done
+    return done
 
 
 def new_exports(exports: DataFrame, done: DataFrame) -> DataFrame:
