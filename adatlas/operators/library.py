@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from adatlas.functions import rules as RT
 from adatlas.functions import text as X
+from adatlas.functions.ordered import Order, in_order
 
 
 def with_sector_group(ads: DataFrame, rules: DataFrame | None = None) -> DataFrame:
@@ -92,10 +93,19 @@ def fidelity(comparison: DataFrame) -> DataFrame:
     return out.withColumn("fidelidad", F.coalesce(F.try_divide(F.col("recurrentes"), F.col("recurrentes") + F.col("nuevos")), F.lit(0.0)))
 
 
+def title() -> Column:
+    return F.coalesce(F.nullif("titulo", F.lit("")), F.lit("Revista"))
+
+
+def by_date() -> list[Order]:
+    """Issues of a title by date; of one date the later saved comes first."""
+    return [(F.col("fecha"), False), (F.col("issue_id"), True)]
+
+
 def consecutive(issues: DataFrame) -> DataFrame:
-    """Pairs of an issue and the next one of its title."""
-    w = W.partitionBy(F.coalesce(F.nullif("titulo", F.lit("")), F.lit("Revista"))).orderBy(F.asc("fecha"), F.desc("issue_id"))
-    return issues.select(F.lag("issue_id").over(w).alias("issue_a"), F.col("issue_id").alias("issue_b")).where("issue_a is not null")
+    """Pairs of an issue and the next one of its title, however many issues a title has."""
+    own = issues.select("issue_id", "fecha", title().alias("title"))
+    return in_order(own, ["title"], by_date(), lag={"issue_a": "issue_id"}).where("issue_a is not null").select("issue_a", F.col("issue_id").alias("issue_b"))
 
 
 def history(ads: DataFrame, issues: DataFrame, brand: Column | None = None) -> DataFrame:
@@ -105,8 +115,8 @@ def history(ads: DataFrame, issues: DataFrame, brand: Column | None = None) -> D
 
 
 def ordered_history(appearances: DataFrame) -> DataFrame:
-    """A history by date, earliest first, of each canonical brand."""
-    return appearances.withColumn("place", F.rank().over(W.partitionBy("canonical").orderBy("fecha")))
+    """A history by date, earliest first, of each canonical brand; appearances of one date share a place."""
+    return in_order(appearances, ["canonical"], [(F.col("fecha"), False)], rank="place")
 
 
 def share_of_voice(ads: DataFrame) -> DataFrame:
@@ -122,9 +132,7 @@ def ordered_share(share: DataFrame) -> DataFrame:
 
 def with_previous(issues: DataFrame) -> DataFrame:
     """Adds the count of the issue before of the same title and the change as shown."""
-    w = W.partitionBy(F.coalesce(F.nullif("titulo", F.lit("")), F.lit("Revista"))).orderBy(F.asc("fecha"), F.desc("issue_id"))
-    now = F.coalesce("n_anunciantes", F.lit(0))
-    out = issues.withColumn("prev", F.lag("n_anunciantes").over(w))
-    step = now - F.col("prev")
+    own = in_order(issues.withColumn("__title", title()), ["__title"], by_date(), lag={"prev": "n_anunciantes"}).drop("__title")
+    step = F.coalesce("n_anunciantes", F.lit(0)) - F.col("prev")
     delta = F.when(F.col("prev").isNull(), "·").when(step > 0, F.concat(F.lit("+"), step.cast("string"))).when(step < 0, step.cast("string")).otherwise("=")
-    return out.withColumn("delta", delta)
+    return own.withColumn("delta", delta)

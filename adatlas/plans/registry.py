@@ -21,6 +21,7 @@ from adatlas.plans import views as P
 from adatlas.sources import sinks as K
 from adatlas.sources.shared import new_folder, removed, written
 from adatlas.sources.stored_library import Library
+from adatlas.streaming.answers import follow
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -425,6 +426,40 @@ def spreads_to_do(spark, sf_dir):
     return A.resume(wanted, kept)[1].groupBy("issue_id").agg(F.count("*").alias("n"))
 
 
+#: Every order line's answer is sent twice, in two of three batches.
+SENT = "concat_ws(':', issue_id, o1, o2, o3, o4, o5)"
+
+
+@query("t2_streamed_answers", f"WITH r AS (SELECT DISTINCT issue_id, o1, o2, o3, o4, o5 FROM ({P.APP_SQL})) SELECT issue_id::VARCHAR AS issue_id, count(*) AS answers, count(*) FILTER (o3 % 11 <> 0 AND o3 % 13 <> 0) AS kept FROM r GROUP BY ALL")
+def streamed_answers(spark, sf_dir):
+    root, rows = new_folder(spark, "stream"), responses(spark, sf_dir)
+    sent = rows.select(F.col("issue_id").cast("string").alias("issue_id"), F.col("spread_no").cast("int").alias("spread_no"), "page_nums", "raw", F.expr(SENT).alias("signature"), (F.col("o2") % 3).alias("k"))
+    for k in range(3):
+        sent.where(F.col("k").isin(k, (k + 1) % 3)).drop("k").write.mode("append").json(f"{root}/sent")
+        follow(spark, f"{root}/sent", f"{root}/stored", f"{root}/stream").awaitTermination()
+    answers = spark.read.parquet(f"{root}/stored/answers").groupBy("issue_id").agg(F.count("*").alias("answers"))
+    entries = spark.read.parquet(f"{root}/stored/entries").groupBy("issue_id").agg(F.count_if("kept").alias("kept"))
+    return kept_result(answers.join(entries, "issue_id"), root)
+
+
+#: All issues under one title.
+ONE_TITLE_SQL = f"SELECT *, lag(n_anunciantes) OVER (ORDER BY fecha, issue_id DESC) AS prev, lag(issue_id) OVER (ORDER BY fecha, issue_id DESC) AS issue_a FROM ({P.ISSUES_SQL})"
+
+
+def one_title(spark, sf_dir):
+    return P.issues(stored(spark, sf_dir)).withColumn("titulo", F.when(F.col("issue_id") % 2 == 0, "").otherwise("Revista"))
+
+
+@query("w2_one_title", f"SELECT issue_id, prev, CASE WHEN prev IS NULL THEN '·' WHEN n_anunciantes > prev THEN '+' || (n_anunciantes - prev) WHEN n_anunciantes < prev THEN (n_anunciantes - prev)::VARCHAR ELSE '=' END AS delta FROM ({ONE_TITLE_SQL})")
+def previous_issue_of_one_title(spark, sf_dir):
+    return L.with_previous(one_title(spark, sf_dir)).select("issue_id", "prev", "delta")
+
+
+@query("u1_pairs_of_one_title", f"SELECT issue_a, issue_id AS issue_b FROM ({ONE_TITLE_SQL}) WHERE issue_a IS NOT NULL")
+def pairs_of_one_title(spark, sf_dir):
+    return L.consecutive(one_title(spark, sf_dir))
+
+
 COVER_SQL = f"""
 WITH p AS (SELECT issue_id, count(DISTINCT page_no)::INT AS total_pages, list_sort(list_distinct(list(page_no) FILTER (flag = 'R' AND o2 = 1))) AS bad, list_sort(list_distinct(list(page_no) FILTER (flag = 'A' AND o2 = 2))) AS part FROM ({P.APP_SQL}) GROUP BY issue_id)
 SELECT issue_id, total_pages, array_to_string(coalesce(bad, []), ',') AS failed_pages, array_to_string(coalesce(part, []), ',') AS partial_pages, greatest(0, total_pages - coalesce(len(bad), 0))::INT AS paginas_analizadas, CASE WHEN total_pages > 0 AND total_pages - coalesce(len(bad), 0) <= 0 THEN 'fallido' WHEN coalesce(len(bad), 0) + coalesce(len(part), 0) > 0 THEN 'parcial' ELSE 'completo' END AS estado FROM p"""

@@ -7,31 +7,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from adatlas.operators import answers as A
-from adatlas.sources.sinks import new_work
 from adatlas.sources.tables import RESPONSES
 
+#: Signatures that were met stand in a store on disk, of which a batch writes only what it changes.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 
 def signed(responses: DataFrame) -> DataFrame:
     """Answers without a signature are told by their issue and spread."""
     return responses.withColumn("signature", F.coalesce("signature", F.concat_ws(":", "issue_id", F.col("spread_no").cast("string"))))
 
 
-def follow(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
+def follow(spark: SparkSession, source: str, target: str, checkpoint: str, files_a_batch: int | None = None) -> StreamingQuery:
     """Reads what has come since the last run and ends: answers/ has each signature once, whatever is sent again; entries/ their entries.
 
-    A batch replaces its own folders, so that a repeated batch adds nothing.
+    Known signatures are keyed state of the stream, kept with its checkpoint: a batch looks up its own signatures only,
+    however many came before, and reads nothing that was stored. A batch replaces its own folders, so that a repeated
+    batch adds nothing. files_a_batch: files that one batch takes at most; None for all.
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/answers")
-        own = signed(batch)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            known = spark.read.schema("signature STRING, batch BIGINT").parquet(f"{target}/answers").where(F.col("batch") != number)
-            own = new_work(own, known)
-        own = own.dropDuplicates(["signature"])
-        own.write.mode("overwrite").parquet(f"{target}/answers/batch={number}")
-        kept = spark.read.schema(own.schema).parquet(f"{target}/answers/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{target}/answers/batch={number}")
+        kept = batch.sparkSession.read.schema(batch.schema).parquet(f"{target}/answers/batch={number}")
         A.validated(A.parsed(kept)).write.mode("overwrite").parquet(f"{target}/entries/batch={number}")
 
-    stream = spark.readStream.schema(f"{RESPONSES}, signature STRING").json(source)
-    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    reader = spark.readStream.schema(f"{RESPONSES}, signature STRING")
+    stream = signed((reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).json(source))
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    try:  # the query takes the settings that it finds when it starts
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
+        return stream.dropDuplicates(["signature"]).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

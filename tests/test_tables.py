@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from adatlas.sources import sinks as K
 from adatlas.sources import tables as S
+from adatlas.sources.stored_library import Library
 from adatlas.streaming.answers import follow
 
 
@@ -42,7 +43,8 @@ def test_exports(spark, tmp_path):
     out, lib = str(tmp_path / "all"), str(tmp_path / "lib")
     assert K.export_results(ads, whole, out, "e1", 0.3, lib) and not K.export_results(ads, whole, out, "e1", 0.3, lib)
     assert [r.Marca for r in spark.read.parquet(f"{out}/e1/csv").collect()] == ["Simon"] and spark.read.parquet(f"{out}/e1/summary").count() == 12
-    assert spark.read.parquet(f"{lib}/issues").first().coste_usd == 1.5 and [r.brand for r in spark.read.parquet(f"{lib}/advertisers").collect()] == ["Simon"]
+    stored = Library(spark, lib)
+    assert stored.read("issues").first().coste_usd == 1.5 and [r.brand for r in stored.read("advertisers").collect()] == ["Simon"]
     meta = spark.createDataFrame([("i", "T"), ("k", "U")], ["issue_id", "titulo"])
     K.write_json(ads, meta, str(tmp_path / "json"))
     back = {r.issue_id: [a.brand for a in r.anunciantes] for r in spark.read.json(str(tmp_path / "json")).collect()}
