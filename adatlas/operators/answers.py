@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import json
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from adatlas.functions import text as X
+from adatlas.functions.salvage import answer_items
 
 # The counters of an answer, notes, sizes of the answer contract.
 USAGE = ["input", "output", "cache_write", "cache_read"]
@@ -43,59 +40,33 @@ def spread_context(pages: DataFrame, text: str = "text") -> DataFrame:
     return both.select("issue_id", "spread_no", F.transform("p", lambda x: x.page_no).alias("page_nums"), ask.alias("instruction"), F.array_join(F.transform("p", lambda x: x.line), "\n\n").alias("context"))
 
 
-#: Strings, the last of which may lack its end, and braces that open an object outside of them.
-MARKS = re.compile(r'"(?:\\.|[^"\\])*(?:"|\\?\Z)|\{', re.S)
-
-
-def salvage(raw: str) -> list[str]:
-    """The complete objects with a `marca` in a broken answer, in order of their ends, as JSON texts.
-
-    Wherever an object may begin, the decoder is asked for a whole one.
-    """
-    found = []
-    for mark in MARKS.finditer(raw):
-        if mark[0] == "{":
-            with contextlib.suppress(ValueError):
-                item, end = DECODER.raw_decode(raw, mark.start())
-                if item.get("marca"):
-                    found.append((end, json.dumps(item, ensure_ascii=False)))
-    return [item for _, item in sorted(found, key=lambda f: f[0])]
-
-
-DECODER = json.JSONDecoder()
-
-
 @F.pandas_udf(T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("items", T.ArrayType(T.StringType()))]))
 def repaired(raw: pd.Series) -> pd.DataFrame:
     """Answers that the built-in parser rejects: parsed leniently, or what can be salvaged. Null, an answer that needs none, stays null."""
     valid, items = [None] * len(raw), [None] * len(raw)
     for k in np.flatnonzero(raw.notna()):
-        text = raw.iloc[k]
-        try:
-            payload = json.loads(text)
-            good = isinstance(payload, dict) and isinstance(payload.get("anuncios"), list)
-            valid[k], items[k] = good, [json.dumps(i, ensure_ascii=False) for i in payload["anuncios"]] if good else []
-        except ValueError:
-            valid[k], items[k] = False, salvage(text)
+        valid[k], items[k] = answer_items(raw.iloc[k], "anuncios", "marca")
     return pd.DataFrame({"valid": pd.array(valid, "boolean"), "items": items})
 
 
 def parsed(responses: DataFrame) -> DataFrame:
     """Adds `valid` and `items`, the answer's entries as variants. Answers are read once; the text of those that aren't strict JSON, and of no other, goes to Python."""
     body = X.strip(F.regexp_replace(F.coalesce("raw", F.lit("")), r"(?m)^```(?:json)?|```$", ""))
-    own = responses.withColumn("__body", body).withColumn("__v", F.try_parse_json("__body"))
+    own = responses.withColumn("__body", body)
+    # the parser stops at a value's end whatever follows; what is one value is so as an array's only item and as an object's only field, and nothing else is both
+    own = own.withColumn("__in", F.try_parse_json(F.concat(F.lit("["), "__body", F.lit("]"))))
+    alone = F.try_variant_get("__in", "$[1]", "variant").isNull() & F.try_parse_json(F.concat(F.lit('{"v":'), "__body", F.lit("}"))).isNotNull()
+    own = own.withColumn("__v", F.when(alone, F.try_variant_get("__in", "$[0]", "variant")))
     own = own.withColumn("__r", repaired(F.when(F.col("__v").isNull(), F.col("__body"))))
     ads = F.when(F.col("__v").isNotNull(), F.try_variant_get("__v", "$.anuncios", "array<variant>")).otherwise(F.transform("__r.items", lambda x: F.try_parse_json(x)))
     own = own.withColumn("items", ads).withColumn("valid", F.coalesce("__r.valid", F.col("items").isNotNull()))
     return own.withColumn("items", F.coalesce("items", F.array().cast("array<variant>"))).select(*responses.columns, "valid", "items")
 
 
-def kind(v: Column) -> Column:
-    """What a variant holds, by the first sign of its JSON: a name of KINDS; null and nothing are `null`."""
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for sign in KINDS for x in (sign, KINDS[sign])]), F.left(F.to_json(v), F.lit(1))), F.lit("null"))
-
-
-KINDS = {**dict.fromkeys("-0123456789", "number"), '"': "text", "{": "object", "[": "array", "t": "bool", "f": "bool", "n": "null"}
+def kind(v: Column, text: Column) -> Column:
+    """What a variant holds: null (or nothing), text, number, bool, or other for an object or array. text: the variant as text, which objects and arrays don't have; only of what has one is the type looked up."""
+    scalar = F.schema_of_variant(v)
+    return F.when(v.isNull() | F.is_variant_null(v), "null").when(text.isNull(), "other").when(scalar == "STRING", "text").when(scalar == "BOOLEAN", "bool").otherwise("number")
 
 
 def clean_text(k: Column, s: Column) -> tuple[Column, Column]:
@@ -114,8 +85,9 @@ def validated(answers: DataFrame) -> DataFrame:
     own = answers.select("issue_id", "spread_no", "page_nums", F.posexplode("items").alias("item_idx", "v"))
     fields = ("marca", "pagina", "confianza", *FIELDS)
     own = own.withColumn("o", F.try_variant_get("v", "$", f"struct<{', '.join(f'{c}: variant' for c in fields)}>"))  # null where the entry is no object
-    # the kind of each field is told and its text written once
-    own = own.withColumns({f"_{c}_{x}": e for c in fields for x, e in (("k", kind(F.col(f"o.{c}"))), ("s", F.try_variant_get(f"o.{c}", "$", "string")))})
+    # the text of each field is written and its kind told once
+    own = own.withColumns({f"_{c}_s": F.try_variant_get(f"o.{c}", "$", "string") for c in fields})
+    own = own.withColumns({f"_{c}_k": kind(F.col(f"o.{c}"), F.col(f"_{c}_s")) for c in fields})
     of = lambda c: (F.col(f"_{c}_k"), F.col(f"_{c}_s"))
     k, s = of("marca")
     brand = F.when(k == "text", F.nullif(X.strip(s), F.lit("")))

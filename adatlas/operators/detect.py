@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from adatlas.functions import rules as RT
 from adatlas.functions import text as X
@@ -76,35 +77,46 @@ def fold(rows: list[dict]) -> list[dict]:
     return kept
 
 
+def with_roots(found: DataFrame) -> DataFrame:
+    """Adds low, the brand in lower case, root_no, which counts the roots of an issue, and of_root, the number of brands of one root.
+
+    A root is a brand that begins with no other; all that begin with it stand behind it in order of name, before its
+    last possible continuation. Of these continuations the greatest so far belongs to the root that stands last.
+    """
+    order = W.partitionBy("issue_id").orderBy("low")
+    reach = F.max(F.concat("low", F.lit("\U0010ffff"))).over(order.rowsBetween(W.unboundedPreceding, -1))
+    own = found.withColumn("low", F.lower("brand")).withColumn("__reach", reach)
+    is_root = F.coalesce(F.col("__reach") <= F.col("low"), F.lit(True))
+    own = own.withColumn("root_no", F.sum(is_root.cast("int")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("__reach")
+    return own.withColumn("of_root", F.count("*").over(W.partitionBy("issue_id", "root_no")))
+
+
 def consolidated(found: DataFrame) -> DataFrame:
     """Merges brands of an issue that share a page where one name begins with the other.
 
-    Brands of an issue stand in order of name, so that all that begin with the same shortest brand, their root, are
-    neighbours; only groups of several are folded, one such group at a time being held. One shuffle, by issue.
+    Only brands with a common root can, so that a brand alone with its root stays as it is; the others of a root are
+    folded in Python, one root at a time being held. One shuffle, by issue.
     """
     columns = found.columns
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, root, group = None, None, []
-
-        def closed() -> list[dict]:
-            return fold(group) if len(group) > 1 else group
-
+        at, group = None, []
         for batch in batches:
             done = []
             for row in batch.to_pylist():
-                low = row.pop("low")
-                if row["issue_id"] != at or root is None or not low.startswith(root):
-                    done += closed()
-                    at, root, group = row["issue_id"], low, []
+                root = row["issue_id"], row.pop("root_no")
+                if root != at:
+                    done += fold(group)
+                    at, group = root, []
                 group.append(row)
             if done:
                 yield pa.RecordBatch.from_pylist(done, schema=pa.schema([batch.schema.field(c) for c in columns]))
         if group:
-            yield pa.RecordBatch.from_pylist(closed(), schema=pa.schema([batch.schema.field(c) for c in columns]))
+            yield pa.RecordBatch.from_pylist(fold(group), schema=pa.schema([batch.schema.field(c) for c in columns]))
 
-    own = found.withColumn("low", F.lower("brand")).repartition("issue_id").sortWithinPartitions("issue_id", "low")
-    return own.mapInArrow(merge, found.schema)
+    own = with_roots(found)
+    several = own.where("of_root > 1").select(*columns, "root_no").sortWithinPartitions("issue_id", "root_no")
+    return own.where("of_root = 1").select(*columns).unionByName(several.mapInArrow(merge, found.schema))
 
 
 def detected(pages: DataFrame, text: str = "text", blocked: DataFrame | None = None) -> DataFrame:

@@ -778,17 +778,21 @@ def contract_breaks(spark, sf_dir):
     return A.contract_breaks(own, ["cuarto"]).select("issue_id", F.col("spread_no").alias("o1"), F.col("item_idx").alias("o2"), "bad_page", "bad_size")
 
 
-#: Answers that are cut off, fenced or no JSON at all, of every order line.
-BROKEN_SQL = f"""SELECT issue_id, o1, o2, CASE WHEN o3 % 3 = 2 THEN 0 ELSE 1 + (o3 % 3)::INT END AS n, CASE o3 % 3 WHEN 0 THEN brand WHEN 1 THEN brand || '|Simon' ELSE '' END AS brands, o3 % 3 = 1 AS valid FROM ({P.APP_SQL})"""
+#: Answers that are cut off, fenced, no JSON at all, a hundred objects in each other, or thousands of open brackets, of every order line.
+BROKEN_SQL = f"""
+SELECT issue_id, o1, o2, CASE WHEN o3 % 89 = 0 THEN 100 WHEN o3 % 97 = 0 OR o3 % 3 = 2 THEN 0 ELSE 1 + (o3 % 3)::INT END AS n,
+  CASE WHEN o3 % 89 = 0 THEN repeat('x|', 99) || 'x' WHEN o3 % 97 = 0 OR o3 % 3 = 2 THEN '' WHEN o3 % 3 = 0 THEN brand ELSE brand || '|Simon' END AS brands, o3 % 89 <> 0 AND o3 % 97 <> 0 AND o3 % 3 = 1 AS valid
+FROM ({P.APP_SQL})"""
 
 
 @query("x1_salvaged_answers", BROKEN_SQL)
 def salvaged_answers(spark, sf_dir):
-    kind, brand = F.col("o3") % 3, F.col("brand")
+    kind, brand, part = F.col("o3") % 3, F.col("brand"), F.col("o3")
     cut = F.concat(F.lit('{"anuncios":[{"marca":"'), brand, F.lit('","nota":"con } llave"},{"marca":"Simon","web":"sim'))
     fenced = F.concat(F.lit('```json\n{"anuncios":[{"marca":"'), brand, F.lit('"},{"marca":"Simon"}]}\n```'))
-    own = P.app(spark, sf_dir).select("issue_id", "o1", "o2", F.when(kind == 0, cut).when(kind == 1, fenced).otherwise("no soy json {").alias("raw"))
-    got = A.parsed(own)
+    deep = F.concat(F.repeat(F.lit('{"marca":"x","m":'), 100), F.lit("1"), F.repeat(F.lit("}"), 100), F.lit("{"))
+    raw = F.when(part % 89 == 0, deep).when(part % 97 == 0, F.repeat(F.lit('[{"a":'), 3000)).when(kind == 0, cut).when(kind == 1, fenced).otherwise("no soy json {")
+    got = A.parsed(P.app(spark, sf_dir).select("issue_id", "o1", "o2", raw.alias("raw")))
     names = F.transform("items", lambda v: F.try_variant_get(v, "$.marca", "string"))
     return got.select("issue_id", "o1", "o2", F.size("items").alias("n"), F.array_join(names, "|").alias("brands"), "valid")
 
