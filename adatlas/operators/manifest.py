@@ -2,53 +2,90 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from adatlas.functions import rules as RT
 from adatlas.functions import urls as U
 
 
+#: Rows of a manifest that go back from Python at once.
+BATCH = 10_000
+
+
 def image_order(images: DataFrame, url: str = "url") -> DataFrame:
     """Adds image_rank: by page number, images without one last, then by address."""
     n = U.page_number(F.col(url))
     return images.withColumn("image_rank", F.row_number().over(W.partitionBy("issue_id").orderBy(n.isNull(), F.coalesce(n, F.lit(0)), F.lower(url))))
 
 
+def claimed(rows: Iterator[dict]) -> Iterator[tuple[dict, int | None, int | None]]:
+    """(row, its number, what it repeats) of one issue's rows in order: each new image takes the first free number from the wanted one on.
+
+    next_free leads from a taken number to one that may be free; what is passed on the way is led there directly.
+    """
+    next_free: dict[int, int] = {}
+    first: dict[str, int] = {}
+    for row in rows:
+        if row["status"] == "ok":
+            n, way = row["wanted"], []
+            while n in next_free:
+                way.append(n)
+                n = next_free[n]
+            next_free |= dict.fromkeys([*way, n], n + 1)
+            first[row["sha256"]] = n
+            yield row, n, None
+        else:
+            yield row, row["wanted"], first.get(row["sha256"])
+
+
 def numbered(images: DataFrame) -> DataFrame:
     """The manifest of downloaded images: issue_id, idx (from 1), url, sha256 (null where the download failed), bytes.
 
     Each new image gets the first unused number from its address's number on; a repeated hash is a duplicate of the
     number its first copy got; failed rows claim none. Where numbers come in ascending order, as they do once images
-    are sorted by number, a window gives the numbers; only issues where they don't go through Python.
+    are sorted by number, windows give the numbers; issues where they don't go through Python, row by row in order of
+    idx, with the numbers of one issue at hand. One shuffle, by issue.
     """
-    own = images.withColumn("wanted", F.coalesce(F.nullif(U.page_number(F.col("url")), F.lit(0)), F.col("idx").cast("int")))
-    first = F.row_number().over(W.partitionBy("issue_id", "sha256").orderBy("idx"))
+    wanted = F.coalesce(F.nullif(U.page_number(F.col("url")), F.lit(0)), F.col("idx").cast("int"))
+    own = images.select("issue_id", "idx", wanted.alias("wanted"), U.safe_source(F.col("url")).alias("source_url"), "sha256", "bytes")
+    same, order = W.partitionBy("issue_id", "sha256"), W.partitionBy("issue_id").orderBy("idx")
+    first = F.row_number().over(same.orderBy("idx"))
     own = own.withColumn("status", F.when(F.col("sha256").isNull(), "failed").when(first > 1, "duplicate").otherwise("ok"))
-    fresh = own.where("status = 'ok'").select("issue_id", "idx", "wanted")
-    before = W.partitionBy("issue_id").orderBy("idx")
-    falls = fresh.withColumn("falls", F.col("wanted") < F.lag("wanted").over(before)).groupBy("issue_id").agg(F.coalesce(F.bool_or("falls"), F.lit(False)).alias("falls"))
-    marked = fresh.join(falls, "issue_id")
-    rn = F.row_number().over(before)
-    rising = marked.where("not falls").withColumn("rn", rn).withColumn("page_number", (F.col("rn") + F.max(F.col("wanted") - F.col("rn")).over(before.rowsBetween(W.unboundedPreceding, W.currentRow))).cast("int"))
-
-    def claim(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, used, out = rows.sort_values("idx"), set(), []
-        for n in rows["wanted"]:
-            while n in used:
-                n += 1
-            used.add(n)
-            out.append(n)
-        return rows[["issue_id", "idx"]].assign(page_number=out)
-
-    columns = rising.select("issue_id", "idx", "page_number")
-    odd = marked.where("falls").select("issue_id", "idx", "wanted").groupBy("issue_id").applyInPandas(claim, columns.schema)
-    given = own.join(columns.unionByName(odd), ["issue_id", "idx"], "left")
-    of = F.first("page_number", ignorenulls=True).over(W.partitionBy("issue_id", "sha256").orderBy("idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    given = given.withColumn("duplicate_of", F.when(F.col("status") == "duplicate", of))
-    return given.select("issue_id", "idx", F.coalesce("page_number", "wanted").cast("int").alias("page_number"), U.safe_source(F.col("url")).alias("source_url"), "sha256", "bytes", "status", "duplicate_of")
+    ok = F.col("status") == "ok"
+    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    own = own.withColumns({"__rn": F.count_if(ok).over(upto), "__before": F.max(F.when(ok, F.col("wanted"))).over(order.rowsBetween(W.unboundedPreceding, -1))})
+    own = own.withColumn("__number", F.col("__rn") + F.max(F.when(ok, F.col("wanted") - F.col("__rn"))).over(upto))
+    own = own.withColumn("__falls", F.bool_or(ok & F.coalesce(F.col("wanted") < F.col("__before"), F.lit(False))).over(W.partitionBy("issue_id")))
+    columns = ["issue_id", "idx", "page_number", "source_url", "sha256", "bytes", "status", "duplicate_of"]
+    number = F.when(ok, F.col("__number")).otherwise(F.col("wanted")).cast("int")
+    rising = own.where("not __falls").withColumn("page_number", number)
+    of = F.max(F.when(ok, F.col("page_number"))).over(same)
+    rising = rising.withColumn("duplicate_of", F.when(F.col("status") == "duplicate", of)).select(*columns)
+
+    def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[dict]:
+            for batch in batches:
+                yield from batch.to_pylist()
+
+        done: list[dict] = []
+        for _, own_rows in groupby(rows(), key=lambda r: r["issue_id"]):
+            for row, n, copy_of in claimed(own_rows):
+                done.append({**row, "page_number": n, "duplicate_of": copy_of})
+                if len(done) == BATCH:
+                    yield pa.RecordBatch.from_pylist(done, schema=schema)
+                    done = []
+        yield pa.RecordBatch.from_pylist(done, schema=schema)
+
+    schema = to_arrow_schema(rising.schema)
+    odd = own.where("__falls").select("issue_id", "idx", "wanted", "source_url", "sha256", "bytes", "status").sortWithinPartitions("issue_id", "idx")
+    return rising.unionByName(odd.mapInArrow(claim, rising.schema))
 
 
 def captured(captures: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from adatlas.functions import text as X
 from adatlas.functions import urls as U
@@ -525,10 +526,8 @@ w AS (SELECT issue_id, idx, n, h, row_number() OVER (PARTITION BY issue_id ORDER
 SELECT f.issue_id, f.idx::INT AS idx, coalesce(g.page_number, f.n)::INT AS page_number, CASE WHEN bad THEN 'failed' WHEN c > 1 THEN 'duplicate' ELSE 'ok' END AS status, CASE WHEN c > 1 THEN o.page_number END::INT AS duplicate_of
 FROM f LEFT JOIN g ON f.issue_id = g.issue_id AND f.idx = g.idx LEFT JOIN g o ON f.issue_id = o.issue_id AND f.h = o.h""")
 def manifest(spark, sf_dir):
-    from pyspark.sql import Window
-
     n = F.col("o1") % 60 + 1
-    idx = F.row_number().over(Window.partitionBy("issue_id").orderBy(n, "o1", "o2", "o3", "o4", "o5"))
+    idx = F.row_number().over(W.partitionBy("issue_id").orderBy(n, "o1", "o2", "o3", "o4", "o5"))
     own = P.app(spark, sf_dir).select("issue_id", idx.alias("idx"), F.concat(F.lit("http://a.example/page-"), n.cast("string"), F.lit(".jpg?token=x")).alias("url"), F.when(F.col("o3") % 10 != 0, F.md5(F.concat(n.cast("string"), (F.col("o3") % 3).cast("string")).cast("binary"))).alias("sha256"), F.lit(1).cast("long").alias("bytes"))
     return M.numbered(own).select("issue_id", "idx", "page_number", "status", "duplicate_of")
 
@@ -797,14 +796,24 @@ def salvaged_answers(spark, sf_dir):
     return got.select("issue_id", "o1", "o2", F.size("items").alias("n"), F.array_join(names, "|").alias("brands"), "valid")
 
 
-@query("x3_falling_numbers", f"""
-WITH i AS (SELECT issue_id, 61 - (o1 % 60 + 1) AS n, row_number() OVER (PARTITION BY issue_id ORDER BY o1 % 60 + 1, o1, o2, o3, o4, o5) AS idx FROM ({P.APP_SQL})), u AS (SELECT issue_id, n, idx, row_number() OVER (PARTITION BY issue_id, n ORDER BY idx) AS c FROM i)
-SELECT issue_id, count(*) AS n, count(*) FILTER (c = 1) AS own FROM u GROUP BY issue_id""")
-def falling_numbers(spark, sf_dir):
-    from pyspark.sql import Window
+#: Falling numbers, some of them wanted again and again; the rule as it is stated, one image of each issue at a time.
+FALLING_SQL = f"""
+WITH RECURSIVE i AS (SELECT issue_id, CASE WHEN o3 % 6 = 0 THEN 5 ELSE 61 - (o1 % 60 + 1) END AS n, row_number() OVER (PARTITION BY issue_id ORDER BY o1 % 60 + 1, o1, o2, o3, o4, o5) AS idx, o3 % 10 = 0 AS bad, o3 % 40 AS h FROM ({P.APP_SQL})),
+f AS (SELECT *, NOT bad AND row_number() OVER (PARTITION BY issue_id, h, bad ORDER BY idx) = 1 AS ok FROM i),
+w AS (SELECT issue_id, idx, n, row_number() OVER (PARTITION BY issue_id ORDER BY idx) AS k FROM f WHERE ok),
+r AS (
+  SELECT issue_id, idx, k, n AS page_number, [n] AS used FROM w WHERE k = 1
+  UNION ALL SELECT issue_id, idx, k, got, list_append(used, got) FROM (
+    SELECT w.issue_id, w.idx, w.k, r.used, list_filter(range(w.n, w.n + len(r.used) + 1), lambda x: NOT list_contains(r.used, x))[1] AS got FROM r JOIN w ON w.issue_id = r.issue_id AND w.k = r.k + 1))
+SELECT f.issue_id, f.idx, coalesce(r.page_number, f.n)::INT AS page_number, CASE WHEN bad THEN 'failed' WHEN ok THEN 'ok' ELSE 'duplicate' END AS status, CASE WHEN NOT bad AND NOT ok THEN o.page_number END::INT AS duplicate_of
+FROM f LEFT JOIN r ON f.issue_id = r.issue_id AND f.idx = r.idx LEFT JOIN (SELECT f.issue_id, f.h, r.page_number FROM f JOIN r ON f.issue_id = r.issue_id AND f.idx = r.idx) o ON f.issue_id = o.issue_id AND f.h = o.h"""
+
 
+@query("x3_falling_numbers", FALLING_SQL)
+def falling_numbers(spark, sf_dir):
     n = F.col("o1") % 60 + 1
-    idx = F.row_number().over(Window.partitionBy("issue_id").orderBy(n, "o1", "o2", "o3", "o4", "o5"))
-    own = P.app(spark, sf_dir).select("issue_id", idx.alias("idx"), (61 - n).alias("n"), F.concat(F.lit("http://a.example/page-"), (61 - n).cast("string"), F.lit(".jpg")).alias("url"), F.md5(F.concat_ws(":", "o1", "o2", "o3", "o4", "o5").cast("binary")).alias("sha256"), F.lit(1).cast("long").alias("bytes"))
-    got = M.numbered(own).groupBy("issue_id").agg(F.count_distinct("page_number").alias("n"))
-    return got.join(own.groupBy("issue_id").agg(F.count_distinct("n").alias("own")), "issue_id")
+    idx = F.row_number().over(W.partitionBy("issue_id").orderBy(n, "o1", "o2", "o3", "o4", "o5"))
+    wanted = F.when(F.col("o3") % 6 == 0, 5).otherwise(61 - n)
+    sha = F.when(F.col("o3") % 10 != 0, F.md5((F.col("o3") % 40).cast("string").cast("binary")))
+    own = P.app(spark, sf_dir).select("issue_id", idx.alias("idx"), F.concat(F.lit("http://a.example/page-"), wanted.cast("string"), F.lit(".jpg")).alias("url"), sha.alias("sha256"), F.lit(1).cast("long").alias("bytes"))
+    return M.numbered(own).select("issue_id", "idx", "page_number", "status", "duplicate_of")
