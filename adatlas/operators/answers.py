@@ -80,9 +80,13 @@ def clean_confidence(k: Column, n: Column) -> tuple[Column, Column]:
     return F.when(good, n).otherwise(0.0), good
 
 
-def validated(answers: DataFrame) -> DataFrame:
-    """One row for each entry of parsed answers: verdict ok, fixed or rejected with its reason, and the cleaned fields."""
-    own = answers.select("issue_id", "spread_no", "page_nums", F.posexplode("items").alias("item_idx", "v"))
+def validated(answers: DataFrame, whole: bool = False) -> DataFrame:
+    """One row for each entry of parsed answers: verdict ok, fixed or rejected with its reason, and the cleaned fields.
+
+    whole: adds whether the answer is `valid`, and a row with a null item_idx for each answer without entries.
+    """
+    each, valid = (F.posexplode_outer, ["valid"]) if whole else (F.posexplode, [])
+    own = answers.select("issue_id", "spread_no", "page_nums", *valid, each("items").alias("item_idx", "v"))
     fields = ("marca", "pagina", "confianza", *FIELDS)
     own = own.withColumn("o", F.try_variant_get("v", "$", f"struct<{', '.join(f'{c}: variant' for c in fields)}>"))  # null where the entry is no object
     # the text of each field is written and its kind told once
@@ -107,7 +111,7 @@ def validated(answers: DataFrame) -> DataFrame:
     return own.select(
         "issue_id", "spread_no", "item_idx", "page_nums", brand.alias("brand"), F.when(no_page | ~good_page, first).otherwise(page).alias("page_no"),
         *[texts[c][0].alias(name) for c, name in FIELDS.items()], confidence.alias("confidence"), F.lit("ia").alias("method"),
-        F.when(fixed, FIXED_NOTE).otherwise(GOOD_NOTE).alias("notes"), reason.alias("reason"), (is_object & brand.isNotNull()).alias("kept"),
+        F.when(fixed, FIXED_NOTE).otherwise(GOOD_NOTE).alias("notes"), F.when(F.col("item_idx").isNotNull(), reason).alias("reason"), (is_object & brand.isNotNull()).alias("kept"), *valid,
     )
 
 
@@ -158,9 +162,9 @@ def resume(wanted: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     return wanted.join(good, "signature").withColumn("resumed", F.lit(True)), wanted.join(good, "signature", "left_anti")
 
 
-def partial_pages(rows: DataFrame, answers: DataFrame) -> DataFrame:
-    """Distinct pages of spreads with an unusable answer or any corrected or rejected entry."""
-    bad = rows.where("reason is not null").select("issue_id", "page_nums").unionByName(answers.where("not valid").select("issue_id", "page_nums"))
+def partial_pages(rows: DataFrame) -> DataFrame:
+    """Distinct pages of spreads with an unusable answer or any corrected or rejected entry. rows: validated with `whole`."""
+    bad = rows.where("reason is not null or not valid")
     return bad.groupBy("issue_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("page_nums")))).alias("partial_pages"))
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from adatlas.functions import text as X
+from adatlas.functions.ordered import in_order
 
 FIELDS = ["brand", "sector", "website", "email", "phone", "ad_size"]
 
@@ -14,19 +14,17 @@ FIELDS = ["brand", "sector", "website", "email", "phone", "ad_size"]
 def with_variants(ads: DataFrame) -> DataFrame:
     """Adds norm, the form in which brands are compared, and is_variant: whether another brand of the issue is a proper beginning of it, or it of another one.
 
-    With the names of an issue in order, a name begins others if it begins the next one; and it begins with an earlier
-    one if it stands before that one's last possible continuation, of which only the greatest so far is kept. An empty
-    name begins every other, but makes no variant of it. One shuffle, by issue.
+    With the distinct names of an issue in order, a name begins others if it begins the next one; and it begins with an
+    earlier one if it stands before that one's last possible continuation, of which only the greatest so far is kept. An
+    empty name begins every other, but makes no variant of it. Names are ordered over parts of bounded size, so that an
+    issue may be as large as it likes.
     """
     own = ads.withColumn("norm", X.compare_key(F.col("brand")))
-    order, same = W.partitionBy("issue_id").orderBy("norm"), W.partitionBy("issue_id", "norm")
-    after = F.lead("norm").over(order)
-    reach = F.max(F.when(F.col("norm") != "", F.concat("norm", F.lit("\U0010ffff")))).over(order.rowsBetween(W.unboundedPreceding, -1))
-    own = own.withColumns({"__begins": F.coalesce(after.startswith(F.col("norm")) & (after != F.col("norm")), F.lit(False)), "__reach": reach})
-    # rows of one name stand together: the first of them tells what comes before, the last what comes after
-    begun = F.coalesce(F.min("__reach").over(same) > F.col("norm"), F.lit(False))
-    before = F.when(F.count_if(F.col("__reach").isNull()).over(same) > 0, False).otherwise(begun)
-    return own.withColumn("is_variant", F.bool_or("__begins").over(same) | before).drop("__begins", "__reach")
+    names = own.select("issue_id", "norm").distinct().withColumn("__ends", F.when(F.col("norm") != "", F.concat("norm", F.lit("\U0010ffff"))))
+    names = in_order(names, ["issue_id"], [(F.col("norm"), False)], lead={"__next": "norm"}, most={"__reach": "__ends"})
+    begins, begun = F.coalesce(F.startswith("__next", "norm"), F.lit(False)), F.coalesce(F.col("__reach") > F.col("norm"), F.lit(False))
+    names = names.select(F.col("issue_id").alias("__issue"), F.col("norm").alias("__norm"), (begins | begun).alias("is_variant"))
+    return own.join(names, own["issue_id"].eqNullSafe(names["__issue"]) & (own["norm"] == names["__norm"])).drop("__issue", "__norm")
 
 
 def flagged(ads: DataFrame, issues: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from adatlas.operators import review as V
 from adatlas.functions import rules as RT
 from adatlas.plans import views as P
 from adatlas.sources import sinks as K
+from adatlas.sources import tables as S
 from adatlas.sources.shared import new_folder, removed, written
 from adatlas.sources.stored_library import Library
 from adatlas.streaming.answers import follow
@@ -203,7 +204,7 @@ c AS (SELECT coalesce(a.issue_a, b.issue_a) AS issue_a, coalesce(a.issue_b, b.is
 
 @query("u1_compared_issues", COMPARE_SQL + " SELECT * FROM c")
 def compared_issues(spark, sf_dir):
-    ads = stored(spark, sf_dir)
+    ads = written(stored(spark, sf_dir).select("issue_id", "canonical", "brand", "titulo", "numero", "shipped", *P.ORDER), "ads")  # read for issues and for brands
     return L.compared(L.consecutive(P.issues(ads)), L.latest(ads.select("issue_id", "canonical", "brand", *P.ORDER), ["brand", *P.ORDER]))
 
 
@@ -474,24 +475,54 @@ def coverage(spark, sf_dir):
 
 
 def source_tables(spark, sf_dir):
-    rows = P.app(spark, sf_dir)
+    """Sources, their pages, of which some came twice, are damaged or small, and their manifests."""
+    rows = written(P.app(spark, sf_dir).select("issue_id", "page_no", "flag", "o2"), "lines")  # read for each of the three
     sources = rows.select("issue_id").distinct().select("issue_id", F.when(F.col("issue_id") % 4 == 0, "pdf").otherwise("images").alias("kind"), F.lit(None).cast("string").alias("viewer"), F.when(F.col("issue_id") % 4 == 1, 50).alias("expected_pages"), F.lit(False).alias("local_pdf"))
-    pages = rows.where("flag <> 'R'").select("issue_id", "page_no").distinct()
+    pages = rows.where("flag <> 'R'").groupBy("issue_id", "page_no").agg(F.bool_or((F.col("flag") == "A") & (F.col("o2") == 7)).alias("twice"))
+    pages = pages.select("issue_id", "page_no", ((F.col("page_no") % 13 == 0) & (F.col("issue_id") % 5 == 0)).alias("unreadable"), (F.col("page_no") % 11 == 0).alias("low_resolution"), F.explode(F.when(F.col("twice"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")).drop("copy")
     manifest = rows.select("issue_id", F.col("page_no").alias("page_number"), F.when(F.col("flag") == "R", "failed").otherwise("ok").alias("status"))
     return sources, pages, manifest
 
 
 @query("a9_checked_sources", f"""
 WITH a AS ({P.APP_SQL}), s AS (SELECT DISTINCT issue_id, CASE WHEN issue_id % 4 = 0 THEN 'pdf' ELSE 'images' END AS kind, CASE WHEN issue_id % 4 = 1 THEN 50 END AS declared FROM a),
-p AS (SELECT issue_id, list_sort(list_distinct(list(page_no))) AS have FROM a WHERE flag <> 'R' GROUP BY issue_id),
+q AS (SELECT issue_id, page_no, bool_or(flag = 'A' AND o2 = 7) AS twice FROM a WHERE flag <> 'R' GROUP BY ALL),
+p AS (SELECT issue_id, list_sort(list(page_no)) AS have, count(*) + count(*) FILTER (twice) AS n, list_sort(coalesce(list(page_no) FILTER (twice), [])) AS twice,
+  list_sort(coalesce(list(page_no) FILTER (page_no % 13 = 0 AND issue_id % 5 = 0), [])) AS damaged, list_sort(coalesce(list(page_no) FILTER (page_no % 11 = 0), [])) AS small FROM q GROUP BY issue_id),
 m AS (SELECT issue_id, coalesce(list_distinct(list(page_no) FILTER (flag <> 'R')), []) AS ok, coalesce(list_distinct(list(page_no) FILTER (flag = 'R')), []) AS bad, min(page_no) AS low, max(page_no) AS high FROM a GROUP BY issue_id),
-e AS (SELECT s.issue_id, kind, declared, coalesce(have, []) AS have, len(coalesce(have, []))::INT AS n, list_sort(list_filter(coalesce(bad, []), lambda x: NOT list_contains(ok, x))) AS failed, CASE WHEN kind = 'pdf' THEN len(coalesce(have, [])) WHEN declared IS NOT NULL THEN declared WHEN low = 1 THEN high END::INT AS expected FROM s LEFT JOIN p ON s.issue_id = p.issue_id LEFT JOIN m ON s.issue_id = m.issue_id),
-f AS (SELECT *, list_filter(range(1, coalesce(expected, 0) + 1), lambda x: NOT list_contains(have, x)) AS missing FROM e)
-SELECT issue_id, expected AS expected_pages, n AS obtained_pages, array_to_string(missing, ',') AS missing_pages, array_to_string(failed, ',') AS failed_pages, kind = 'pdf' OR declared IS NOT NULL AS completeness_known, CASE WHEN n = 0 OR len(missing) > 0 OR len(failed) > 0 THEN 'incompleta' ELSE 'lista' END AS status,
-  array_to_string(list_filter([CASE WHEN n = 0 THEN 'No se obtuvo ninguna pagina procesable.' END, CASE WHEN len(missing) > 0 THEN 'Faltan ' || len(missing) || ' pagina(s): ' || array_to_string(missing[1:20], ', ') || CASE WHEN len(missing) > 20 THEN '...' ELSE '' END END, CASE WHEN len(failed) > 0 THEN 'Fallaron ' || len(failed) || ' descarga(s) de pagina.' END], lambda x: x IS NOT NULL), '|') AS reasons FROM f""")
+e AS (SELECT s.issue_id, kind, declared, coalesce(have, []) AS have, coalesce(twice, []) AS twice, coalesce(damaged, []) AS damaged, list_filter(coalesce(small, []), lambda x: NOT list_contains(coalesce(damaged, []), x)) AS small, coalesce(n, 0)::INT AS n,
+  list_sort(list_filter(coalesce(bad, []), lambda x: NOT list_contains(ok, x))) AS failed, CASE WHEN kind = 'pdf' THEN coalesce(n, 0) WHEN declared IS NOT NULL THEN declared WHEN low = 1 THEN high END::INT AS expected FROM s LEFT JOIN p ON s.issue_id = p.issue_id LEFT JOIN m ON s.issue_id = m.issue_id),
+f AS (SELECT *, list_filter(range(1, coalesce(expected, 0) + 1), lambda x: NOT list_contains(have, x)) AS missing FROM e),
+g AS (SELECT *, list_filter([CASE WHEN n = 0 THEN 'No se obtuvo ninguna pagina procesable.' END, CASE WHEN len(missing) > 0 THEN 'Faltan ' || len(missing) || ' pagina(s): ' || array_to_string(missing[1:20], ', ') || CASE WHEN len(missing) > 20 THEN '...' ELSE '' END END, CASE WHEN len(failed) > 0 THEN 'Fallaron ' || len(failed) || ' descarga(s) de pagina.' END,
+  CASE WHEN len(damaged) > 0 THEN 'Hay ' || len(damaged) || ' imagen(es) ausentes o danadas.' END, CASE WHEN len(twice) > 0 THEN 'La numeracion contiene paginas duplicadas: ' || array_to_string(twice, ', ') END], lambda x: x IS NOT NULL) AS reasons,
+  list_filter([CASE WHEN kind <> 'pdf' AND declared IS NULL THEN 'El lector no publica el total de paginas; se valida lo obtenido.' END, CASE WHEN len(small) > 0 THEN len(small) || ' pagina(s) tienen baja resolucion.' END], lambda x: x IS NOT NULL) AS warnings FROM f)
+SELECT issue_id, expected AS expected_pages, n AS obtained_pages, array_to_string(missing, ',') AS missing_pages, array_to_string(failed, ',') AS failed_pages, array_to_string(damaged, ',') AS unreadable_pages, array_to_string(small, ',') AS low_resolution_pages, array_to_string(twice, ',') AS duplicate_numbers,
+  kind = 'pdf' OR declared IS NOT NULL AS completeness_known, CASE WHEN len(reasons) > 0 THEN 'incompleta' ELSE 'lista' END AS status, array_to_string(reasons, '|') AS reasons, array_to_string(warnings, '|') AS warnings FROM g""")
 def checked_sources(spark, sf_dir):
     own = Q.checked_source(*source_tables(spark, sf_dir))
-    return own.select("issue_id", "expected_pages", "obtained_pages", text_list("missing_pages"), F.array_join(F.array_sort("failed_pages").cast("array<string>"), ",").alias("failed_pages"), "completeness_known", "status", F.array_join("blocking_reasons", "|").alias("reasons"))
+    lists = ["missing_pages", "unreadable_pages", "low_resolution_pages", "duplicate_numbers"]
+    return own.select("issue_id", "expected_pages", "obtained_pages", *map(text_list, lists), F.array_join(F.array_sort("failed_pages").cast("array<string>"), ",").alias("failed_pages"), "completeness_known", "status", F.array_join("blocking_reasons", "|").alias("reasons"), F.array_join("warnings", "|").alias("warnings"))
+
+
+#: Image files made from pages: PNG, JPEG with segments before its size, and GIF; damaged, empty and absent ones.
+@query("s4_image_files", """
+WITH i AS (SELECT page_id, page_id % 7 AS k, 1 + page_id * 37 % 1500 AS w, 1 + page_id * 91 % 1500 AS h FROM pages)
+SELECT page_id AS page_no, CASE WHEN k < 4 THEN w END::INT AS width, CASE WHEN k < 4 THEN h END::INT AS height, k >= 4 AS unreadable, k < 4 AND greatest(w, h) < 800 AS low_resolution FROM i""")
+def checked_image_files(spark, sf_dir):
+    own = P.table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 7).alias("k"), (1 + F.col("page_id") * 37 % 1500).alias("w"), (1 + F.col("page_id") * 91 % 1500).alias("h"), F.hex(F.encode("html", "UTF-8")).alias("body"))
+    of = lambda c, n: F.lpad(F.hex(c), n, "0")
+    low = lambda c: F.concat(F.right(of(c, 4), F.lit(2)), F.left(of(c, 4), F.lit(2)))
+    first = F.concat(F.lit("49484452"), of("w", 8), of("h", 8), F.lit("0802000000"))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D"), first, of(F.crc32(F.unhex(first)), 8), F.lit("00000000"), F.lit("49444154"), F.left("body", F.lit(2000)), F.lit("0000000049454E44AE426082"))
+    segments = F.repeat(F.concat(F.lit("FFE1FFFF"), F.repeat(F.lit("00"), 65533)), F.when(F.col("k") == 1, 0).otherwise(2).cast("int"))
+    jpeg = F.concat(F.lit("FFD8"), segments, F.lit("FFC0001108"), of("h", 4), of("w", 4), F.lit("03FFD9"))
+    gif = F.concat(F.lit("474946383961"), low("w"), low("h"), F.lit("800000"), F.left("body", F.lit(100)), F.lit("3B"))
+    cut = F.left(png, F.lit(200))
+    content = F.when(F.col("k") == 0, png).when(F.col("k") < 3, jpeg).when(F.col("k") == 3, gif).when(F.col("k") == 4, cut).otherwise("")
+    path = F.concat(F.lit("/img/"), F.col("page_id").cast("string"))
+    expected = own.select(F.lit(1).alias("issue_id"), F.col("page_id").alias("page_no"), path.alias("image_path"))
+    files = own.where("k < 6").select(F.concat(F.lit("file://"), path).alias("path"), F.unhex(content).alias("content"))
+    return S.checked_images(files, expected).select("page_no", "width", "height", "unreadable", "low_resolution")
 
 
 @query("p8_reusable_sources", f"WITH a AS ({P.APP_SQL}) SELECT issue_id, issue_id % 4 = 0 OR (count(*) FILTER (flag = 'R') = 0 AND (issue_id % 4 <> 1 OR count(DISTINCT page_no) FILTER (flag <> 'R') >= 50)) AS reusable FROM a GROUP BY issue_id")
@@ -673,8 +704,7 @@ f AS (SELECT *, json_type(v, '$.marca') AS tb, json_type(v, '$.pagina') AS tp, j
 g AS (SELECT issue_id, unnest([page_no, page_no + 1]) AS page FROM f WHERE NOT (tb = 'VARCHAR' AND b <> '' AND (tp = 'NULL' OR p IN (page_no, page_no + 1)) AND tt IN ('VARCHAR', 'UBIGINT', 'NULL') AND coalesce(tc <> 'NULL' AND c BETWEEN 0 AND 1, FALSE)))
 SELECT issue_id, array_to_string(list_sort(list_distinct(list(page))), ',') AS partial_pages FROM g GROUP BY issue_id""")
 def partial_pages(spark, sf_dir):
-    answers = A.parsed(responses(spark, sf_dir))
-    return A.partial_pages(A.validated(answers), answers).select("issue_id", text_list("partial_pages"))
+    return A.partial_pages(A.validated(A.parsed(responses(spark, sf_dir)), whole=True)).select("issue_id", text_list("partial_pages"))
 
 
 @query("s9_listed_issues", f"SELECT issue_id, titulo, n_anunciantes FROM ({P.ISSUES_SQL})")
@@ -722,6 +752,7 @@ def run_metadata(spark, sf_dir):
 @query("f25_source_summaries", f"WITH s AS (SELECT issue_id, count(*) AS n, max(page_no) AS high FROM (SELECT DISTINCT issue_id, page_no FROM ({P.APP_SQL}) WHERE flag <> 'R') GROUP BY issue_id) SELECT issue_id, CASE WHEN issue_id % 4 = 0 THEN 'PDF' ELSE 'Lector por imagenes (Issuu)' END || ' · ' || CASE issue_id % 4 WHEN 0 THEN n || '/' || n || CASE WHEN high = n THEN ' paginas · lista' ELSE ' paginas · incompleta' END WHEN 1 THEN n || '/50 paginas · incompleta' ELSE n || ' paginas; total no publicado · lista' END AS summary FROM s")
 def source_summaries(spark, sf_dir):
     sources, pages, _ = source_tables(spark, sf_dir)
+    pages = pages.select("issue_id", "page_no").distinct()
     none = spark.createDataFrame([], "issue_id long, page_number int, status string")
     checked = Q.checked_source(sources.withColumn("viewer", F.when(F.col("kind") == "images", "Issuu")).join(pages.select("issue_id").distinct(), "issue_id", "left_semi"), pages, none)
     return checked.select("issue_id", R.source_summary().alias("summary"))

@@ -35,14 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a table with fewer splits than there are cores, dealt over all of them, so that what is done to each row does not run in one task. A large table is read as it lies."""
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a table with fewer splits than there are cores, dealt over all of them by keys, so that what is done to each row does not run in one task. A large table is read as it lies."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def app(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(APP, lineitem=spread(table(spark, sf_dir, "lineitem")), part=table(spark, sf_dir, "part"))
+    return spark.sql(APP, lineitem=spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey"), part=table(spark, sf_dir, "part"))
 
 
 APP_SQL = APP.format(lineitem="lineitem", part="part")

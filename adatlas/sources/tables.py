@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from adatlas.functions import images as I
 from adatlas.functions import text as X
 from adatlas.functions import urls as U
 
@@ -48,15 +49,26 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     return own.where(U.is_pdf(F.col("content"), F.lit(""), F.col("path"))).select("path", "length", "modificationTime", U.job_id(F.col("path"), F.col("content")).alias("job_id"))
 
 
-def image_files(spark: SparkSession, path: str, expected: DataFrame, least: int = 800) -> DataFrame:
-    """expected (issue_id, page_no, image_path) with unreadable and low_resolution; files that are absent or empty are unreadable."""
-    own = spark.read.format("image").option("dropInvalid", False).load(path).select("image.origin", "image.width", "image.height")
-    own = own.withColumn("image_path", F.regexp_replace("origin", "^file:/*", "/")).drop("origin")
-    out = expected.join(own, "image_path", "left")
-    unreadable = F.col("width").isNull() | (F.col("width") < 0)
+def sized(files: DataFrame) -> DataFrame:
+    """path, width and height of image files (path, content), null where they can't be read: from the first bytes, and from the whole file only where its size stands further on."""
+    own = files.select("path", "content", I.sizes(*I.ends(F.col("content"))).alias("s"))
+    own = own.withColumn("w", I.sizes(F.when(F.col("s.more"), F.col("content")), F.lit(b"")))
+    return own.select("path", F.coalesce("s.width", "w.width").alias("width"), F.coalesce("s.height", "w.height").alias("height"))
+
+
+def checked_images(files: DataFrame, expected: DataFrame, least: int = 800) -> DataFrame:
+    """expected (issue_id, page_no, image_path) with width, height, unreadable (absent, empty or damaged) and low_resolution (the longer side below `least`). files: path, content."""
+    own = sized(files).select(F.regexp_replace("path", "^file:/*", "/").alias("image_path"), "width", "height")
+    out = expected.join(own.groupBy("image_path").agg(F.max("width").alias("width"), F.max("height").alias("height")), "image_path", "left")
+    unreadable = F.col("width").isNull()
     return out.withColumn("unreadable", unreadable).withColumn("low_resolution", ~unreadable & (F.greatest("width", "height") < least))
 
 
+def image_files(spark: SparkSession, path: str, expected: DataFrame, least: int = 800) -> DataFrame:
+    """checked_images over the files of a folder."""
+    return checked_images(spark.read.format("binaryFile").load(path).select("path", "content"), expected, least)
+
+
 def unchanged(files: DataFrame, markers: DataFrame) -> DataFrame:
     """Files whose size and time equal their stored marker."""
     return files.join(markers, ["path", "length", "modificationTime"], "left_semi")

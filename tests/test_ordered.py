@@ -17,11 +17,11 @@ def test_equals_windows_on_hot_keys(spark, key):
     try:
         spark.conf.set("spark.sql.shuffle.partitions", 13)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
-        got = in_order(df, ["k"], [(F.col("o"), False)], [(F.col("v"), True)], number="n", rank="r", lag={"p": "v"}).select("k", "o", "v", "n", "r", "p").collect()
+        got = in_order(df, ["k"], [(F.col("o"), False)], [(F.col("v"), True)], number="n", rank="r", lag={"p": "v"}, lead={"q": "v"}, most={"m": "v"}).select("k", "o", "v", "n", "r", "p", "q", "m").collect()
     finally:
         for c, v in before.items():
             spark.conf.set(c, v) if v is not None else spark.conf.unset(c)
     w = W.partitionBy("k").orderBy("o", F.desc("v"))
-    want = df.select("k", "o", "v", F.row_number().over(w), F.rank().over(W.partitionBy("k").orderBy("o")), F.lag("v").over(w)).collect()
+    want = df.select("k", "o", "v", F.row_number().over(w), F.rank().over(W.partitionBy("k").orderBy("o")), F.lag("v").over(w), F.lead("v").over(w), F.max("v").over(w.rowsBetween(W.unboundedPreceding, -1))).collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
     assert in_order(df.limit(0), ["k"], [(F.col("o"), False)], number="m", rank="r").count() == 0
