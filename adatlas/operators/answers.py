@@ -63,10 +63,10 @@ def parsed(responses: DataFrame) -> DataFrame:
     return own.withColumn("items", F.coalesce("items", F.array().cast("array<variant>"))).select(*responses.columns, "valid", "items")
 
 
-def kind(v: Column, text: Column) -> Column:
-    """What a variant holds: null (or nothing), text, number, bool, or other for an object or array. text: the variant as text, which objects and arrays don't have; only of what has one is the type looked up."""
-    scalar = F.schema_of_variant(v)
-    return F.when(v.isNull() | F.is_variant_null(v), "null").when(text.isNull(), "other").when(scalar == "STRING", "text").when(scalar == "BOOLEAN", "bool").otherwise("number")
+def kind(v: Column) -> Column:
+    """What a variant holds, by its type, looked up once: null (or nothing), text, bool, number, or other for an object or array."""
+    of = lambda t: F.when(t.isNull() | (t == "VOID"), "null").when(t == "STRING", "text").when(t == "BOOLEAN", "bool").when(t.startswith("OBJECT") | t.startswith("ARRAY"), "other").otherwise("number")
+    return F.get(F.transform(F.array(F.schema_of_variant(v)), of), F.lit(0))
 
 
 def clean_text(k: Column, s: Column) -> tuple[Column, Column]:
@@ -91,7 +91,7 @@ def validated(answers: DataFrame, whole: bool = False) -> DataFrame:
     own = own.withColumn("o", F.try_variant_get("v", "$", f"struct<{', '.join(f'{c}: variant' for c in fields)}>"))  # null where the entry is no object
     # the text of each field is written and its kind told once
     own = own.withColumns({f"_{c}_s": F.try_variant_get(f"o.{c}", "$", "string") for c in fields})
-    own = own.withColumns({f"_{c}_k": kind(F.col(f"o.{c}"), F.col(f"_{c}_s")) for c in fields})
+    own = own.withColumns({f"_{c}_k": kind(F.col(f"o.{c}")) for c in fields})
     of = lambda c: (F.col(f"_{c}_k"), F.col(f"_{c}_s"))
     k, s = of("marca")
     brand = F.when(k == "text", F.nullif(X.strip(s), F.lit("")))

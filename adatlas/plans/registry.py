@@ -352,9 +352,12 @@ def review_queue(spark, sf_dir):
     return V.review_queue(flagged_ads(spark, sf_dir), states(spark, sf_dir)).groupBy("issue_id").agg(F.count("*").alias("n"))
 
 
-@query("p6_export_gate", f"SELECT issue_id, count(*) AS total, count(*) FILTER (reasons <> '') AS flagged, CASE WHEN count(*) FILTER (reasons <> '') = 0 AND estado = 'completo' THEN 'auto' ELSE 'review' END AS gate FROM ({FLAG_SQL}) JOIN ({STATES_SQL}) USING (issue_id) GROUP BY issue_id, estado")
+@query("p6_export_gate", f"""
+WITH f AS (SELECT issue_id, count(*) AS total, count(*) FILTER (reasons <> '') AS flagged FROM ({FLAG_SQL}) WHERE issue_id % 7 > 0 GROUP BY issue_id), s AS (SELECT issue_id, estado, coalesce(total, 0) AS total, coalesce(flagged, 0) AS flagged FROM ({STATES_SQL}) LEFT JOIN f USING (issue_id))
+SELECT issue_id, total, flagged, CASE WHEN estado <> 'completo' AND total = 0 THEN 'error' WHEN flagged = 0 AND estado = 'completo' THEN 'auto' ELSE 'review' END AS gate FROM s""")
 def export_gate(spark, sf_dir):
-    return V.export_gate(flagged_ads(spark, sf_dir), states(spark, sf_dir)).select("issue_id", "total", "flagged", "gate")
+    """Every seventh issue is without advertisers."""
+    return V.export_gate(flagged_ads(spark, sf_dir).where("issue_id % 7 > 0"), states(spark, sf_dir)).select("issue_id", "total", "flagged", "gate")
 
 
 @query("p13_review_items", f"SELECT issue_id, adv_no AS adv_idx, brand, website, confidence, array_to_string(pages, ',') AS pages, CASE WHEN confidence < 0.7 THEN 'low_conf' ELSE '' END AS review_flag, CASE WHEN confidence < 0.7 THEN 'Confianza baja' ELSE '' END AS review_label FROM ({NUMBERED_SQL})")
@@ -393,9 +396,9 @@ def spreads(spark, sf_dir):
     return A.spreads(P.app(spark, sf_dir).select("issue_id", "page_no", F.col("page_no").alias("pos")).distinct()).select("issue_id", "page_no", "spread_no")
 
 
-@query("a13_spread_context", f"WITH s AS (SELECT *, ((row_number() OVER (PARTITION BY issue_id ORDER BY page_no)) // 2)::INT AS spread_no FROM ({P.PAGES_SQL})) SELECT issue_id, spread_no, string_agg(page_no::VARCHAR, ',' ORDER BY page_no) AS page_nums, string_agg('--- Pagina ' || page_no || ' (texto):' || chr(10) || left(text, 1200), chr(10) || chr(10) ORDER BY page_no) AS context FROM s GROUP BY ALL")
+@query("a13_spread_context", f"WITH s AS (SELECT *, ((row_number() OVER (PARTITION BY issue_id ORDER BY page_no)) // 2)::INT AS spread_no FROM ({P.PAGES_SQL})) SELECT issue_id, spread_no, string_agg(page_no::VARCHAR, ',' ORDER BY page_no) AS page_nums, string_agg('--- Pagina ' || page_no || ' (texto):' || chr(10) || left(text, 1200), chr(10) || chr(10) ORDER BY page_no) AS context, CASE WHEN count(*) = 2 THEN printf('{A.ASK_TWO}', min(page_no), max(page_no)) ELSE printf('{A.ASK_ONE}', min(page_no)) END AS instruction FROM s GROUP BY ALL")
 def spread_context(spark, sf_dir):
-    return A.spread_context(P.ad_pages(spark, sf_dir)).select("issue_id", "spread_no", text_list("page_nums"), "context")
+    return A.spread_context(P.ad_pages(spark, sf_dir)).select("issue_id", "spread_no", text_list("page_nums"), "context", "instruction")
 
 
 def responses(spark, sf_dir):
@@ -419,13 +422,15 @@ def usage_cost(spark, sf_dir):
     return A.usage_cost(own, rates, "model-a").select("issue_id", "input", "output", F.round("cost_usd", 6).alias("cost_usd"), F.round("new_usd", 6).alias("new_usd"))
 
 
-@query("j6_spreads_to_do", f"SELECT issue_id, count(DISTINCT spread_no) AS n FROM (SELECT issue_id, ((row_number() OVER (PARTITION BY issue_id ORDER BY page_no)) // 2)::INT AS spread_no FROM (SELECT DISTINCT issue_id, page_no FROM ({P.APP_SQL}))) WHERE spread_no % 4 IN (1, 3) GROUP BY issue_id")
+@query("j6_spreads_to_do", f"SELECT issue_id, count(DISTINCT spread_no) FILTER (spread_no % 4 IN (1, 3)) AS to_do, count(DISTINCT spread_no) FILTER (spread_no % 4 = 0) AS resumed, count(DISTINCT spread_no) FILTER (spread_no % 4 = 2) AS old FROM (SELECT issue_id, ((row_number() OVER (PARTITION BY issue_id ORDER BY page_no)) // 2)::INT AS spread_no FROM (SELECT DISTINCT issue_id, page_no FROM ({P.APP_SQL}))) GROUP BY issue_id")
 def spreads_to_do(spark, sf_dir):
-    pages = P.ad_pages(spark, sf_dir).withColumn("image_sha", F.lit("i"))
-    wanted = A.signature(pages, "m", "p", "s")
+    """Of four spreads one has a stored result, one a partial one of the old version, one a whole one of it, one none."""
+    wanted = written(A.signature(P.ad_pages(spark, sf_dir).withColumn("image_sha", F.lit("i")), "m", "p", "s"), "signatures")
     kinds = wanted.withColumn("k", F.col("spread_no") % 4).where("k < 3")
     kept = kinds.select("signature", F.when(F.col("k") == 0, 2).otherwise(1).alias("version"), (F.col("k") == 1).alias("partial"))
-    return A.resume(wanted, kept)[1].groupBy("issue_id").agg(F.count("*").alias("n"))
+    good, rest = A.resume(wanted, kept)
+    both = good.select("issue_id", "resumed", "version").unionByName(rest.select("issue_id", F.lit(False).alias("resumed"), F.lit(0).alias("version")))
+    return both.groupBy("issue_id").agg(F.count_if(~F.col("resumed")).alias("to_do"), F.count_if(F.col("resumed") & (F.col("version") == 2)).alias("resumed"), F.count_if(F.col("resumed") & (F.col("version") == 1)).alias("old"))
 
 
 #: Every order line's answer is sent twice, in two of three batches.
@@ -684,11 +689,14 @@ def migrated_library(spark, sf_dir):
     return kept_result(lib.read("advertisers").groupBy("issue_id", group.alias("sector_group")).agg(F.count("*").alias("n")), lib.root)
 
 
-@query("k2_json_objects", f"SELECT issue_id, string_agg(brand, '|' ORDER BY adv_no) AS brands FROM ({NUMBERED_SQL}) GROUP BY ALL")
+@query("k2_json_objects", f"SELECT issue_id, 'Revista' AS titulo, string_agg(concat_ws('/', brand, array_to_string(pages, '+'), website, email, phone, sector, ad_size, round(confidence * 100)::INT), '|' ORDER BY adv_no) AS ads FROM ({NUMBERED_SQL}) GROUP BY issue_id")
 def json_objects(spark, sf_dir):
-    ads = numbered_ads(spark, sf_dir)
-    meta = ads.select("issue_id").distinct().withColumn("titulo", F.lit("Revista"))
-    return K.json_objects(ads, meta).select("issue_id", F.array_join(F.transform("anunciantes", lambda a: a.brand), "|").alias("brands"))
+    """Objects as they are written and read again."""
+    root, ads = new_folder(spark, "objects"), numbered_ads(spark, sf_dir)
+    K.write_json(ads, ads.select("issue_id").distinct().withColumn("titulo", F.lit("Revista")), root)
+    back = spark.read.json(root)
+    one = lambda a: F.concat_ws("/", a.brand, F.array_join(a.pages.cast("array<string>"), "+"), a.website, a.email, a.phone, a.sector, a.ad_size, F.round(a.confidence * 100).cast("int").cast("string"))
+    return kept_result(back.select("issue_id", "meta.titulo", F.array_join(F.transform("anunciantes", one), "|").alias("ads")), root)
 
 
 @query("f25_issue_labels", f"SELECT issue_id, '#' || CASE WHEN issue_id % 2 = 0 THEN numero ELSE issue_id::VARCHAR END AS n, titulo AS name, n_anunciantes || ' págs · ia' AS sub, strftime(fecha, '%Y-%m-%d %H:%M') AS date FROM ({P.ISSUES_SQL}) WHERE contains(lower(titulo || '#'), 'rev 1')")
@@ -848,3 +856,84 @@ def falling_numbers(spark, sf_dir):
     sha = F.when(F.col("o3") % 10 != 0, F.md5((F.col("o3") % 40).cast("string").cast("binary")))
     own = P.app(spark, sf_dir).select("issue_id", idx.alias("idx"), F.concat(F.lit("http://a.example/page-"), wanted.cast("string"), F.lit(".jpg")).alias("url"), sha.alias("sha256"), F.lit(1).cast("long").alias("bytes"))
     return M.numbered(own).select("issue_id", "idx", "page_number", "status", "duplicate_of")
+
+
+#: All order lines as one issue.
+ONE_ISSUE = "SELECT 1 AS issue_id, o1, o2, o3, o4, o5, concat(brand, ' ', CAST(o3 % 20 AS STRING)) AS brand FROM {app}"
+
+
+@query("f23_one_issue", f"WITH a AS ({ONE_ISSUE.format(app=f'({P.APP_SQL})')}), n AS (SELECT *, {P.norm_sql('brand')} AS norm FROM a), d AS (SELECT DISTINCT norm FROM n), v AS (SELECT DISTINCT a.norm FROM d a JOIN d b ON a.norm <> b.norm AND b.norm <> '' AND (starts_with(a.norm, b.norm) OR starts_with(b.norm, a.norm))) SELECT o1, o2, o3, o4, o5, n.norm, v.norm IS NOT NULL AS is_variant FROM n LEFT JOIN v ON n.norm = v.norm")
+def variants_in_one_issue(spark, sf_dir):
+    return V.with_variants(spark.sql(ONE_ISSUE, app=P.app(spark, sf_dir))).select("o1", "o2", "o3", "o4", "o5", "norm", "is_variant")
+
+
+@query("s1_page_table", f"SELECT issue_id::VARCHAR AS issue_id, page_no, (row_number() OVER (PARTITION BY issue_id ORDER BY page_no) - 1)::INT AS pos, CASE WHEN length(own) > 30 THEN own WHEN page_no % 2 = 0 THEN 'read ' || page_no ELSE own END AS text FROM (SELECT *, CASE WHEN page_no % 3 > 0 THEN text ELSE left(text, 9) END AS own FROM ({P.PAGES_SQL}))")
+def page_table(spark, sf_dir):
+    """Pages with gaps in their numbers, some with little text of their own."""
+    root = new_folder(spark, "pages")
+    short = F.when(F.col("page_no") % 3 > 0, F.col("text")).otherwise(F.left("text", F.lit(9)))
+    read = F.when(F.col("page_no") % 2 == 0, F.concat_ws(" ", F.lit("read"), "page_no")).otherwise("")
+    P.ad_pages(spark, sf_dir).select(F.col("issue_id").cast("string").alias("issue_id"), F.col("page_no").cast("int").alias("page_no"), F.lit("").alias("image_path"), short.alias("embedded_text"), read.alias("ocr_text")).write.json(root)
+    return kept_result(S.pages(spark, root, "json").select("issue_id", "page_no", "pos", "text"), root)
+
+
+@query("s2_stored_work", f"SELECT issue_id, count(*) AS n, sum(o1)::BIGINT AS total FROM ({P.APP_SQL}) WHERE o3 % 7 <> 0 AND o3 % 5 <> 0 GROUP BY ALL")
+def stored_work(spark, sf_dir):
+    """Lines of which some are cut off and some of another version."""
+    root = new_folder(spark, "work")
+    line = F.to_json(F.struct("issue_id", "o1", F.when(F.col("o3") % 5 == 0, 9).otherwise(1).alias("version")))
+    P.app(spark, sf_dir).select(F.when(F.col("o3") % 7 == 0, F.left(line, F.length(line) - 3)).otherwise(line)).write.text(root)
+    return kept_result(S.stored(spark, root, "issue_id BIGINT, o1 BIGINT").groupBy("issue_id").agg(F.count("*").alias("n"), F.sum("o1").alias("total")), root)
+
+
+FILES_SQL = "SELECT page_id % 20 AS k, string_agg(CASE WHEN page_id % 20 < 10 THEN '%PDF-' ELSE 'x' END || page_id || chr(10), '' ORDER BY page_id) AS body FROM pages GROUP BY ALL"
+
+
+def page_files(spark, sf_dir) -> str:
+    """A folder of files of which half begin as PDFs do."""
+    root, k = new_folder(spark, "files"), F.col("page_id") % 20
+    own = P.table(spark, sf_dir, "pages").select("page_id", k.alias("k"), F.concat(F.when(k < 10, "%PDF-").otherwise("x"), F.col("page_id").cast("string")).alias("value"))
+    own.repartition("k").sortWithinPartitions("k", "page_id").drop("page_id").write.partitionBy("k").text(root)
+    return root
+
+
+def folder_number(path: str, name: str) -> F.Column:
+    return F.regexp_extract(path, f"/{name}=(-?[0-9]+)/", 1).cast("long")
+
+
+@query("s3_pdf_files", f"SELECT k, length(body) AS length, left(sha256('pdf:' || sha256(body)), 24) AS job_id FROM ({FILES_SQL}) WHERE k < 10")
+def pdf_files(spark, sf_dir):
+    root = page_files(spark, sf_dir)
+    return kept_result(S.pdf_files(spark, root).select(folder_number("path", "k").alias("k"), "length", "job_id"), root)
+
+
+@query("f30_unchanged_files", f"SELECT k FROM ({FILES_SQL}) WHERE k % 4 > 1")
+def unchanged_files(spark, sf_dir):
+    """Markers of which some name another size, some another time."""
+    root = page_files(spark, sf_dir)
+    files = spark.read.format("binaryFile").load(root).select("path", "length", "modificationTime")
+    k = folder_number("path", "k") % 4
+    markers = files.select("path", F.when(k == 0, F.col("length") + 1).otherwise(F.col("length")).alias("length"), F.when(k == 1, F.col("modificationTime") - F.expr("interval 1 second")).otherwise(F.col("modificationTime")).alias("modificationTime"))
+    return kept_result(S.unchanged(files, markers).select(folder_number("path", "k").alias("k")), root)
+
+
+@query("s8_responses", f"SELECT issue_id::VARCHAR AS issue_id, count(*) AS n, count(*) FILTER (o2 = 3) AS truncated, sum(o1)::BIGINT AS input, sum(len(raw))::BIGINT AS signs FROM ({P.ANSWER.format(app=f'({P.APP_SQL})')}) GROUP BY ALL")
+def scanned_responses(spark, sf_dir):
+    """Answers of which some were cut off by the model's limit."""
+    root, own = new_folder(spark, "responses"), responses(spark, sf_dir)
+    stop = F.when(F.col("o2") == 3, "max_tokens").when(F.col("o2") == 4, None).otherwise("end_turn")
+    own.select(F.col("issue_id").cast("string").alias("issue_id"), "spread_no", "page_nums", "raw", stop.alias("stop_reason"), F.lit("m").alias("model"), F.col("o1").alias("input")).write.json(root)
+    back = S.responses(spark, root).groupBy("issue_id")
+    return kept_result(back.agg(F.count("*").alias("n"), F.count_if("truncated").alias("truncated"), F.sum("input").alias("input"), F.sum(F.length("raw")).alias("signs")), root)
+
+
+@query("s10_replayed", f"SELECT issue_id, brand, confidence, count(*) AS n, sum(page_no)::BIGINT AS pages FROM ({P.APP_SQL}) WHERE issue_id % 4 < 3 GROUP BY ALL")
+def replayed(spark, sf_dir):
+    """A saved result for each issue: a list, an object under either name, or neither."""
+    root, rest = new_folder(spark, "results"), F.col("issue_id") % 4
+    items = F.to_json(F.collect_list(F.struct("brand", F.array("page_no").alias("pages"), "confidence")))  # an issue's
+    own = P.app(spark, sf_dir).groupBy("issue_id").agg(items.alias("a"))
+    body = F.when(rest == 0, F.col("a")).when(rest == 1, F.concat(F.lit('{"meta": {"titulo": "T"}, "anunciantes": '), "a", F.lit("}"))).when(rest == 2, F.concat(F.lit('{"advertisers": '), "a", F.lit("}"))).otherwise('{"meta": {}}')
+    own.select("issue_id", body.alias("value")).repartition("issue_id").write.partitionBy("issue_id").text(root)
+    back = S.replay(spark, f"{root}/*").groupBy(folder_number("file", "issue_id").alias("issue_id"), "brand", "confidence")
+    return kept_result(back.agg(F.count("*").alias("n"), F.sum(F.get("pages", F.lit(0))).alias("pages")), root)
