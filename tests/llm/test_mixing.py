@@ -1,3 +1,8 @@
+import random
+from collections import Counter
+
+import pytest
+
 from adatlas.llm import mixing as M
 
 
@@ -23,3 +28,41 @@ def test_null_sources_repeated_rows_and_empty_tables(spark):
     assert [r.target for r in got if r.source == "y"] == [0.0, ]
     assert M.mix(docs.limit(0)).count() == 0 and M.mixed(docs.limit(0)).count() == 0
     assert all(r.taken == 0 for r in M.mix(docs.where("source = 'y'")).collect())
+
+
+def taken_by_source(spark, rows, seed):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = M.mix(docs, seed=seed).collect()
+    assert all(r.taken in (0, r.size, 2 * r.size) for r in got)
+    gaps, left = {}, {}
+    for r in got:
+        gaps[r.source] = gaps.get(r.source, r.target) - r.taken
+        if r.size and r.taken < 2 * r.size:
+            left[r.source] = min(left.get(r.source, 1 << 60), r.size)
+    return gaps, left
+
+
+@pytest.mark.parametrize("seed", ["mix", "a", "b"])
+def test_targets_are_met_where_one_document_is_half_a_source(spark, seed):
+    """What is open at the end is less than any document that could still be taken."""
+    rows = [(k * 2000 + j, "w " * (10_000 if j == 0 else 10), s) for k, s in enumerate("abc") for j in range(1001)]
+    gaps, left = taken_by_source(spark, rows, seed)
+    assert all(0 <= g < max(10, left.get(s, 10)) for s, g in gaps.items()), gaps
+    assert all(g < 10 for g in gaps.values()), gaps
+
+
+def test_gap_is_below_every_open_document(spark):
+    rng = random.Random(4)
+    rows = [(k, "w " * int(rng.paretovariate(0.7) * 3 % 5000), rng.choice(["a"] * 6 + ["b", "c", None])) for k in range(600)]
+    gaps, left = taken_by_source(spark, rows, "mix")
+    assert all(-1e-6 <= g and (s not in left or g < left[s]) for s, g in gaps.items()), (gaps, left)
+
+
+def test_equal_rows_go_together_and_whole_rows_follow(spark):
+    rows = [(k // 2, "w " * (k // 2 % 7), "s", k) for k in range(80)] + [(None, "w w", "s", -1), (None, "w", "t", -2), (500, "w " * 300_000, "t", -3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int").repartition(3)
+    got, whole = M.mix(docs).collect(), M.mixed(docs).collect()
+    assert sum(r.taken for r in got) == sum(len(r.text.split()) for r in whole)
+    counts = Counter(r.size for r in whole)
+    assert all(counts[2 * k] == counts[2 * k + 1] for k in range(40))
+    assert M.mix(docs.limit(0)).count() == 0
