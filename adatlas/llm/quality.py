@@ -134,7 +134,7 @@ def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     values = np.array([v if v is not None else 0.0 for v in moments])
     model = Model(values[:STATISTICS], values[STATISTICS:])
     own = training_labels(labels, label, key, most)
-    sample = stash(rows.dropDuplicates(["id"]).join(own, rows.id == own.label_key).select("id", "x", "y", (crc_mod("id", 3) == 0).alias("fits")), "sample")
+    sample = stash(rows.join(own, rows.id == own.label_key).groupBy("id").agg(F.min("x").alias("x"), F.max("y").alias("y")).select("id", "x", "y", (crc_mod("id", 3) == 0).alias("fits")), "sample")
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((FEATURES + 1, FEATURES + 2))

@@ -160,7 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     """Voters and the linear classifier. With no labelled rows, or none labelled 1, every score is low."""
     wanted = F.broadcast(training_labels(labels, label, key, rows))  # at most about `rows` keys
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sample = stash(source.join(wanted, source.id == wanted.label_key).select("id", "text", "y").dropDuplicates(["id"]), "sample")
+    # of several texts of an id one trains, told by its hash
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    sample = stash(source.join(wanted, source.id == wanted.label_key).groupBy("id").agg(one, F.max("y").alias("y")).select("id", "text", "y"), "sample")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
