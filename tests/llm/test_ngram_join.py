@@ -88,11 +88,6 @@ def test_met_tokens_across_batches():
         assert got == sorted((c, min(s)) for s in of.values() if len(s) > 1 for c in s)
 
 
-def test_short_sets_keep_their_order():
-    x = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64))
-    assert (J.long(J.short(x)) == x >> np.uint64(16)).all()
-
-
 def test_divide_skip_finds_all_places_with_enough_lists():
     r = random.Random(3)
     for _ in range(300):
