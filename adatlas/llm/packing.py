@@ -2,8 +2,8 @@
 
 Documents are tokenized in one pass; only those longer than a sequence are cut. Pieces that fill a sequence are one.
 The others are dealt at random into shards of a bounded number of pieces and put into bins by best fit, longest first.
-Well-filled bins are done; the pieces of all others are dealt again into fewer shards, until one shard is left or they
-get no fewer. There, each shard with more bins than the least there can be is bred: several islands, each a task of its
+Each shard with more bins than a lower bound is bred; then its well-filled bins are done, and the pieces of all others are
+dealt again into fewer shards, until one shard is left or they get no fewer. Breeding: several islands, each a task of its
 own, hold packings; a child takes over whole well-filled bins of one parent, bins of the other that hold any of the same
 pieces go, and the displaced pieces are put in by best fit. Between rounds each island's elite moves to the next island.
 """
@@ -60,6 +60,23 @@ def tokenized(docs: DataFrame, path: str | None = None, most: int = MOST, end: i
     return mapped(source, cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
+def least_bins(sizes: list[int], most: int) -> int:
+    """Fewer bins than this there can't be, whatever the packing.
+
+    For each k up to half a bin: pieces above most - k share a bin with none of k or more, those above a half are apart
+    from each other, and pieces from k to a half that overflow the room beside these need bins of their own.
+    """
+    if not sizes:
+        return 0
+    x = np.sort(np.asarray(sizes, np.int64))
+    upto = np.concatenate(([0], np.cumsum(x)))
+    half = int(np.searchsorted(x, most // 2, "right"))  # of here on two never share a bin
+    at = np.concatenate(([0], np.flatnonzero(np.diff(x[:half])) + 1))  # where k grows; with k = x[0] all pieces count
+    alone = np.maximum(np.searchsorted(x, most - x[at], "right"), half) if half else np.array([len(x)])
+    room = (alone - half) * most - (upto[alone] - upto[half])
+    return int((len(x) - half + np.maximum(0, -(-(upto[half] - upto[at] - room) // most))).max())
+
+
 class Packing:
     """Bins of piece numbers with their sums; bins with room are kept in order of room for best fit."""
 
@@ -127,7 +144,7 @@ def crossed(one: Packing, two: Packing, rng: random.Random) -> Packing:
 
 def bred(sizes: list[int], most: int, seeds: list[list[int]], seed: int) -> list[list[int]]:
     """One round of an island: the bins of each piece in its best packings, the best first. seeds: packings that came in."""
-    rng, least = random.Random(seed), -(-sum(sizes) // most)
+    rng, least = random.Random(seed), least_bins(sizes, most)
     people = [from_assigned(sizes, most, s) for s in seeds]
     if not people:
         people = [Packing(sizes, most).best_fit(sorted(range(len(sizes)), key=lambda p: -sizes[p]))]
@@ -154,13 +171,13 @@ def dealt(pieces: DataFrame, shards: int, seed: int) -> DataFrame:
 
 
 def fitted(whole: DataFrame, most: int) -> DataFrame:
-    """(shard, bin_of, bins, least): each shard by best fit, longest first; least: the fewest bins there can be."""
+    """(shard, bin_of, bins, least): each shard by best fit, longest first; least: fewer there can't be."""
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, sizes in zip(batch.column("shard").to_pylist(), batch.column("sizes").to_pylist()):
                 done = Packing(sizes, most).best_fit(sorted(range(len(sizes)), key=lambda p: -sizes[p]))
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([done.assigned()], pa.list_(pa.int32())), pa.array([len(done.bins)], pa.int32()), pa.array([-(-sum(sizes) // most)], pa.int32())], ["shard", "bin_of", "bins", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([done.assigned()], pa.list_(pa.int32())), pa.array([len(done.bins)], pa.int32()), pa.array([least_bins(sizes, most)], pa.int32())], ["shard", "bin_of", "bins", "least"])
 
     return stash(whole.select("shard", "sizes").mapInArrow(fit, "shard long, bin_of array<int>, bins int, least int"), "fitted")
 
@@ -226,8 +243,8 @@ def pack(docs: DataFrame, path: str | None = None, most: int = MOST, end: int =
         whole = dealt(loose, shards, seed + level)
         fits = fitted(whole, most)
         bins = fits.select("shard", "bin_of")
-        if last and fits.where("bins > least").head(1):
-            bins = fits.join(islands(whole, fits, most, seed), "shard", "left").select("shard", F.coalesce("bred", "bin_of").alias("bin_of"))
+        if fits.where("bins > least").head(1):
+            bins = fits.join(islands(whole, fits, most, seed + level), "shard", "left").select("shard", F.coalesce("bred", "bin_of").alias("bin_of"))
         done = stash(laid_out(whole, bins, level << 50), "packed")
         rich = done if last else done.where(F.col("fill") >= POOR * most)
         out = out.unionByName(rich.select(*columns, "sequence_id", "offset"))

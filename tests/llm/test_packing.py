@@ -82,3 +82,53 @@ def test_pack_cuts_only_long_documents_and_leaves_no_gap(spark, monkeypatch):
     # shards of 16 pieces are packed apart, but for their poor bins
     assert total.ngroups <= len(P.Packing(sizes, 100).best_fit(range(len(sizes))).bins) + 1
     assert P.pack(docs.limit(0)).count() == 0
+
+
+def fewest(sizes, most):
+    """By trying every place of every piece."""
+    best = [len(sizes)]
+
+    def put(k, fill):
+        if len(fill) < best[0]:
+            if k == len(sizes):
+                best[0] = len(fill)
+            else:
+                for j in {f: j for j, f in enumerate(fill) if f + sizes[k] <= most}.values():
+                    put(k + 1, [f + sizes[k] * (i == j) for i, f in enumerate(fill)])
+                put(k + 1, [*fill, sizes[k]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_lower_bound_against_all_packings():
+    r, sharp = random.Random(4), 0
+    for _ in range(300):
+        most = r.choice([7, 10, 30])
+        sizes = sorted((r.randint(1, most) for _ in range(r.randint(0, 8))), reverse=True)
+        least, best = P.least_bins(sizes, most), fewest(sizes, most)
+        assert -(-sum(sizes) // most) <= least <= best, (sizes, most)
+        sharp += least == best
+    assert sharp > 270
+    assert P.least_bins([3000] * 5, 4096) == 5 and P.least_bins([], 9) == 0 and P.least_bins([2048] * 5, 4096) == 3
+
+
+def test_each_shard_above_its_bound_is_bred(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARD", 24)
+    sizes = [n for seed in range(24) for n in cut_bins(seed, bins=4)]
+    docs = spark.createDataFrame([(i, "the " * (n - 1)) for i, n in enumerate(sizes)], "doc_id long, text string").coalesce(1)
+    seen, islands = [], P.islands
+
+    def watched(whole, fits, most, seed):
+        out = P.stash(islands(whole, fits, most, seed), "watched")
+        better = fits.join(out, "shard").where("array_max(bred) + 1 < bins").count()
+        seen.append((whole.count(), out.count(), better))
+        return out
+
+    monkeypatch.setattr(P, "islands", watched)
+    bred = P.pack(docs, most=30).toPandas()
+    assert any(shards > 1 and above and better for shards, above, better in seen), seen
+    assert sorted(bred.length) == sorted(sizes) and bred.groupby("sequence_id").length.sum().max() == 30
+    monkeypatch.setattr(P, "islands", lambda whole, fits, most, seed: fits.select("shard", P.F.col("bin_of").alias("bred")))
+    plain = P.pack(docs, most=30).toPandas()
+    assert bred.sequence_id.nunique() <= plain.sequence_id.nunique()
