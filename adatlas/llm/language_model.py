@@ -5,8 +5,9 @@ attention over the last 16 to 32 ids, times that of the id within its class and
 class, then by its own count), which comes from counts over all training documents. Documents are scored as streams cut into windows of 32 ids that overlap by
 16: each id is scored once, all windows of a stream at once.
 
-The attention weights begin with a hash-picked sample of SAMPLE training documents; then tasks take steps over the whole
-texts of a SHARE of all training documents, and the mean of their weights is kept. The counts behind ids, classes,
+The attention weights begin with a hash-picked sample of SAMPLE training documents; then shards of about DEALT of them take
+steps over the whole texts of a SHARE of all training documents, and the mean of their weights is kept. Shards are dealt
+and ordered by hashes, and grow in number with the documents, so that scores don't hang on how the input is partitioned. The counts behind ids, classes,
 words, the base score and its N and V cover every training document. Counts of the commonest words
 (at most COMMON) are broadcast, those of all others are joined by the word.
 """
@@ -14,7 +15,8 @@ words, the base score and its N and V cover every training document. Counts of t
 from __future__ import annotations
 
 import copy
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ BEFORE = 512
 SAMPLE, PART, STEP, PASSES, STEPS = 3000, 512, 8192, 4, 200
 #: Share of the training documents whose whole texts train the attention (SAMPLE of them at least), its rate there, ids handled at once.
 SHARE, RATE, MOST = 1 / 8, 0.002, 1 << 18
+#: Documents of a shard of training, about; shards at least; tasks that add up the shards' weights.
+DEALT, SHARDS, ADDERS = 4000, 4, 16
 #: Words whose counts are broadcast, at most; counts kept in a task before they are sent on.
 COMMON, HELD = 200_000, 1_000_000
 SMOOTH = 20.0
@@ -242,10 +246,10 @@ class Tally:
         return keys, counts
 
 
-def parts(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
-    """Texts of a batch as ids, about MOST ids at a time."""
+def parts(texts: Iterable[pa.BinaryScalar]) -> Iterator[list[np.ndarray]]:
+    """Texts as ids, about MOST ids at a time."""
     held, size = [], 0
-    for x in batch.column("ids"):
+    for x in texts:
         held.append(np.frombuffer(x.as_buffer(), "<u2"))
         size += len(held[-1])
         if size > MOST:
@@ -262,8 +266,8 @@ def picked(texts: DataFrame, share: float) -> DataFrame:
 def sampled(texts: DataFrame, n: int) -> list[np.ndarray]:
     """Ids of the sample's documents (of longer ones, some part)."""
     begin = F.expr(f"cast(2 * pmod(key, greatest(1, length(ids) div 2 - {PART})) as int) + 1")
-    own = picked(texts, SAMPLE / max(1, n)).select(F.substring("ids", begin, F.lit(2 * PART)).alias("ids"))
-    return [np.frombuffer(x, "<u2").astype(np.int64) for x in own.toArrow().column(0).to_pylist()]
+    own = picked(texts, SAMPLE / max(1, n)).select("key", F.substring("ids", begin, F.lit(2 * PART)).alias("ids"))
+    return [np.frombuffer(x, "<u2").astype(np.int64) for x in own.toArrow().sort_by("key").column("ids").to_pylist()]
 
 
 def counted_pairs(texts: DataFrame, cell, size: int) -> np.ndarray:
@@ -272,7 +276,7 @@ def counted_pairs(texts: DataFrame, cell, size: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for own in parts(batch):
+            for own in parts(batch.column("ids")):
                 last = np.cumsum([len(x) + 2 for x in own]) - 1
                 stream = np.full(last[-1] + 1, END, np.int32)  # each text between two ends
                 inner = np.ones(len(stream), bool)
@@ -292,29 +296,37 @@ def counted_pairs(texts: DataFrame, cell, size: int) -> np.ndarray:
 
 
 def taught(model: Attention, texts: DataFrame, n: int) -> Attention:
-    """Trains on the whole texts of a share of the n documents: each task steps from the same weights, then the mean by ids is taken."""
+    """Trains on the whole texts of a share of the n documents, each once: every shard steps from the same weights, in order
+    of keys, then the mean by ids is taken. The result is the same however the texts are partitioned."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
-    names, schema = ["n", "weights"], "n long, weights binary"
+    names, schema = ["shard", "n", "weights"], "shard int, n long, weights binary"
+
+    def row(shard: int, total: int, flat: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([total], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names)
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = copy.copy(shared.value), 0
-        own.p = {c: w.copy() for c, w in own.p.items()}
-        for batch in batches:
-            for some in parts(batch):
+        rows = ((shard, x) for b in batches for shard, x in zip(b.column("shard").to_pylist(), b.column("ids")))
+        for shard, group in groupby(rows, key=lambda r: r[0]):
+            own, total = copy.copy(shared.value), 0
+            own.p = {c: w.copy() for c, w in own.p.items()}
+            for some in parts(x for _, x in group):
                 own.fit(some, RATE, 1)
                 total += sum(map(len, some)) + len(some)
-        flat = np.concatenate([w.ravel() for w in own.p.values()]).astype(np.float64) * total
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names)
+            yield row(shard, total, np.concatenate([w.ravel() for w in own.p.values()]).astype(np.float64) * total)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, flat = 0, 0.0
-        for batch in batches:
-            for m, x in zip(batch.column("n").to_pylist(), batch.column("weights")):
+        rows = (r for b in batches for r in zip(b.column("shard").to_pylist(), b.column("n").to_pylist(), b.column("weights")))
+        for adder, group in groupby(rows, key=lambda r: r[0] % ADDERS):
+            total, flat = 0, 0.0
+            for _, m, x in group:
                 total, flat = total + m, flat + np.frombuffer(x.as_buffer())
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names)
+            yield row(adder, total, flat)
 
-    sums = picked(texts, max(SHARE, SAMPLE / max(1, n))).select("ids").mapInArrow(steps, schema).where("n > 0").repartition(16).mapInArrow(added, schema).toArrow()  # at most 16 rows
+    share = min(1.0, max(SHARE, SAMPLE / max(1, n)))
+    shards = max(SHARDS, int(n * share) // DEALT)
+    own = picked(texts, share).select("key", "ids").dropDuplicates(["key"]).withColumn("shard", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(shards)).cast("int"))
+    done = own.repartitionById(shards, F.col("shard")).sortWithinPartitions("key").mapInArrow(steps, schema)
+    sums = done.repartitionById(ADDERS, F.col("shard") % ADDERS).sortWithinPartitions("shard").mapInArrow(added, schema).toArrow().sort_by("shard")  # at most ADDERS rows
     total = sum(sums.column("n").to_pylist())
     if total:
         flat, at = sum(np.frombuffer(x) for x in sums.column("weights").to_pylist()) / total, 0
@@ -327,7 +339,7 @@ def score(docs: DataFrame, path: str | None = None, text: str = "text", key: str
     """One row for each row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are words (A-Z lower-cased) and one end. Null and empty texts are the end alone. A null key isn't held out.
-    Repeated rows are scored, and counted in training, each. Without training rows N and V are 0. Other columns are
+    Repeated rows are scored, and counted in training, each (the attention takes steps over each once). Without training rows N and V are 0. Other columns are
     ignored; an empty table gives an empty result.
     """
     spark, path = docs.sparkSession, path or vocabulary()

@@ -127,3 +127,16 @@ def test_places_come_from_all_training_documents(spark, monkeypatch):
     (counts, each), train = seen[0], [t for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2]
     assert each[M.END] == 2 * len(train) and each.sum() == counts.sum() + len(train)
     assert sorted(each[each > 0])[:2] == [9 * sum("omega" in t for t in train)] * 2
+
+
+def test_scores_do_not_hang_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(M, "SAMPLE", 40)
+    monkeypatch.setattr(M, "STEPS", 5)
+    monkeypatch.setattr(M, "DEALT", 25)
+    r = np.random.default_rng(8)
+    rows = [(k, " ".join(r.choice(["alpha", "beta", "gamma", "delta", "omega"], r.integers(0, 60)))) for k in range(400)] + [(None, None), (3, "alpha beta")]
+    rows += [(9, "copied text of one row")] * 200
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((-1 if d.doc_id is None else d.doc_id, d.n_tokens, d.score) for d in M.score(frame.repartition(n)).collect()) for n in (3, 7)]
+    assert len(got[0]) == len(rows) and [g[:2] for g in got[0]] == [g[:2] for g in got[1]]
+    assert np.allclose([g[2] for g in got[0]], [g[2] for g in got[1]], rtol=1e-6, atol=1e-6)
