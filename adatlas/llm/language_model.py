@@ -78,12 +78,18 @@ class Attention:
                     centre[g] = np.average(x[at == g], axis=0, weights=counts[rest[at == g]])
         return at
 
-    def forward(self, ids: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, dict]:
-        """Class logits after each id of a stream (see `streamed`). fresh: whether each half window begins a text."""
+    def placed(self) -> dict[str, np.ndarray]:
+        """What forward makes of each place's embedding, for weights that change no more."""
+        e = self.p["e"]
+        return {c: e @ self.p[c] for c in "qkvx"}
+
+    def forward(self, ids: np.ndarray, fresh: np.ndarray, placed: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, dict]:
+        """Class logits after each id of a stream (see `streamed`). fresh: whether each half window begins a text; placed: see there."""
         p, n = self.p, len(ids) // HALF
-        slot = self.slot[ids]
-        x = p["e"][slot]
-        q, k, v = ((x @ p[c]).reshape(n, HALF, DIM) for c in "qkv")
+        slot = self.slot.take(ids)
+        x = None if placed else p["e"].take(slot, 0)
+        q, k, v, wide = (placed[c].take(slot, 0) if placed else x @ p[c] for c in "qkvx")
+        q, k, v = (t.reshape(n, HALF, DIM) for t in (q, k, v))
         twice = lambda a: np.concatenate((np.concatenate((np.zeros_like(a[:1]), a[:-1])), a), 1)
         kk, vv = twice(k), twice(v)
         far = np.arange(HALF)[:, None] + HALF - np.arange(2 * HALF)[None, :]  # how far back each key stands
@@ -91,10 +97,17 @@ class Attention:
         s += np.where(far >= 0, p["r"][np.clip(far, 0, 2 * HALF - 1)], p["r"].dtype.type(-1e9))
         s[fresh, :, :HALF] = -1e9  # what stands before belongs to another text
         a = np.exp(np.minimum(s, 60, out=s), out=s)
-        total = a.sum(2, keepdims=True)
-        o = (np.matmul(a, vv) / total).reshape(-1, DIM)
-        h = np.maximum(x @ p["x"] + o @ p["o"] + p["b"], 0)
-        return h @ p["c"] + p["d"], {"slot": slot, "x": x, "q": q, "kk": kk, "vv": vv, "a": a, "total": total, "o": o, "h": h, "far": far}
+        total = (a @ np.ones(2 * HALF, a.dtype))[:, :, None]
+        o = np.matmul(a, vv)
+        o /= total
+        o = o.reshape(-1, DIM)
+        h = o @ p["o"]
+        h += wide
+        h += p["b"]
+        np.maximum(h, 0, out=h)
+        logits = h @ p["c"]
+        logits += p["d"]
+        return logits, {"slot": slot, "x": x, "q": q, "kk": kk, "vv": vv, "a": a, "total": total, "o": o, "h": h, "far": far}
 
     def backward(self, grad: np.ndarray, f: dict) -> dict[str, np.ndarray]:
         """Gradients of all weights for the gradient of the logits."""
@@ -115,8 +128,8 @@ class Attention:
 
         dk, dv, x = once(dkk), once(dvv), f["x"]
         dx = dh @ p["x"].T + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        e = np.zeros_like(p["e"])
-        np.add.at(e, f["slot"], dx)
+        cells = (f["slot"][:, None] * DIM + np.arange(DIM)).ravel()
+        e = np.bincount(cells, dx.ravel(), OWN * DIM).reshape(OWN, DIM).astype(p["e"].dtype)
         r = np.bincount(np.clip(f["far"], 0, 2 * HALF - 1).ravel(), (ds.sum(0) * (f["far"] >= 0)).ravel(), 2 * HALF)
         return {"e": e, "q": x.T @ dq, "k": x.T @ dk, "v": x.T @ dv, "x": x.T @ dh, "o": f["o"].T @ dh, "b": dh.sum(0), "c": f["h"].T @ grad, "d": grad.sum(0), "r": r.astype(np.float32)}
 
@@ -167,15 +180,15 @@ class Attention:
         if not texts:
             return np.zeros(0)
         ids, docs, first = streamed(texts)
-        fresh, out = begins(docs), np.zeros(len(ids))
+        fresh, out, placed = begins(docs), np.zeros(len(ids)), self.placed()
         for at in range(0, len(ids), 1 << 11):  # half a window before each part is its context
             lo, hi = max(0, at - HALF), min(len(ids), at + (1 << 11))
             start = fresh[lo // HALF : hi // HALF].copy()
             start[:1] = True
-            logits = self.forward(ids[lo:hi], start)[0][at - lo :]
+            logits = self.forward(ids[lo:hi], start, placed)[0][at - lo :]
             nxt = ids[np.minimum(np.arange(at + 1, hi + 1), len(ids) - 1)]
             own = logits[np.arange(len(nxt)), self.group[nxt]]
-            total = np.log(np.exp(np.minimum(logits, 60, out=logits), out=logits).sum(1))
+            total = np.log(np.exp(np.minimum(logits, 60, out=logits), out=logits) @ np.ones(CLASSES, logits.dtype))
             out[at:hi] = (own - total) / np.log(10) + self.within[self.kind[ids[at:hi]], self.slot[nxt]] + self.own[nxt]
         out[docs != np.append(docs[1:], -1)] = 0  # nothing follows the last end
         out[docs < 0] = 0
