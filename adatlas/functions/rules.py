@@ -1,24 +1,29 @@
 """Rule tables: the first rule, by priority, whose pattern a text contains or ends with.
 
 A table of rules (priority, pattern, value) takes the place of literals in code. Up to a checked size it is broadcast, once
-as an Aho-Corasick automaton, so that a text is read once whatever the number of rules; beyond that size texts are
-taken apart into the pieces that can begin or be a pattern, and meet the rules in an equi-join. Both ways give the same.
+as an Aho-Corasick automaton, so that a text is read once whatever the number of rules; beyond that size the pieces of
+texts that a sieve of all patterns lets pass meet the rules in an equi-join. Both ways give the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adatlas.functions.sieve import Sieve
+from adatlas.sources.shared import written
+
 #: Bytes of patterns and values, and number of rules, up to which a table is broadcast.
 MOST_BYTES, MOST_RULES = 16 << 20, 500_000
-#: Signs of the piece of a pattern by which texts find it in a join.
-PIECE = 4
+#: Bytes of the keys by which texts find patterns in a join: each pattern has the longest that fits. Bits of a sieve, as a power of two.
+RUNGS, MOST_BITS = [*range(1, 33), 48, 64, 96, 128, 192, *[1 << k for k in range(8, 31)]], 29
 
 RULE = T.StructType([T.StructField("priority", T.LongType()), T.StructField("pattern", T.StringType()), T.StructField("value", T.StringType())])
 
@@ -74,33 +79,50 @@ def by_automaton(df: DataFrame, text: Column, rules: list[tuple[int, str, str]],
     return out.withColumn(into, F.when(F.col("__r.priority").isNotNull(), F.col("__r"))).drop("__r")
 
 
-def pieces(text: str, sizes: list[int]) -> Column:
-    """All pieces of a text of some sizes, each once."""
+def rung(size: Column, rungs: list[int] = RUNGS) -> Column:
+    """The greatest rung that is not above a size."""
+    return F.array_max(F.filter(F.array(*map(F.lit, rungs)), lambda n: n <= size))
+
+
+def keyed(rules: DataFrame, ends: bool) -> DataFrame:
+    """Adds __n and __key: a pattern's first bytes (with `ends` its last), as many as the greatest rung that fits; __rank, which rises with priority and pattern; and __size, the pattern's bytes."""
+    own = rules.withColumn("__b", F.col("pattern").cast("binary")).withColumn("__size", F.octet_length("pattern"))
+    own = own.withColumn("__n", rung(F.col("__size")))
+    own = own.withColumn("__key", F.substring("__b", F.when(F.lit(ends), F.col("__size") - F.col("__n") + 1).otherwise(F.lit(1)), F.col("__n"))).drop("__b")
+    own = own.repartitionByRange("priority", "pattern").sortWithinPartitions("priority", "pattern")
+    return written(own.withColumn("__rank", F.monotonically_increasing_id()), "rules")
 
-    def of(n: int) -> Column:
-        at = F.sequence(F.lit(1), F.length(text) - (n - 1))
-        return F.when(F.length(text) >= n, F.transform(at, lambda k: F.substring(text, k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*map(of, sizes)))
+def sieve(rules: DataFrame, n_rules: int, ends: bool) -> Sieve:
+    """What texts' pieces must pass, made from all keys; of bounded size."""
+    sizes = {r[0]: r[1] for r in rules.groupBy("__n").agg(F.max("__size")).collect()}  # as many as rungs, at most
+    bits = min(max(16, (16 * n_rules).bit_length()), MOST_BITS)
+    made = Sieve(bits, sizes, ends)
 
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, (slot, mask) in enumerate(made.slots(batch.column(0))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), kind, np.int8)), pa.array(slot.astype(np.int64)), pa.array(mask.view(np.int64))], names=["kind", "slot", "mask"])
 
-def by_rarest(rules: DataFrame) -> DataFrame:
-    """Adds __piece: of a pattern's pieces of PIECE signs the one that the fewest patterns hold; a shorter pattern is its own."""
-    size = F.least(F.length("pattern"), F.lit(PIECE))
-    own = rules.select("*", F.explode(F.filter(pieces("pattern", list(range(1, PIECE + 1))), lambda p: F.length(p) == size)).alias("__piece"))
-    holders = own.groupBy("__piece").agg(F.count("*").alias("__n"))
-    return own.join(holders, "__piece").groupBy("priority", "pattern", "value").agg(F.min(F.struct("__n", "__piece")).alias("m")).select("priority", "pattern", "value", "m.__piece")
+    found = rules.select("__key").mapInArrow(slots, "kind byte, slot long, mask long").groupBy("kind", "slot").agg(F.bit_or("mask").alias("mask"))
+    made.fill(found.toArrow())  # 64 MB of bits at most
+    return made
 
 
 def by_join(df: DataFrame, text: Column, rules: DataFrame, into: str, ends: bool) -> DataFrame:
-    """Distinct texts are taken apart: into all their ends, or all their pieces, of which a rule asks for the rarest of its own."""
-    own = df.withColumn("__text", text)
-    texts = own.select("__text").where("__text is not null").distinct()
-    if ends:
-        every = F.transform(F.sequence(F.lit(1), F.greatest(F.length("__text"), F.lit(1))), lambda k: F.substring("__text", k, F.length("__text")))
-        met = texts.select("__text", F.explode(every).alias("__end")).join(rules, F.col("__end") == F.col("pattern"))
-    else:
-        sizes = sorted(r[0] for r in rules.select(F.least(F.length("pattern"), F.lit(PIECE))).distinct().collect())  # PIECE at most
-        met = texts.select("__text", F.explode(pieces("__text", sizes or [1])).alias("__piece")).join(by_rarest(rules), "__piece").where(F.contains("__text", "pattern"))
-    found = met.groupBy("__text").agg(F.min(F.struct("priority", "pattern", "value")).alias(into))
-    return own.join(found, "__text", "left").drop("__text")
+    """Texts' pieces that pass the sieve of all rules' keys meet the rules with that key; the lowest rank is a row's rule."""
+    own = written(df.withColumn("__text", text).withColumn("__id", F.monotonically_increasing_id()), "texts")
+    ruled = keyed(rules, ends)
+    held = df.sparkSession.sparkContext.broadcast(sieve(ruled, ruled.count(), ends))
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from held.value.passing(batch)
+
+    pieces = own.select("__id", "__text").where("__text is not null").mapInArrow(passing, "__id long, __key binary, __piece binary")
+    whole = F.coalesce("__piece", "__key")
+    pattern = F.col("pattern").cast("binary")
+    holds = F.endswith(whole, pattern) if ends else F.startswith(whole, pattern)
+    best = pieces.join(ruled.select("__key", "pattern", "__rank"), "__key").where(holds).groupBy("__id").agg(F.min("__rank").alias("__rank"))
+    found = best.join(ruled.select("__rank", F.struct("priority", "pattern", "value").alias(into)), "__rank").select("__id", into)
+    return own.join(found, "__id", "left").drop("__text", "__id")

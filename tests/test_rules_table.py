@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,3 +50,19 @@ def test_viewers_by_a_table_of_ones_own(spark):
     pages = spark.createDataFrame([(1, "http://a.es/x", '<iframe src="https://issuu.com/a"><a href="//read.own.example/b">')], "id int, url string, html string")
     assert [r.viewer for r in M.viewers(pages).collect()] == ["Issuu"]
     assert [tuple(r) for r in M.viewers(pages, RT.table(spark, [("own.example", "Own")])).collect()] == [(1, "http://read.own.example/b", "Own")]
+
+
+@pytest.mark.parametrize("ends", [False, True])
+def test_many_rules_meet_only_pieces_that_are_rules(spark, ends):
+    """Each text holds hundreds of beginnings of rules and three rules; patterns of some hundred bytes share all but their ends."""
+    rng = random.Random(2)
+    long = "ñ" + "".join(rng.choice("abcdefgh") for _ in range(290))
+    rules = [(k, f"ref {k}-", "a") for k in range(3000)] + [(9000 + k, f"{long}{k}.", "b") for k in range(300)] + [(99999, "-", "c")]
+    texts = [f"anillo ref {k * 7 % 4000}-" for k in range(500)] + [f"x{long}{k * 3}." for k in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    table = spark.createDataFrame(rules, RT.RULE)
+    got = {r.text: r.rule and tuple(r.rule) for r in RT.first_rule(df, F.col("text"), table, ends=ends, most_bytes=0).collect()}
+    assert got == {t: first(rules, t, ends) for t in texts}
+    made = RT.sieve(RT.keyed(RT.usable(table), ends), len(rules), ends)
+    passed = sum(b.num_rows for b in made.passing(pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])))
+    assert passed < 4 * len(texts)
