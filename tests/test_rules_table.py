@@ -66,3 +66,14 @@ def test_many_rules_meet_only_pieces_that_are_rules(spark, ends):
     made = RT.sieve(RT.keyed(RT.usable(table), ends), len(rules), ends)
     passed = sum(b.num_rows for b in made.passing(pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])))
     assert passed < 4 * len(texts)
+
+
+def test_ends_that_all_texts_share_meet_no_rule(spark):
+    """Of every address the last four signs are the same; only whole ends that are rules go on to the join."""
+    table = spark.createDataFrame([(k, f"part-{k}.net", "blocked") for k in range(2000)], RT.RULE)
+    texts = [f"hoja-{k}.net" for k in range(1000)] + [f"www.part-{k}.net" for k in range(1500, 2500)]
+    made = RT.sieve(RT.keyed(RT.usable(table), True), 2000, True)
+    passed = sum(b.num_rows for b in made.passing(pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])))
+    assert passed < 1000
+    got = RT.first_rule(spark.createDataFrame([(t,) for t in texts], "text string"), F.col("text"), table, ends=True, most_bytes=0)
+    assert got.where("rule is not null").count() == 500
