@@ -81,3 +81,14 @@ def test_answers_as_a_stream(spark, tmp_path):
     follow(spark, str(source), target, str(tmp_path / "ck")).awaitTermination()
     assert sorted(r.brand for r in spark.read.parquet(f"{target}/entries").collect()) == ["Roca", "Simon"]
     assert spark.read.parquet(f"{target}/answers").count() == 2
+
+
+def test_a_table_of_results_is_replayed_as_their_files_are(spark, tmp_path):
+    """Results by the hundred are no folders by the hundred."""
+    texts = ['[{"brand":"a","pages":[1]}]', '{"anunciantes":[{"brand":"b","confidence":0.5},\n{"brand":"c"}]}', '{"advertisers":[{"brand":"d"}]}', '{"meta":{}}', "broken"] * 60
+    for k, t in enumerate(texts[:5]):
+        (tmp_path / f"{k}.json").write_text(t)
+    rows = lambda df: sorted((r["at"], r.brand, str(r.pages), str(r.confidence)) for r in df.collect())
+    table = spark.createDataFrame(list(enumerate(texts)), "issue_id int, value string")
+    got = S.replayed(table, "issue_id")
+    assert rows(got.where("issue_id < 5")) == rows(S.replay(spark, str(tmp_path))) and got.count() == 4 * 60
