@@ -75,7 +75,7 @@ def without_issues(table: DataFrame, issues: DataFrame) -> DataFrame:
 def latest(ads: DataFrame, order: list[str]) -> DataFrame:
     """The last row of each issue and canonical brand in the given order; rows without a canonical brand are left out."""
     row = F.struct(*[c for c in ads.columns if c not in ("issue_id", "canonical")])
-    return ads.where("canonical <> ''").groupBy("issue_id", "canonical").agg(F.max_by(row, F.struct(*order)).alias("r")).select("issue_id", "canonical", "r.*")
+    return ads.where("canonical <> ''").repartition("issue_id", "canonical").groupBy("issue_id", "canonical").agg(F.max_by(row, F.struct(*order)).alias("r")).select("issue_id", "canonical", "r.*")
 
 
 def compared(pairs: DataFrame, last: DataFrame) -> DataFrame:
