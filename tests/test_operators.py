@@ -239,3 +239,15 @@ def test_appearances(spark):
     meta = spark.createDataFrame([("j", "job-123", "e", "", None, "T")], "issue_id string, job_id string, export_id string, estado string, url string, titulo string")
     rows = R.appearances(ads, meta).orderBy("appearance_id").collect()
     assert [(r.appearance_id, r.advertiser_id, r.page, r.phone) for r in rows] == [("job-123:a0001:p0003", "job-123:a0001", 3, "012345678"), ("job-123:a0001:p0008", "job-123:a0001", 8, "012345678"), ("job-123:a0002:n0001", "job-123:a0002", None, "")]
+
+
+def test_rows_are_dealt_before_fields_are_picked_by_order(spark):
+    """No aggregation stands below the exchange, where each picked field would carry the whole order of its row."""
+    ads = spark.createDataFrame([(1, 2, 5, "Ab, S.A.", "", "e@x.es", "", "", "", 0.5, "ia", "", "z"), (1, 1, 6, "Ab", "w.es", "", "", "", "", 0.4, "ia", "", "z")], "issue_id int, page_no int, o1 int, brand string, website string, email string, phone string, sector string, ad_size string, confidence double, method string, notes string, unused string")
+    merged, last = A.merged(ads, ["page_no", "o1"]), L.latest(L.stored_advertisers(ads), ["brand", "page_no", "o1"])
+    for df in (merged, last):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "partial_m" not in plan.split("Exchange")[1]
+    row = merged.first()
+    assert (row.brand, row.pages, row.website, row.email, row.confidence) == ("Ab", [1, 2], "w.es", "e@x.es", 0.5)
+    assert last.first().brand == "Ab, S.A."
