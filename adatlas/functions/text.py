@@ -118,13 +118,13 @@ def is_ad_like(c: Column) -> Column:
 
 def first_phone(c: Column) -> Column:
     """The first phone of nine digits (of more, the last nine) that begins with 6 to 9, as written; else empty."""
-    digits = lambda m: F.right(F.regexp_replace(m, r"(?U)\D", ""), F.lit(9))
-    found = F.filter(F.regexp_extract_all(text(c), F.lit(PHONE_PATTERN), 0), lambda m: digits(m).rlike(r"^[6-9]\d{8}$"))
+    digits = lambda m: F.regexp_replace(m, r"(?U)\D", "")
+    found = F.filter(F.regexp_extract_all(text(c), F.lit(PHONE_PATTERN), 0), lambda m: digits(m).rlike(r"[6-9]\d{8}$"))
     return strip(F.coalesce(F.get(found, F.lit(0)), F.lit("")))
 
 
 def first_email(c: Column) -> Column:
-    return F.coalesce(F.get(F.regexp_extract_all(text(c), F.lit(EMAIL_PATTERN), 0), F.lit(0)), F.lit(""))
+    return F.regexp_extract(text(c), EMAIL_PATTERN, 0)
 
 
 def best_text(embedded: Column, ocr: Column) -> Column:

@@ -22,22 +22,25 @@ def mentions(pages: DataFrame, text: str = "text", blocked: DataFrame | None = N
     blocked: a rule table (priority, pattern, value) of domains that an address may not end with, in place of those in code.
     """
     own = pages.select("issue_id", "pos", "page_no", F.coalesce(F.col(text), F.lit("")).alias("t"))
-    # the cheap address test comes first, so that other rules run only on pages with one
-    own = own.withColumn("urls", F.regexp_extract_all("t", F.lit(X.URL_PATTERN), 1)).where(F.size("urls") > 0)
-    own = own.select("issue_id", "pos", "page_no", X.is_ad_like(F.col("t")).alias("ad_like"), X.first_email(F.col("t")).alias("email"), X.first_phone(F.col("t")).alias("phone"), F.posexplode("urls").alias("match_idx", "url"))
-    own = own.withColumn("root", X.domain_root(F.col("url")))
+    own = own.withColumn("urls", F.regexp_extract_all("t", F.lit(X.URL_PATTERN), 1))
+    # other rules run only on pages with an address. No filter and no plain explode stands here: both would be tested down where the text is, by the same rules again
+    any_url = F.size("urls") > 0
+    rules = {"ad_like": X.is_ad_like(F.col("t")), "email": X.first_email(F.col("t")), "phone": X.first_phone(F.col("t"))}
+    own = own.select("issue_id", "pos", "page_no", *[F.when(any_url, c).alias(name) for name, c in rules.items()], F.transform("urls", X.domain_root).alias("roots"))
+    own = own.select("issue_id", "pos", "page_no", *rules, F.posexplode_outer("roots").alias("match_idx", "root")).where("match_idx is not null")
     if blocked is None:
         own = own.where(~X.is_blocked(F.col("root")))
     else:
         own = RT.first_rule(own, F.col("root"), blocked, into="__rule", ends=True).where("__rule is null").drop("__rule")
-    return own.withColumn("key", X.brand_key(F.col("root"))).drop("url")
+    return own.withColumn("key", X.brand_key(F.col("root")))
 
 
 def brands(found: DataFrame) -> DataFrame:
     """Mentions by issue and key. Confidence and notes are those of the last mention; website is the shortest, the first of equals."""
     order = F.struct("pos", "match_idx")
     ordered = F.array_sort(F.collect_set(F.struct("pos", "page_no")))
-    out = found.groupBy("issue_id", "key").agg(
+    # dealt before they are aggregated: a mention is smaller than what a task would make of one, and few meet in a task
+    out = found.repartition("issue_id", "key").groupBy("issue_id", "key").agg(
         F.min_by("root", F.struct(F.length("root"), order)).alias("website"),
         F.transform(ordered, lambda p: p.page_no).alias("pages"),
         F.min_by("email", F.when(F.col("email") != "", order)).alias("email"),

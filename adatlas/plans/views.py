@@ -75,7 +75,7 @@ def issues(ads: DataFrame) -> DataFrame:
 
 def ad_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One text for each issue and page; pos is the page number."""
-    pieces = spark.sql(MENTION, app=app(spark, sf_dir))
+    pieces = spark.sql(MENTION, app=app(spark, sf_dir)).repartition("issue_id", "page_no")  # few pieces of a page meet in a task before
     order = F.array_sort(F.collect_list(F.struct("o1", "o2", "o3", "o4", "o5", "piece")))
     return pieces.groupBy("issue_id", "page_no").agg(F.array_join(F.transform(order, lambda p: p.piece), " ").alias("text")).withColumn("pos", F.col("page_no"))
 
