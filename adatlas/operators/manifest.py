@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,34 +14,40 @@ from adatlas.functions import rules as RT
 from adatlas.functions import urls as U
 
 
-#: Rows of a manifest that go back from Python at once.
-BATCH = 10_000
-
-
 def image_order(images: DataFrame, url: str = "url") -> DataFrame:
     """Adds image_rank: by page number, images without one last, then by address."""
     n = U.page_number(F.col(url))
     return images.withColumn("image_rank", F.row_number().over(W.partitionBy("issue_id").orderBy(n.isNull(), F.coalesce(n, F.lit(0)), F.lower(url))))
 
 
-def claimed(rows: Iterator[dict]) -> Iterator[tuple[dict, int | None, int | None]]:
-    """(row, its number, what it repeats) of one issue's rows in order: each new image takes the first free number from the wanted one on.
+class Claims:
+    """The numbers of one issue's images: each new one takes the first free number from the wanted one on.
 
     next_free leads from a taken number to one that may be free; what is passed on the way is led there directly.
     """
-    next_free: dict[int, int] = {}
-    first: dict[str, int] = {}
+
+    def __init__(self):
+        self.next_free: dict[int, int] = {}
+        self.first: dict[str, int] = {}
+
+    def new(self, wanted: int, sha256: str) -> int:
+        n, way, next_free = wanted, [], self.next_free
+        while n in next_free:
+            way.append(n)
+            n = next_free[n]
+        for k in way:
+            next_free[k] = n + 1
+        next_free[n] = n + 1
+        self.first[sha256] = n
+        return n
+
+
+def claimed(rows: Iterator[dict]) -> Iterator[tuple[dict, int | None, int | None]]:
+    """(row, its number, what it repeats) of one issue's rows in order."""
+    claims = Claims()
     for row in rows:
-        if row["status"] == "ok":
-            n, way = row["wanted"], []
-            while n in next_free:
-                way.append(n)
-                n = next_free[n]
-            next_free |= dict.fromkeys([*way, n], n + 1)
-            first[row["sha256"]] = n
-            yield row, n, None
-        else:
-            yield row, row["wanted"], first.get(row["sha256"])
+        new = row["status"] == "ok"
+        yield row, claims.new(row["wanted"], row["sha256"]) if new else row["wanted"], None if new else claims.first.get(row["sha256"])
 
 
 def numbered(images: DataFrame) -> DataFrame:
@@ -70,18 +75,17 @@ def numbered(images: DataFrame) -> DataFrame:
     rising = rising.withColumn("duplicate_of", F.when(F.col("status") == "duplicate", of)).select(*columns)
 
     def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[dict]:
-            for batch in batches:
-                yield from batch.to_pylist()
-
-        done: list[dict] = []
-        for _, own_rows in groupby(rows(), key=lambda r: r["issue_id"]):
-            for row, n, copy_of in claimed(own_rows):
-                done.append({**row, "page_number": n, "duplicate_of": copy_of})
-                if len(done) == BATCH:
-                    yield pa.RecordBatch.from_pylist(done, schema=schema)
-                    done = []
-        yield pa.RecordBatch.from_pylist(done, schema=schema)
+        at, claims = object(), Claims()
+        for batch in batches:
+            numbers, copies = [], []
+            for issue, wanted, sha256, status in zip(*(batch.column(c).to_pylist() for c in ("issue_id", "wanted", "sha256", "status"))):
+                if issue != at:
+                    at, claims = issue, Claims()
+                new = status == "ok"
+                numbers.append(claims.new(wanted, sha256) if new else wanted)
+                copies.append(None if new else claims.first.get(sha256))
+            made = {"page_number": numbers, "duplicate_of": copies}  # other columns go through as they are
+            yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else batch.column(f.name) for f in schema], schema=schema)
 
     schema = to_arrow_schema(rising.schema)
     odd = own.where("__falls").select("issue_id", "idx", "wanted", "source_url", "sha256", "bytes", "status").sortWithinPartitions("issue_id", "idx")
