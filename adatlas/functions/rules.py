@@ -20,8 +20,10 @@ from pyspark.sql import types as T
 from adatlas.functions.sieve import Sieve
 from adatlas.sources.shared import written
 
-#: Bytes of patterns and values, and number of rules, up to which a table is broadcast.
+#: Bytes of texts, patterns and values, and number of rules, up to which a table is broadcast.
 MOST_BYTES, MOST_RULES = 16 << 20, 500_000
+#: Rows with found rules, in parts of all rows, up to which it is tried whether their texts are few.
+SELDOM = 8
 #: Bytes of the keys by which texts find patterns in a join: each pattern has the longest that fits. Bits of a sieve, as a power of two.
 RUNGS, MOST_BITS = [*range(1, 33), 48, 64, 96, 128, 192, *[1 << k for k in range(8, 31)]], 29
 
@@ -57,10 +59,9 @@ def finder(rules: list[tuple[int, str, str]], whole_end: bool) -> Callable[[str]
 def first_rule(df: DataFrame, text: Column, rules: DataFrame, into: str = "rule", ends: bool = False, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Adds `into`, a struct (priority, pattern, value): the first rule by priority, then by pattern, whose pattern the text contains, or, with `ends`, ends with; null where there is none and for null texts."""
     own = usable(rules)
-    n, size = own.agg(F.count("*"), F.sum(F.octet_length("pattern") + F.coalesce(F.octet_length("value"), F.lit(0)))).first()
-    if n <= MOST_RULES and (size or 0) <= most_bytes:
+    if small(own, "pattern", "value", most_bytes=most_bytes):
         return by_automaton(df, text, [tuple(r) for r in own.collect()], into, ends)
-    return by_join(df, text, own, into, ends)
+    return by_join(df, text, own, into, ends, most_bytes)
 
 
 def by_automaton(df: DataFrame, text: Column, rules: list[tuple[int, str, str]], into: str, ends: bool) -> DataFrame:
@@ -109,20 +110,43 @@ def sieve(rules: DataFrame, n_rules: int, ends: bool) -> Sieve:
     return made
 
 
-def by_join(df: DataFrame, text: Column, rules: DataFrame, into: str, ends: bool) -> DataFrame:
-    """Texts' pieces that pass the sieve of all rules' keys meet the rules with that key; the lowest rank is a row's rule."""
-    own = written(df.withColumn("__text", text).withColumn("__id", F.monotonically_increasing_id()), "texts")
+def first_alike(texts: pd.Series, rows: pd.Series) -> pd.Series:
+    """For each row of a batch the number of the batch's first row of equal text."""
+    codes, _ = pd.factorize(texts, use_na_sentinel=False)
+    return rows.iloc[np.unique(codes, return_index=True)[1][codes]]
+
+
+def small(rules: DataFrame, *texts: str, most_bytes: int) -> bool:
+    """Whether a table with these texts may be broadcast."""
+    n, size = rules.agg(F.count("*"), F.sum(sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(0)))).first()
+    return n <= MOST_RULES and (size or 0) <= most_bytes
+
+
+def by_join(df: DataFrame, text: Column, rules: DataFrame, into: str, ends: bool, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """A text meets the rules once for each batch that has it. Few texts that have a rule are broadcast to the rows, which stay where they are; else rows and found rules meet by the batch's row."""
+    own = df.withColumn("__text", text.cast("string")).withColumn("__row", F.monotonically_increasing_id())
+    own = written(own.withColumn("__id", F.pandas_udf(first_alike, "long")("__text", "__row")), "texts")
+    firsts = own.where("__id = __row and __text is not null").select("__id", "__text")
+    found = written(matched(firsts, rules, into, ends), "found")
+    if most_bytes and SELDOM * found.count() <= own.count():
+        few = written(firsts.join(found, "__id").select("__text", into).distinct(), "few")
+        if small(few, "__text", f"{into}.pattern", f"{into}.value", most_bytes=most_bytes):
+            return own.join(F.broadcast(few), "__text", "left").drop("__text", "__row", "__id")
+    return own.join(found, "__id", "left").drop("__text", "__row", "__id")
+
+
+def matched(texts: DataFrame, rules: DataFrame, into: str, ends: bool) -> DataFrame:
+    """Of texts (__id, __text) those that a rule holds for: __id and the first. Pieces that pass the sieve of all rules' keys meet the rules with that key; the lowest rank is a text's rule."""
     ruled = keyed(rules, ends)
-    held = df.sparkSession.sparkContext.broadcast(sieve(ruled, ruled.count(), ends))
+    held = texts.sparkSession.sparkContext.broadcast(sieve(ruled, ruled.count(), ends))
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from held.value.passing(batch)
 
-    pieces = own.select("__id", "__text").where("__text is not null").mapInArrow(passing, "__id long, __key binary, __piece binary")
+    pieces = texts.mapInArrow(passing, "__id long, __key binary, __piece binary")
     whole = F.coalesce("__piece", "__key")
     pattern = F.col("pattern").cast("binary")
     holds = F.endswith(whole, pattern) if ends else F.startswith(whole, pattern)
     best = pieces.join(ruled.select("__key", "pattern", "__rank"), "__key").where(holds).groupBy("__id").agg(F.min("__rank").alias("__rank"))
-    found = best.join(ruled.select("__rank", F.struct("priority", "pattern", "value").alias(into)), "__rank").select("__id", into)
-    return own.join(found, "__id", "left").drop("__text", "__id")
+    return best.join(ruled.select("__rank", F.struct("priority", "pattern", "value").alias(into)), "__rank").select("__id", into)

@@ -77,3 +77,25 @@ def test_ends_that_all_texts_share_meet_no_rule(spark):
     assert passed < 1000
     got = RT.first_rule(spark.createDataFrame([(t,) for t in texts], "text string"), F.col("text"), table, ends=True, most_bytes=0)
     assert got.where("rule is not null").count() == 500
+
+
+@pytest.mark.parametrize("most_bytes", [0, RT.MOST_BYTES])
+def test_frequent_texts_meet_the_rules_once_a_batch(spark, monkeypatch, most_bytes):
+    """Most rows have one of few texts. Those with rules are broadcast, so that rows are not dealt nor sorted; in a join, too, only the first rows of batches look for rules."""
+    tables = {}
+    monkeypatch.setattr(RT, "written", lambda df, name, write=RT.written: tables.setdefault(name, write(df, name)))
+    monkeypatch.setattr(RT, "MOST_RULES", 3)
+    table = spark.createDataFrame([(k, f"{k}-olt.es", "blocked") for k in range(20)] + [(50, "olt.es", "blocked")], RT.RULE)
+    texts = [["cold.com", None, "", "3-olt.es"][k % 40] if k % 40 < 4 else "hot-olt.es" for k in range(4000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = RT.first_rule(df, F.col("text"), table, ends=True, most_bytes=most_bytes)
+        assert out.columns == ["id", "text", "rule"]
+        got = {r.id: r.rule and r.rule.pattern for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {k: {"hot-olt.es": "olt.es", "3-olt.es": "3-olt.es"}.get(t) for k, t in enumerate(texts)}
+    assert tables["texts"].select("__id").distinct().count() <= 5 * 4
+    assert ("hashpartitioning" in plan) == (most_bytes == 0)
