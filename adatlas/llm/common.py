@@ -75,15 +75,17 @@ def maybe_in(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame
     return own.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("__spot", "__bucket", "__bits")
 
 
-#: Bytes of rows that are handed to Python at once, at most, unless the session says so itself.
-BATCH_BYTES = "4m"
+#: Bytes of rows that are handed to Python at once, and rows of a Parquet file that are decoded at once, at most, unless the session
+#: says so itself. Spark's own 4096 rows of whole texts are arrays of 16 MB and more on the heap of each task.
+BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
 
 
 def mapped(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow in batches bounded by bytes; a worker gives back what memory it holds when a task ends."""
-    spark, bound = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not spark.sparkContext.getConf().contains(bound):
-        spark.conf.set(bound, BATCH_BYTES)
+    spark = df.sparkSession
+    for bound, most in BOUNDS.items():
+        if not spark.sparkContext.getConf().contains(bound):
+            spark.conf.set(bound, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from task(batches)

@@ -210,6 +210,12 @@ def with_hidden_words(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate((x, bare)), np.concatenate((y, y))
 
 
+def marked(text: str) -> Column:
+    """Whether a rule may match in a text: by patterns, as Spark's lower() first makes some 3 GB of tables in each executor."""
+    tails = "|".join(f"(?<={word[0]}){word[1:]}" for word in KEYWORDS)
+    return F.contains(text, F.lit("AKIA")) | F.col(text).rlike("[0-9a-f]{32}") | F.col(text).rlike(f"(?i)[apst](?:{tails})")
+
+
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Field | None:
     """The field, from a bounded sample of windows; None where the rules match nothing in the sample.
 
@@ -217,11 +223,7 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Field | N
     WINDOWS // 2 with a secret and WINDOWS without.
     """
     source = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    low = F.lower("text")
-    marked = F.contains("text", F.lit("AKIA")) | F.col("text").rlike("[0-9a-f]{32}")
-    for word in KEYWORDS:
-        marked = marked | F.contains(low, F.lit(word))
-    source = source.withColumn("marked", marked)
+    source = source.withColumn("marked", marked("text"))
     n, hits = source.agg(F.count("*"), F.count_if("marked")).first()
     h, part = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)), lambda most, of: int(1_000_000 * min(1.0, most / max(1, of)))
     sample = source.where((h < part(SAMPLE // 4, n)) | (h < part(SAMPLE, hits)) & F.col("marked")).select("text")

@@ -121,3 +121,18 @@ def test_redact_and_empty_table(spark):
     out = S.redact(docs).orderBy("doc_id").collect()
     assert [r.text for r in out] == ['é <SECRET>" end', 'é <SECRET>" end', None] and out[0].n_chars == 15
     assert S.redact(docs.limit(0)).columns == docs.columns and S.redact(docs.limit(0)).count() == 0
+
+
+def test_marks_are_those_of_the_rules_without_lower_casing(spark):
+    texts = ["no", "", "My PassWord", "passwd", "a SECRET", "toKEN", "API_Key", "apikey", "api-key", "AKIA", "akia", "f" * 32, "F" * 32, "a" * 31, "to\u212aen", "tassword", "é tOken", "x\nsecret"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    lowered = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    want = [any(k in lowered(t) for k in S.KEYWORDS) or "AKIA" in t or bool(S.HEX.search(t)) for t in texts]
+    found = docs.select(S.marked("text").alias("marked"))
+    assert [r.marked for r in found.collect()] == want
+    assert "lower(" not in found._jdf.queryExecution().toString()
+
+
+def test_texts_are_read_in_small_batches(spark):
+    S.redact(spark.createDataFrame([(1, "token=abcdefgh")], "doc_id long, text string")).collect()
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
