@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from adatlas.operators import answers as A
+from adatlas.sources.shared import DROP_SHUFFLES, settings
 from adatlas.sources.tables import RESPONSES
 
-#: Signatures that were met stand in a store on disk, of which a batch writes only what it changes.
+#: Signatures that were met stand in a store on disk, of which a batch writes only what it changes. What a batch was dealt by goes with its end.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.compression.codec": "zstd",
+    **DROP_SHUFFLES,
 }
 
 
@@ -30,17 +33,11 @@ def follow(spark: SparkSession, source: str, target: str, checkpoint: str, files
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/answers/batch={number}")
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/answers/batch={number}")
         kept = batch.sparkSession.read.schema(batch.schema).parquet(f"{target}/answers/batch={number}")
-        A.validated(A.parsed(kept)).write.mode("overwrite").parquet(f"{target}/entries/batch={number}")
+        A.validated(A.parsed(kept)).write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/entries/batch={number}")
 
     reader = spark.readStream.schema(f"{RESPONSES}, signature STRING")
     stream = signed((reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).json(source))
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    try:  # the query takes the settings that it finds when it starts
-        for k, v in STATE.items():
-            spark.conf.set(k, v)
+    with settings(spark, STATE):  # the query takes the settings that it finds when it starts
         return stream.dropDuplicates(["signature"]).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
