@@ -40,8 +40,8 @@ def json_objects(ads: DataFrame, meta: DataFrame) -> DataFrame:
     return meta.join(own, "issue_id", "left").select("issue_id", F.struct(*[c for c in meta.columns if c != "issue_id"]).alias("meta"), F.coalesce("anunciantes", F.array()).alias("anunciantes"))
 
 
-def write_json(ads: DataFrame, meta: DataFrame, path: str) -> None:
-    json_objects(ads, meta).write.json(path)
+def write_json(ads: DataFrame, meta: DataFrame, path: str, compression: str = "none") -> None:
+    json_objects(ads, meta).write.option("compression", compression).json(path)
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, export_id: str) -> bool:

@@ -5,6 +5,8 @@ import json
 import os
 import time
 
+from adatlas.operators import answers as A
+from adatlas.operators import report as R
 from adatlas.plans import registry
 from adatlas.streaming.answers import follow
 
@@ -60,3 +62,24 @@ def test_sent_answers_go_once_they_are_read(spark, tmp_path, monkeypatch):
     assert sum(r.answers for r in got) == 60 and len(seen) == 3
     assert not (seen[0] & seen[1] or seen[0] & seen[2] or seen[1] & seen[2])
     assert all(f.endswith(".gz") for files in seen for f in files)
+
+
+def test_whole_issues_are_dealt_once(spark):
+    rows = [(i, f"Brand {k % 7}{', S.A.' if k % 2 else ''}", k, "w" if k % 3 else "", "", "", "", "", k / 100, "ia", "") for i in (1, 2) for k in range(30)]
+    ads = spark.createDataFrame(rows, "issue_id long, brand string, page_no int, website string, email string, phone string, sector string, ad_size string, confidence double, method string, notes string")
+    usual, once = (R.indexed(A.merged(ads, ["page_no"], **how)) for how in ({}, {"dealt": ("issue_id",)}))
+    assert once._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(str, usual.collect())) == sorted(map(str, once.collect()))
+
+
+def test_objects_are_small_and_what_they_were_dealt_by_goes(spark, tmp_path, monkeypatch):
+    before, kept = shuffle_files(spark), registry.kept_result
+
+    def asked(result, *folders):
+        files = [f for folder in folders for f in os.listdir(folder.removeprefix("file://")) if f.startswith("part-")]
+        assert files and all(f.endswith(".json.gz") for f in files) and gone(spark, before)
+        return kept(result, *folders)
+
+    monkeypatch.setattr(registry, "kept_result", asked)
+    got = registry.json_objects(spark, given(spark, tmp_path)).collect()
+    assert [(r.issue_id, r.titulo, len(r.ads.split("|"))) for r in sorted(got)] == [(12020, "Revista", 5), (22020, "Revista", 5)]
