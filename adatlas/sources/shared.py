@@ -44,9 +44,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table, written to the shared folder and read back: later steps neither compute it again nor depend on executors that may be lost."""
-    path = new_folder(df.sparkSession, name)
+def written(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
+    """The table, written to the shared folder, or under root, and read back: later steps neither compute it again nor depend on executors that may be lost."""
+    path = f"{root}/{name}" if root else new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -73,6 +73,7 @@ class Library:
         """Appends issues and their advertisers. False, with nothing written, if a save of this id is there already: a save may be repeated until it succeeds."""
         if save_id is not None and self.saved(save_id):
             return False
+        self.state()  # a list that can't be read is found before anything is written
         new = {"advertisers": self._write("advertisers", L.stored_advertisers(ads, rules))}
         # advertisers are counted where they were written: what they come from is not computed again, and the counts are those of the stored rows
         new["issues"] = self._write("issues", L.stored_issues(meta, self._read(new["advertisers"], new["advertisers"]["folders"])))
